@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelight.llm import exact_dedup
+from gatelight.llm import exact_dedup, media
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.fingerprints(media.to_wav(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op9_media": op9_media,
 }
 
 ORACLE_SQL = {
