@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelight.llm import exact_dedup, media
+from gatelight.llm import bpe, exact_dedup, media
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +16,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.digests(bpe.decode_table(bpe.encode_table(table(spark, sf_dir, "documents"), *rule), *rule))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.fingerprints(media.to_wav(table(spark, sf_dir, "documents"))))
 
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
     "op9_media": op9_media,
 }
 
