@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelight.llm import bpe, exact_dedup, media
+from gatelight.llm import bpe, exact_dedup, media, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode_table(bpe.encode_table(table(spark, sf_dir, "documents"), *rule), *rule))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.fingerprints(media.to_wav(table(spark, sf_dir, "documents"))))
 
@@ -28,6 +33,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
 }
 
