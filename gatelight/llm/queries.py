@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelight.llm import bpe, exact_dedup, media, toxicity
+from gatelight.llm import bpe, exact_dedup, html_extract, media, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,16 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.fingerprints(media.to_wav(table(spark, sf_dir, "documents"))))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLE_SQL = {
