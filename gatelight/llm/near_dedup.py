@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gatelight.llm import scratch
 from gatelight.llm.text import distinct, mix, shingles, words
@@ -55,7 +56,7 @@ def superminhash(sets: np.ndarray, bounds: np.ndarray, slots: int) -> np.ndarray
                 walk = walk if walk is None else walk[stay]
         if not len(items):
             break
-        draw = mix(items + np.uint64(j + 1) * _SALT)
+        draw = mix(items + np.uint64((j + 1) * int(_SALT) % (1 << 64)))
         other = j + (mix(draw ^ _SALT) >> np.uint64(40)).astype("i8") % (slots - j)
         if walk is None:
             walk = np.broadcast_to(np.arange(slots, dtype="u2"), (len(items), slots)).copy()
@@ -124,7 +125,8 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _forest(edges: DataFrame) -> DataFrame:
-    """Each partition's edges (a, b) by union-find as edges to the smallest node that they connect there."""
+    """Each partition's edges (a, b) by union-find as edges from nodes a to the smallest node b that they reach there."""
+    schema = to_arrow_schema(edges.schema)
 
     def united(batches):
         parent: dict = {}
@@ -140,28 +142,29 @@ def _forest(edges: DataFrame) -> DataFrame:
                 if a != b:
                     parent[max(a, b)] = min(a, b)
         pairs = [(x, find(x)) for x in list(parent) if find(x) != x]
-        kind = schema.field("a").type
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], names=["a", "b"])
-
-    from pyspark.sql.pandas.types import to_arrow_schema
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, schema.field(0).type) for x in zip(*pairs)], names=["a", "b"])
 
-    schema = to_arrow_schema(edges.schema)
-    return edges.mapInArrow(united, edges.schema)
+    return edges.mapInArrow(united, edges.schema).withColumn("part", F.spark_partition_id())
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (the smallest node reachable) of every node on an edge (a, b).
+    """node and component (the smallest node reachable) of every node on an edge (a, b), a <> b.
 
-    After union-find within partitions, each component repeatedly joins the smallest of its neighbours and chains
-    of such steps are halved, so rounds grow with the logarithm of the longest path. Tables are checkpointed
-    in the shared folder between rounds.
+    Union-find within partitions comes first; where adaptive execution puts all edges into one partition of its
+    advisory size, that is all. Otherwise each component repeatedly joins the smallest of its neighbours and
+    chains of such steps are halved, so rounds grow with the logarithm of the longest path. Tables are
+    written to the shared folder between rounds.
     """
     spark = edges.sparkSession
-    rest, path = scratch.written(_forest(edges.select("a", "b")), "forest")
+    forest, path = scratch.written(_forest(edges.select("a", "b").repartition("a")), "forest")
+    used, rest = [path], forest.select("a", "b")
     labels = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component"))
-    used = [path]
     while True:
-        hooks = rest.filter("a <> b").select(F.greatest("a", "b").alias("root"), F.least("a", "b").alias("to")).groupBy("root").agg(F.min("to").alias("to"))
+        hooks = rest.groupBy(F.greatest("a", "b").alias("root")).agg(F.min(F.least("a", "b")).alias("to"))
+        if used == [path] and len(forest.select("part").distinct().limit(2).collect()) < 2:
+            labels = labels.join(rest.withColumnRenamed("b", "to"), labels["node"] == rest["a"], "left").select("node", F.coalesce("to", "node").alias("component"))
+            break
         hooks, path = scratch.written(hooks, "hooks")
         used.append(path)
         if hooks.isEmpty():
@@ -180,7 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
         rest, path = scratch.written(moved.filter("a <> b").distinct(), "edges")
         used.append(path)
-    labels, kept = scratch.written(labels, "components")
+    labels, _ = scratch.written(labels, "components")
     scratch.drop(spark, *used)
     return labels
 
@@ -199,17 +202,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(common * 100 >= union * percent).select("a", "b").distinct()
 
 
-def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame | None:
     """node and component by the links given and all that the pairs in a bucket have. members: key, id, n."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = members.join(sizes, "key")
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     left, path = scratch.written(shared.select("key", "id", "n").join(weight, "id"), "buckets")
-    used, labels, first = [path], components(links), True
+    used, first = [path], True
+    labels = None if links.isEmpty() else components(links)
     while True:
         named = _labelled(left, labels)
-        named, path = scratch.written(named, "named")
-        used.append(path)
         top = F.max(F.struct("weight", "id", "n", "component")).alias("pivot")
         open_ = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), top)
         rows, path = scratch.written(named.join(open_.filter("low <> high").drop("low", "high"), "key"), "open")
@@ -261,7 +263,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     sets, sets_path = scratch.written(sets, "sets")
     labels = _link(members, sets, links, percent)
     scratch.drop(spark, members_path, sets_path, links_path)
-    out = found.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    out = found.withColumn("component", F.lit(None)) if labels is None else found.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
