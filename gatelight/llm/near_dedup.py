@@ -6,12 +6,14 @@ get values of lower variance than independent hashes give, and the walk stops fo
 holds a value above the current step: long documents stop after one or two steps.
 
 Candidates. Documents with equal shingle sets become one class first. Classes share a bucket if they agree on all
-rows of a band. In each round every bucket that still holds classes of different components names one pivot, the
-member that shares most buckets with others, and every member of another component is verified against it on
-the full shingle sets; verified links join components, the pivot leaves its bucket, and buckets whose
-members are all in one component are done. A bucket that has few members left is finished at once by
-its pairs across components. So a group of n near copies costs about n comparisons, not n^2, and still every
-pair of classes in a bucket is either compared or already connected.
+rows of a band. In each round every bucket that still holds classes of different components names pivots, at first
+one, the member that shares most buckets with others, and every member of another component is verified against
+them on the full shingle sets; verified links join components, pivots leave their bucket, and buckets whose
+members are all in one component are done. After the first round, members whose own shingles (in no other
+set that is left) make a link impossible go, and pairs for which they do are not compared. Later rounds name
+four times as many pivots each, and all members of a bucket with few left. So a group of n near copies costs about n
+comparisons, not n^2, and still every pair of classes in a bucket is either compared, or already connected, or
+shown to be no link.
 
 Nothing is collected to the driver but counts. Links, buckets and components are tables in the shared
 folder, where lineage ends after each round.
@@ -202,38 +204,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(common * 100 >= union * percent).select("a", "b").distinct()
 
 
+def _own_shingles(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """id and own, how many of its shingles no other id of rows has; ids without any such shingle are left out."""
+    some = sets.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.explode("set").alias("shingle")).distinct()
+    lone = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return lone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame | None:
     """node and component by the links given and all that the pairs in a bucket have. members: key, id, n."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = members.join(sizes, "key")
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    left, path = scratch.written(shared.select("key", "id", "n").join(weight, "id"), "buckets")
-    used, first = [path], True
+    left, path = scratch.written(shared.select("key", "id", "n").join(weight, "id").withColumn("own", F.lit(0).cast("long")), "buckets")
+    used, turn = [path], 0
     labels = None if links.isEmpty() else components(links)
     while True:
         named = _labelled(left, labels)
-        top = F.max(F.struct("weight", "id", "n", "component")).alias("pivot")
-        open_ = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), top)
+        open_ = named.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max(F.struct("weight", "id")).alias("top")
+        )
         rows, path = scratch.written(named.join(open_.filter("low <> high").drop("low", "high"), "key"), "open")
         used.append(path)
         if rows.isEmpty():
             break
-        # The first round takes pivots only: most buckets are in one component after it.
-        small = F.lit(False) if first else F.col("size") <= FEW
-        star = rows.filter(~small & (F.col("pivot.component") != F.col("component")))
-        pairs = star.select("id", "n", F.col("pivot.id").alias("other"), F.col("pivot.n").alias("m"))
-        few = rows.filter(small)
-        twin = few.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("others"))
-        pairs = pairs.unionByName(few.join(twin, "key").filter("component <> others AND id < other").select("id", "n", "other", "m"))
-        pairs = pairs.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+        if turn == 1:
+            # What shares too little with all that is left links with none of it: both sets' own shingles are in
+            # their union only. This ends buckets in which many are alike but few are alike enough.
+            own, path = scratch.written(_own_shingles(rows, sets), "own")
+            used.append(path)
+            left = rows.drop("own").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+            common = F.col("n") - F.col("own")
+            left = left.filter(common * 100 >= (F.col("n") + F.greatest("least", common) - common) * percent)
+            left, turn = left.select("key", "id", "n", "weight", "own"), 2
+            continue
+        # One pivot for each bucket first, as most are in one component then; later more and more, and all in small buckets.
+        chance = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 20)) * F.col("size")
+        pivot = F.col("id") == F.col("top.id")
+        if turn:
+            pivot = pivot | (F.col("size") <= FEW) | (chance < (4**turn << 20))
+        rows = rows.withColumn("pivot", pivot)
+        pivots = rows.filter("pivot").select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("own").alias("owns"), F.col("component").alias("others"))
+        pairs = rows.join(pivots, "key").filter("component <> others")
+        common = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("owns"))
+        pairs = pairs.filter((common * 100 >= (F.col("n") + F.col("m") - common) * percent))
         pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         new, path = scratch.written(_verified(pairs, sets, percent), "links")
         used.append(path)
         links = links.unionByName(new)
         labels = components(links)
-        # A pivot has met all others of its bucket, and small buckets are done.
-        left = rows.filter(~small & (F.col("id") != F.col("pivot.id"))).select("id", "key", "n", "weight")
-        first = False
+        # A pivot has met all others of its bucket.
+        left, turn = rows.filter("NOT pivot").select("id", "key", "n", "weight", "own"), turn + 1
     scratch.drop(members.sparkSession, *used)
     return labels
 
