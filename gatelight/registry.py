@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gatelight.plans import conformance_queries, statistics_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "q_state_fold"
+QUERIES = conformance_queries.QUERIES | statistics_queries.QUERIES
+ORACLE_SQL = conformance_queries.ORACLE_SQL | statistics_queries.ORACLE_SQL
