@@ -28,6 +28,6 @@ def mismatches(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 def path_error(path: Column) -> Column:
     """Why a path isn't a normal relative one, or null. Links that leave the folder are for whoever lists the files."""
-    parts = F.split(path, "/")
-    odd = path.rlike("^/") | F.exists(parts, lambda x: x.isin("", ".", "..")) | path.rlike("^[A-Za-z]:")
-    return F.when(path.isNull() | ~path.rlike(r"\S"), "path_missing_or_invalid").when(F.contains(path, F.lit("\\")), "path_not_posix").when(odd, "path_not_normalized_relative")
+    odd = path.rlike("^/") | F.contains(path, F.lit(":")) | F.exists(F.split(path, "/"), lambda x: x.isin(".", ".."))
+    empty = path.isNull() | ~path.rlike(r"(?U)\S")
+    return F.when(empty, "path_missing_or_invalid").when(F.contains(path, F.lit("\\")), "path_not_posix").when(odd, "path_not_normalized_relative")

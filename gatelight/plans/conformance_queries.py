@@ -229,7 +229,7 @@ def q_checksum_join(spark, sf_dir):
 @query(r"""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '/' || split_part(url, '//', 2) WHEN 1 THEN '../' || split_part(url, '//', 2) WHEN 2 THEN replace(split_part(url, '//', 2), '/', '\')
     WHEN 3 THEN ' ' WHEN 4 THEN url ELSE split_part(url, '//', 2) END AS path FROM pages)
 SELECT page_id, CASE WHEN path IS NULL OR NOT regexp_matches(path, '\S') THEN 'path_missing_or_invalid' WHEN contains(path, '\') THEN 'path_not_posix'
-    WHEN starts_with(path, '/') OR len(list_filter(string_split(path, '/'), lambda x: x IN ('', '.', '..'))) > 0 OR regexp_matches(path, '^[A-Za-z]:') THEN 'path_not_normalized_relative' ELSE 'ok' END AS path_status FROM p""")
+    WHEN starts_with(path, '/') OR len(list_filter(string_split(path, '/'), lambda x: x IN ('.', '..'))) > 0 OR contains(path, ':') THEN 'path_not_normalized_relative' ELSE 'ok' END AS path_status FROM p""")
 def q_path_safety(spark, sf_dir):
     bare = F.get(F.split("url", "//"), F.lit(1))
     kind = F.col("page_id") % 6
