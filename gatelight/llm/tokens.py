@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -28,7 +27,7 @@ CONTROL = re.compile("[\x1c-\x1f]").search
 BEYOND_LATIN = re.compile("[^\x00-įı-ɏ]").search
 
 #: Chunks that a worker remembers, and the longest chunk that is remembered.
-MAX_CHUNKS, MAX_CHUNK_CHARS = 600_000, 48
+MAX_CHUNKS, MAX_CHUNK_CHARS = 500_000, 48
 
 
 def byte_letters() -> str:
@@ -39,6 +38,25 @@ def byte_letters() -> str:
     return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
 
 
+class Memory(dict):
+    """What encode gives for the chunks seen, made when a chunk is first looked up."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array("I", self.encode(chunk)).tobytes()
+        if len(chunk) <= MAX_CHUNK_CHARS:
+            self[chunk] = ids
+        return ids
+
+    def bounded(self) -> Memory:
+        if len(self) > MAX_CHUNKS:
+            self.clear()
+        return self
+
+
 class ChunkedTokenizer:
     """Encodes texts as the tokenizers library does, special strings being ordinary text.
 
@@ -52,7 +70,8 @@ class ChunkedTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(self._ids)
+        self.merge = self.tokenizer.model.tokenize
 
     def _chunks(self, text: str) -> list[str]:
         if CONTROL(text):
@@ -61,28 +80,17 @@ class ChunkedTokenizer:
             return SPACED(text)
         return BARE(text if BEYOND_LATIN(text) else text.lower())
 
-    def _ids(self, chunk: str) -> bytes:
+    def _ids(self, chunk: str) -> list[int]:
         if ONE_MATCH(chunk) and (self.spaced or chunk.islower() or chunk.isascii()):
             if not self.spaced:
                 chunk = chunk.lower()
-            word = chunk.encode().decode("latin-1").translate(self.letters)
-            ids = [x.id for x in self.tokenizer.model.tokenize(word)]
-        else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+            word = chunk.replace(" ", "Ġ") if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+            return [x.id for x in self.merge(word)]
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        out, known = [], self.known
-        for text in texts:
-            if len(known) > MAX_CHUNKS:
-                known.clear()
-            chunks, long = self._chunks(text), {}
-            for chunk in set(chunks).difference(known):
-                (known if len(chunk) <= MAX_CHUNK_CHARS else long)[chunk] = self._ids(chunk)
-            get = known.__getitem__
-            out.append(b"".join([long[c] if c in long else get(c) for c in chunks] if long else map(get, chunks)))
-        return out
+        return [b"".join(map(self.known.bounded().__getitem__, self._chunks(text))) for text in texts]
 
 
 _made: dict[tuple, ChunkedTokenizer] = {}
