@@ -16,12 +16,11 @@ import numpy as np
 
 #: Ids are below this: a table's empty entry holds it.
 NONE = 0xFFFF
-SLOTS_1, SLOTS_2 = 1 << 10, 1 << 11
+SLOTS_1, SLOTS_2 = 1 << 8, 1 << 9
 LEVELS, RATE = 8, 5
 CLASSES, FLOOR, SCALE = 16, 64, 15
 MAX_2, MAX_1, LEAST = 60_000, 40_000, 32
-_LOW32, _LOW48 = np.uint64(0xFFFFFFFF), np.uint64((1 << 48) - 1)
-_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
+_LOW32, _LOW48 = (1 << 32) - 1, (1 << 48) - 1
 #: Magnitude of an id: the bits of id + 1 less one.
 _CLASS = (np.frexp(np.arange(1, NONE + 2))[1] - 1).astype("i8")
 
@@ -80,7 +79,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     if not lanes:
         return []
     model = _Model(lanes)
-    low, width = np.zeros(lanes, "u8"), np.full(lanes, (1 << 48) - 1, "u8")
+    low, width = np.zeros(lanes, "i8"), np.full(lanes, _LOW48)
     out = np.zeros((lanes, 2 * len(ids) + 8), "u2")
     flat, size = out.reshape(-1), out.shape[1]
     filled = model.lanes * size
@@ -99,35 +98,40 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         model.expect(n)
         hit_2 = x == model.id_2
         hit_1 = (x == model.id_1) & ~hit_2
-        other = ~(hit_2 | hit_1)
+        # Most ids are no expected ones: code all as magnitudes, then put the hits right.
         at = classes * lanes + model.lanes[:n]
         below = (cumulative[at] * model.rest) >> SCALE
-        above = (cumulative[at + lanes] * model.rest) >> SCALE
-        start = np.where(other, model.base + below, np.where(hit_1, model.share_2, 0))
-        share = np.where(other, above - below, np.where(hit_1, model.share_1, model.share_2))
-        bits = (classes * other).astype("u8")
-        offset = ((x + 1 - (1 << classes)) * other).astype("u8")
-        unit = width[:n] >> _16
-        now = low[:n] + start.astype("u8") * unit
-        wide = (share.astype("u8") * unit) >> bits
-        now += offset * wide
-        over = np.flatnonzero(now >> _48)
+        share = ((cumulative[at + lanes] * model.rest) >> SCALE) - below
+        start = below + model.base
+        offset = x + 1 - (1 << classes)
+        bits = classes.copy()
+        for hit, begin, own in ((hit_1, model.share_2, model.share_1), (hit_2, None, model.share_2)):
+            which = np.flatnonzero(hit)
+            share[which] = own[which]
+            start[which] = 0 if begin is None else begin[which]
+            offset[which] = 0
+            bits[which] = 0
+        unit = width[:n] >> 16
+        wide = (share * unit) >> bits
+        now = low[:n] + start * unit + offset * wide
+        over = np.flatnonzero(now > _LOW48)
         if len(over):
             carry(over)
-        now &= _LOW48
+            now &= _LOW48
         low[:n], width[:n] = now, wide
         small = np.flatnonzero(wide < (1 << 32))
         while len(small):
             own = low[small]
-            flat[filled[small]] = (own >> _32).astype("u2")
-            filled[small] += 1
-            low[small] = (own & _LOW32) << _16
-            wider = width[small] << _16
+            to = filled[small]
+            flat[to] = own >> 32
+            filled[small] = to + 1
+            low[small] = (own & _LOW32) << 16
+            wider = width[small] << 16
             width[small] = wider
             small = small[wider < (1 << 32)]
         model.learn(x, classes, n)
     for shift in (32, 16, 0):
-        flat[filled] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype("u2")
+        flat[filled] = (low >> shift) & 0xFFFF
         filled += 1
     used = filled - model.lanes * size
     return [out[k, : used[k]].astype("<u2").tobytes() for k in range(lanes)]
@@ -140,43 +144,50 @@ def decode(codes: list[bytes], lengths: np.ndarray) -> np.ndarray:
         return np.zeros((0, 0), "u2")
     model = _Model(lanes)
     size = max(map(len, codes)) // 2 + 4
-    words = np.zeros((lanes, size), "u8")
+    words = np.zeros((lanes, size), "u2")
     for k, code in enumerate(codes):
         words[k, : len(code) // 2] = np.frombuffer(code, "<u2")
     flat, at = words.reshape(-1), model.lanes * size
-    code = (words[:, 0] << _32) | (words[:, 1] << _16) | words[:, 2]
+    first = words[:, :3].astype("i8")
+    code = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2]
     at += 3
     end = (model.lanes + 1) * size - 1
-    width = np.full(lanes, (1 << 48) - 1, "u8")
+    width = np.full(lanes, _LOW48)
     ids = np.zeros((int(lengths.max()), lanes), "u2")
+    cumulative = model.cumulative.reshape(-1)
     for step in range(len(ids)):
         n = int(np.searchsorted(-lengths, -step, "left"))
         model.expect(n)
-        unit = width[:n] >> _16
+        unit = width[:n] >> 16
         # Exact: the quotients are far from the next integer by more than a double's precision.
         place = np.minimum(code[:n] / unit, 65535).astype("i8")
-        other = place >= model.base
-        target = ((place - model.base + 1) * (1 << SCALE) - 1) // model.rest
-        classes = (model.cumulative[1:CLASSES, :n] <= target.astype("i4")).sum(axis=0, dtype="i1").astype("i8")
-        classes *= other
+        expected = place < model.base
+        target = (((place - model.base + 1) << SCALE) - 1) / model.rest
+        classes = (model.cumulative[1:CLASSES, :n] <= target).sum(axis=0, dtype="i1").astype("i8")
         lane = classes * lanes + model.lanes[:n]
-        cumulative = model.cumulative.reshape(-1)
         below = (cumulative[lane] * model.rest) >> SCALE
-        above = (cumulative[lane + lanes] * model.rest) >> SCALE
-        hit_1 = ~other & (place >= model.share_2)
-        start = np.where(other, model.base + below, np.where(hit_1, model.share_2, 0))
-        share = np.where(other, above - below, np.where(hit_1, model.share_1, model.share_2))
-        left = code[:n] - start.astype("u8") * unit
-        wide = (share.astype("u8") * unit) >> classes.astype("u8")
-        offset = np.minimum((left / wide).astype("i8"), (1 << classes) - 1) * other
-        left -= offset.astype("u8") * wide
-        x = np.where(other, (1 << classes) + offset - 1, np.where(hit_1, model.id_1, model.id_2)).astype("i4")
+        share = ((cumulative[lane + lanes] * model.rest) >> SCALE) - below
+        start = below + model.base
+        bits = classes
+        hits = np.flatnonzero(expected)
+        hit_1 = place[hits] >= model.share_2[hits]
+        share[hits] = np.where(hit_1, model.share_1[hits], model.share_2[hits])
+        start[hits] = model.share_2[hits] * hit_1
+        bits[hits] = 0
+        left = code[:n] - start * unit
+        wide = (share * unit) >> bits
+        offset = np.minimum((left / wide).astype("i8"), (1 << bits) - 1)
+        offset[hits] = 0
+        left -= offset * wide
+        x = ((1 << bits) + offset - 1).astype("i4")
+        x[hits] = np.where(hit_1, model.id_1[hits], model.id_2[hits])
         code[:n], width[:n] = left, wide
         small = np.flatnonzero(wide < (1 << 32))
         while len(small):
-            code[small] = (code[small] << _16) | flat[np.minimum(at[small], end[small])]
-            at[small] += 1
-            wider = width[small] << _16
+            from_ = at[small]
+            code[small] = (code[small] << 16) | flat[np.minimum(from_, end[small])]
+            at[small] = from_ + 1
+            wider = width[small] << 16
             width[small] = wider
             small = small[wider < (1 << 32)]
         ids[step, :n] = x

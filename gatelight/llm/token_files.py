@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from gatelight.llm import rangecoder, ranges, scratch
 from gatelight.llm.tokens import tokenizer
 
-MAGIC, VERSION, BLOCK = b"GLTOKENS", 1, 2048
+MAGIC, VERSION, BLOCK = b"GLTOKENS", 1, 1024
 #: Ids after which a file is closed.
-FILE_IDS = 6 << 20
+FILE_IDS = 8 << 20
 _HEAD = np.dtype([("magic", "S8"), ("version", "<u4"), ("block", "<u4"), ("docs", "<u4"), ("blocks", "<u4"), ("before", "<u8"), ("ids", "<u8")])
 _ROW = np.dtype([("bytes", "<u4"), ("code_crc", "<u4"), ("ids_crc", "<u4")])
 
