@@ -141,8 +141,11 @@ def _repeated_runs(docs: DataFrame, min_words: int, head: int, id_col: str, text
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     suffixes, path = scratch.written(_suffixes(texts, min_words, head), "suffixes")
     places = suffixes.join(_repeated(suffixes).select("code"), "code", "left_semi").groupBy("id").agg(F.collect_set("place").alias("places"))
+    places, places_path = scratch.written(places, "places")
+    scratch.drop(docs.sparkSession, path)  # most suffixes are in one document only: their table goes before the texts move
+    del suffixes
     runs, _ = scratch.written(_runs(texts.join(places, "id").select("id", "text", "places"), min_words, head), "runs")
-    scratch.drop(docs.sparkSession, path)
+    scratch.drop(docs.sparkSession, places_path)
     return runs.join(_repeated(runs), "code").select("id", "word", "begin", "end", "first_id")
 
 
