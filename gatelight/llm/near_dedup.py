@@ -37,6 +37,8 @@ from gatelight.llm.text import distinct, mix, shingles, words
 
 #: Members that a bucket may have left to be finished by all its pairs across components.
 FEW = 24
+#: Edges that one task connects by union-find in its memory.
+EDGES = 500_000
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -147,27 +149,25 @@ def _forest(edges: DataFrame) -> DataFrame:
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array(x, schema.field(0).type) for x in zip(*pairs)], names=["a", "b"])
 
-    return edges.mapInArrow(united, edges.schema).withColumn("part", F.spark_partition_id())
+    return edges.mapInArrow(united, edges.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) of every node on an edge (a, b), a <> b.
 
-    Union-find within partitions comes first; where adaptive execution puts all edges into one partition of its
-    advisory size, that is all. Otherwise each component repeatedly joins the smallest of its neighbours and
-    chains of such steps are halved, so rounds grow with the logarithm of the longest path. Tables are
-    written to the shared folder between rounds.
+    Union-find comes first, in partitions of at most EDGES edges; if one partition holds all, that is all. Otherwise
+    each component repeatedly joins the smallest of its neighbours and chains of such steps are halved, so
+    rounds grow with the logarithm of the longest path. Tables are written to the shared folder between rounds.
     """
     spark = edges.sparkSession
-    forest, path = scratch.written(_forest(edges.select("a", "b").repartition("a")), "forest")
-    used, rest = [path], forest.select("a", "b")
+    parts = max(1, -(-edges.count() // EDGES))
+    forest, path = scratch.written(_forest(edges.select("a", "b").repartition(parts)), "forest")
+    used, rest = [path], forest
     labels = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component"))
-    while True:
-        hooks = rest.groupBy(F.greatest("a", "b").alias("root")).agg(F.min(F.least("a", "b")).alias("to"))
-        if used == [path] and len(forest.select("part").distinct().limit(2).collect()) < 2:
-            labels = labels.join(rest.withColumnRenamed("b", "to"), labels["node"] == rest["a"], "left").select("node", F.coalesce("to", "node").alias("component"))
-            break
-        hooks, path = scratch.written(hooks, "hooks")
+    if parts == 1:
+        labels = labels.join(rest, labels["node"] == rest["a"], "left").select("node", F.coalesce("b", "node").alias("component"))
+    while parts > 1:
+        hooks, path = scratch.written(rest.groupBy(F.greatest("a", "b").alias("root")).agg(F.min(F.least("a", "b")).alias("to")), "hooks")
         used.append(path)
         if hooks.isEmpty():
             break
@@ -211,6 +211,12 @@ def _own_shingles(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return lone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
 
+def _may_link(percent: int):
+    """Whether two sets of n and m shingles, of which own and owns are in no other set, can be similar enough."""
+    common = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("owns"))
+    return common * 100 >= (F.col("n") + F.col("m") - common) * percent
+
+
 def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame | None:
     """node and component by the links given and all that the pairs in a bucket have. members: key, id, n."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -222,7 +228,7 @@ def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -
     while True:
         named = _labelled(left, labels)
         open_ = named.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max(F.struct("weight", "id")).alias("top")
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", "id")).alias("top")
         )
         rows, path = scratch.written(named.join(open_.filter("low <> high").drop("low", "high"), "key"), "open")
         used.append(path)
@@ -234,8 +240,10 @@ def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -
             own, path = scratch.written(_own_shingles(rows, sets), "own")
             used.append(path)
             left = rows.drop("own").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
-            common = F.col("n") - F.col("own")
-            left = left.filter(common * 100 >= (F.col("n") + F.greatest("least", common) - common) * percent)
+            kinds = left.groupBy("key", "n", "own").agg(F.count(F.lit(1)).alias("size"))
+            others = kinds.select("key", F.col("n").alias("m"), F.col("own").alias("owns"))
+            able = kinds.join(others, "key").filter(_may_link(percent) & ((F.col("size") > 1) | (F.col("n") != F.col("m")) | (F.col("own") != F.col("owns"))))
+            left = left.join(able.select("key", "n", "own").distinct(), ["key", "n", "own"], "left_semi")
             left, turn = left.select("key", "id", "n", "weight", "own"), 2
             continue
         # One pivot for each bucket first, as most are in one component then; later more and more, and all in small buckets.
@@ -246,13 +254,11 @@ def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -
         rows = rows.withColumn("pivot", pivot)
         pivots = rows.filter("pivot").select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("own").alias("owns"), F.col("component").alias("others"))
         pairs = rows.join(pivots, "key").filter("component <> others")
-        common = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("owns"))
-        pairs = pairs.filter((common * 100 >= (F.col("n") + F.col("m") - common) * percent))
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        pairs = pairs.filter(_may_link(percent)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         new, path = scratch.written(_verified(pairs, sets, percent), "links")
         used.append(path)
-        links = links.unionByName(new)
-        labels = components(links)
+        known = links if labels is None else labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = components(known.unionByName(new))
         # A pivot has met all others of its bucket.
         left, turn = rows.filter("NOT pivot").select("id", "key", "n", "weight", "own"), turn + 1
     scratch.drop(members.sparkSession, *used)
