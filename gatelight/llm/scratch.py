@@ -6,11 +6,15 @@ tests on one machine, a temporary folder is made and set.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+import gatelight
+
 CONF = "spark.checkpoint.dir"
 
 
@@ -47,12 +51,32 @@ def drop(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package's modules to all Python workers, once for each application, whatever path they start with."""
+    context, home = spark.sparkContext, os.path.dirname(gatelight.__file__)
+    if context.applicationId in _shipped or not os.path.isdir(home):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="gatelight-"), "gatelight_modules.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for at, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    out.write(full, os.path.join("gatelight", os.path.relpath(full, home)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 #: Bytes of an Arrow batch that goes to a Python worker: rows may be long, so their number says little.
 BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of Arrow batches in this session, unless it has a bound already."""
+    """Make ready for Python workers: ship the modules, and bound the bytes of Arrow batches unless the session does."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) in (None, str(2**31 - 1), str(2**63 - 1), "2147483647b"):
         spark.conf.set(name, str(BATCH_BYTES))
