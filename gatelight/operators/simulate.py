@@ -33,11 +33,13 @@ def iterations(cells: DataFrame, n: int) -> DataFrame:
     return spark.range(0, n, 1, parts).withColumnRenamed("id", "iter").crossJoin(F.broadcast(cells))
 
 
-def folded(rows: DataFrame, n: Column, value, seed: int, keys: list[str]) -> DataFrame:
-    """mean, se and favorable of n blocks a row. value(noise, block, n, previous value less the effect) is the next
-    value less the effect, for standard normal noise; effect is a column of rows."""
-    noise = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: normal(F.lit(seed), *[F.col(k) for k in keys], F.col("iter"), i))
-    numbered = rows.withColumn("noise", F.transform(noise, lambda x, i: F.struct(x.alias("e"), i.alias("i"))))
+def folded(rows: DataFrame, n: Column, value, seed: int, keys: list[str], noise=lambda e, i: e) -> DataFrame:
+    """mean, se and favorable of n blocks a row. noise(e, block) is what stands for standard normal draws e;
+    value(noise, block, n, previous value less the effect) is the next value less the effect. The fold uses
+    value several times, so what is dear belongs into noise. effect is a column of rows."""
+    draw = lambda i: noise(normal(F.lit(seed), *[F.col(k) for k in keys], F.col("iter"), i), i)
+    drawn = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.struct(draw(i).alias("e"), i.alias("i")))
+    numbered = rows.withColumn("noise", drawn)
     start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0).cast("long").alias("f"))
 
     def step(acc, now):
@@ -70,17 +72,14 @@ def composite_null(spark, n_iter: int = ITERATIONS, n_blocks: int = 10, seed: in
     )
     kind, step = F.col("scenario"), ar1()
 
-    def value(e, i, n, x):
-        square = reduce(lambda a, b: a + b, [normal(F.lit(seed + k), "scenario", "effect", "iter", i) * normal(F.lit(seed + k), "scenario", "effect", "iter", i) for k in (1, 2, 3)])
-        return (
-            F.when(kind == "iid_normal", e * SD)
-            .when(kind == "iid_t3", e / F.sqrt(square / 3) * (SD / 3**0.5))
-            .when(kind == "heteroscedastic", e * F.when(i % 2 == 0, 0.55 * SD).otherwise(1.30 * SD))
-            .otherwise(step(e, i, n, x))
-        )
+    def noise(e, i):
+        square = reduce(lambda a, b: a + b, [F.pow(normal(F.lit(seed + k), "scenario", "effect", "iter", i), 2) for k in (1, 2, 3)])
+        scale = F.when(i % 2 == 0, 0.55).otherwise(1.30)
+        return F.when(kind == "iid_t3", e / F.sqrt(square)).when(kind == "heteroscedastic", e * scale).otherwise(e)
 
     n = F.lit(n_blocks)
-    rows = folded(iterations(cells, n_iter), n, value, seed, ["scenario", "effect"])
+    value = lambda e, i, n, x: F.when(kind == "stationary_ar1", step(e, i, n, x)).otherwise(e * SD)
+    rows = folded(iterations(cells, n_iter), n, value, seed, ["scenario", "effect"], noise)
     t = t_critical(n_blocks - 1)
     lower, upper = F.col("mean") - t * F.col("se"), F.col("mean") + t * F.col("se")
     guard, b1 = F.col("favorable") / n >= FRACTION, lower > SESOI
@@ -132,7 +131,7 @@ def stress(spark, n_iter: int = ITERATIONS, n_blocks: int = 20, seed: int = SEED
     cells = spark.createDataFrame([Row(scenario=s, effect=0.0, compatible=k < 2) for k, s in enumerate(names)])
     kind, n, t = F.col("scenario"), F.lit(n_blocks), t_critical(n_blocks - 1)
 
-    def value(e, i, k, x):
+    def noise(e, i):
         line = i / (n_blocks - 1)
         base = F.exp(F.log(F.lit(100.0)) + 0.45 * normal(F.lit(seed + 9), "scenario", "iter", i))
         return (
@@ -143,7 +142,7 @@ def stress(spark, n_iter: int = ITERATIONS, n_blocks: int = 20, seed: int = SEED
             .otherwise(F.when(i < n_blocks // 2, 8).otherwise(2) + 5 * e)
         )
 
-    rows = folded(iterations(cells, n_iter), n, value, seed, ["scenario"])
+    rows = folded(iterations(cells, n_iter), n, lambda e, i, k, x: e, seed, ["scenario"], noise)
     limit = F.when(kind == names[1], -F.log1p(F.lit(-SESOI / 100))).otherwise(SESOI)
     needed = -(-8 * n_blocks // 10)
     supported = (F.col("mean") - t * F.col("se") > limit + TOLERANCE) & (F.col("favorable") >= needed)
