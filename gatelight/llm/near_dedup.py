@@ -9,11 +9,10 @@ Candidates. Documents with equal shingle sets become one class first. Classes sh
 rows of a band. In each round every bucket that still holds classes of different components names pivots, at first
 one, the member that shares most buckets with others, and every member of another component is verified against
 them on the full shingle sets; verified links join components, pivots leave their bucket, and buckets whose
-members are all in one component are done. After the first round, members whose own shingles (in no other
-set that is left) make a link impossible go, and pairs for which they do are not compared. Later rounds name
-four times as many pivots each, and all members of a bucket with few left. So a group of n near copies costs about n
-comparisons, not n^2, and still every pair of classes in a bucket is either compared, or already connected, or
-shown to be no link.
+members are all in one component are done. After the first round, who is left gets new buckets by the rarest of their
+shingles, in which every link between them must show. Later rounds name four times as many pivots each, and all members
+of a bucket with few left. So a group of n near copies costs about n comparisons, not n^2, and still every pair of
+classes in a bucket is either compared, or already connected, or shown to be no link.
 
 Nothing is collected to the driver but counts. Links, buckets and components are tables in the shared
 folder, where lineage ends after each round.
@@ -204,17 +203,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(common * 100 >= union * percent).select("a", "b").distinct()
 
 
-def _own_shingles(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """id and own, how many of its shingles no other id of rows has; ids without any such shingle are left out."""
-    some = sets.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.explode("set").alias("shingle")).distinct()
-    lone = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
-    return lone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+def _rare_shingles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """New buckets for the ids of rows, one for each shingle that is among the rarest of a set.
 
-
-def _may_link(percent: int):
-    """Whether two sets of n and m shingles, of which own and owns are in no other set, can be similar enough."""
-    common = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("owns"))
-    return common * 100 >= (F.col("n") + F.col("m") - common) * percent
+    In any one order of shingles, sets of n and m that are similar enough share one of their first n - ceil(n t) + 1 and
+    m - ceil(m t) + 1 (t the similarity). Taken from the rarest on, members that were changed much meet only who shares
+    their changes. This is exact: no link between ids of rows is lost.
+    """
+    ids = rows.select("id", "weight").distinct()
+    some = sets.join(ids, "id").select("id", "weight", F.xxhash64("set").alias("which"), F.size("set").cast("long").alias("n"), F.explode("set").alias("shingle"))
+    often = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    ordered = some.join(often, "shingle").groupBy("id", "which", "n", "weight").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    first = F.slice("all", F.lit(1), (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int"))
+    return ordered.select("id", "n", "weight", F.explode(first).alias("x")).select(F.col("x.shingle").alias("key"), "id", "n", "weight").distinct()
 
 
 def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame | None:
@@ -222,7 +223,7 @@ def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = members.join(sizes, "key")
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    left, path = scratch.written(shared.select("key", "id", "n").join(weight, "id").withColumn("own", F.lit(0).cast("long")), "buckets")
+    left, path = scratch.written(shared.select("key", "id", "n").join(weight, "id"), "buckets")
     used, turn = [path], 0
     labels = None if links.isEmpty() else components(links)
     while True:
@@ -235,16 +236,10 @@ def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -
         if rows.isEmpty():
             break
         if turn == 1:
-            # What shares too little with all that is left links with none of it: both sets' own shingles are in
-            # their union only. This ends buckets in which many are alike but few are alike enough.
-            own, path = scratch.written(_own_shingles(rows, sets), "own")
+            # Many alike that aren't alike enough may share buckets; their rarest shingles tell them apart.
+            left, path = scratch.written(_rare_shingles(rows, sets, percent), "rare")
             used.append(path)
-            left = rows.drop("own").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
-            kinds = left.groupBy("key", "n", "own").agg(F.count(F.lit(1)).alias("size"))
-            others = kinds.select("key", F.col("n").alias("m"), F.col("own").alias("owns"))
-            able = kinds.join(others, "key").filter(_may_link(percent) & ((F.col("size") > 1) | (F.col("n") != F.col("m")) | (F.col("own") != F.col("owns"))))
-            left = left.join(able.select("key", "n", "own").distinct(), ["key", "n", "own"], "left_semi")
-            left, turn = left.select("key", "id", "n", "weight", "own"), 2
+            turn = 2
             continue
         # One pivot for each bucket first, as most are in one component then; later more and more, and all in small buckets.
         chance = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 20)) * F.col("size")
@@ -252,15 +247,15 @@ def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -
         if turn:
             pivot = pivot | (F.col("size") <= FEW) | (chance < (4**turn << 20))
         rows = rows.withColumn("pivot", pivot)
-        pivots = rows.filter("pivot").select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("own").alias("owns"), F.col("component").alias("others"))
+        pivots = rows.filter("pivot").select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("others"))
         pairs = rows.join(pivots, "key").filter("component <> others")
-        pairs = pairs.filter(_may_link(percent)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        pairs = pairs.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         new, path = scratch.written(_verified(pairs, sets, percent), "links")
         used.append(path)
         known = links if labels is None else labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = components(known.unionByName(new))
         # A pivot has met all others of its bucket.
-        left, turn = rows.filter("NOT pivot").select("id", "key", "n", "weight", "own"), turn + 1
+        left, turn = rows.filter("NOT pivot").select("id", "key", "n", "weight"), turn + 1
     scratch.drop(members.sparkSession, *used)
     return labels
 
