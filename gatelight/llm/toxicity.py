@@ -119,8 +119,13 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFram
     share = min(1.0, 0.95 * max_labelled / max(1, marks.count()))
     marks = marks.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    # Copies say nothing new: of rows that begin alike, one counts for each label.
-    return rows.join(marks, "id").withColumn("head", F.substring("text", 1, 60)).dropDuplicates(["head", "toxic"]).select("text", "toxic")
+
+    def folded(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(fold, batch.column(0).to_pylist()), pa.string()), batch.column(1)], names=["folded", "toxic"])
+
+    # Copies say nothing new: of rows with the same folded words, one counts for each label.
+    return rows.join(marks, "id").select("text", "toxic").mapInArrow(folded, "folded string, toxic int").distinct()
 
 
 def _prune(found: list, n_toxic: int, n_clean: int, min_surprise: float) -> dict[str, float]:
@@ -184,8 +189,8 @@ def fit(
             )
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[toxic].update(patterns_of(fold(text), shortest, longest))
+            for folded, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen[toxic].update(patterns_of(folded, shortest, longest))
             if len(seen[0]) + len(seen[1]) > 1_000_000:
                 yield rows_of()
                 seen[0].clear(), seen[1].clear()
@@ -201,7 +206,7 @@ def fit(
     def measured(batches):
         automaton = model.automaton()
         for batch in batches:
-            x = [model.strength(fold(t), automaton) for t in batch.column(0).to_pylist()]
+            x = [model.strength(folded, automaton) for folded in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "toxic"])
 
     pairs = rows.mapInArrow(measured, "x double, toxic int").collect()

@@ -84,3 +84,14 @@ def test_no_labels(spark, learned):
         model = toxicity.fit(frame, spark.createDataFrame(rows, "doc_id long, toxic int"))
         assert {r.predicted for r in toxicity.score(frame, model).collect()} == {int(bool(rows) and rows[0][1])}
     assert toxicity.score(frame.limit(0), model).count() == 0
+
+
+def test_rows_that_begin_alike_all_count(spark):
+    docs, labels = corpus(600, 2)
+    header = "All texts of this source begin with one and the same licence line, word by word. "
+    frame = spark.createDataFrame([(i, header + t.replace("w", "W", i % 2)) for i, t, _ in docs] + [(i + 1000, header + t) for i, t, _ in docs], "doc_id long, text string")
+    marks = spark.createDataFrame(labels + [(i + 1000, v) for i, v in labels], "doc_id long, toxic int")
+    rows = toxicity._labelled(frame, marks, 20_000).collect()
+    used = {(toxicity.fold(header + docs[i % 1000][1]), v) for i, v in labels + [(i + 1000, v) for i, v in labels] if v is not None and zlib.crc32(str(i).encode()) % 5}
+    assert len(rows) == len(used) and {(r.folded, r.toxic) for r in rows} == used
+    assert toxicity.fit(frame, marks).weights
