@@ -114,7 +114,7 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """id and set, the distinct shingle hashes."""
+    """id and set, the distinct shingle hashes; rows with the same id and set give one."""
 
     def listed(batches):
         for batch in batches:
@@ -124,7 +124,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype("i4")), pa.array(sets.view("i8")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, total), lists], names=["id", "set"])
 
-    return docs.mapInArrow(listed, f"id {docs.schema['id'].dataType.simpleString()}, set array<long>")
+    return docs.mapInArrow(listed, f"id {docs.schema['id'].dataType.simpleString()}, set array<long>").distinct()
 
 
 def _forest(edges: DataFrame) -> DataFrame:

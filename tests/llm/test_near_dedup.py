@@ -73,6 +73,23 @@ def test_large_group_around_a_centre(spark):
     assert sorted(map(tuple, near_dedup.near_groups(docs, 3, 85).collect()), key=str) == brute_force(rows, 3, 85)
 
 
+def test_repeated_rows_lose_no_link(spark, monkeypatch):
+    # Pairs at 0.851 in one bucket whose first pivot, 99, is like none of them: only the rare shingles can link them.
+    rows = [(98, "one more text that is like none"), (99, "a text that is like no other")]
+    for k in range(6):
+        words = [f"w{k}-{i}" for i in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(f"x{w}" if i % 30 == 5 and i < 240 else w for i, w in enumerate(words)))]
+    rows += [(i, t.replace(" ", "  ")) for i, t in rows]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    members = spark.createDataFrame([(1, i, 298) for i in [*range(12), 99]] + [(2, 98, 298), (2, 99, 298)], "key long, id long, n long")
+    turns, own = [], near_dedup._rare_shingles
+    monkeypatch.setattr(near_dedup, "_rare_shingles", lambda *a: turns.append(1) or own(*a))
+    labels = near_dedup._link(members, near_dedup._sets(docs, 3), spark.createDataFrame([], "a long, b long"), 85)
+    found = {r.node: r.component for r in labels.collect()}
+    assert turns and [(i, found.get(i, i)) for i, *_ in brute_force(rows, 3, 85)] == [(i, c) for i, _, c, _ in brute_force(rows, 3, 85)]
+    assert found[1] == 0
+
+
 def test_dropping_keeps_one_of_each_group(spark):
     rows = [(3, "a b c d e f", 1), (1, "A b c d e f", 2), (2, "other words than these are", 3), (None, "a b c d e f", 4), (4, None, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept int")
