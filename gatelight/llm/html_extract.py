@@ -192,12 +192,11 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
 def extract(
     pages: DataFrame,
     min_pages: int = 4,
-    min_share: float = 0.05,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
 ) -> DataFrame:
-    """page_id, url, text, n_chars. A subtree is template on min_pages different pages of a host, and min_share of them, at least."""
+    """page_id, url, text, n_chars. A subtree is template on min_pages different pages of a host at least."""
     scratch.bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\w+://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
@@ -215,9 +214,7 @@ def extract(
 
     found = rows.select("host", "page", "html").mapInArrow(listed, "host string, page string, code long")
     found, _ = scratch.written(found, "page-subtrees")
-    many = found.distinct().groupBy("host", "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    templates = many.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "code")
+    templates = found.distinct().groupBy("host", "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "code")
     marks = found.join(templates, ["host", "code"]).groupBy("page").agg(F.collect_set("code").alias("codes"))
     kinds = rows.schema
     schema = f"page_id {kinds['page_id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string, n_chars long"

@@ -34,6 +34,17 @@ def test_site_templates_go_by_count(spark):
     assert found[200] == ("", 0) == found[201] and found[None] == ("x", 1)
 
 
+def extracted(spark, pages):
+    frame = spark.createDataFrame([(i, "http://big.example/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in H.extract(frame).orderBy("page_id").collect()]
+
+
+def test_templates_of_a_large_host_go_by_number(spark):
+    side = "<section>Rotating side {} of the host</section>"
+    pages = [f"<article><p>Own text number {i} of this page.</p>{side.format(i % 40)}<p>Shared passage.</p></article>" for i in range(240)]
+    assert extracted(spark, pages) == [f"Own text number {i} of this page. Shared passage." for i in range(240)]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert H.extract(none).count() == 0
