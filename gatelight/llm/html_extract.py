@@ -1,12 +1,14 @@
 """Main text of web pages by removal of site templates.
 
-Every page becomes a tree. The subtrees of container elements are hashed (tag, class, id, text, children)
-and counted per host in Spark; one that recurs on many different pages of its host is template and is
-deleted, unless it holds most of a page's text. What no count can show, because a host has too few pages,
-is deleted by its kind: navigation, headers and footers outside the article, asides, forms, notices, adverts, reader
-comments, scripts and styles. Of the rest, the article or main element is taken if the page has one, and the
-body otherwise. Paragraphs, headings and other text blocks are never template by themselves: articles may
-share them.
+Every page becomes a tree. Its subtrees are hashed (tag, class, id, text, children) and counted per host in
+Spark. One that recurs on enough pages of its host whose articles differ is template and is deleted: min_pages for
+containers and for articles within articles, block_pages for other elements (paragraphs, headings, list items, links), which
+articles may share. Of these other elements, what is part of a sentence isn't judged, nor what stands in an article or main element
+without a class, id or role: passages that articles share are article text. Pages that differ outside their article only count
+once, so that copies of an article don't delete it. If nothing else is left of a page, subtrees with over half of its text stay.
+What no count can show, because a host has too few pages, is deleted by its kind: navigation, headers and footers outside the
+article, asides, forms, notices, adverts, reader comments, scripts and styles. Of the rest, the article or main element is taken
+if the page has one, and the body otherwise.
 
 A host may hold any share of all pages: the counts are sums per (host, subtree), and pages get their list of
 templates by a join on a digest of the page.
@@ -42,6 +44,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+HEADING = frozenset("h2 h3 h4 h5 h6".split())
 #: Elements that end an open paragraph.
 ENDS_P = BLOCK - frozenset("br td th tr tbody thead tfoot caption option select".split())
 CONTAINER = frozenset("aside center dl details dialog div fieldset figure footer form header menu nav ol section table ul".split())
@@ -56,12 +59,12 @@ WHOLE_MARKS = frozenset(["ad"])
 
 
 class Node:
-    __slots__ = ("children", "code", "names", "size", "tag")
+    __slots__ = ("children", "code", "judged", "names", "size", "tag")
 
     def __init__(self, tag: str, names: str):
         self.tag, self.names = tag, names
         self.children: list = []
-        self.code, self.size = 0, 0
+        self.code, self.judged, self.size = 0, 0, 0
 
 
 def parse(page: str) -> Node:
@@ -123,11 +126,34 @@ def _hashed(node: Node) -> list[Node]:
     return order
 
 
-def subtrees(page: str) -> list[int]:
-    """Codes of the container subtrees with text that hold at most half of the page's text."""
+def _judge(root: Node) -> list[Node]:
+    """Set judged: 1 for what min_pages make template, 2 for what block_pages do, 0 for what counts never delete. Returns
+    the nodes with 1 or 2 that have text and aren't deleted by their kind."""
+    found, todo = [], [(root, False, False, False, False)]
+    while todo:
+        node, inside, in_article, in_line, dropped = todo.pop()
+        mixed = in_line or any(isinstance(c, str) and not c.isspace() for c in node.children)
+        for c in node.children:
+            if not isinstance(c, Node):
+                continue
+            if c.tag in CONTAINER or (c.tag == "article" and in_article):
+                c.judged = 1
+            elif c.tag not in ("html", "body", "main", "article") and (c.names or not inside) and not (mixed if c.tag not in BLOCK else in_line):
+                c.judged = 2
+            gone = dropped or _no_text(c, True)
+            if c.judged and c.size and not gone:
+                found.append(c)
+            todo.append((c, inside or c.tag in ("article", "main"), in_article or c.tag == "article", in_line or c.tag in ("p", "h1") or c.tag in HEADING, gone))
+    return found
+
+
+def subtrees(page: str) -> tuple[int, list[tuple[int, bool]]]:
+    """A digest of the page's text without what is deleted by its kind; code and whether block_pages count, of each subtree judged."""
     root = parse(page)
-    order = _hashed(root)
-    return list({x.code for x in order if x.tag in CONTAINER and 0 < x.size <= root.size / 2})
+    _hashed(root)
+    found = list({(x.code, x.judged == 2) for x in _judge(root)})
+    text = _text(root, frozenset(), 1.0) if found else ""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True), found
 
 
 def _marked(node: Node) -> bool:
@@ -140,8 +166,10 @@ def _marked(node: Node) -> bool:
 def _no_text(node: Node, inside: bool) -> bool:
     if node.tag in DROPPED:
         return True
-    if node.tag in ("body", "html", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p"):
+    if node.tag in ("body", "html", "main", "h1"):
         return False
+    if node.tag == "p" or node.tag in HEADING:
+        return _marked(node)
     if node.tag == "header" or "header" in re.split(r"[\s_-]+", node.names):
         return not inside
     return _marked(node)
@@ -150,12 +178,18 @@ def _no_text(node: Node, inside: bool) -> bool:
 def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
     """The text of a page without the subtrees whose codes are given and without what is no article text."""
     root = parse(page)
-    if templates:
-        _hashed(root)
+    if not templates:
+        return _text(root, templates, 1.0)
+    _hashed(root)
+    _judge(root)
+    return _text(root, templates, 1.0) or _text(root, templates, 0.5)
+
+
+def _text(root: Node, templates: frozenset[int], most: float) -> str:
+    """The text without templates that hold at most that share of the page's text."""
 
     def gone(node: Node, inside: bool) -> bool:
-        known = node.code in templates and node.tag in CONTAINER and node.size <= root.size / 2
-        return bool(templates) and known or _no_text(node, inside)
+        return (node.judged > 0 and node.code in templates and node.size <= most * root.size) or _no_text(node, inside)
 
     # Roots of content: outermost articles, else the main element, else everything.
     articles, mains, todo = [], [], [(root, False)]
@@ -192,11 +226,12 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
 def extract(
     pages: DataFrame,
     min_pages: int = 4,
+    block_pages: int = 30,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
 ) -> DataFrame:
-    """page_id, url, text, n_chars. A subtree is template on min_pages different pages of a host at least."""
+    """page_id, url, text, n_chars. A subtree is template on min_pages different pages of a host at least, other elements than containers on block_pages."""
     scratch.bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\w+://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
@@ -204,17 +239,21 @@ def extract(
 
     def listed(batches):
         for batch in batches:
-            hosts, keys, codes = [], [], []
+            hosts, keys, texts, codes, blocks = [], [], [], [], []
             for h, key, page in zip(*(c.to_pylist() for c in batch.columns)):
-                found = subtrees(page)
+                text, found = subtrees(page)
                 hosts += [h] * len(found)
                 keys += [key] * len(found)
-                codes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(codes, pa.int64())], names=["host", "page", "code"])
+                texts += [text] * len(found)
+                codes += [code for code, _ in found]
+                blocks += [block for _, block in found]
+            columns = [pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(texts, pa.int64()), pa.array(codes, pa.int64()), pa.array(blocks, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "text", "code", "block"])
 
-    found = rows.select("host", "page", "html").mapInArrow(listed, "host string, page string, code long")
+    found = rows.select("host", "page", "html").mapInArrow(listed, "host string, page string, text long, code long, block boolean")
     found, _ = scratch.written(found, "page-subtrees")
-    templates = found.distinct().groupBy("host", "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "code")
+    many = found.select("host", "code", "block", "text").distinct().groupBy("host", "code").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("block"))
+    templates = many.filter(F.col("n") >= F.when(F.col("block"), block_pages).otherwise(min_pages)).select("host", "code")
     marks = found.join(templates, ["host", "code"]).groupBy("page").agg(F.collect_set("code").alias("codes"))
     kinds = rows.schema
     schema = f"page_id {kinds['page_id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string, n_chars long"

@@ -45,6 +45,23 @@ def test_templates_of_a_large_host_go_by_number(spark):
     assert extracted(spark, pages) == [f"Own text number {i} of this page. Shared passage." for i in range(240)]
 
 
+def test_every_kind_of_subtree_is_judged(spark):
+    kinds = "<p class='advert'>Subscribe now</p><p class='x1'>Follow us</p><h2 id='more'>More of it</h2><blockquote class='q'>Said often</blockquote><article>Teaser</article>"
+    outside = "<ul><li>Own {0}</li><li>Same entry</li></ul><p>Own <b>words</b> {0}</p><p>Same line</p>"
+    pages = [f"<article><p>Own {i}</p><p>Shared passage.</p>{kinds}</article>" for i in range(40)] + ["<body>" + outside.format(i) for i in range(40, 80)]
+    assert extracted(spark, pages) == [f"Own {i} Shared passage." for i in range(40)] + [f"Own {i} Own words {i}" for i in range(40, 80)]
+
+
+def test_large_templates_go_and_copies_stay(spark):
+    long = "<div><p>A legal text that is on all pages and is longer than what they say themselves.</p></div>"
+    short = [f"<div><p>Own {i}</p></div>{long}" for i in range(6)]
+    copies = [f"<nav>Way {i}</nav><article><h1>Title</h1><div><p>The same article on many pages.</p></div></article><div class='ad'>Buy {i}</div>" for i in range(6)]
+    assert extracted(spark, short + copies) == [f"Own {i}" for i in range(6)] + ["Title The same article on many pages."] * 6
+    # If nothing else is left, the largest part stays.
+    pages = [f"<div>The larger text {i % 4} of the page.</div><section>Part {i // 4}</section>" for i in range(16)]
+    assert extracted(spark, pages) == [f"The larger text {i % 4} of the page." for i in range(16)]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert H.extract(none).count() == 0
