@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon that is learned from labelled rows and matched by Aho-Corasick.
 
 Texts are folded first: compatibility forms, case, accents, look-alike letters of other scripts, and digits
-or signs that stand in for letters within a word. What is left is words between single spaces. The
-lexicon holds word beginnings with their log-odds weights; an exception phrase cancels the hits that it
+or signs that stand in for letters before or after a letter (numbers and amounts without a letter stay, and so do exclamation
+marks and bars at a word's end, which are punctuation). What is left is words between single spaces. The
+lexicon holds word beginnings, and whole words of two letters or more, with their log-odds weights; an exception phrase cancels the hits that it
 covers. The sum of a text's weights is divided by the square root of its length and turned into a score
 by a logistic curve fitted to the same labelled rows.
 
@@ -46,7 +47,8 @@ EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collec
 
 _LETTERS = str.maketrans(LOOKALIKES)
 _SIGNS = str.maketrans(STAND_INS)
-_LEADING_OR_INSIDE = re.compile(r"(?<![0-9@$!|])[013457@$!|]{1,3}(?=[a-z])")
+# Runs before a letter, and runs after one without the signs of punctuation at their end.
+_DISGUISED = re.compile(r"(?<![013457@$!|])[013457@$!|]++(?=[a-z])|(?<=[a-z])[013457@$!|]*[013457@$]")
 _MARKS = re.compile("[̀-ͯ]+")
 _BETWEEN = re.compile(r"[\W_]+")
 
@@ -59,7 +61,7 @@ def fold(text: str | None) -> str:
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).casefold().translate(_LETTERS)
     else:
         text = text.lower()
-    text = _LEADING_OR_INSIDE.sub(lambda m: m[0].translate(_SIGNS), text)
+    text = _DISGUISED.sub(lambda m: m[0].translate(_SIGNS), text)
     return f" {_BETWEEN.sub(' ', text).strip()} " if text else " "
 
 
@@ -69,8 +71,8 @@ def patterns_of(folded: str, shortest: int, longest: int) -> set[str]:
     for word in set(folded.split()):
         if len(word) >= shortest:
             found.update(f" {word[:n]}" for n in range(shortest, min(len(word), longest) + 1))
-            if len(word) <= 2 * longest:
-                found.add(f" {word} ")
+        if 2 <= len(word) <= 2 * longest:
+            found.add(f" {word} ")
     return found
 
 

@@ -95,3 +95,18 @@ def test_rows_that_begin_alike_all_count(spark):
     used = {(toxicity.fold(header + docs[i % 1000][1]), v) for i, v in labels + [(i + 1000, v) for i, v in labels] if v is not None and zlib.crc32(str(i).encode()) % 5}
     assert len(rows) == len(used) and {(r.folded, r.toxic) for r in rows} == used
     assert toxicity.fit(frame, marks).weights
+
+
+def test_folding_reaches_all_places_of_a_word():
+    for text, folded in (
+        ("worthle55", "worthless"), ("worthle$$!", "worthless"), ("idio7", "idiot"), ("IDIO7!!!", "idiot"), ("1d10t", "idiot"), ("a55555b", "asssssb"), ("$$$$a", "ssssa"),
+        ("idiot!", "idiot"), ("a | b", "a b"), ("room 101 costs 5$, or $500", "room 101 costs 5 or 500"), ("1,000,000", "1 000 000"), ("!" * 50_000, ""),
+    ):
+        assert toxicity.fold(text).strip() == folded, text
+
+
+def test_short_words_can_be_learned(spark):
+    docs, labels = corpus(600, 3)
+    short = [(i, t.replace("grumbolt", "zug").replace("snarfing", "zug").replace("vexlow", "qi").replace("zuging", "zug").replace("zugs", "zug").replace("qiing", "qi").replace("qis", "qi")) for i, t, _ in docs]
+    model = toxicity.fit(spark.createDataFrame(short, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {" zug ", " qi "} == set(model.weights)
