@@ -8,8 +8,8 @@ covers. The sum of a text's weights is divided by the square root of its length
 by a logistic curve fitted to the same labelled rows.
 
 fit() reads at most about max_labelled labelled rows, chosen by a hash of their id; a documented bound, so
-that what the driver receives (at most max_patterns lexicon candidates and max_labelled numbers) doesn't
-grow with the corpus. Scoring reads every row whole.
+that what the driver receives (the pruned lexicon and about max_labelled numbers) doesn't
+grow with the corpus. Nothing is cut by rank: candidates are pruned in Spark, by the beginnings that they share. Scoring reads every row whole.
 
 Defined results. A null or empty text has no words and gets the score of a text without hits. Labels
 that are null, and labels of absent documents, are not used. With no label of either kind the lexicon is
@@ -165,7 +165,6 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_labelled: int = 20_000,
-    max_patterns: int = 5_000,
     shortest: int = 4,
     longest: int = 9,
     min_surprise: float = 6.0,
@@ -201,8 +200,14 @@ def fit(
     counts = rows.mapInArrow(counted, "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     base = math.log10((n_toxic + n_clean) / n_toxic)
     likely = counts.filter((F.col("toxic") * base >= min_surprise) & (F.col("clean") <= 0.05 * F.col("toxic")))
-    likely = likely.orderBy(F.desc("toxic"), F.length("pattern"), "pattern").limit(max_patterns)
-    weights = _prune([tuple(r) for r in likely.select("pattern", "toxic", "clean").collect()], n_toxic, n_clean, min_surprise)
+
+    def pruned(table):
+        kept = _prune(list(zip(*(table.column(x).to_pylist() for x in ("pattern", "toxic", "clean")))), n_toxic, n_clean, min_surprise)
+        return pa.table({"pattern": pa.array(kept.keys(), pa.string()), "weight": pa.array(kept.values(), pa.float64())})
+
+    # Patterns that hold each other begin alike, up to the shortest beginning at least.
+    nested = likely.withColumn("stem", F.substring("pattern", 1, shortest + 1)).groupBy("stem").applyInArrow(pruned, "pattern string, weight double")
+    weights = dict(sorted(tuple(r) for r in nested.collect()))
     model = Lexicon(weights, tuple(exceptions))
 
     def measured(batches):

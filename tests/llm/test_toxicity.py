@@ -110,3 +110,18 @@ def test_short_words_can_be_learned(spark):
     short = [(i, t.replace("grumbolt", "zug").replace("snarfing", "zug").replace("vexlow", "qi").replace("zuging", "zug").replace("zugs", "zug").replace("qiing", "qi").replace("qis", "qi")) for i, t, _ in docs]
     model = toxicity.fit(spark.createDataFrame(short, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert {" zug ", " qi "} == set(model.weights)
+
+
+def test_a_wide_vocabulary_is_learned_whole(spark):
+    # 1,300 toxic words in 13 rows or more bring over 5,000 patterns that pass; 40 words in 9 rows pass as well.
+    letters = "bcdfghjklmnprstvwxz"
+    word = lambda k: letters[k % 19] + letters[k // 19 % 19] + letters[k // 361] + "oxy"
+    toxic = [" ".join(word((j * 50 + n) % 1300) for n in range(50)) + f" {word(1300 + j % 40)} common{j % 7} u{j}" for j in range(360)]
+    clean = [f"common{j % 7} quiet stone u{j}" for j in range(1000, 3000)]
+    ids = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5][: len(toxic) + len(clean)]
+    docs = spark.createDataFrame(list(zip(ids, toxic + clean)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(k < len(toxic))) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    weights = toxicity.fit(docs, marks).weights
+    model = toxicity.Lexicon(weights)
+    automaton = model.automaton()
+    assert all(model.strength(f" {word(k)} ", automaton) > 0 for k in range(1340))
