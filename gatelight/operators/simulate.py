@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType
 
 from gatelight.functions.statistics import Z95, normal, t_critical, uniform
 
-ITERATIONS, SEED, RHO, SD, SESOI, FRACTION, TOLERANCE = 20_000, 20260720, 0.65, 5.0, 2.0, 0.80, 1e-12
+ITERATIONS, SEED, RHO, SD, SESOI, FRACTION, TOLERANCE = 100_000, 20260720, 0.65, 5.0, 2.0, 0.80, 1e-12
 
 
 def grid(spark, **axes: list) -> DataFrame:
@@ -117,10 +117,13 @@ def ar1_control(spark, n_iter: int = ITERATIONS, n_blocks: int = 150, seed: int
     rows = folded(iterations(cells, n_iter), n, ar1(), seed, ["effect"])
     lower, upper = F.col("mean") - Z95 * F.col("known_se"), F.col("mean") + Z95 * F.col("known_se")
     supported, contradicted = (lower > SESOI) & (F.col("favorable") / n >= FRACTION), upper < SESOI
-    return rows.groupBy("effect").agg(
+    out = rows.groupBy("effect").agg(
         F.first("known_se").alias("exact_se"), _rate(lower <= F.col("effect")).alias("lower_coverage"), _rate(upper >= F.col("effect")).alias("upper_coverage"), F.avg(upper - lower).alias("mean_width"),
         _rate(supported).alias("supported_rate"), _rate(contradicted).alias("contradicted_rate"), _rate(~supported & ~contradicted).alias("inconclusive_rate"), F.count(F.lit(1)).alias("iterations"),
     )
+    material = F.col("effect") > SESOI
+    rates = {"false_support_rate": (~material, "supported_rate"), "false_contradiction_rate": (material, "contradicted_rate"), "power_supported_rate": (material, "supported_rate")}
+    return out.withColumns({name: F.when(cond, F.col(rate)).otherwise(0.0) for name, (cond, rate) in rates.items()})
 
 
 def stress(spark, n_iter: int = ITERATIONS, n_blocks: int = 20, seed: int = SEED + 1) -> DataFrame:

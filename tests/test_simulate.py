@@ -1,3 +1,6 @@
+import inspect
+
+from gatelight import registry
 from gatelight.operators import simulate as S
 
 
@@ -24,3 +27,15 @@ def test_stress_and_attestation(spark):
     found = S.attestation_error(spark, 5000).collect()
     assert len(found) == 9 and all(r.abstention_rate == 1.0 for r in found if not r.local_checks_pass)
     assert all(abs(r.false_promotion_rate - r.error_rate) < 0.02 for r in found if "false_pass" in r.scenario)
+
+
+def test_registered_simulations_draw_as_often_as_the_reference(spark):
+    for simulate in (S.composite_null, S.direction_guard, S.ar1_control, S.stress, S.attestation_error):
+        assert inspect.signature(simulate).parameters["n_iter"].default == 100_000
+    assert {r.iterations for r in registry.QUERIES["sim_attestation_error"](spark, "").collect()} == {100_000}
+
+
+def test_ar1_control_has_error_and_power_rates(spark):
+    for r in S.ar1_control(spark, 200).collect():
+        wanted = (0.0, r.contradicted_rate, r.supported_rate) if r.effect > S.SESOI else (r.supported_rate, 0.0, 0.0)
+        assert (r.false_support_rate, r.false_contradiction_rate, r.power_supported_rate) == wanted
