@@ -6,13 +6,17 @@ get values of lower variance than independent hashes give, and the walk stops fo
 holds a value above the current step: long documents stop after one or two steps.
 
 Candidates. Documents with equal shingle sets become one class first. Classes share a bucket if they agree on all
-rows of a band. In each round every bucket that still holds classes of different components names pivots, at first
-one, the member that shares most buckets with others, and every member of another component is verified against
-them on the full shingle sets; verified links join components, pivots leave their bucket, and buckets whose
-members are all in one component are done. After the first round, who is left gets new buckets by the rarest of their
-shingles, in which every link between them must show. Later rounds name four times as many pivots each, and all members
-of a bucket with few left. So a group of n near copies costs about n comparisons, not n^2, and still every pair of
-classes in a bucket is either compared, or already connected, or shown to be no link.
+rows of a band. Every bucket names a pivot, the member that shares most buckets with others; all its members are
+verified against it on the full shingle sets, and verified links join components. So a group of n near copies around
+a centre costs about n comparisons. Buckets whose members are all in one component then are done.
+
+The members of the other buckets form families (components of shared buckets), each with one pivot P. A set A is seen
+as its difference to P's set there: of the d = |A xor P| shingles that only one of the two has, what two sets have in
+common and what is peculiar to one can be told apart without looking at what all have. |A xor B| is d(A) + d(B) less twice
+the shingles that both differences hold, so a link asks for so many common ones that one of them must be among the
+first few of each difference, in the order from the rarest shingle on. Sets meet by these few, those positions bound
+how many more can be in common, and only pairs that can still be links, of different components, are verified,
+each once. This loses no link between members of a family: no bucket is capped, and what was refuted isn't tried again.
 
 Nothing is collected to the driver but counts. Links, buckets and components are tables in the shared
 folder, where lineage ends after each round.
@@ -34,8 +38,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gatelight.llm import scratch
 from gatelight.llm.text import distinct, mix, shingles, words
 
-#: Members that a bucket may have left to be finished by all its pairs across components.
-FEW = 24
+#: Pairs for each copy of the set that they share: a set that many meet is read by as many tasks.
+PAIRS_PER_COPY = 1024
 #: Edges that one task connects by union-find in its memory.
 EDGES = 500_000
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -196,66 +200,118 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _copied(sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """The sets of the ids that copies (id, copies) names, as often as it says: id, copy, set."""
+    return sets.join(copies, "id").select("id", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "set")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    """The pairs (a, b, copies) whose whole sets are similar enough; b may be in many pairs, as copies (one number for each b) says."""
+    one = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
+    two = _copied(sets, pairs.select(F.col("b").alias("id"), "copies").distinct()).select(F.col("id").alias("b"), "copy", F.col("set").alias("set_b"))
+    dealt = pairs.withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    return pairs.join(one, "a").join(two, "b").filter(common * 100 >= union * percent).select("a", "b").distinct()
-
-
-def _rare_shingles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """New buckets for the ids of rows, one for each shingle that is among the rarest of a set.
-
-    In any one order of shingles, sets of n and m that are similar enough share one of their first n - ceil(n t) + 1 and
-    m - ceil(m t) + 1 (t the similarity). Taken from the rarest on, members that were changed much meet only who shares
-    their changes. This is exact: no link between ids of rows is lost.
+    return dealt.join(one, "a").join(two, ["b", "copy"]).filter(common * 100 >= union * percent).select("a", "b").distinct()
+
+
+def _families(rows: DataFrame) -> DataFrame:
+    """id and family of the ids of rows (key, id): those that a chain of shared keys connects."""
+    first = rows.groupBy("key").agg(F.min("id").alias("b"))
+    edges = rows.select("key", F.col("id").alias("a")).join(first, "key").filter("a <> b").select("a", "b").distinct()
+    return components(edges).withColumnRenamed("node", "id").withColumnRenamed("component", "family")
+
+
+def _apart(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """family, pivot, id, component, which, n, near, apart: each set's difference to the set of its family's pivot, and
+    whether it is a link to it. which tells the sets of one id apart, n is the size of the set."""
+    docs = rows.groupBy("id").agg(F.max("component").alias("component"), F.max("weight").alias("weight")).join(_families(rows), "id")
+    tops = docs.groupBy("family").agg(F.max(F.struct("weight", "id"))["id"].alias("pivot"), (1 + F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies"))
+    owned = sets.join(tops.select(F.col("pivot").alias("id"), "family", "copies"), "id").groupBy("family", "copies").agg(F.max("set").alias("pivot_set"))
+    owned = owned.select("family", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "pivot_set")
+    dealt = docs.select("family", "id", "component").join(tops, "family").withColumn("copy", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int"))
+    full = sets.join(dealt, "id").join(owned, ["family", "copy"])
+    apart = F.concat(F.array_except("set", "pivot_set"), F.array_except("pivot_set", "set"))
+    full = full.withColumn("apart", apart).withColumn("n", F.size("set").cast("long"))
+    near = F.size("apart") * (100 + percent) <= (F.col("n") + F.size("pivot_set")) * (100 - percent)
+    return full.select("family", "pivot", "id", "component", F.xxhash64("set").alias("which"), "n", near.alias("near"), "apart")
+
+
+def _rarest(apart: DataFrame, percent: int) -> DataFrame:
+    """family, shingle, place, id, component, which, n, near, d: the first few shingles of each difference, the rarest of
+    the family first, without those that no other difference has. d is the size of the difference."""
+    own = ("family", "id", "component", "which", "n", "near", "d")
+    each = apart.withColumn("d", F.size("apart").cast("long")).select(*own, F.explode("apart").alias("shingle"))
+    often = each.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("often"))
+    ordered = each.join(often, ["family", "shingle"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    # Beyond the place n (1 - t) / t, t the similarity, no first common shingle of a link can stand.
+    first = F.slice("all", F.lit(1), (F.floor(F.col("n") * (100 - percent) / percent) + 1).cast("int"))
+    found = ordered.select(*own, F.posexplode(first).alias("place", "x")).filter("x.often > 1")
+    return found.select(*own, F.col("x.shingle").alias("shingle"), F.col("place").cast("long").alias("place"))
+
+
+def _may_link(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b in found (see _rarest) that can be links and aren't known to be in one component, directly or by the pivot.
+
+    With s = (1 - t) / (1 + t), A and B are a link if |A xor B| <= s (|A| + |B|). Let e be d - s n: then twice the common shingles
+    of the differences are e(A) + e(B) at least, so the one with the smaller e has its first common shingle at the place s n
+    at most. All numbers here are 100 + percent times as large, to stay whole.
     """
-    ids = rows.select("id", "weight").distinct()
-    some = sets.join(ids, "id").select("id", "weight", F.xxhash64("set").alias("which"), F.size("set").cast("long").alias("n"), F.explode("set").alias("shingle"))
-    often = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-    ordered = some.join(often, "shingle").groupBy("id", "which", "n", "weight").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("all"))
-    first = F.slice("all", F.lit(1), (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int"))
-    return ordered.select("id", "n", "weight", F.explode(first).alias("x")).select(F.col("x.shingle").alias("key"), "id", "n", "weight").distinct()
-
-
-def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame | None:
+    e = F.col("d") * (100 + percent) - F.col("n") * (100 - percent)
+    rows = found.withColumn("e", e)
+    names = ("place", "id", "component", "which", "n", "near", "d", "e")
+    low = rows.filter(F.col("place") * (100 + percent) <= F.col("n") * (100 - percent)).select("family", "shingle", *[F.col(c).alias(f"{c}_a") for c in names])
+    high = rows.select("family", "shingle", *[F.col(c).alias(f"{c}_b") for c in names])
+    wanted = F.col("e_a") + F.col("e_b")
+    can = (
+        (F.struct("e_a", "id_a", "which_a") < F.struct("e_b", "id_b", "which_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & ~(F.col("near_a") & F.col("near_b"))
+        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        & (2 * (100 + percent) * (F.col("d_a") - F.col("place_a")) >= wanted)
+        & (2 * (100 + percent) * (F.col("d_b") - F.col("place_b")) >= wanted)
+    )
+    pairs = low.join(high, ["family", "shingle"]).filter(can)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _open(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows (key, id, n, weight) of keys with different components, with component and top, the key's pivot."""
+    named = _labelled(rows, labels)
+    ends = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "id", "n", "component")).alias("top"))
+    return named.join(ends.filter("low <> high").drop("low", "high"), "key")
+
+
+def _merged(labels: DataFrame | None, links: DataFrame, new: DataFrame) -> DataFrame:
+    known = links if labels is None else labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(known.unionByName(new))
+
+
+def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """node and component by the links given and all that the pairs in a bucket have. members: key, id, n."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = members.join(sizes, "key")
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    left, path = scratch.written(shared.select("key", "id", "n").join(weight, "id"), "buckets")
-    used, turn = [path], 0
+    rows, path = scratch.written(shared.select("key", "id", "n").join(weight, "id"), "buckets")
+    used = [path]
     labels = None if links.isEmpty() else components(links)
-    while True:
-        named = _labelled(left, labels)
-        open_ = named.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", "id")).alias("top")
-        )
-        rows, path = scratch.written(named.join(open_.filter("low <> high").drop("low", "high"), "key"), "open")
+    pairs = _open(rows, labels).filter((F.col("component") != F.col("top.component")) & (F.least("n", "top.n") * 100 >= F.greatest("n", "top.n") * percent))
+    # A pivot is met by no more than its buckets hold.
+    copies = (1 + F.col("top.weight") / (8 * PAIRS_PER_COPY)).cast("int")
+    pairs = pairs.select(F.col("id").alias("a"), F.col("top.id").alias("b"), copies.alias("copies")).distinct()
+    new, path = scratch.written(_verified(pairs, sets, percent), "links")
+    used.append(path)
+    labels = _merged(labels, links, new)
+    rest, path = scratch.written(_open(rows, labels).select("key", "id", "weight", "component"), "open")
+    used.append(path)
+    if not rest.isEmpty():
+        apart, path = scratch.written(_apart(rest, sets, percent), "differences")
         used.append(path)
-        if rows.isEmpty():
-            break
-        if turn == 1:
-            # Many alike that aren't alike enough may share buckets; their rarest shingles tell them apart.
-            left, path = scratch.written(_rare_shingles(rows, sets, percent), "rare")
-            used.append(path)
-            turn = 2
-            continue
-        # One pivot for each bucket first, as most are in one component then; later more and more, and all in small buckets.
-        chance = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 20)) * F.col("size")
-        pivot = F.col("id") == F.col("top.id")
-        if turn:
-            pivot = pivot | (F.col("size") <= FEW) | (chance < (4**turn << 20))
-        rows = rows.withColumn("pivot", pivot)
-        pivots = rows.filter("pivot").select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("others"))
-        pairs = rows.join(pivots, "key").filter("component <> others")
-        pairs = pairs.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        new, path = scratch.written(_verified(pairs, sets, percent), "links")
+        pairs = _may_link(_rarest(apart, percent), percent)
+        new, path = scratch.written(_verified(pairs.withColumn("copies", F.lit(1)), sets, percent), "links")
         used.append(path)
-        known = links if labels is None else labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = components(known.unionByName(new))
-        # A pivot has met all others of its bucket.
-        left, turn = rows.filter("NOT pivot").select("id", "key", "n", "weight"), turn + 1
+        to_pivot = apart.filter("near AND id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+        labels = _merged(labels, links, new.unionByName(to_pivot))
     scratch.drop(members.sparkSession, *used)
     return labels
 
@@ -267,7 +323,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     scratch.bounded_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bands, rows = banding(percent / 100)
-    signed, _ = scratch.written(_signed(texts, size, bands, rows), "signatures")
+    signed, signed_path = scratch.written(_signed(texts, size, bands, rows), "signatures")
     named = signed.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     # A class of equal sets is known by its smallest id.
     classes = named.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "n", "bands")).alias("top"))
@@ -284,14 +340,16 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     sets = _sets(texts.join(members.select("id").distinct(), "id", "left_semi"), size)
     sets, sets_path = scratch.written(sets, "sets")
     labels = _link(members, sets, links, percent)
-    scratch.drop(spark, members_path, sets_path, links_path)
-    out = found.withColumn("component", F.lit(None)) if labels is None else found.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    out = found.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out, _ = scratch.written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-groups")
+    scratch.drop(spark, signed_path, classes_path, members_path, sets_path, links_path)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, the one with the smallest id, with all columns; rows with a null id stay."""
-    dropped = near_groups(docs, size, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == F.col("__dropped"), "left_anti")
+    name = scratch.unused("dropped", docs)
+    dropped = near_groups(docs, size, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, docs[id_col] == F.col(name), "left_anti")

@@ -1,7 +1,7 @@
 """Tables and files between the steps of an operator, in the folder that all executors share.
 
-The folder is the one that the session names in spark.checkpoint.dir. Only where that is unset, as in
-tests on one machine, a temporary folder is made and set.
+The folder is the one that the session names in spark.checkpoint.dir. Only where that is unset and Spark runs in one
+process, as in tests, a temporary folder is made and set; on a cluster it must be set.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def root(spark: SparkSession) -> str:
     """The shared folder, also set as Spark's own checkpoint folder if it is not yet."""
     folder = spark.conf.get(CONF, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CONF} must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gatelight-")
         spark.conf.set(CONF, folder)
     context = spark.sparkContext
@@ -51,6 +53,14 @@ def drop(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that the frame doesn't have, whatever its letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _shipped: set[str] = set()
 
 

@@ -74,7 +74,7 @@ def test_large_group_around_a_centre(spark):
 
 
 def test_repeated_rows_lose_no_link(spark, monkeypatch):
-    # Pairs at 0.851 in one bucket whose first pivot, 99, is like none of them: only the rare shingles can link them.
+    # Pairs at 0.851 in one bucket whose first pivot, 99, is like none of them: only their differences can link them.
     rows = [(98, "one more text that is like none"), (99, "a text that is like no other")]
     for k in range(6):
         words = [f"w{k}-{i}" for i in range(300)]
@@ -82,17 +82,63 @@ def test_repeated_rows_lose_no_link(spark, monkeypatch):
     rows += [(i, t.replace(" ", "  ")) for i, t in rows]
     docs = spark.createDataFrame(rows, "id long, text string")
     members = spark.createDataFrame([(1, i, 298) for i in [*range(12), 99]] + [(2, 98, 298), (2, 99, 298)], "key long, id long, n long")
-    turns, own = [], near_dedup._rare_shingles
-    monkeypatch.setattr(near_dedup, "_rare_shingles", lambda *a: turns.append(1) or own(*a))
+    turns, own = [], near_dedup._may_link
+    monkeypatch.setattr(near_dedup, "_may_link", lambda *a: turns.append(1) or own(*a))
     labels = near_dedup._link(members, near_dedup._sets(docs, 3), spark.createDataFrame([], "a long, b long"), 85)
     found = {r.node: r.component for r in labels.collect()}
     assert turns and [(i, found.get(i, i)) for i, *_ in brute_force(rows, 3, 85)] == [(i, c) for i, _, c, _ in brute_force(rows, 3, 85)]
     assert found[1] == 0
 
 
+def family(seed, n, changes, centre=None, length=150):
+    """Texts that each change some words of one text, which is among them only if it is asked for."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 10_000)}" for _ in range(length)]
+    rows = [] if centre is None else [(centre, " ".join(base))]
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(length), changes(rng)):
+            words[at] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(
+    ("n", "changes", "centre", "share"),
+    [(300, lambda rng: rng.randint(5, 8), None, 0.05), (200, lambda rng: 4, None, 0.15), (250, lambda rng: rng.randint(1, 9), 900, 0.1), (120, lambda rng: rng.randint(0, 4), 900, 0.3)],
+)
+def test_pairs_grow_with_links(spark, monkeypatch, n, changes, centre, share):
+    rows = family(n, n, changes, centre)
+    tried, own = [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *a: tried.append(pairs.count()) or own(pairs, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, near_dedup.near_groups(docs, 3, 85).collect()), key=str)
+    assert found == brute_force(rows, 3, 85)
+    assert sum(tried) < share * n * n / 2
+
+
+def test_components_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "EDGES", 40)
+    rng = random.Random(8)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(90)]
+    edges = [(a, b) for a, b in edges if a != b]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    found = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: find(x) for x in parent}
+
+
 def test_dropping_keeps_one_of_each_group(spark):
-    rows = [(3, "a b c d e f", 1), (1, "A b c d e f", 2), (2, "other words than these are", 3), (None, "a b c d e f", 4), (4, None, 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    rows = [(3, "a b c d e f", 1, "x"), (1, "A b c d e f", 2, "x"), (2, "other words than these are", 3, "x"), (None, "a b c d e f", 4, "x"), (4, None, 5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int, dropped string")
     left = near_dedup.drop_near_copies(docs)
     assert left.columns == docs.columns and sorted(r.kept for r in left.collect()) == [2, 3, 4, 5]
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
