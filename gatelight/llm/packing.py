@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gatelight.llm import ranges, scratch
 from gatelight.llm.text import words
-from gatelight.llm.tokens import tokenizer
+from gatelight.llm.tokens import binary, tokenizer
 
 LENGTH, END = 2048, 1
 DIMENSIONS, BITS, BUCKETS = 6, 10, 1024
@@ -81,11 +81,8 @@ def _encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def encoded(batches):
         own = tokenizer(path, spaced=False)
         for batch in batches:
-            ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in own.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(curve_keys(batch.column(1))), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())],
-                names=["doc_id", "key", "n", "ids"],
-            )
+            ids, bounds = own.encode_column(batch.column(1), end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(curve_keys(batch.column(1))), pa.array(np.diff(bounds)), binary(ids, bounds)], names=["doc_id", "key", "n", "ids"])
 
     return docs.mapInArrow(encoded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, ids binary")
 

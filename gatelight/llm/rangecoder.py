@@ -1,89 +1,115 @@
 """An adaptive context-mixing range coder for token ids, run over many blocks at once.
 
-Every block starts from the same state, so blocks are coded side by side: each step takes one id of each block, as
-one element of arrays. A block's model holds an order-2 and an order-1 table of expected ids with a confidence,
-and an order-0 distribution over the magnitudes of ids. Each table's expectation gets a share of the
-range that follows how often expectations of its confidence came true in this block; where both expect the same
-id, their shares add; what is left goes to the order-0 distribution. One interval codes an expected id or a
-magnitude, whose bits then follow evenly. All arithmetic is on integers, so any machine decodes the same ids.
-
-The range has 48 bits and is written in 16-bit words; a carry runs back through the words written.
+Ids are coded by three orders of prediction. Order 0 is a distribution over all ids: the ids of a file are ranked by how
+often they occur in it, an adaptive distribution over the magnitudes of ranks (their bit lengths) follows each block, and
+ranks of one magnitude, which are about as frequent, share its part evenly. Orders 1 and 2 hold the id that they
+expect after the last id and after the last two, with a confidence that grows with each hit and halves with each
+miss. The expected ids get shares of the range that follow their confidences, and add up where both orders expect the same id;
+what is left goes to order 0.
+
+Every block starts from the same state, that of its file's ranks, so blocks are decoded each by itself, and are coded side by
+side: each step takes one id of each block, as one element of arrays. All arithmetic is on integers, so any machine decodes the
+same ids. The range has 48 bits and is written in 16-bit words; a carry runs back through the words written.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
-#: Ids are below this: a table's empty entry holds it.
-NONE = 0xFFFF
-SLOTS_1, SLOTS_2 = 1 << 8, 1 << 9
-LEVELS, RATE = 8, 5
-CLASSES, FLOOR, SCALE = 16, 64, 15
-MAX_2, MAX_1, LEAST = 60_000, 40_000, 32
+#: Slots of the tables of orders 1 and 2 in each block; bits of the order-0 distribution, the least part of a magnitude, and how fast it adapts.
+SLOTS_1, SLOTS_2 = 1 << 9, 1 << 10
+SCALE, FLOOR, RATE = 14, 8, 5
+#: Steps whose ids are prepared at once.
+CHUNK = 32
 _LOW32, _LOW48 = (1 << 32) - 1, (1 << 48) - 1
-#: Magnitude of an id: the bits of id + 1 less one.
-_CLASS = (np.frexp(np.arange(1, NONE + 2))[1] - 1).astype("i8")
+#: Confidences are 0 to 7. Part of 65,536 that an expected id gets by its confidence, with order 1's after order 2 has taken its own.
+_SHARE_1 = np.array([16, 2000, 6000, 12000, 18000, 25000, 32000, 42000])
+_SHARE_2 = np.array([16, 5000, 14000, 23000, 31000, 39000, 46000, 55000])
+_OF_2 = np.repeat(_SHARE_2, 8)
+_OF_1 = ((65536 - _OF_2) * np.tile(_SHARE_1, 8)) >> 16
+_REST = 65536 - _OF_1 - _OF_2
+_LESS = np.array([k - k // 2 for k in range(8)], "i4")
+_MORE = np.array([1] * 7 + [0], "i4")
+
+
+@dataclass
+class Ranks:
+    """The ids of a file from the most frequent on, and the bounds of the magnitudes of ranks in the order-0 distribution."""
+
+    ids: np.ndarray
+    bounds: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Ranks:
+        counts = np.bincount(ids, minlength=1)
+        order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        n = int(len(order)).bit_length()
+        edges = np.minimum((1 << np.arange(n + 1)) - 1, len(order))
+        sums = np.concatenate([[0], np.cumsum(counts[order])])[edges]
+        room = (1 << SCALE) - n * FLOOR
+        return cls(order.astype("u2"), np.arange(n + 1) * FLOOR + sums * room // max(1, int(sums[-1]) if n else 1))
+
+    def rank(self) -> np.ndarray:
+        out = np.zeros(1 << 16, "u2")
+        out[self.ids] = np.arange(len(self.ids))
+        return out
 
 
 class _Model:
-    """The state of all blocks' models."""
+    """The state of all blocks' models. Entries of tables are 8 * rank + confidence."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, ranks: Ranks):
+        self.magnitudes = len(ranks.bounds) - 1
         self.lanes = np.arange(lanes)
-        self.table_1 = np.full(lanes * SLOTS_1, NONE * LEVELS, "i4")
-        self.table_2 = np.full(lanes * SLOTS_2, NONE * LEVELS, "i4")
-        start = np.array([LEAST, 6000, 16000, 26000, 34000, 42000, 48000, 54000], "i4")
-        self.hits_1, self.hits_2 = np.tile(start // 2, lanes), np.tile(start, lanes)
-        self.cumulative = np.repeat(np.arange(CLASSES + 1, dtype="i4") << (SCALE - 4), lanes).reshape(CLASSES + 1, lanes)
-        self.steps = np.arange(1, CLASSES, dtype="i4")[:, None]
-        self.last = np.zeros(lanes, "i8")
-        self.before = np.zeros(lanes, "i8")
-
-    def expect(self, n: int):
-        lanes = self.lanes[:n]
-        hashed = self.last[:n] * 40503
-        self.at_1 = lanes * SLOTS_1 + ((hashed >> 4) & (SLOTS_1 - 1))
-        self.at_2 = lanes * SLOTS_2 + (((hashed ^ (self.before[:n] * 30011)) >> 3) & (SLOTS_2 - 1))
-        self.entry_1, self.entry_2 = self.table_1[self.at_1], self.table_2[self.at_2]
-        self.id_1, self.id_2 = self.entry_1 >> 3, self.entry_2 >> 3
-        self.hit_at_1 = lanes * LEVELS + (self.entry_1 & 7)
-        self.hit_at_2 = lanes * LEVELS + (self.entry_2 & 7)
-        self.p_1, self.p_2 = self.hits_1[self.hit_at_1], self.hits_2[self.hit_at_2]
-        share_2 = np.clip(self.p_2, LEAST, MAX_2).astype("i8")
-        share_1 = ((65536 - share_2) * np.clip(self.p_1, LEAST, MAX_1)) >> 16
-        both = self.id_1 == self.id_2
-        self.share_2 = share_2 + share_1 * both
-        self.share_1 = share_1 * ~both
-        self.base = share_2 + share_1
-        self.rest = 65536 - self.base
-
-    def learn(self, ids: np.ndarray, classes: np.ndarray, n: int) -> None:
-        for table, at, entry, known, hits, hit_at, p in (
-            (self.table_1, self.at_1, self.entry_1, self.id_1, self.hits_1, self.hit_at_1, self.p_1),
-            (self.table_2, self.at_2, self.entry_2, self.id_2, self.hits_2, self.hit_at_2, self.p_2),
+        self.table_1, self.table_2 = np.full(lanes * SLOTS_1, 0xFFFF << 3, "i4"), np.full(lanes * SLOTS_2, 0xFFFF << 3, "i4")
+        self.from_1, self.from_2 = self.lanes * SLOTS_1, self.lanes * SLOTS_2
+        self.cumulative = np.repeat(ranks.bounds.astype("i2"), lanes).reshape(-1, lanes)
+        self.flat = self.cumulative.reshape(-1)
+        self.numbers = np.arange(1, self.magnitudes, dtype="i2")[:, None]
+        self.least = self.numbers * np.int16(FLOOR)
+        self.room = np.int16((1 << SCALE) - self.magnitudes * FLOOR)
+        self.last, self.before = np.zeros(lanes, "i8"), np.zeros(lanes, "i8")
+
+    def expect(self, n: int) -> None:
+        last = self.last[:n]
+        self.at_1 = (last & (SLOTS_1 - 1)) + self.from_1[:n]
+        self.at_2 = ((last * 37 + self.before[:n]) & (SLOTS_2 - 1)) + self.from_2[:n]
+        self.entry_1, self.entry_2 = self.table_1.take(self.at_1), self.table_2.take(self.at_2)
+        self.level_1, self.level_2 = self.entry_1 & 7, self.entry_2 & 7
+        self.levels = ((self.level_2 << 3) + self.level_1).astype("i8")
+        self.rest = _REST.take(self.levels)
+
+    def learn(self, wide: np.ndarray, magnitude: np.ndarray, hits_1: np.ndarray, hits_2: np.ndarray, n: int) -> None:
+        """wide: 8 * rank; magnitude: that of the rank; hits: the blocks whose expected ids came."""
+        fresh = wide | 1
+        for table, at, entry, level, hits in (
+            (self.table_1, self.at_1, self.entry_1, self.level_1, hits_1),
+            (self.table_2, self.at_2, self.entry_2, self.level_2, hits_2),
         ):
-            came = ids == known
-            level = entry & 7
-            stays = np.where(level > 1, (entry & -8) | (level >> 1), (ids << 3) | 1)
-            table[at] = np.where(came, entry + (level < 7), stays)
-            hits[hit_at] = p + ((came * 65535 - p) >> RATE)
-        inner = self.cumulative[1:CLASSES, :n]
-        inner += (self.steps * FLOOR + (self.steps > classes.astype("i4")) * ((1 << SCALE) - CLASSES * FLOOR) - inner) >> RATE
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-
-def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+            new = np.where(level > 1, entry - _LESS.take(level), fresh)
+            new[hits] = entry[hits] + _MORE[level[hits]]
+            table[at] = new
+        inner = self.cumulative[1 : self.magnitudes, :n]
+        inner += (self.least + (self.numbers > magnitude.astype("i2")) * self.room - inner) >> RATE
+        self.before[:n] = self.last[:n] * 1021
+        self.last[:n] = wide >> 3
+
+
+def encode(ids: np.ndarray, lengths: np.ndarray, ranks: Ranks) -> list[bytes]:
     """The code of each column of ids (steps x blocks), of which the first lengths are used; lengths don't grow."""
     lanes = len(lengths)
     if not lanes:
         return []
-    model = _Model(lanes)
+    model = _Model(lanes, ranks)
     low, width = np.zeros(lanes, "i8"), np.full(lanes, _LOW48)
     out = np.zeros((lanes, 2 * len(ids) + 8), "u2")
     flat, size = out.reshape(-1), out.shape[1]
     filled = model.lanes * size
-    cumulative = model.cumulative.reshape(-1)
+    rank = ranks.rank()
+    magnitude_of = (np.frexp(np.arange(1, (1 << 16) + 1))[1] - 1).astype("i8")
+    counts = np.searchsorted(-lengths, -np.arange(len(ids)), "left").tolist()
 
     def carry(which: np.ndarray) -> None:
         at = filled[which] - 1
@@ -92,34 +118,35 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
             at = at[flat[at] == 0] - 1
 
     for step in range(int(lengths.max())):
-        n = int(np.searchsorted(-lengths, -step, "left"))
-        x = ids[step, :n].astype("i4")
-        classes = _CLASS[x]
+        if step % CHUNK == 0:
+            ranked = rank[ids[step : step + CHUNK]]
+            magnitudes = magnitude_of[ranked]
+            ranked = ranked.astype("i4")
+            offsets = (ranked + 1) - (1 << magnitudes)
+            wides, places = ranked << 3, magnitudes * lanes + model.lanes
+        n, row = counts[step], step % CHUNK
+        wide, magnitude, place, bits, offset = wides[row, :n], magnitudes[row, :n], places[row, :n], magnitudes[row, :n].copy(), offsets[row, :n]
         model.expect(n)
-        hit_2 = x == model.id_2
-        hit_1 = (x == model.id_1) & ~hit_2
-        # Most ids are no expected ones: code all as magnitudes, then put the hits right.
-        at = classes * lanes + model.lanes[:n]
-        below = (cumulative[at] * model.rest) >> SCALE
-        share = ((cumulative[at + lanes] * model.rest) >> SCALE) - below
-        start = below + model.base
-        offset = x + 1 - (1 << classes)
-        bits = classes.copy()
-        for hit, begin, own in ((hit_1, model.share_2, model.share_1), (hit_2, None, model.share_2)):
-            which = np.flatnonzero(hit)
-            share[which] = own[which]
-            start[which] = 0 if begin is None else begin[which]
-            offset[which] = 0
-            bits[which] = 0
+        # Most ids are no expected ones: code all by order 0, then put the hits right.
+        below = (model.flat.take(place) * model.rest) >> SCALE
+        share = ((model.flat.take(place + lanes) * model.rest) >> SCALE) - below
+        start = below + (65536 - model.rest)
+        hit_1, hit_2 = (model.entry_1 ^ wide) < 8, (model.entry_2 ^ wide) < 8
+        hits_1, hits_2 = np.flatnonzero(hit_1), np.flatnonzero(hit_2)
+        levels_1, levels_2 = model.levels[hits_1], model.levels[hits_2]
+        share[hits_1], start[hits_1] = _OF_1[levels_1], _OF_2[levels_1]
+        share[hits_2], start[hits_2] = _OF_2[levels_2] + _OF_1[levels_2] * hit_1[hits_2], 0
+        for hits in (hits_1, hits_2):
+            offset[hits], bits[hits] = 0, 0
         unit = width[:n] >> 16
-        wide = (share * unit) >> bits
-        now = low[:n] + start * unit + offset * wide
+        part = (share * unit) >> bits
+        now = low[:n] + start * unit + offset * part
         over = np.flatnonzero(now > _LOW48)
         if len(over):
             carry(over)
             now &= _LOW48
-        low[:n], width[:n] = now, wide
-        small = np.flatnonzero(wide < (1 << 32))
+        low[:n], width[:n] = now, part
+        small = np.flatnonzero(part <= _LOW32)
         while len(small):
             own = low[small]
             to = filled[small]
@@ -128,8 +155,8 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
             low[small] = (own & _LOW32) << 16
             wider = width[small] << 16
             width[small] = wider
-            small = small[wider < (1 << 32)]
-        model.learn(x, classes, n)
+            small = small[wider <= _LOW32]
+        model.learn(wide, magnitude, hits_1, hits_2, n)
     for shift in (32, 16, 0):
         flat[filled] = (low >> shift) & 0xFFFF
         filled += 1
@@ -137,12 +164,12 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     return [out[k, : used[k]].astype("<u2").tobytes() for k in range(lanes)]
 
 
-def decode(codes: list[bytes], lengths: np.ndarray) -> np.ndarray:
+def decode(codes: list[bytes], lengths: np.ndarray, ranks: Ranks) -> np.ndarray:
     """The ids (steps x blocks) behind the codes of encode."""
     lanes = len(lengths)
     if not lanes:
         return np.zeros((0, 0), "u2")
-    model = _Model(lanes)
+    model = _Model(lanes, ranks)
     size = max(map(len, codes)) // 2 + 4
     words = np.zeros((lanes, size), "u2")
     for k, code in enumerate(codes):
@@ -153,43 +180,46 @@ def decode(codes: list[bytes], lengths: np.ndarray) -> np.ndarray:
     at += 3
     end = (model.lanes + 1) * size - 1
     width = np.full(lanes, _LOW48)
-    ids = np.zeros((int(lengths.max()), lanes), "u2")
-    cumulative = model.cumulative.reshape(-1)
-    for step in range(len(ids)):
-        n = int(np.searchsorted(-lengths, -step, "left"))
+    found = np.zeros((int(lengths.max()), lanes), "u2")
+    counts = np.searchsorted(-lengths, -np.arange(len(found)), "left").tolist()
+    for step, n in enumerate(counts):
         model.expect(n)
+        base = 65536 - model.rest
         unit = width[:n] >> 16
         # Exact: the quotients are far from the next integer by more than a double's precision.
         place = np.minimum(code[:n] / unit, 65535).astype("i8")
-        expected = place < model.base
-        target = (((place - model.base + 1) << SCALE) - 1) / model.rest
-        classes = (model.cumulative[1:CLASSES, :n] <= target).sum(axis=0, dtype="i1").astype("i8")
-        lane = classes * lanes + model.lanes[:n]
-        below = (cumulative[lane] * model.rest) >> SCALE
-        share = ((cumulative[lane + lanes] * model.rest) >> SCALE) - below
-        start = below + model.base
-        bits = classes
-        hits = np.flatnonzero(expected)
-        hit_1 = place[hits] >= model.share_2[hits]
-        share[hits] = np.where(hit_1, model.share_1[hits], model.share_2[hits])
-        start[hits] = model.share_2[hits] * hit_1
-        bits[hits] = 0
+        target = ((((place - base + 1) << SCALE) - 1) / model.rest).astype("i2")
+        magnitude = np.add.reduce(model.cumulative[1 : model.magnitudes, :n] <= target, axis=0, dtype="i8")
+        lane = magnitude * lanes + model.lanes[:n]
+        below = (model.flat.take(lane) * model.rest) >> SCALE
+        share = ((model.flat.take(lane + lanes) * model.rest) >> SCALE) - below
+        start = below + base
+        hits = np.flatnonzero(place < base)
+        both = (model.entry_1[hits] ^ model.entry_2[hits]) < 8
+        of_1, of_2 = _OF_1[model.levels[hits]], _OF_2[model.levels[hits]]
+        from_2 = both | (place[hits] < of_2)
+        share[hits] = np.where(both, of_1 + of_2, np.where(from_2, of_2, of_1))
+        start[hits] = np.where(from_2, 0, of_2)
+        magnitude[hits] = 0
         left = code[:n] - start * unit
-        wide = (share * unit) >> bits
-        offset = np.minimum((left / wide).astype("i8"), (1 << bits) - 1)
+        part = (share * unit) >> magnitude
+        offset = np.minimum((left / part).astype("i8"), (1 << magnitude) - 1)
         offset[hits] = 0
-        left -= offset * wide
-        x = ((1 << bits) + offset - 1).astype("i4")
-        x[hits] = np.where(hit_1, model.id_1[hits], model.id_2[hits])
-        code[:n], width[:n] = left, wide
-        small = np.flatnonzero(wide < (1 << 32))
+        left -= offset * part
+        wide = (((1 << magnitude) + offset - 1) << 3).astype("i4")
+        wide[hits] = np.where(from_2, model.entry_2[hits], model.entry_1[hits]) & -8
+        code[:n], width[:n] = left, part
+        small = np.flatnonzero(part <= _LOW32)
         while len(small):
             from_ = at[small]
             code[small] = (code[small] << 16) | flat[np.minimum(from_, end[small])]
             at[small] = from_ + 1
             wider = width[small] << 16
             width[small] = wider
-            small = small[wider < (1 << 32)]
-        ids[step, :n] = x
-        model.learn(x, _CLASS[np.minimum(x, NONE)], n)
-    return ids
+            small = small[wider <= _LOW32]
+        rank = wide >> 3
+        found[step, :n] = rank
+        # The magnitude of expected ids isn't known from the code.
+        magnitude[hits] = np.frexp(rank[hits] + 1.0)[1] - 1
+        model.learn(wide, magnitude, np.flatnonzero((model.entry_1 ^ wide) < 8), np.flatnonzero((model.entry_2 ^ wide) < 8), n)
+    return np.append(ranks.ids, np.zeros(1, "u2"))[np.minimum(found, len(ranks.ids))].astype("u2")

@@ -53,26 +53,32 @@ class Words:
     bounds: np.ndarray
 
 
-def words(column: pa.Array, lower: bool) -> Iterator[Words]:
-    """Runs of bytes other than space and \\t to \\r, in parts of whole rows; positions are bytes in the row's text."""
+def parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes of runs of whole rows, about PART_BYTES each, and where the rows begin in them. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
-    offsets = np.frombuffer(column.buffers()[1], "i8", n + 1, column.offset * 8)
+    offsets = np.frombuffer(column.buffers()[1], "i8", n + 1, column.offset * 8) if n else np.zeros(1, "i8")
     data = np.frombuffer(column.buffers()[2], "u1") if column.buffers()[2] is not None else np.zeros(0, "u1")
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PART_BYTES, "right")) - 1)
         last = min(last, n)
-        yield _part(data, offsets, first, last, lower)
+        yield data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
 
-def _part(data, offsets, first, last, lower) -> Words:
-    base = offsets[first]
-    raw = data[base : offsets[last]]
-    edges = offsets[first : last + 1] - base
+def words(column: pa.Array, lower: bool) -> Iterator[Words]:
+    """Runs of bytes other than space and \\t to \\r, in parts of whole rows; positions are bytes in the row's text."""
+    first = 0
+    for raw, edges in parts(column):
+        yield _part(raw, edges, first, lower)
+        first += len(edges) - 1
+
+
+def _part(raw: np.ndarray, edges: np.ndarray, first: int, lower: bool) -> Words:
+    last = first + len(edges) - 1
     inside = ~_WHITE[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]

@@ -3,8 +3,9 @@
 A file holds the ids of a run of documents, cut into blocks of BLOCK ids that the range coder codes each from a fresh start.
 Layout, all numbers little-endian:
 
-    magic (8 bytes), version, ids per block, documents, blocks (4 x u4), ids before this file, ids (2 x u8)
-    document ids (i8 each), whether null (u1 each), numbers of ids (u8 each), CRC-32 of these three (u4)
+    magic (8 bytes), version, ids per block, documents, blocks, different ids, magnitudes (6 x u4), ids before this file, ids (2 x u8)
+    document ids (i8 each), whether null (u1 each), numbers of ids (u8 each), the ids from the most frequent on (u2 each),
+    bounds of the magnitudes of their ranks (u2 each, one more than magnitudes), CRC-32 of these five (u4)
     for each block: bytes of code, CRC-32 of the code, CRC-32 of the ids as u4 (3 x u4)
     the codes of the blocks
 
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelight.llm import rangecoder, ranges, scratch
-from gatelight.llm.tokens import tokenizer
+from gatelight.llm.tokens import binary, tokenizer
 
-MAGIC, VERSION, BLOCK = b"GLTOKENS", 1, 1024
+MAGIC, VERSION, BLOCK = b"GLTOKENS", 2, 1024
 #: Ids after which a file is closed.
 FILE_IDS = 8 << 20
-_HEAD = np.dtype([("magic", "S8"), ("version", "<u4"), ("block", "<u4"), ("docs", "<u4"), ("blocks", "<u4"), ("before", "<u8"), ("ids", "<u8")])
+_HEAD = np.dtype([("magic", "S8"), ("version", "<u4"), ("block", "<u4"), ("docs", "<u4"), ("blocks", "<u4"), ("different", "<u4"), ("magnitudes", "<u4"), ("before", "<u8"), ("ids", "<u8")])
 _ROW = np.dtype([("bytes", "<u4"), ("code_crc", "<u4"), ("ids_crc", "<u4")])
 
 
@@ -52,12 +53,15 @@ def _columns(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
 
 def to_bytes(doc_ids: list, sizes: list[int], ids: np.ndarray, before: int, block: int = BLOCK) -> bytes:
     grid, lengths = _columns(ids, block)
-    codes = rangecoder.encode(grid, lengths)
-    head = np.array([(MAGIC, VERSION, block, len(doc_ids), len(codes), before, len(ids))], _HEAD)
+    ranks = rangecoder.Ranks.of(ids)
+    codes = rangecoder.encode(grid, lengths, ranks)
+    head = np.array([(MAGIC, VERSION, block, len(doc_ids), len(codes), len(ranks.ids), len(ranks.bounds) - 1, before, len(ids))], _HEAD)
     index = b"".join([
         np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(),
         np.array([x is None for x in doc_ids], "u1").tobytes(),
         np.array(sizes, "<u8").tobytes(),
+        ranks.ids.astype("<u2").tobytes(),
+        ranks.bounds.astype("<u2").tobytes(),
     ])
     rows = np.zeros(len(codes), _ROW)
     for k, code in enumerate(codes):
@@ -71,11 +75,14 @@ def from_bytes(data: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
     if head is None or head["magic"] != MAGIC or head["version"] != VERSION:
         raise ValueError("not a file of this format")
     docs, blocks, at = int(head["docs"]), int(head["blocks"]), _HEAD.itemsize
-    index = data[at : at + 17 * docs]
-    if zlib.crc32(index) != np.frombuffer(data, "<u4", 1, at + 17 * docs)[0]:
+    different, bounds = int(head["different"]), int(head["magnitudes"]) + 1
+    size = 17 * docs + 2 * (different + bounds)
+    index = data[at : at + size]
+    if len(data) < at + size + 4 or zlib.crc32(index) != np.frombuffer(data, "<u4", 1, at + size)[0]:
         raise ValueError("the index is damaged")
+    ranks = rangecoder.Ranks(np.frombuffer(index, "<u2", different, 17 * docs), np.frombuffer(index, "<u2", bounds, 17 * docs + 2 * different).astype("i8"))
     names, null, sizes = np.frombuffer(index, "<i8", docs), np.frombuffer(index, "u1", docs, 8 * docs), np.frombuffer(index, "<u8", docs, 9 * docs)
-    at += 17 * docs + 4
+    at += size + 4
     rows = np.frombuffer(data, _ROW, blocks, at)
     at += rows.nbytes
     ends = at + np.cumsum(rows["bytes"], dtype="i8")
@@ -84,7 +91,7 @@ def from_bytes(data: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
         raise ValueError("a block is damaged")
     total, block = int(head["ids"]), int(head["block"])
     lengths = np.minimum(block, total - block * np.arange(blocks))
-    grid = rangecoder.decode(codes, lengths)
+    grid = rangecoder.decode(codes, lengths, ranks)
     for k in range(blocks):
         if zlib.crc32(grid[: lengths[k], k].astype("<u4").tobytes()) != rows["ids_crc"][k]:
             raise ValueError("a block decodes to other ids")
@@ -102,8 +109,8 @@ def write(docs: DataFrame, tokenizer_path: str, end: int = 0, folder: str | None
     def encoded(batches):
         own = tokenizer(tokenizer_path, spaced=True)
         for batch in batches:
-            ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)).astype("<u2") for x in own.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+            ids, bounds = own.encode_column(batch.column(1), end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), binary(ids, bounds)], names=["doc_id", "n", "ids"])
 
     rows, path = scratch.written(texts.mapInArrow(encoded, "doc_id long, n long, ids binary"), "encoded")
     n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
