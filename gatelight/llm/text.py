@@ -16,8 +16,9 @@ _LETTER = _rng.integers(1, 1 << 63, 256, dtype="u8")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype="u1")
 _LOWER[65:91] += 32
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, *range(9, 14)]] = True
+#: Bytes between words.
+WHITE = np.zeros(256, bool)
+WHITE[[32, *range(9, 14)]] = True
 _powers = np.ones(64, "u8")
 
 
@@ -79,7 +80,7 @@ def words(column: pa.Array, lower: bool) -> Iterator[Words]:
 
 def _part(raw: np.ndarray, edges: np.ndarray, first: int, lower: bool) -> Words:
     last = first + len(edges) - 1
-    inside = ~_WHITE[raw]
+    inside = ~WHITE[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     at_edge = edges[:-1][edges[:-1] < len(raw)]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from gatelight.llm import suffix_dedup as S
 
 
@@ -39,7 +40,9 @@ def corpus(seed):
     return [*rows, (200, " ".join(w + ["x"] + w)), (201, None), (202, ""), (203, "a " * 70_000), (204, "b")]
 
 
-def test_spans_and_cuts_match_brute_force(spark):
+@pytest.mark.parametrize("hot", [S.HOT, 5])
+def test_spans_and_cuts_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
     rows = corpus(3)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, id int").repartition(3)
     texts = dict(rows)
@@ -69,6 +72,39 @@ def test_edge_tables(spark):
     assert S.repeated_spans(docs.limit(0)).count() == 0 and S.drop_repeats(docs.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"é{rng.randint(0, 999)}" for _ in range(60))
+    rows = [(1, f"{passage} one"), (2, None), (2, f"ü ü {passage}  two"), (2, "short é text"), (2, f"{passage} and more of it, {passage}"), (3, ""), (3, passage), (3, passage), (None, passage)]
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, cut_id int, cuts string").repartition(3)
+    left = S.drop_repeats(docs)
+    assert left.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert found == sorted([(1, f"{passage} one"), (2, None), (2, "ü ü   two"), (2, "short é text"), (2, " and more of it, "), (3, ""), (3, ""), (3, ""), (None, passage)], key=str)
+    spans = sorted((r.doc_id, r.begin, r.n_words, r.removable) for r in S.repeated_spans(docs).collect())
+    again = len(f"{passage} and more of it, ".encode())
+    assert spans == [(1, 0, 60, False), (2, 0, 60, True), (2, 6, 60, True), (2, again, 60, True), (3, 0, 60, True)]
+
+
+def test_matches_by_both_sides():
+    rng = random.Random(9)
+    for _ in range(300):
+        reach, n = rng.choice([1, 2, 5, 8]), rng.randint(1, 12)
+        side = lambda: tuple(rng.choice("ab") if rng.random() < 0.3 else "a" for _ in range(rng.randint(0, reach)))
+        sides = list({(side(), side()) for _ in range(n)})
+        lows = [rng.randint(0, 5) for _ in sides]
+        highs = [x + rng.choice([0, 0, 1]) for x in lows]
+        expected = []
+        for left, right in sides:
+            own = {}
+            for k in range(reach + 1):
+                same = [j for j, (a, b) in enumerate(sides) if len(left) >= k and len(right) >= reach - k and a[:k] == left[:k] and len(a) >= k and b[: reach - k] == right[: reach - k] and len(b) >= reach - k]
+                if same and min(lows[j] for j in same) != max(highs[j] for j in same):
+                    own[k] = min(lows[j] for j in same)
+            expected.append(own)
+        assert S.shared(sides, lows, highs, reach) == expected
+
+
 def test_minimisers_and_runs():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 31, 32, 33, 100):
