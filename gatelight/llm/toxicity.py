@@ -3,17 +3,20 @@
 Texts are folded first: compatibility forms, case, accents, look-alike letters of other scripts, and digits
 or signs that stand in for letters before or after a letter (numbers and amounts without a letter stay, and so do exclamation
 marks and bars at a word's end, which are punctuation). What is left is words between single spaces. The
-lexicon holds word beginnings, and whole words of two letters or more, with their log-odds weights; an exception phrase cancels the hits that it
-covers. The sum of a text's weights is divided by the square root of its length and turned into a score
-by a logistic curve fitted to the same labelled rows.
+lexicon holds word beginnings, and whole words of two letters or more, with their log-odds weights: strong ones, which hardly any
+clean row has, and weak ones, which up to half as many clean rows as toxic ones have. An exception phrase cancels the hits that it
+covers; phrases of two words that make a word of toxic rows harmless are learned from the clean rows that have them. The sums of a
+text's strong and weak weights are divided by the square root of its length and turned into a score by a logistic
+curve of both, fitted to the same labelled rows.
 
 fit() reads at most about max_labelled labelled rows, chosen by a hash of their id; a documented bound, so
 that what the driver receives (the pruned lexicon and about max_labelled numbers) doesn't
 grow with the corpus. Nothing is cut by rank: candidates are pruned in Spark, by the beginnings that they share. Scoring reads every row whole.
 
 Defined results. A null or empty text has no words and gets the score of a text without hits. Labels
-that are null, and labels of absent documents, are not used. With no label of either kind the lexicon is
-empty and every score is that of the labels' share, or 0 without labels. Repeated rows each give a
+that are null, and labels of absent documents, are not used; of several labels of one id the largest counts. With labels of one kind only, or
+none that words explain, the lexicon is empty and every score is the share of toxic ones among all labelled rows (in the second case
+drawn a little to the clean side), or 0 without labels. Repeated rows each give a
 row; extra columns are passed over by score() and passed through by drop_toxic().
 """
 
@@ -42,9 +45,8 @@ LOOKALIKES = {
 }
 # Signs that stand in for letters.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
-# Phrases in which a word of the lexicon is harmless.
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collection", "class clown", "clown fish", "circus clown")
-
+#: Clean rows for each toxic one that a strong and a weak pattern may have; clean rows that an exception phrase must have.
+STRONG, WEAK, LEAST_CLEAN = 0.05, 0.5, 5
 _LETTERS = str.maketrans(LOOKALIKES)
 _SIGNS = str.maketrans(STAND_INS)
 # Runs before a letter, and runs after one without the signs of punctuation at their end.
@@ -71,7 +73,7 @@ def patterns_of(folded: str, shortest: int, longest: int) -> set[str]:
     for word in set(folded.split()):
         if len(word) >= shortest:
             found.update(f" {word[:n]}" for n in range(shortest, min(len(word), longest) + 1))
-        if 2 <= len(word) <= 2 * longest:
+        if len(word) >= 2:
             found.add(f" {word} ")
     return found
 
@@ -82,32 +84,42 @@ class Lexicon:
     exceptions: tuple[str, ...] = ()
     slope: float = 0.0
     offset: float = -30.0
+    weak: dict[str, float] = field(default_factory=dict)
+    weak_slope: float = 0.0
 
     def automaton(self):
         own = ahocorasick.Automaton()
-        for pattern, weight in self.weights.items():
-            own.add_word(pattern, (len(pattern), weight))
+        for strong, weights in ((True, self.weights), (False, self.weak)):
+            for pattern, weight in weights.items():
+                own.add_word(pattern, (len(pattern), strong, weight))
         for phrase in self.exceptions:
-            own.add_word(f" {phrase} ", (len(phrase) + 2, None))
+            own.add_word(f" {phrase} ", (len(phrase) + 2, None, 0.0))
         own.make_automaton()
         return own
 
-    def strength(self, folded: str, automaton) -> float:
-        """Sum of the weights of the words hit, over the square root of the number of words."""
-        if not self.weights:
-            return 0.0
-        hits, free = {}, []
-        for end, (size, weight) in automaton.iter(folded):
-            if weight is None:
-                free.append((end - size + 1, end))
+    def strengths(self, folded: str, automaton) -> tuple[float, float]:
+        """Sums of the strong and the weak weights of the words hit, over the square root of the number of words."""
+        if not self.weights and not self.weak:
+            return 0.0, 0.0
+        hits, free = ({}, {}), []
+        for end, (size, strong, weight) in automaton.iter(folded):
+            start = end - size + 1
+            if strong is None:
+                free.append((start, end))
             else:
-                start = end - size + 1
-                hits[start] = max(weight, hits.get(start, 0.0))
-        total = sum(w for at, w in hits.items() if not any(a <= at < b for a, b in free))
-        return total / math.sqrt(folded.count(" "))
+                own = hits[not strong]
+                own[start] = max(weight, own.get(start, 0.0))
+        scale = math.sqrt(folded.count(" "))
+        return tuple(sum(w for at, w in own.items() if not any(a <= at < b for a, b in free)) / scale for own in hits)
+
+    def strength(self, folded: str, automaton) -> float:
+        return self.strengths(folded, automaton)[0]
+
+    def score(self, strong: float, weak: float = 0.0) -> float:
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.offset + self.slope * math.log1p(strong) + self.weak_slope * math.log1p(weak)))))
 
-    def score(self, strength: float) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.offset + self.slope * math.log1p(strength)))))
+    def scores(self, texts: list, automaton) -> list[float]:
+        return [self.score(*self.strengths(fold(t), automaton)) for t in texts]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -126,59 +138,61 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFram
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(map(fold, batch.column(0).to_pylist()), pa.string()), batch.column(1)], names=["folded", "toxic"])
 
-    # Copies say nothing new: of rows with the same folded words, one counts for each label.
-    return rows.join(marks, "id").select("text", "toxic").mapInArrow(folded, "folded string, toxic int").distinct()
-
-
-def _prune(found: list, n_toxic: int, n_clean: int, min_surprise: float) -> dict[str, float]:
-    """The beginnings that speak for toxicity, each with its log-odds weight: of those that hold each other the
-    shortest that is sure, made as long as nearly all of its rows allow."""
-    base = math.log10((n_toxic + n_clean) / n_toxic)
-    accepted: dict[str, float] = {}
-    for pattern, toxic, clean in sorted(found, key=lambda x: (len(x[0]), x[0])):
-        if any(pattern[:n] in accepted for n in range(2, len(pattern) + 1)) or clean > 0.05 * toxic:
-            continue
-        # How unlikely it is that so many of the rows with it are toxic by chance, in powers of ten.
-        surprise = toxic * base - math.log10(math.comb(toxic + clean, clean))
-        if surprise >= min_surprise:
-            accepted[pattern] = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
-    counts = {pattern: toxic for pattern, toxic, _ in found}
-    longer = {p: max((q for q in counts if q.startswith(p) and (q == p or q[-1] != " ") and counts[q] >= 0.9 * counts[p]), key=len) for p in accepted}
-    return {longer[p]: weight for p, weight in accepted.items()}
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps, with a little shrinkage so that separable rows have an end."""
-    design, beta = np.stack([np.ones_like(x), x], 1), np.array([math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.0])
-    for _ in range(60):
+    # Copies say nothing new: rows with the same folded words count once for each label.
+    return rows.join(marks, "id").select("text", "toxic").mapInArrow(folded, "folded string, toxic int").groupBy("folded", "toxic").agg(F.count(F.lit(1)).alias("copies"))
+
+
+class Evidence:
+    """What the rows with a pattern say, by how many toxic and clean ones there are."""
+
+    def __init__(self, n_toxic: int, n_clean: int, min_surprise: float):
+        self.n_toxic, self.n_clean, self.min_surprise = n_toxic, n_clean, min_surprise
+        self.base = math.log10((n_toxic + n_clean) / n_toxic)
+
+    def surprise(self, toxic: int, clean: int) -> float:
+        """How unlikely it is that so many of the rows are toxic by chance, in powers of ten."""
+        return toxic * self.base - math.log10(math.comb(toxic + clean, clean))
+
+    def weight(self, toxic: int, clean: int) -> float:
+        return math.log((toxic + 0.5) / (self.n_toxic + 1)) - math.log((clean + 0.5) / (self.n_clean + 1))
+
+
+def _prune(found: list[tuple[str, int, int]], evidence: Evidence) -> tuple[dict[str, float], dict[str, float]]:
+    """The strong and the weak patterns that speak for toxicity, with their weights: of strong ones that hold each other the
+    shortest that is sure, made as long as nearly all of its rows allow, of weak ones the least likely by chance."""
+    likely = [x for x in found if evidence.surprise(*x[1:]) >= evidence.min_surprise]
+    sure = {pattern: (toxic, clean) for pattern, toxic, clean in likely if clean <= STRONG * toxic}
+    counts = {pattern: toxic for pattern, toxic, clean in found if clean <= STRONG * toxic}
+    strong: dict[str, float] = {}
+    for pattern in sorted(sure, key=lambda p: (len(p), p)):
+        if not any(pattern[:n] in strong for n in range(2, len(pattern))):
+            strong[pattern] = evidence.weight(*sure[pattern])
+    longer = {p: max((q for q in counts if q.startswith(p) and (q == p or q[-1] != " ") and counts[q] >= 0.9 * counts[p]), key=len) for p in strong}
+    weak: dict[str, float] = {}
+    for pattern, toxic, clean in sorted(likely, key=lambda x: (-evidence.surprise(*x[1:]), x[0])):
+        if pattern not in sure and clean <= WEAK * toxic and not any(pattern.startswith(q) or q.startswith(pattern) for q in (*strong, *weak)):
+            weak[pattern] = evidence.weight(toxic, clean)
+    return {longer[p]: weight for p, weight in strong.items()}, {p: w for p, w in weak.items() if w > 1}
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Offset and slopes by Newton steps, with a little shrinkage so that separable rows have an end."""
+    design = np.column_stack([np.ones(len(y)), x])
+    beta = np.zeros(design.shape[1])
+    beta[0] = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         gradient = design.T @ (y - p) - 1e-3 * beta
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(len(beta))
         step = np.linalg.solve(hessian, gradient)
         beta = beta + np.clip(step, -5, 5)
         if abs(step).max() < 1e-6:
             break
-    return float(beta[1]), float(beta[0])
+    return beta.tolist()
 
 
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    max_labelled: int = 20_000,
-    shortest: int = 4,
-    longest: int = 9,
-    min_surprise: float = 6.0,
-    exceptions: tuple[str, ...] = EXCEPTIONS,
-) -> Lexicon:
-    """Learn from labels (doc_id, toxic) of rows that are not held out."""
-    scratch.bounded_batches(docs.sparkSession)
-    rows, path = scratch.written(_labelled(docs, labels, max_labelled), "toxicity-rows")
-    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_toxic or not n_clean:
-        scratch.drop(docs.sparkSession, path)
-        share = (n_toxic + 1e-9) / (n_toxic + n_clean + 1e-6)
-        return Lexicon(offset=math.log(share / (1 - share)) if n_toxic + n_clean else -30.0)
+def _counted(rows: DataFrame, found_in) -> DataFrame:
+    """pattern, clean, toxic: how many rows of each label have each of the patterns that found_in(folded) gives."""
 
     def counted(batches):
         seen = (Counter(), Counter())
@@ -191,34 +205,102 @@ def fit(
 
         for batch in batches:
             for folded, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[toxic].update(patterns_of(folded, shortest, longest))
+                seen[toxic].update(found_in(folded))
             if len(seen[0]) + len(seen[1]) > 1_000_000:
                 yield rows_of()
                 seen[0].clear(), seen[1].clear()
         yield rows_of()
 
-    counts = rows.mapInArrow(counted, "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    base = math.log10((n_toxic + n_clean) / n_toxic)
-    likely = counts.filter((F.col("toxic") * base >= min_surprise) & (F.col("clean") <= 0.05 * F.col("toxic")))
+    found = rows.select("folded", "toxic").mapInArrow(counted, "pattern string, clean long, toxic long")
+    return found.groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def without(phrases: tuple[str, ...]):
+    """A function that takes the phrases out of folded texts."""
+    if not phrases:
+        return lambda folded: folded
+    out = re.compile("(?<= )(?:" + "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p))) + ") ")
+    return lambda folded: out.sub("", folded)
+
+
+def _exceptions(rows: DataFrame, counts: DataFrame, evidence: Evidence) -> tuple[str, ...]:
+    """Phrases of two words, in LEAST_CLEAN clean rows at least and hardly any toxic one, though one of their words speaks for
+    toxic rows, more so where it stands without them."""
+    base = evidence.base
+    some = counts.filter(F.col("pattern").rlike("^ .* $") & (F.col("toxic") * base >= evidence.min_surprise) & (F.col("clean") > STRONG * F.col("toxic")) & (F.col("clean") >= LEAST_CLEAN))
+    some = some.filter(F.col("toxic") * evidence.n_clean > 2 * F.col("clean") * evidence.n_toxic)
+    suspects = {r.pattern.strip(): (r.toxic, r.clean) for r in some.collect()}
+    if not suspects:
+        return ()
+
+    def phrases(folded: str) -> set[str]:
+        words = folded.split()
+        return {f"{a} {b}" for a, b in zip(words, words[1:]) if a in suspects or b in suspects}
+
+    found = _counted(rows, phrases).filter((F.col("clean") >= LEAST_CLEAN) & (F.col("toxic") <= STRONG * F.col("clean"))).collect()
+
+    def helps(r) -> bool:
+        own = [suspects[w] for w in r.pattern.split() if w in suspects]
+        return any(evidence.surprise(t - r.toxic, c - r.clean) > evidence.surprise(t, c) for t, c in own if t >= r.toxic and c >= r.clean)
+
+    return tuple(sorted(r.pattern for r in found if helps(r)))
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    max_labelled: int = 20_000,
+    shortest: int = 4,
+    longest: int = 9,
+    min_surprise: float = 6.0,
+    exceptions: tuple[str, ...] | None = None,
+) -> Lexicon:
+    """Learn from labels (doc_id, toxic) of rows that are not held out. exceptions: phrases to use in place of those learned."""
+    scratch.bounded_batches(docs.sparkSession)
+    rows, path = scratch.written(_labelled(docs, labels, max_labelled), "toxicity-rows")
+    sizes = {r.toxic: (r.n, r.copies) for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")).collect()}
+    (n_toxic, all_toxic), (n_clean, all_clean) = sizes.get(1, (0, 0)), sizes.get(0, (0, 0))
+    if not n_toxic or not n_clean:
+        scratch.drop(docs.sparkSession, path)
+        share = (n_toxic + 1e-9) / (n_toxic + n_clean + 1e-6)
+        return Lexicon(offset=math.log(share / (1 - share)) if n_toxic + n_clean else -30.0)
+    evidence = Evidence(n_toxic, n_clean, min_surprise)
+    counts, counts_path = scratch.written(_counted(rows, lambda folded: patterns_of(folded, shortest, longest)), "toxicity-counts")
+    used = [path, counts_path]
+    if exceptions is None:
+        exceptions = _exceptions(rows, counts, evidence)
+    if exceptions:
+        bare = without(tuple(exceptions))
+        counts, counts_path = scratch.written(_counted(rows, lambda folded: patterns_of(bare(folded), shortest, longest)), "toxicity-counts")
+        used.append(counts_path)
+    likely = counts.filter((F.col("toxic") * evidence.base >= min_surprise) & (F.col("clean") <= WEAK * F.col("toxic")))
 
     def pruned(table):
-        kept = _prune(list(zip(*(table.column(x).to_pylist() for x in ("pattern", "toxic", "clean")))), n_toxic, n_clean, min_surprise)
-        return pa.table({"pattern": pa.array(kept.keys(), pa.string()), "weight": pa.array(kept.values(), pa.float64())})
+        both = _prune(list(zip(*(table.column(x).to_pylist() for x in ("pattern", "toxic", "clean")))), evidence)
+        kept = [(p, w, strong) for strong, own in zip((True, False), both) for p, w in own.items()]
+        columns = list(zip(*kept)) if kept else [()] * 3
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("pattern", "weight", "strong"), columns, (pa.string(), pa.float64(), pa.bool_()))})
 
     # Patterns that hold each other begin alike, up to the shortest beginning at least.
-    nested = likely.withColumn("stem", F.substring("pattern", 1, shortest + 1)).groupBy("stem").applyInArrow(pruned, "pattern string, weight double")
-    weights = dict(sorted(tuple(r) for r in nested.collect()))
-    model = Lexicon(weights, tuple(exceptions))
+    nested = likely.withColumn("stem", F.substring("pattern", 1, shortest + 1)).groupBy("stem").applyInArrow(pruned, "pattern string, weight double, strong boolean")
+    kept = sorted(tuple(r) for r in nested.collect())
+    model = Lexicon({p: w for p, w, strong in kept if strong}, tuple(exceptions), weak={p: w for p, w, strong in kept if not strong})
+    if not kept:
+        scratch.drop(docs.sparkSession, *used)
+        share = (all_toxic + 0.5) / (all_toxic + all_clean + 2)
+        return Lexicon(offset=math.log(share / (1 - share)))
 
     def measured(batches):
         automaton = model.automaton()
         for batch in batches:
-            x = [model.strength(folded, automaton) for folded in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "toxic"])
-
-    pairs = rows.mapInArrow(measured, "x double, toxic int").collect()
-    scratch.drop(docs.sparkSession, path)
-    model.slope, model.offset = _logistic(np.log1p(np.array([r.x for r in pairs])), np.array([float(r.toxic) for r in pairs]))
+            x = [model.strengths(folded, automaton) for folded in batch.column(0).to_pylist()]
+            strong, weak = zip(*x) if x else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(strong, pa.float64()), pa.array(weak, pa.float64()), batch.column(1)], names=["strong", "weak", "toxic"])
+
+    pairs = sorted(tuple(r) for r in rows.select("folded", "toxic").mapInArrow(measured, "strong double, weak double, toxic int").collect())
+    scratch.drop(docs.sparkSession, *used)
+    table = np.array(pairs, "f8")
+    model.offset, model.slope, model.weak_slope = _logistic(np.log1p(table[:, :2]), table[:, 2])
     return model
 
 
@@ -230,7 +312,7 @@ def score(docs: DataFrame, model: Lexicon, id_col: str = "doc_id", text_col: str
     def scored(batches):
         automaton = model.automaton()
         for batch in batches:
-            found = [model.score(model.strength(fold(t), automaton)) for t in batch.column(1).to_pylist()]
+            found = model.scores(batch.column(1).to_pylist(), automaton)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     found = rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -245,7 +327,7 @@ def drop_toxic(docs: DataFrame, model: Lexicon, text_col: str = "text") -> DataF
     def clean(batches):
         automaton = model.automaton()
         for batch in batches:
-            stays = [model.score(model.strength(fold(t), automaton)) < 0.5 for t in batch.column(at).to_pylist()]
+            stays = [x < 0.5 for x in model.scores(batch.column(at).to_pylist(), automaton)]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

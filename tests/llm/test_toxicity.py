@@ -61,6 +61,56 @@ def test_exceptions_cancel_hits(learned):
     assert model.strength(toxicity.fold("trash can of trash"), auto) > 0
 
 
+def test_exceptions_are_learned_from_clean_rows(spark):
+    # "grumbolt" is toxic but in "grumbolt can" and "class grumbolt", which clean rows have.
+    docs, labels = corpus(900, 4)
+    rng = random.Random(4)
+    docs = [(i, t.replace("snarfing", "grumbolt").replace("vexlow", "grumbolt").replace("grumbolts", "grumbolt").replace("grumbolting", "grumbolt"), x) for i, t, x in docs]
+    docs = [(i, t + " " + rng.choice(["the grumbolt can", "a class grumbolt"]) if i % 5 and rng.random() < 0.4 else t, x) for i, t, x in docs]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, x string")
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(model.exceptions) == {"grumbolt can", "class grumbolt"} and any("grumbolt".startswith(p.strip()[:8]) for p in model.weights)
+    held = [r for r in toxicity.score(frame, model).collect() if r.held_out and dict(labels)[r.doc_id] is not None]
+    assert sum(r.predicted == dict(labels)[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_weak_words_add_up(spark):
+    # No word is in toxic rows alone: "dimmel" is in each of them and in some clean ones.
+    rng = random.Random(6)
+    ids = [i for i in range(3000)]
+    rows = [(i, " ".join([*rng.choices(WORDS, k=30), *["dimmel"] * ((i % 10 == 0) * rng.randint(2, 4) + (rng.random() < 0.03))])) for i in ids]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 10 == 0)) for i in ids], "doc_id long, toxic int"))
+    assert not model.weights and list(model.weak) and all("dimmel".startswith(p.strip()) for p in model.weak)
+    automaton = model.automaton()
+    assert model.scores(["dimmel dimmel dimmel and a river", "a quiet river"], automaton)[0] > 0.5 > model.scores(["a quiet river"], automaton)[0]
+
+
+def test_hits_match_a_naive_matcher():
+    rng = random.Random(7)
+    for _ in range(200):
+        word = lambda: "".join(rng.choices("ab", k=rng.randint(1, 6)))
+        strong, weak = ({f" {word()}{rng.choice(['', ' '])}": rng.random() * 5 for _ in range(5)} for _ in range(2))
+        weak = {p: w for p, w in weak.items() if p not in strong}
+        model = toxicity.Lexicon(strong, (f"{word()} {word()}",), weak=weak)
+        folded = f" {' '.join(word() for _ in range(rng.randint(1, 30)))} "
+        starts = [k for k, c in enumerate(folded[:-1]) if c == " "]
+        covered = {k for k in starts for p in model.exceptions for at in starts if folded.startswith(f" {p} ", at) and at <= k < at + len(p) + 1}
+        expected = []
+        for own in (strong, weak):
+            best = [max((w for p, w in own.items() if folded.startswith(p, k)), default=0.0) for k in starts if k not in covered]
+            expected.append(sum(best) / len(folded.split()) ** 0.5 if best else 0.0)
+        found = model.strengths(folded, model.automaton())
+        scale = (folded.count(" ") / len(folded.split())) ** 0.5
+        assert [x * scale for x in found] == pytest.approx(expected)
+
+
+def test_labels_that_no_word_explains(spark):
+    docs = spark.createDataFrame([(1, "one text"), (2, "another text"), (3, "a third"), (4, "a fourth")], "doc_id long, text string")
+    for rows in ([(1, 1), (2, 0)], [(1, 1), (1, 0), (2, 0)], [(1, 1), (2, 0), (3, 0), (4, 0)]):
+        model = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+        assert {r.predicted for r in toxicity.score(docs, model).collect()} == {0}
+
+
 def test_length_normalises(learned):
     model = toxicity.Lexicon({" bad": 5.0})
     auto = model.automaton()
