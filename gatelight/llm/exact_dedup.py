@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatelight.llm import scratch
+
 #: One space stands for each run of these characters.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -25,18 +27,23 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ")
 
 
+def _digest(hexadecimal: Column) -> Column:
+    """Bytes of a digest, never null: otherwise each join on it would compute it once more to look for nulls."""
+    return F.coalesce(F.unhex(hexadecimal), F.lit(b""))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """h128, sha, keep_id, group_size of each different text."""
+    hashed = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("h128", _digest(F.md5("norm")))
+    groups = hashed.groupBy("h128", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return groups.select("h128", _digest(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     norm = normalised(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"))
-    hashed = base.withColumn("h128", F.unhex(F.md5("norm")))
-    groups = (
-        hashed.groupBy("h128", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h128", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
-    )
-    rows = hashed.select("doc_id", "h128", F.unhex(F.sha2("norm", 256)).alias("sha"))
-    return rows.join(groups, ["h128", "sha"]).select(
+    rows = docs.select(F.col(id_col).alias("doc_id"), _digest(F.md5(norm)).alias("h128"), _digest(F.sha2(norm, 256)).alias("sha"))
+    return rows.join(_groups(docs, id_col, text_col), ["h128", "sha"]).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -50,7 +57,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows with the same id and equal texts are one document that was read twice: one of them stays.
     """
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
-    marked = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    same = marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept"))
-    return marked.join(kept.distinct(), same, "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
+    sha, own = (scratch.unused(name, docs) for name in ("own_sha", "own_id"))
+    text_id = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    kept = _groups(docs, id_col, text_col).select(text_id(F.col("keep_id")).alias(own), F.col("sha").alias(sha))
+    marked = docs.withColumns({sha: _digest(F.sha2(normalised(F.col(text_col)), 256)), own: text_id(F.col(id_col))})
+    # Rows are dealt by id and digest for the join, and stay so for the last step.
+    return marked.join(kept, [own, sha], "left_semi").dropDuplicates([own, sha]).select(*docs.columns)
