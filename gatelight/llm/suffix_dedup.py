@@ -39,7 +39,7 @@ from gatelight.llm.text import WHITE, Words, mix, words
 
 MIN_WORDS, HEAD = 50, 20
 #: Suffixes with one head that may meet in a task.
-HOT = 10_000
+HOT = 100_000
 _STEP = 0xD1342543DE82EF95
 
 
@@ -201,30 +201,37 @@ def _met(contexts: DataFrame, min_words: int, head: int) -> DataFrame:
 
         def solved():
             classes: dict[tuple, list[int]] = {}
-            places = []
             for n, (_, _, _, place, first, _, around) in enumerate(held):
-                starts, ends = _split(around)
-                places.append((starts, ends))
-                at = place - first
-                own = around.split()
-                classes.setdefault((tuple(own[:at][::-1]), tuple(own[at + head :])), []).append(n)
-            order = sorted(classes, key=lambda sides: sides[1])
+                classes.setdefault((place - first, b" ".join(around.split())), []).append(n)
             rows = []
             if len({x[1] for x in held}) > 1:
+                same: dict[bytes, bytes] = {}  # equal words are held once
+                sides = {}
+                for key in classes:
+                    own = [same.setdefault(w, w) for w in key[1].split(b" ")]
+                    sides[key] = tuple(own[: key[0]][::-1]), tuple(own[key[0] + head :])
+                order = sorted(classes, key=lambda key: sides[key][1])
                 lows, highs = ([f(held[n][1] for n in classes[x]) for x in order] for f in (min, max))
-                for sides, by_k in zip(order, shared(order, lows, highs, reach)):
-                    if not by_k:
-                        continue
-                    for n in classes[sides]:
-                        _, doc, which, place, first, begin, _ = held[n]
-                        starts, ends = places[n]
-                        for first_id, ks in groupby(sorted(by_k, reverse=True), by_k.get):
-                            ks = list(ks)
-                            while ks:  # consecutive ones in one row
-                                size = next((j for j in range(1, len(ks)) if ks[j] != ks[0] - j), len(ks))
-                                a, b = place - ks[0] - first, place - ks[size - 1] - first
-                                rows.append((doc, which, first + a, first + b, begin + starts[a], begin + ends[b + min_words - 1], first_id))
-                                ks = ks[size:]
+                for key, by_k in zip(order, shared([sides[x] for x in order], lows, highs, reach)):
+                    series = []  # consecutive passages with one first document
+                    for first_id, ks in groupby(sorted(by_k, reverse=True), by_k.get):
+                        for k in ks:
+                            if series and series[-1][1] == k + 1 and series[-1][2] == first_id:
+                                series[-1][1] = k
+                            else:
+                                series.append([k, k, first_id])
+                    size = len(sides[key][0]) + head + len(sides[key][1])
+                    for n in classes[key] if series else ():
+                        _, doc, which, place, first, begin, around = held[n]
+                        at = None
+                        for k, last_k, first_id in series:
+                            a, b = key[0] - k, key[0] - last_k
+                            if a == 0 and b + min_words == size:
+                                start, end = 0, len(around)
+                            else:
+                                at = at or _split(around)
+                                start, end = at[0][a], at[1][b + min_words - 1]
+                            rows.append((doc, which, first + a, first + b, begin + start, begin + end, first_id))
             held.clear()
             return rows
 
