@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 FAMILIES = ("validity", "substantive", "precision")
 
 LEVELS = {
@@ -61,6 +63,38 @@ STATES = {
 }
 
 
+@dataclass(frozen=True)
+class Registry:
+    """The required gates of each level and family, in order, and the roles of reviewers by "family.gate" or "family.*"."""
+
+    levels: dict
+    roles: dict
+
+    def __post_init__(self):
+        for problem in self.problems():
+            raise ValueError(problem)
+
+    def problems(self) -> list[str]:
+        """What breaks the contract of a registry."""
+        if not isinstance(self.levels, dict):
+            return ["the registry has no levels"]
+        found = []
+        for level, own in self.levels.items():
+            if not isinstance(own, dict) or set(own) != set(FAMILIES):
+                found.append(f"level {level!r} must have just the families {', '.join(FAMILIES)}")
+                continue
+            for family, gates in own.items():
+                if not isinstance(gates, list) or not gates or not all(isinstance(g, str) and g.strip() for g in gates):
+                    found.append(f"level {level!r} needs a list of gate names for {family}")
+        return found if isinstance(self.roles, dict) else [*found, "the registry has no roles"]
+
+    def gate_rows(self) -> list[tuple[str, str, int, str, int]]:
+        """(level, family, place of the family, gate, place of the gate)."""
+        return [(level, family, f, gate, g) for level, own in self.levels.items() for f, family in enumerate(FAMILIES) for g, gate in enumerate(own[family])]
+
+
+PUBLISHED = Registry(LEVELS, ROLES)
+
+
 def gate_rows() -> list[tuple[str, str, int, str, int]]:
-    """(level, family, place of the family, gate, place of the gate), 72 rows."""
-    return [(level, family, f, gate, g) for level, own in LEVELS.items() for f, family in enumerate(FAMILIES) for g, gate in enumerate(own[family])]
+    return PUBLISHED.gate_rows()

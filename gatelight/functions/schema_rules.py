@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 
 from gatelight.functions import variants as V
 
-_PATHS = "array<array<string>>"
+#: A path is a list of parts; n orders list indices as numbers, and is -1 for the names of members.
+_PATH = "array<struct<n:int,s:string>>"
+_PATHS = f"array<{_PATH}>"
+
+
+def _part(name: Column, index: Column | None = None) -> Column:
+    return F.array(F.struct((F.lit(-1) if index is None else index).cast("int").alias("n"), name.alias("s")))
 
 
 def _none() -> Column:
@@ -23,9 +29,9 @@ def _at(cond: Column, path: Column) -> Column:
 
 
 def violations(schema: dict, v: Column, path: Column | None = None, root: dict | None = None) -> Column:
-    """array<array<string>>: the path of each violation; nothing for an absent value."""
+    """The path of each violation; nothing for an absent value."""
     root = root or schema
-    path = F.expr("array()").cast("array<string>") if path is None else path
+    path = F.expr("array()").cast(_PATH) if path is None else path
     while "$ref" in schema:
         place = root
         for part in schema["$ref"].removeprefix("#/").split("/"):
@@ -60,17 +66,17 @@ def violations(schema: dict, v: Column, path: Column | None = None, root: dict |
     if "minItems" in schema:
         found.append(_at((kind == "array") & (F.size(V.items(v)) < schema["minItems"]), path))
     if "items" in schema:
-        each = F.transform(V.items(v), lambda x, i: violations(schema["items"], x, F.concat(path, F.array(i.cast("string"))), root))
+        each = F.transform(V.items(v), lambda x, i: violations(schema["items"], x, F.concat(path, _part(i.cast("string"), i)), root))
         found.append(F.flatten(each))
     for name, own in known.items():
         inner = V.field(v, name)
-        found.append(F.when(inner.isNotNull(), violations(own, inner, F.concat(path, F.array(F.lit(name))), root)).otherwise(_none()))
+        found.append(F.when(inner.isNotNull(), violations(own, inner, F.concat(path, _part(F.lit(name))), root)).otherwise(_none()))
     if isinstance(extra, dict):
         entries = F.filter(F.map_entries(V.members(v)), lambda e: ~e["key"].isin(*known)) if known else F.map_entries(V.members(v))
-        found.append(F.flatten(F.transform(entries, lambda e: violations(extra, e["value"], F.concat(path, F.array(e["key"])), root))))
+        found.append(F.flatten(F.transform(entries, lambda e: violations(extra, e["value"], F.concat(path, _part(e["key"])), root))))
     return F.concat(*found) if found else _none()
 
 
 def violation_tags(schema: dict, v: Column) -> Column:
     """One tag for each violation, in the order of paths."""
-    return F.transform(F.array_sort(violations(schema, v)), lambda p: F.concat(F.lit("schema:jsonschema="), F.when(F.size(p) == 0, "root").otherwise(F.array_join(p, "/"))))
+    return F.transform(F.array_sort(violations(schema, v)), lambda p: F.concat(F.lit("schema:jsonschema="), F.when(F.size(p) == 0, "root").otherwise(F.array_join(F.transform(p, lambda x: x["s"]), "/"))))

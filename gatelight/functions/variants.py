@@ -57,7 +57,10 @@ def utc(s: Column) -> Column:
 
 
 def shown(v: Column) -> Column:
-    """A value as it is written in tags: strings in single quotes, None for null or absent."""
-    k = kind(v)
-    quoted = F.concat(F.lit("'"), F.replace(F.replace(text(v), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    """A value as it is written in tags: strings in single quotes, or in double ones if they hold single quotes only; None for null or absent."""
+    k, s = kind(v), text(v)
+    for raw, safe in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        s = F.replace(s, F.lit(raw), F.lit(safe))
+    double = F.contains(s, F.lit("'")) & ~F.contains(s, F.lit('"'))
+    quoted = F.when(double, F.concat(F.lit('"'), s, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'")))
     return F.when(k == "string", quoted).when(k.isNull() | (k == "null"), "None").when(k == "boolean", F.initcap(F.to_json(v))).otherwise(F.to_json(v))

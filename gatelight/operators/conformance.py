@@ -12,22 +12,22 @@ from pyspark.sql import functions as F
 from gatelight.functions import registry_values as R
 
 
-def registry_gates(spark) -> DataFrame:
-    return spark.createDataFrame(R.gate_rows(), "level string, family string, family_ord int, gate string, gate_ord int")
+def registry_gates(spark, registry: R.Registry = R.PUBLISHED) -> DataFrame:
+    return spark.createDataFrame(registry.gate_rows(), "level string, family string, family_ord int, gate string, gate_ord int")
 
 
-def role_policy(spark) -> DataFrame:
-    return spark.createDataFrame(list(R.ROLES.items()), "key string, role string")
+def role_policy(spark, registry: R.Registry = R.PUBLISHED) -> DataFrame:
+    return spark.createDataFrame(list(registry.roles.items()), "key string, role string")
 
 
-def required_gates(records: DataFrame) -> DataFrame:
+def required_gates(records: DataFrame, registry: R.Registry = R.PUBLISHED) -> DataFrame:
     """Records (with level) and the rows that their level requires."""
-    return records.join(F.broadcast(registry_gates(records.sparkSession)), "level")
+    return records.join(F.broadcast(registry_gates(records.sparkSession, registry)), "level")
 
 
-def required_roles(gates: DataFrame) -> DataFrame:
+def required_roles(gates: DataFrame, registry: R.Registry = R.PUBLISHED) -> DataFrame:
     """gates (family, gate) with role: that of the gate itself, else of its family."""
-    policy = role_policy(gates.sparkSession)
+    policy = role_policy(gates.sparkSession, registry)
     exact = F.broadcast(policy.select(F.col("key").alias("exact_key"), F.col("role").alias("exact_role")))
     family = F.broadcast(policy.select(F.col("key").alias("family_key"), F.col("role").alias("family_role")))
     out = gates.join(exact, F.concat_ws(".", "family", "gate") == F.col("exact_key"), "left")

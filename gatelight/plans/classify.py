@@ -28,8 +28,10 @@ def _no_tags() -> Column:
     return F.expr("array()").cast(_TAGS)
 
 
-def schema_tags(v: Column) -> Column:
-    """All shape violations of a record, formal ones first."""
+def schema_tags(v: Column, registry: R.Registry = R.PUBLISHED, shape: dict | None = S.RECORD) -> Column:
+    """All violations of the shape of a record, formal ones first; shape is None if its document can't be read."""
+    if shape is None:
+        return F.when(F.coalesce(V.kind(v) != "object", F.lit(True)), F.array(F.lit("schema:root_not_object"))).otherwise(F.array(F.lit("schema:formal_schema_unavailable")))
     f = lambda name: V.field(v, name)
     boundary, profile, sequence = f("boundary"), f("evidence_profile"), f("minimum_manifest_sequence")
     checks = [(f(name).isNull(), f"schema:missing_field={name}") for name in S.RECORD["required"]]
@@ -37,7 +39,7 @@ def schema_tags(v: Column) -> Column:
     checks.append((V.utc(V.text(f("assessment_time_utc"))).isNull(), "schema:assessment_time_utc_invalid"))
     whole = F.coalesce(V.kind(sequence).isin("integer", "boolean"), F.lit(False)) & ~F.coalesce(V.number(sequence) < 0, F.lit(False))
     checks.append((~whole, "schema:minimum_manifest_sequence_invalid"))
-    checks.append((~F.coalesce(V.text(profile).isin(*R.LEVELS), F.lit(False)), F.concat(F.lit("schema:unknown_evidence_profile="), V.shown(profile))))
+    checks.append((~F.coalesce(V.text(profile).isin(*registry.levels), F.lit(False)), F.concat(F.lit("schema:unknown_evidence_profile="), V.shown(profile))))
     is_object = F.coalesce(V.kind(boundary) == "object", F.lit(False))
     checks.append((~is_object, "schema:boundary_not_object"))
     checks += [(is_object & ~V.filled(V.text(V.field(boundary, n))), f"schema:boundary_{n}_missing_or_empty") for n in ("energy", "service")]
@@ -49,11 +51,11 @@ def schema_tags(v: Column) -> Column:
         good = F.coalesce(V.kind(holder) == "object", F.lit(False))
         checks.append((~good, f"schema:{name}_not_object"))
         checks += [(good & ~F.coalesce(V.kind(V.field(holder, x)) == wanted, F.lit(False)), f"schema:{name}_{x}_missing_or_invalid") for x in R.FAMILIES]
-    return F.when(F.coalesce(V.kind(v) != "object", F.lit(True)), F.array(F.lit("schema:root_not_object"))).otherwise(F.concat(violation_tags(S.RECORD, v), C.tags(*checks)))
+    return F.when(F.coalesce(V.kind(v) != "object", F.lit(True)), F.array(F.lit("schema:root_not_object"))).otherwise(F.concat(violation_tags(shape, v), C.tags(*checks)))
 
 
-def manifest_tags(m: Column) -> Column:
-    """What keeps a manifest from being used."""
+def manifest_tags(m: Column, there: Column) -> Column:
+    """What keeps a manifest from being used. there: whether a text of it was found at all."""
     f = lambda name: V.field(m, name)
     sequence = f("sequence")
     whole = F.coalesce(V.kind(sequence).isin("integer", "boolean"), F.lit(False)) & ~F.coalesce(V.number(sequence) < 0, F.lit(False))
@@ -65,18 +67,18 @@ def manifest_tags(m: Column) -> Column:
         (F.coalesce(V.kind(f("evidence")) != "object", F.lit(True)), "manifest:evidence_not_object"),
         (F.coalesce(V.kind(f("authorized_reviewers")) != "object", F.lit(True)), "manifest:authorized_reviewers_not_object"),
     )
-    return F.when(m.isNull(), F.array(F.lit("manifest:unreadable=JSONDecodeError"))).otherwise(found)
+    return F.when(~there, F.array(F.lit("manifest:unreadable=FileNotFoundError"))).when(m.isNull(), F.array(F.lit("manifest:unreadable=JSONDecodeError"))).otherwise(found)
 
 
 def _each(names: Column, prefix: str) -> Column:
     return F.transform(names, lambda name: F.concat(F.lit(prefix), name))
 
 
-def declaration_tags(v: Column, level: Column) -> Column:
+def declaration_tags(v: Column, level: Column, registry: R.Registry = R.PUBLISHED) -> Column:
     """How the gates that a record declares differ from those that its level requires."""
     out = []
     for family in R.FAMILIES:
-        expected = F.element_at(F.create_map(*[x for name, own in R.LEVELS.items() for x in (F.lit(name), F.array(*[F.lit(g) for g in own[family]]))]), level)
+        expected = F.element_at(F.create_map(*[x for name, own in registry.levels.items() for x in (F.lit(name), F.array(*[F.lit(g) for g in own[family]]))]), level)
         declared = F.transform(V.items(V.field(V.field(v, "declared_required_gates"), family)), V.text)
         out.append(C.tags((F.size(F.array_distinct(declared)) != F.size(declared), f"required_gate_declaration:{family}:duplicate_gate_name")))
         for name, gates in (("omitted", C.set_difference(expected, declared)), ("unregistered", C.set_difference(declared, expected))):
@@ -105,9 +107,9 @@ def _same(a: Column, b: Column) -> Column:
     return V.shown(a).eqNullSafe(V.shown(b)) & V.kind(a).eqNullSafe(V.kind(b))
 
 
-def gate_tags(ready: DataFrame, manifests: DataFrame, files: DataFrame) -> DataFrame:
+def gate_tags(ready: DataFrame, manifests: DataFrame, files: DataFrame, registry: R.Registry = R.PUBLISHED) -> DataFrame:
     """record_key, place, family, gate, status and tags of every required gate of the records (record_key, v, level, manifest_key)."""
-    gates = C.required_roles(C.required_gates(ready))
+    gates = C.required_roles(C.required_gates(ready, registry), registry)
 
     def of(holder: str) -> Column:
         chosen = F.lit(None)
@@ -199,12 +201,12 @@ def _components(state: Column, known: Column, provenance: Column) -> Column:
     return F.create_map(F.lit("overall"), state, F.lit("provenance"), first, *[x for n, v in zip(names[1:], values) for x in (F.lit(n), v)])
 
 
-def classify(records: DataFrame, manifests: DataFrame, files: DataFrame) -> DataFrame:
-    """record_key, claim_id, state, display_state, claim_level, reason, audit_tags, required_gates, component_statuses."""
-    m = manifests.select("manifest_key", F.try_parse_json("manifest").alias("m"), F.col("digest").alias("manifest_digest"))
+def classify(records: DataFrame, manifests: DataFrame, files: DataFrame, registry: R.Registry = R.PUBLISHED, shape: dict | None = S.RECORD) -> DataFrame:
+    """record_key, claim_id, state, display_state, claim_level, reason, audit_tags, required_gates, component_statuses, schema_accepts."""
+    m = manifests.select("manifest_key", F.try_parse_json("manifest").alias("m"), F.col("digest").alias("manifest_digest"), F.col("manifest").isNotNull().alias("there"))
     base = records.select("record_key", "manifest_key", F.try_parse_json("record").alias("v")).join(m, "manifest_key", "left")
     v, mf = F.col("v"), F.col("m")
-    base = base.withColumn("level", V.text(V.field(v, "evidence_profile"))).withColumn("m_tags", manifest_tags(mf)).withColumn("s_tags", schema_tags(v))
+    base = base.withColumn("level", V.text(V.field(v, "evidence_profile"))).withColumn("m_tags", manifest_tags(mf, F.coalesce("there", F.lit(False)))).withColumn("s_tags", schema_tags(v, registry, shape))
     token = V.field(mf, "local_integrity_token")
     token_path = V.text(V.field(token, "path"))
     base = base.withColumn("path_key", normal_path(token_path))
@@ -235,10 +237,10 @@ def classify(records: DataFrame, manifests: DataFrame, files: DataFrame) -> Data
     for name, text in simple.items():
         g_tags = g_tags.when(F.col("guard") == name, F.array(F.lit(text)))
     g_tags = g_tags.when(F.col("guard") == "token", F.array(F.concat(F.lit("manifest:local_integrity_token_"), token_tag)))
-    base = base.withColumn("guard_tags", g_tags).withColumn("d_tags", F.when(F.col("guard").isNull(), declaration_tags(v, F.col("level"))))
+    base = base.withColumn("guard_tags", g_tags).withColumn("d_tags", F.when(F.col("guard").isNull(), declaration_tags(v, F.col("level"), registry)))
 
     ready = base.filter("guard IS NULL").select("record_key", "manifest_key", "v", "level")
-    gates = gate_tags(ready, m.select("manifest_key", "m"), files)
+    gates = gate_tags(ready, m.select("manifest_key", "m"), files, registry)
     family, status, gate = F.col("family"), F.col("status"), F.col("gate")
     ordered = F.array_sort(F.collect_list(F.struct("place", "tags")))
     energy = (family == "substantive") & gate.isin("functional_unit_declared", "fixed_work_unit", "benefit_threshold")
@@ -263,11 +265,12 @@ def classify(records: DataFrame, manifests: DataFrame, files: DataFrame) -> Data
     reason = F.element_at(F.create_map(*[F.lit(x) for pair in S.REASONS.items() for x in pair]), F.col("rule"))
     known = F.col("guard").isNull()
     required = F.create_map(*[x for f in R.FAMILIES for x in (F.lit(f), F.when(F.col("guard").isin("manifest", "schema"), _no_tags()).otherwise(
-        F.coalesce(F.try_element_at(F.create_map(*[y for name, own_ in R.LEVELS.items() for y in (F.lit(name), F.array(*[F.lit(g) for g in own_[f]]))]), F.col("level")), _no_tags())))])
+        F.coalesce(F.try_element_at(F.create_map(*[y for name, own_ in registry.levels.items() for y in (F.lit(name), F.array(*[F.lit(g) for g in own_[f]]))]), F.col("level")), _no_tags())))])
     claim_id = F.coalesce(V.text(V.field(v, "id")), F.to_json(V.field(v, "id")), F.lit("<invalid-claim-object>"))
     out = out.withColumn("state", state)
     return out.select(
         "record_key", claim_id.alias("claim_id"), "state", C.display_state(F.col("state"), F.col("level")).alias("display_state"), F.col("level").alias("claim_level"), reason.alias("reason"),
         F.coalesce("guard_tags", F.concat(F.coalesce("d_tags", _no_tags()), F.coalesce("gate_tags", _no_tags()))).alias("audit_tags"), required.alias("required_gates"),
         _components(F.col("state"), known, ~F.col("rule").isin("declaration", "attestation")).alias("component_statuses"),
+        (~F.exists("s_tags", lambda t: F.startswith(t, F.lit("schema:jsonschema=")) | t.isin("schema:root_not_object", "schema:formal_schema_unavailable"))).alias("schema_accepts"),
     )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gatelight.plans import conformance_queries, statistics_queries
+from gatelight.plans import conformance_queries, record_queries, statistics_queries
 
 FLAGSHIP = "q_state_fold"
-QUERIES = conformance_queries.QUERIES | statistics_queries.QUERIES
-ORACLE_SQL = conformance_queries.ORACLE_SQL | statistics_queries.ORACLE_SQL
+QUERIES = conformance_queries.QUERIES | record_queries.QUERIES | statistics_queries.QUERIES
+ORACLE_SQL = conformance_queries.ORACLE_SQL | record_queries.ORACLE_SQL | statistics_queries.ORACLE_SQL

@@ -6,11 +6,14 @@ are small; anything large should come with its digest in a table.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
+from gatelight.functions.registry_values import Registry
 from gatelight.operators import integrity
 
 #: Columns of a request-outcome table; times are nanoseconds since the epoch and stay integers.
@@ -79,7 +82,8 @@ def table_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV files, written by as many tasks as the rows have partitions."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -87,12 +91,58 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a report: JSON lines, or one document over several lines."""
+    lines = spark.read.text(path, wholetext=True)
+    several = F.try_parse_json("value").isNotNull()
+    texts = lines.select(F.explode(F.when(several, F.array("value")).otherwise(F.split("value", "\n"))).alias("value")).filter(F.trim("value") != "")
+    return texts.select(F.from_json("value", schema).alias("x")).select("x.*")
+
+
+def _document(spark: SparkSession, path: str):
+    """A small JSON document; an error if it isn't there or isn't JSON."""
+    rows = spark.read.text(path, wholetext=True).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} is not one document")
+    return json.loads(rows[0].value)
+
+
+def registry(spark: SparkSession, path: str) -> Registry:
+    """The registry in a JSON document with levels and required_reviewer_roles; an error if it breaks the contract."""
+    found = _document(spark, path)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} is not an object")
+    return Registry(found.get("levels"), found.get("required_reviewer_roles"))
+
+
+def shape(spark: SparkSession, path: str) -> dict | None:
+    """The formal shape of records in a JSON-Schema document; None if it can't be read."""
+    try:
+        found = _document(spark, path)
+    except (AnalysisException, ValueError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
 def write_checksums(spark: SparkSession, folder: str, path: str) -> None:
-    """A checksum manifest of the files below a folder, sorted by path."""
-    lines = digests(spark, folder, canonical=True).orderBy("path").select(F.concat_ws("  ", "digest", "path").alias("value"))
-    lines.coalesce(1).write.mode("overwrite").text(path)
+    """A checksum manifest of the files below a folder, without itself, sorted by path: one range of paths in each of its parts."""
+    own = below(F.lit(path), folder)
+    files = digests(spark, folder, canonical=True).withColumn("own", own).filter((F.col("path") != F.col("own")) & ~F.startswith("path", F.concat("own", F.lit("/"))))
+    files.orderBy("path").select(F.concat_ws("  ", "digest", "path").alias("value")).write.mode("overwrite").text(path)
 
 
 def verify_checksums(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
-    """path, expected and found of every file that is missing or differs."""
-    return integrity.mismatches(checksums(spark, manifest), digests(spark, folder, canonical=True))
+    """path, expected and found of every file that is missing or differs, and of every line whose path leads out of the folder or isn't one."""
+    lines = checksums(spark, manifest)
+    bad = lines.filter(integrity.path_error(F.col("path")).isNotNull()).select("path", F.col("digest").alias("expected"), F.lit(None).cast("string").alias("found"))
+    good = lines.filter(integrity.path_error(F.col("path")).isNull())
+    return integrity.mismatches(good, digests(spark, folder, canonical=True)).unionByName(bad)
+
+
+def require_checksums(spark: SparkSession, manifest: str, folder: str, shown: int = 20) -> None:
+    """An error that names the first files that are missing or differ, by path, or that says that the manifest lists none."""
+    if checksums(spark, manifest).isEmpty():
+        raise ValueError(f"{manifest} lists no files")
+    wrong = verify_checksums(spark, manifest, folder).orderBy("path").limit(shown).collect()
+    if wrong:
+        raise ValueError("files are missing or differ: " + ", ".join(f"{r.path} ({r.found or 'missing'})" for r in wrong))

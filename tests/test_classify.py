@@ -1,134 +1,69 @@
-import copy
+import json
 
 import pytest
 
 from gatelight.functions import registry_values as R
+from gatelight.plans import record_cases as M
 from gatelight.plans.classify import classify
-from tests.fixtures import build, sha, tables
 
-G = "attestation:validity:boundary_declared"
-
-
-def changed(level="L1", **how):
-    case = build(level)
-    for part, change in how.items():
-        if callable(change):
-            change(case[part])
-        else:
-            case[part] = change
-    return case
-
-
-def gate(change, family="validity", name="boundary_declared"):
-    return lambda record: change(record["evidence_adjudications"][family][name])
-
-
-def evidence(change, key="ev:validity.boundary_declared"):
-    return lambda manifest: change(manifest["evidence"][key])
-
-
-def put(**values):
-    return lambda x: x.update(values)
-
-
-def status(family, name, value):
-    return lambda record: record["gates"][family][name].update(status=value)
-
-
-def twin(case):
-    one, two = "ev:validity.boundary_declared", "ev:validity.required_gate_set_complete"
-    path = case["manifest"]["evidence"][one]["path"]
-    other = case["manifest"]["evidence"][two]["path"]
-    case["files"][other] = case["files"][path]
-    digest = sha(case["files"][path])
-    case["manifest"]["evidence"][two]["sha256"] = digest
-    case["record"]["evidence_adjudications"]["validity"]["required_gate_set_complete"]["evidence_sha256"] = digest
-    return case
-
-
-NA, FAILED, OPEN, DONE = (R.STATES[k] for k in ("not_assessable", "failed", "inconclusive", "complete"))
-CASES = {
-    **{level: (build(level), DONE, []) for level in R.LEVELS},
-    "reordered": (changed(record=lambda r: [v.reverse() for v in r["declared_required_gates"].values()]), DONE, []),
-    "no_json": (changed(record="{"), NA, ["schema:root_not_object"]),
-    "array": (changed(record="[1]"), NA, ["schema:root_not_object"]),
-    "bad_manifest": (changed(manifest="{"), NA, ["manifest:unreadable=JSONDecodeError"]),
-    "empty_manifest": (changed(manifest={}), NA, ["manifest:manifest_id_missing_or_empty", "manifest:manifest_version_missing_or_empty", "manifest:sequence_invalid", "manifest:created_at_utc_invalid", "manifest:evidence_not_object", "manifest:authorized_reviewers_not_object"]),
-    "unknown_profile": (changed(record=put(evidence_profile="L9")), NA, ["schema:jsonschema=evidence_profile", "schema:unknown_evidence_profile='L9'"]),
-    "null_profile": (changed(record=put(evidence_profile=None)), NA, ["schema:jsonschema=evidence_profile", "schema:unknown_evidence_profile=None"]),
-    "no_owner": (changed(record=lambda r: r.pop("claim_owner_id")), NA, ["schema:jsonschema=root", "schema:missing_field=claim_owner_id"]),
-    "blank": (changed(record=put(statement="  ")), NA, ["schema:empty_or_invalid=statement"]),
-    "empty_boundary": (changed(record=put(boundary={})), NA, ["schema:jsonschema=boundary"] * 3 + ["schema:boundary_energy_missing_or_empty", "schema:boundary_service_missing_or_empty", "schema:boundary_exclusions_missing_or_empty"]),
-    "rationale": (changed(record=put(threshold_rationale={})), NA, ["schema:jsonschema=threshold_rationale", "schema:threshold_rationale_missing_or_empty"]),
-    "gates_list": (changed(record=put(gates=[])), NA, ["schema:jsonschema=gates", "schema:gates_not_object"]),
-    "naive_time": (changed(record=put(assessment_time_utc="2026-07-01T00:00:00")), NA, ["schema:assessment_time_utc_invalid"]),
-    "sequence_float": (changed(record=put(minimum_manifest_sequence=1.5)), NA, ["schema:jsonschema=minimum_manifest_sequence", "schema:minimum_manifest_sequence_invalid"]),
-    "status_word": (changed(record=status("validity", "boundary_declared", "okay")), NA, ["schema:jsonschema=gates/validity/boundary_declared/status"]),
-    "manifest_id": (changed(record=put(evidence_manifest_id="x")), NA, ["manifest:claim_manifest_id_mismatch"]),
-    "manifest_digest": (changed(digest="0" * 64), NA, ["manifest:claim_manifest_digest_mismatch"]),
-    "manifest_version": (changed(record=put(evidence_manifest_version="2")), NA, ["manifest:claim_manifest_version_mismatch"]),
-    "rollback": (changed(record=put(minimum_manifest_sequence=2)), NA, ["manifest:sequence_rollback_detected"]),
-    "token_changed": (changed(files=put(**{"token.txt": "other"})), NA, ["manifest:local_integrity_token_digest_mismatch"]),
-    "token_gone": (changed(files=lambda f: f.pop("token.txt")), NA, ["manifest:local_integrity_token_file_missing"]),
-    "token_path": (changed(manifest=lambda m: m["local_integrity_token"].update(path="../x")), NA, ["manifest:local_integrity_token_path_not_normalized_relative"]),
-    "omitted": (changed(record=lambda r: r["declared_required_gates"]["precision"].remove("interval_rule")), NA, ["required_gate_declaration:precision:omitted=interval_rule"]),
-    "twice": (changed(record=lambda r: r["declared_required_gates"]["precision"].append("interval_rule")), NA, ["required_gate_declaration:precision:duplicate_gate_name"]),
-    "unregistered": (changed(record=lambda r: r["gates"]["validity"].update(zz={"status": "pass"})), NA, ["gates:validity:unregistered=zz"]),
-    "not_submitted": (changed(record=lambda r: r["gates"]["validity"].pop("telemetry_gap")), NA, ["validity:telemetry_gap=not_submitted", "validity:telemetry_gap=missing"]),
-    "no_statement": (changed(record=lambda r: r["evidence_adjudications"]["validity"].pop("boundary_declared")), NA, [f"{G}=missing_or_invalid"]),
-    "disposition": (changed(record=gate(put(disposition="no"))), NA, [f"{G}:disposition='no'"]),
-    "lacking": (changed(record=gate(lambda a: [a.pop(k) for k in ("reviewer_id", "evidence_version")])), NA, [f"{G}:missing=evidence_version", f"{G}:missing=reviewer_id"]),
-    "forged": (changed(record=gate(put(evidence_id="nope"))), NA, [f"{G}:evidence_id_not_in_manifest=nope"]),
-    "revoked": (changed(manifest=evidence(put(status="revoked"))), NA, [f"{G}:evidence_status='revoked'"]),
-    "version": (changed(record=gate(put(evidence_version="0"))), NA, [f"{G}:evidence_version_mismatch"]),
-    "file_changed": (changed(files=put(**{"evidence/validity__boundary_declared.txt": "x"})), NA, [f"{G}:evidence_digest_mismatch"]),
-    "file_gone": (changed(files=lambda f: f.pop("evidence/validity__boundary_declared.txt")), NA, [f"{G}:evidence_file_missing"]),
-    "traversal": (changed(manifest=evidence(put(path="../a"))), NA, [f"{G}:evidence_path_not_normalized_relative"]),
-    "backslash": (changed(manifest=evidence(put(path="a\\b"))), NA, [f"{G}:evidence_path_not_posix"]),
-    "no_path": (changed(manifest=evidence(put(path=" "))), NA, [f"{G}:evidence_path_missing_or_invalid"]),
-    "other_gate": (changed(manifest=evidence(put(permitted_gates=["validity.x"]))), NA, [f"{G}:evidence_not_bound_to_gate"]),
-    "substring": (changed(manifest=evidence(put(permitted_gates="validity.boundary_declared"))), NA, [f"{G}:evidence_not_bound_to_gate"]),
-    "other_claim": (changed(manifest=evidence(put(permitted_claim_ids=[]))), NA, [f"{G}:evidence_not_bound_to_claim"]),
-    "binding": (changed(record=gate(lambda a: a["claim_binding"].update(extra=1))), NA, [f"{G}:claim_binding_mismatch"]),
-    "bad_time": (changed(record=gate(put(reviewed_at_utc="2026-06-01"))), NA, [f"{G}:reviewed_at_invalid"]),
-    "stale": (changed(record=gate(put(reviewed_at_utc="2025-06-30T00:00:00Z"))), NA, [f"{G}:review_timestamp_stale_or_after_assessment"]),
-    "just_fresh": (changed(record=gate(put(reviewed_at_utc="2025-06-30T00:00:01+00:00"))), DONE, []),
-    "later": (changed(record=gate(put(reviewed_at_utc="2026-07-01T00:00:01Z"))), NA, [f"{G}:review_timestamp_stale_or_after_assessment"]),
-    "expired": (changed(manifest=evidence(put(expires_at_utc="2026-06-30T00:00:00Z"))), NA, [f"{G}:evidence_expired_or_invalid_expiry"]),
-    "self_review": (changed(record=put(claim_owner_id="person_metrology_reviewer"), level="L2"), NA, ["attestation:validity:external_device_calibration:self_review_not_permitted"]),
-    "no_authority": (changed(record=gate(put(reviewer_authorization_id="x"))), NA, [f"{G}:reviewer_authorization_missing"]),
-    "wrong_role": (changed(record=gate(put(reviewer_role="x"))), NA, [f"{G}:reviewer_role_authorization_mismatch", f"{G}:wrong_reviewer_role"]),
-    "wrong_person": (changed(record=gate(put(reviewer_id="x"))), NA, [f"{G}:reviewer_authorization_identity_mismatch"]),
-    "conflict": (changed(record=gate(put(conflict_declaration="yes"))), NA, [f"{G}:conflict_unresolved_or_invalid"]),
-    "copied": (twin(build()), NA, ["attestation:validity:required_gate_set_complete:duplicate_evidence_digest_under_distinct_ids=ev:validity.boundary_declared"]),
-    "validity_fails": (changed(record=status("validity", "telemetry_gap", "fail")), NA, ["validity:telemetry_gap=fail"]),
-    "substantive_open": (changed(record=status("substantive", "fixed_work_unit", "missing")), NA, ["substantive:fixed_work_unit=missing"]),
-    "substantive_fails": (changed(record=status("substantive", "fixed_work_unit", "fail")), FAILED, ["substantive:fixed_work_unit=fail"]),
-    "precision_open": (changed(record=status("precision", "interval_rule", "fail")), OPEN, ["precision:interval_rule=fail"]),
-}
+PAIRS = [(level, name) for level in ("L0", "L1", "L3") for name in M.CASES]
 
 
 @pytest.fixture(scope="module")
 def found(spark):
-    rows = classify(*tables(spark, {name: copy.deepcopy(c[0]) for name, c in CASES.items()})).collect()
-    assert len(rows) == len(CASES)
+    rows = classify(*M.frames(spark, PAIRS)).collect()
+    assert len(rows) == len(PAIRS)
     return {r.record_key: r for r in rows}
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_state_and_tags(found, name):
-    _, state, tags = CASES[name]
-    assert (found[name].state, list(found[name].audit_tags)) == (state, tags)
+@pytest.mark.parametrize(("level", "name"), PAIRS)
+def test_state_and_tags(found, level, name):
+    row, rule = found[f"{level} {name}"], M.rule_of(level, name)
+    state = R.STATES.get({"failed": "failed", "precision": "inconclusive", "complete": "complete"}.get(rule, "not_assessable"))
+    assert (row.state, list(row.audit_tags)) == (state, M.CASES[name].tags(level))
+
+
+def test_every_attestation_rule_is_reached():
+    wanted = {
+        "=missing_or_invalid", ":disposition=", ":missing=", ":evidence_id_invalid", ":evidence_id_not_in_manifest=", ":evidence_status=", ":evidence_version_mismatch", ":evidence_path_", ":evidence_file_missing",
+        ":duplicate_evidence_digest_under_distinct_ids=", ":evidence_digest_mismatch", ":evidence_not_bound_to_gate", ":evidence_not_bound_to_claim", ":claim_binding_mismatch", ":reviewed_at_invalid",
+        ":review_timestamp_stale_or_after_assessment", ":evidence_expired_or_invalid_expiry", ":self_review_not_permitted", ":reviewer_authorization_missing", ":reviewer_authorization_not_active",
+        ":reviewer_authorization_identity_mismatch", ":reviewer_role_authorization_mismatch", ":wrong_reviewer_role", ":conflict_unresolved_or_invalid",
+    }
+    tags = " ".join(t for case in M.CASES.values() for t in case.tags("L1"))
+    assert not [x for x in wanted if x not in tags]
 
 
 def test_components_and_requirements(found):
-    full = found["L3"]
+    full = found["L3 complete_record"]
     assert {f: list(g) for f, g in full.required_gates.items()} == R.LEVELS["L3"]
     assert full.component_statuses["service_quality"] == "submitted_gate_passes" and full.component_statuses["provenance"] == "locally_consistent"
-    assert found["L0"].component_statuses["energy_subclaim"] == "not_required_for_profile"
-    failed = found["substantive_fails"].component_statuses
-    assert failed["energy_subclaim"] == "conflicts_with_declared_component" and failed["validity"] == "submitted_gate_passes" and failed["overall"] == FAILED
-    assert found["no_json"].component_statuses["validity"] == "not_assessable" and found["no_json"].claim_id == "<invalid-claim-object>"
-    assert found["manifest_id"].required_gates["precision"] == R.LEVELS["L1"]["precision"] and found["no_owner"].required_gates["precision"] == []
-    assert found["forged"].component_statuses["provenance"] == "not_assessable"
-    assert full.display_state.startswith("Locally provenance-complete--L3")
+    assert found["L0 complete_record"].component_statuses["energy_subclaim"] == "not_required_for_profile"
+    failed = found["L1 substantive_fails"].component_statuses
+    assert failed["energy_subclaim"] == "conflicts_with_declared_component" and failed["validity"] == "submitted_gate_passes"
+    assert found["L1 no_json"].claim_id == "<invalid-claim-object>" and found["L1 no_owner"].required_gates["precision"] == []
+    assert found["L1 other_manifest"].required_gates["precision"] == R.LEVELS["L1"]["precision"]
+    assert full.display_state.startswith("Locally provenance-complete--L3") and full.schema_accepts and not found["L1 no_json"].schema_accepts
+
+
+def test_another_registry_and_an_unreadable_shape(spark, tmp_path):
+    from gatelight.sources import files as S
+
+    frames = M.frames(spark, [("L0", "complete_record")])
+    more = {**R.LEVELS, "L0": {**R.LEVELS["L0"], "precision": ["integration_sensitivity_reported", "one_more"]}}
+    path = tmp_path / "registry.json"
+    path.write_text(json.dumps({"levels": more, "required_reviewer_roles": R.ROLES}, indent=1))
+    row = classify(*frames, registry=S.registry(spark, str(path))).first()
+    assert row.audit_tags == [
+        "required_gate_declaration:precision:omitted=one_more", "precision:one_more=not_submitted", "precision:one_more=missing", "attestation:precision:one_more=missing_or_invalid",
+    ]
+    for levels, roles in ((None, {}), ({"L0": {"validity": ["a"]}}, {}), ({"L0": {"validity": ["a"], "substantive": [" "], "precision": ["b"]}}, {}), (R.LEVELS, None)):
+        path.write_text(json.dumps({"levels": levels, "required_reviewer_roles": roles}))
+        with pytest.raises(ValueError):
+            S.registry(spark, str(path))
+    assert S.shape(spark, str(tmp_path / "none.json")) is None
+    (tmp_path / "broken.json").write_text("{")
+    assert S.shape(spark, str(tmp_path / "broken.json")) is None
+    assert classify(*frames, shape=None).first().audit_tags == ["schema:formal_schema_unavailable"]
+    (tmp_path / "small.json").write_text(json.dumps({"type": "object", "required": ["nothing"]}))
+    assert classify(*frames, shape=S.shape(spark, str(tmp_path / "small.json"))).first().audit_tags == ["schema:jsonschema=root"]
