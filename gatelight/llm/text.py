@@ -68,6 +68,7 @@ def parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         last = min(last, n)
         yield data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    pa.default_memory_pool().release_unused()  # workers live on to the next stage, with other needs
 
 
 def words(column: pa.Array, lower: bool) -> Iterator[Words]:

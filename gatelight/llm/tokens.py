@@ -38,7 +38,7 @@ BEYOND_LATIN = re.compile("[^\x00-įı-ɏ]").search
 
 #: Chunks that a worker remembers, and the longest chunk that is remembered; slots of the table of units, and ids of all units.
 MAX_CHUNKS, MAX_CHUNK_CHARS = 500_000, 48
-MAX_LONG, SLOT_BITS, MAX_IDS = 100_000, 22, 8_000_000
+MAX_LONG, SLOT_BITS, MAX_IDS = 50_000, 21, 8_000_000
 
 _SPACES, _BREAKS = np.zeros(256, bool), np.zeros(256, bool)
 _SPACES[[32, *range(9, 14)]] = True
