@@ -6,7 +6,7 @@ containers and for articles within articles, block_pages for other elements (par
 articles may share. Of these other elements, what is part of a sentence isn't judged, nor what stands in an article or main element
 without a class, id or role: passages that articles share are article text. Pages that differ outside their article only count
 once, so that copies of an article don't delete it. If nothing else is left of a page, subtrees with over half of its text stay.
-What no count can show, because a host has too few pages, is deleted by its kind: navigation, headers and footers outside the
+What no count can show, because a host has too few pages or its parts differ from page to page, is deleted by its kind: navigation, headers and footers outside the
 article, asides, forms, notices, adverts, reader comments, scripts and styles. Of the rest, the article or main element is taken
 if the page has one, and the body otherwise.
 
@@ -70,6 +70,17 @@ class Node:
 def parse(page: str) -> Node:
     root = Node("#", "")
     stack, at = [root], 0
+    # Depths of the open elements by tag, and of the open blocks other than paragraphs: no search through the stack.
+    where: dict[str, list[int]] = {}
+    blocks: list[int] = []
+
+    def close(depth: int) -> None:
+        for node in stack[depth:]:
+            where[node.tag].pop()
+        del stack[depth:]
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
+
     for m in _TAG.finditer(page):
         if m.start() > at:
             stack[-1].children.append(page[at : m.start()])
@@ -78,28 +89,25 @@ def parse(page: str) -> Node:
         if tag is None:
             continue
         tag = tag.lower()
+        last = blocks[-1] if blocks else 0
         if m[2]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                # An end tag for an inline element doesn't end the blocks around it.
-                if tag not in BLOCK and stack[depth].tag in BLOCK:
-                    break
+            own = where.get(tag)
+            # An end tag for an inline element doesn't end the blocks around it.
+            if own and (tag in BLOCK or own[-1] > max(last, (where.get("p") or [0])[-1])):
+                close(own[-1])
             continue
         if tag in ENDS_P or tag in ("li", "dd", "dt"):
-            stop = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",)}.get(tag, ())
-            for depth in range(len(stack) - 1, 0, -1):
-                open_ = stack[depth].tag
-                if open_ == "p" or (tag == "li" and open_ == "li") or (tag in ("dd", "dt") and open_ in ("dd", "dt")):
-                    del stack[depth:]
-                    break
-                if open_ in stop or (open_ in BLOCK and open_ not in ("p",)):
-                    break
+            ended = ["p", *{"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}.get(tag, ())]
+            nearest = max(where[x][-1] if where.get(x) else 0 for x in ended)
+            if nearest and nearest >= last:
+                close(nearest)
         names = " ".join(next(filter(None, x[1:]), "") for x in _NAMES.findall(m[4])) if m[4] else ""
         node = Node(tag, names.lower())
         stack[-1].children.append(node)
         if tag not in VOID and not m[5]:
+            where.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK and tag != "p":
+                blocks.append(len(stack))
             stack.append(node)
     if at < len(page):
         stack[-1].children.append(page[at:])
@@ -128,7 +136,7 @@ def _hashed(node: Node) -> list[Node]:
 
 def _judge(root: Node) -> list[Node]:
     """Set judged: 1 for what min_pages make template, 2 for what block_pages do, 0 for what counts never delete. Returns
-    the nodes with 1 or 2 that have text and aren't deleted by their kind."""
+    the nodes with 1 or 2 that have text, but none within a node whose kind would delete it anyway: that is judged as a whole."""
     found, todo = [], [(root, False, False, False, False)]
     while todo:
         node, inside, in_article, in_line, dropped = todo.pop()
@@ -141,7 +149,7 @@ def _judge(root: Node) -> list[Node]:
             elif c.tag not in ("html", "body", "main", "article") and (c.names or not inside) and not (mixed if c.tag not in BLOCK else in_line):
                 c.judged = 2
             gone = dropped or _no_text(c, True)
-            if c.judged and c.size and not gone:
+            if c.judged and c.size and not dropped:
                 found.append(c)
             todo.append((c, inside or c.tag in ("article", "main"), in_article or c.tag == "article", in_line or c.tag in ("p", "h1") or c.tag in HEADING, gone))
     return found
@@ -231,7 +239,7 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
 ) -> DataFrame:
-    """page_id, url, text, n_chars. A subtree is template on min_pages different pages of a host at least, other elements than containers on block_pages."""
+    """page_id, url, text, n_chars, n_templates (different subtrees of the page that are template). A subtree is template on min_pages different pages of a host at least, other elements than containers on block_pages."""
     scratch.bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\w+://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
@@ -256,13 +264,14 @@ def extract(
     templates = many.filter(F.col("n") >= F.when(F.col("block"), block_pages).otherwise(min_pages)).select("host", "code")
     marks = found.join(templates, ["host", "code"]).groupBy("page").agg(F.collect_set("code").alias("codes"))
     kinds = rows.schema
-    schema = f"page_id {kinds['page_id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string, n_chars long"
+    schema = f"page_id {kinds['page_id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string, n_chars long, n_templates long"
 
     def extracted(batches):
         for batch in batches:
             texts = [main_text(page, frozenset(codes or ())) for page, codes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"]
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([len(x or ()) for x in batch.column(3).to_pylist()], pa.int64())],
+                names=["page_id", "url", "text", "n_chars", "n_templates"],
             )
 
     return rows.join(marks, "page", "left").select("page_id", "url", "html", "codes").mapInArrow(extracted, schema)

@@ -1,3 +1,5 @@
+import html.parser
+
 from gatelight.llm import html_extract as H
 
 PAGE = (
@@ -65,3 +67,55 @@ def test_large_templates_go_and_copies_stay(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert H.extract(none).count() == 0
+
+
+class Plain(html.parser.HTMLParser):
+    """The article's text by another parser: no tree, no counts, elements by their kind alone."""
+
+    LEFT_OUT = {"nav", "aside", "form", "footer", "script", "style"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks = [], [""]
+
+    def _kept(self):
+        return "article" in [t for t, _ in self.open] and not any(t in self.LEFT_OUT or c in ("ad", "comments") for t, c in self.open)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in H.BLOCK:
+            self.blocks.append("")
+        if tag not in H.VOID:
+            self.open.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag in H.BLOCK:
+            self.blocks.append("")
+        if tag in [t for t, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if self._kept():
+            self.blocks[-1] += data
+
+
+def test_pages_match_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r.page_id: r for r in H.extract(pages).collect()}
+    texts = {}
+    for row in pages.collect():
+        own = Plain()
+        own.feed(row.html)
+        own.close()
+        texts[row.page_id] = " ".join(filter(None, (" ".join(b.split()) for b in own.blocks)))
+    wrong = [i for i, t in texts.items() if found[i].text != t]
+    assert len(found) == len(texts) and not wrong, (wrong[:3], found[wrong[0]].text[:300], texts[wrong[0]][:300])
+
+
+def test_counts_show_what_recurs(spark):
+    page = lambda i, bar: f"<body><nav><a>Home</a></nav><article><p>Text {i} of its own.</p></article><div class='ad'>{bar}</div></body>"
+    rows = [(i, "http://a.example/x", page(i, "Buy this")) for i in range(5)] + [(i, "http://b.example/x", page(i, f"Buy {i}")) for i in range(10, 13)]
+    rows += [rows[0]] * 2 + [(99, "http://a.example/long", "<b>" * 30_000 + "</i>" * 30_000 + "x" + "</b>" * 30_000)]
+    found = sorted((r.page_id, r.text, r.n_templates) for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    expected = [(i, f"Text {i} of its own.", 2 if i < 5 else 0) for i in [0, 0, *range(5), 10, 11, 12]] + [(99, "x", 0)]
+    assert found == sorted(expected)
