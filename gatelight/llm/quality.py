@@ -2,7 +2,8 @@
 
 Two generative models over BUCKETS hashed word n-grams (one and two words) are counted: the target from
 labelled documents of good quality, the raw model from every document of the corpus. A document's weight is
-the sum of the log ratios of its n-grams. Adding Gumbel noise to the weights and taking the k largest draws k
+the mean log ratio of its n-grams times LENGTH: every document counts as if it had that many, since the plain sum grows with
+length and so measures length first. Adding Gumbel noise to the weights and taking the k largest draws k
 documents without replacement, with chances that follow the weights. The noise is a hash of the id and a seed, so
 a draw can be repeated and doesn't depend on the order of rows or on partitions.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from gatelight.llm import scratch
 from gatelight.llm.text import mix, words
 
-BUCKETS, RANGES = 1 << 16, 4096
+BUCKETS, RANGES, LENGTH = 1 << 16, 4096, 100
 
 
 def _grams(part) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +84,7 @@ def weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_co
                 n = part.last - part.first
                 total[part.first : part.last] = np.bincount(of, ratios[codes], n)
                 counts[part.first : part.last] = np.bincount(of, minlength=n)
+            total *= LENGTH / np.maximum(1, counts)
             u = (batch.column(2).to_numpy() + 0.5) / (1 << 52)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(total), pa.array(total - np.log(-np.log(u)))], names=["doc_id", "n_grams", "log_weight", "key"])
 

@@ -1,7 +1,11 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from gatelight.llm import quality
+from gatelight.llm.text import words
 
 
 def corpus(n):
@@ -32,14 +36,53 @@ def test_weights_match_brute_force(spark):
     rows, labels = corpus(60)
     docs = spark.createDataFrame(rows, "doc_id long, text string, key double")
     ratios = np.random.default_rng(1).normal(size=quality.BUCKETS)
-    import pyarrow as pa
-    from gatelight.llm.text import words
-
     for r in quality.weights(docs, ratios).collect():
         part = next(words(pa.array([rows[r.doc_id][1]]), True))
         codes, _ = quality._grams(part)
         n = len(rows[r.doc_id][1].split())
-        assert r.n_grams == len(codes) == 2 * n - 1 and abs(r.log_weight - ratios[codes].sum()) < 1e-9
+        assert r.n_grams == len(codes) == 2 * n - 1 and abs(r.log_weight - quality.LENGTH * ratios[codes].mean()) < 1e-9
+
+
+def test_models_and_draw_match_brute_force(spark):
+    rows, labels = corpus(300)
+    grams = lambda text: [*(w := text.split()), *zip(w, w[1:])]
+    target, raw = Counter(), Counter()
+    good = {i for i, q in labels if q}
+    for i, text, _ in rows:
+        raw.update(grams(text))
+        target.update(grams(text) if i in good else ())
+    shown = [g if isinstance(g, str) else " ".join(g) for g in raw]
+    place = {}
+    for gram, text in zip(raw, shown):
+        codes, _ = quality._grams(next(words(pa.array([text]), True)))
+        place[gram] = int(codes[-1])
+    assert len(set(place.values())) == len(place)  # no bucket holds two, so buckets are n-grams
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key double").repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    ratios = quality.fit(docs, marks)
+    size = quality.BUCKETS
+    ratio = {g: math.log((target[g] + 1) / (target.total() + size)) - math.log((raw[g] + 1) / (raw.total() + size)) for g in raw}
+    assert all(abs(ratios[place[g]] - x) < 1e-9 for g, x in ratio.items())
+    found = {r.doc_id: r for r in quality.resample(docs, marks, share=0.4).collect()}
+    noise = []
+    for i, text, _ in rows:
+        own = [ratio[g] for g in grams(text)]
+        assert abs(found[i].log_weight - quality.LENGTH * sum(own) / len(own)) < 1e-6
+        noise.append(found[i].key - found[i].log_weight)
+    first = sorted(found.values(), key=lambda r: -r.key)[:120]
+    assert {r.doc_id for r in first} == {i for i, r in found.items() if r.kept}
+    # Noise has the shape of -log(-log(u)): mean 0.577, standard deviation 1.283.
+    assert abs(np.mean(noise) - 0.577) < 0.25 and abs(np.std(noise) - 1.283) < 0.25
+
+
+def test_labels_that_were_not_fitted(spark):
+    # Fitted on one half of the labels, told apart on the other.
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.weights(docs, quality.fit(docs, labels.filter("doc_id % 2 = 0"))).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    good, bad = ([r.log_weight for r in found if r.quality == q] for q in (1, 0))
+    area = np.mean([(np.array(good) > x).mean() for x in bad])
+    assert len(bad) > 10 and area > 0.98, area
 
 
 def test_kth_largest_is_exact(spark):
