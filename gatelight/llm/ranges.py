@@ -22,8 +22,16 @@ def split(rows: DataFrame, keys: list[str], size: str, n_ranges: int) -> tuple[D
     picks = list(dict.fromkeys(sample[len(sample) * k // n_ranges] for k in range(1, n_ranges))) if sample else []
     kinds = [rows.schema[k].dataType for k in keys]
     if picks:
-        bounds = F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, pick, kinds)]) for pick in picks])
-        place = F.size(F.filter(bounds, lambda b: b <= key))
+        bounds = [F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, pick, kinds)]) for pick in picks]
+
+        def search(low: int, high: int):
+            """The number of bounds up to the key, by halves: as many comparisons as the number has bits."""
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(key >= bounds[middle], search(middle + 1, high)).otherwise(search(low, middle))
+
+        place = search(0, len(picks))
     else:
         place = F.lit(0)
     marked = rows.withColumn("range_", place)
