@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO_UTC = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$"
+#: Date (extended, basic or by weeks), a separator, time (extended or basic), fraction, offset.
+ISO_UTC = (
+    r"^(?:(\d{4})-(\d{2})-(\d{2})|(\d{4})(\d{2})(\d{2})|(\d{4})-?W(\d{2})(?:-?([1-7]))?)."
+    r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(Z|[+-]\d{2}(?::?\d{2})?)$"
+)
 
 
 def field(v: Column, name: str) -> Column:
@@ -52,8 +56,21 @@ def filled(s: Column) -> Column:
 
 
 def utc(s: Column) -> Column:
-    """A timestamp from ISO text with a full date and an offset; null for anything else."""
-    return F.when(s.rlike(ISO_UTC), F.try_to_timestamp(F.regexp_replace(s, " ", "T")))
+    """A timestamp from ISO 8601 text with a date, a time and an offset; null for anything else."""
+    part = lambda k: F.regexp_extract(s, ISO_UTC, k)
+    or_zero = lambda x: F.when(x == "", "00").otherwise(x)
+    week_year, week, day = part(7), F.try_to_number(part(8), F.lit("99")).cast("int"), F.coalesce(F.try_to_number(part(9), F.lit("9")), F.lit(1)).cast("int")
+    monday = F.date_trunc("week", F.try_to_timestamp(F.concat(week_year, F.lit("-01-04"))))
+    by_week = F.date_add(monday.cast("date"), (week - 1) * 7 + day - 1)
+    # The days of week 53 may belong to the next year: then there is no such week.
+    thursday = F.date_add(monday.cast("date"), (week - 1) * 7 + 3)
+    valid = week.between(1, 53) & (F.date_format(thursday, "yyyy") == week_year)
+    date = F.when(part(1) != "", F.concat_ws("-", part(1), part(2), part(3))).when(part(4) != "", F.concat_ws("-", part(4), part(5), part(6))).when(valid, F.date_format(by_week, "yyyy-MM-dd"))
+    fraction = F.rpad(F.substring(part(13), 1, 6), 6, "0")
+    time = F.concat_ws(":", part(10), or_zero(part(11)), F.concat(or_zero(part(12)), F.lit("."), fraction))
+    raw = part(14)
+    offset = F.when(raw == "Z", "+00:00").otherwise(F.concat(F.substring(raw, 1, 3), F.lit(":"), or_zero(F.regexp_replace(F.substring(raw, 4, 3), ":", ""))))
+    return F.when(s.rlike(ISO_UTC), F.try_to_timestamp(F.concat(date, F.lit("T"), time, offset)))
 
 
 def shown(v: Column) -> Column:

@@ -108,6 +108,10 @@ def direction_guard(spark, n_iter: int = ITERATIONS, seed: int = SEED) -> DataFr
     )
 
 
+def ar1_scenario(effect: Column) -> Column:
+    return F.when(effect == 0, "ar1_model_based_null").when(effect == SESOI, "ar1_model_based_exact_sesoi").otherwise("ar1_model_based_5_percent")
+
+
 def ar1_control(spark, n_iter: int = ITERATIONS, n_blocks: int = 150, seed: int = SEED) -> DataFrame:
     """Coverage and decisions of the interval that knows the series' own standard error."""
     from gatelight.functions.statistics import mean_se_ar1
@@ -123,7 +127,7 @@ def ar1_control(spark, n_iter: int = ITERATIONS, n_blocks: int = 150, seed: int
     )
     material = F.col("effect") > SESOI
     rates = {"false_support_rate": (~material, "supported_rate"), "false_contradiction_rate": (material, "contradicted_rate"), "power_supported_rate": (material, "supported_rate")}
-    return out.withColumns({name: F.when(cond, F.col(rate)).otherwise(0.0) for name, (cond, rate) in rates.items()})
+    return out.withColumns({"scenario": ar1_scenario(F.col("effect"))} | {name: F.when(cond, F.col(rate)).otherwise(0.0) for name, (cond, rate) in rates.items()})
 
 
 def stress(spark, n_iter: int = ITERATIONS, n_blocks: int = 20, seed: int = SEED + 1) -> DataFrame:

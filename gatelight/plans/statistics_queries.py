@@ -145,13 +145,6 @@ def q_repeat_min_mean_max(spark, sf_dir):
     return years.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_repeats"), *[F.round(f("v"), 4).alias(f"{n}_value") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
 
 
-@query("""SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
-def q_quantiles(spark, sf_dir):
-    both = F.percentile("value", F.array(F.lit(0.05), F.lit(0.95)))
-    out = table(spark, sf_dir, "events").groupBy("event_type").agg(both.alias("q"))
-    return out.select("event_type", F.round(F.get("q", F.lit(0)), 6).alias("p05"), F.round(F.get("q", F.lit(1)), 6).alias("p95"))
-
-
 @query("""WITH r AS (SELECT doc_id % 40 AS item, quality * 2 + toxic + 1 AS rating FROM labels)
 SELECT item, count(*) AS n, round(avg(CAST(rating >= 3 AS INT)), 6) AS i_cvi, round((count(*) FILTER (WHERE rating = 3) - count(*) / 2) / (count(*) / 2), 6) AS cvr FROM r GROUP BY 1 HAVING count(*) >= 5""")
 def q_panel_indices(spark, sf_dir):
