@@ -57,14 +57,19 @@ def t_table(spark, top: int = 400):
     return spark.createDataFrame([(n, t_critical(n)) for n in range(1, top + 1)], "df int, t double")
 
 
-def uniform(*keys: Column) -> Column:
-    """Evenly in (0, 1) by a hash of the keys: the same for any partitioning."""
-    return (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+def digest(*keys: Column) -> Column:
+    """The MD5 of the keys as text: what draws are made from, the same for any partitioning and in any engine."""
+    return F.md5(F.concat_ws("|", *[k.cast("string") for k in keys]).cast("binary"))
 
 
-def normal(*keys: Column) -> Column:
-    """Standard normal by Box and Muller from two hashes of the keys."""
-    return F.sqrt(-2 * F.ln(uniform(*keys, F.lit(1)))) * F.cos(F.lit(2 * math.pi) * uniform(*keys, F.lit(2)))
+def uniform(made: Column, at: int = 1) -> Column:
+    """Evenly in (0, 1) by 13 hexadecimal digits of a digest."""
+    return (F.conv(F.substring(made, at, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def normal(made: Column) -> Column:
+    """Standard normal by Box and Muller from two parts of a digest."""
+    return F.sqrt(-2 * F.ln(uniform(made))) * F.cos(F.lit(2 * math.pi) * uniform(made, 14))
 
 
 def mean_se_ar1(n: Column, rho: float, sd: float) -> Column:

@@ -1,6 +1,6 @@
 """Operating characteristics of the decision rules by simulation.
 
-One row is one iteration of one scenario: its draws are an array made from hashes of (seed, scenario, iteration,
+One row is one iteration of one scenario: its draws are an array made from digests of (seed, scenario, iteration,
 block), and one fold over the array keeps level, sum, squares and favorable blocks. So nothing is shuffled but one partial
 average per scenario and task, draws don't depend on partitions, and iterations scale with the cluster.
 Draws follow the stated distributions; they aren't the stream of any other generator.
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
 
-from gatelight.functions.statistics import Z95, normal, t_critical, uniform
+from gatelight.functions.statistics import Z95, digest, normal, t_critical, uniform
 
 ITERATIONS, SEED, RHO, SD, SESOI, FRACTION, TOLERANCE = 100_000, 20260720, 0.65, 5.0, 2.0, 0.80, 1e-12
 
@@ -37,8 +37,8 @@ def folded(rows: DataFrame, n: Column, value, seed: int, keys: list[str], noise=
     """mean, se and favorable of n blocks a row. noise(e, block) is what stands for standard normal draws e;
     value(noise, block, n, previous value less the effect) is the next value less the effect. The fold uses
     value several times, so what is dear belongs into noise. effect is a column of rows."""
-    draw = lambda i: noise(normal(F.lit(seed), *[F.col(k) for k in keys], F.col("iter"), i), i)
-    drawn = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.struct(draw(i).alias("e"), i.alias("i")))
+    made = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: digest(F.lit(seed), *[F.col(k) for k in keys], F.col("iter"), i))
+    drawn = F.transform(made, lambda m, i: F.struct(noise(normal(m), i).alias("e"), i.alias("i")))
     numbered = rows.withColumn("noise", drawn)
     start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0).cast("long").alias("f"))
 
@@ -73,7 +73,7 @@ def composite_null(spark, n_iter: int = ITERATIONS, n_blocks: int = 10, seed: in
     kind, step = F.col("scenario"), ar1()
 
     def noise(e, i):
-        square = reduce(lambda a, b: a + b, [F.pow(normal(F.lit(seed + k), "scenario", "effect", "iter", i), 2) for k in (1, 2, 3)])
+        square = reduce(lambda a, b: a + b, [F.pow(normal(digest(F.lit(seed + k), F.col("scenario"), F.col("effect"), F.col("iter"), i)), 2) for k in (1, 2, 3)])
         scale = F.when(i % 2 == 0, 0.55).otherwise(1.30)
         return F.when(kind == "iid_t3", e / F.sqrt(square)).when(kind == "heteroscedastic", e * scale).otherwise(e)
 
@@ -140,7 +140,7 @@ def stress(spark, n_iter: int = ITERATIONS, n_blocks: int = 20, seed: int = SEED
 
     def noise(e, i):
         line = i / (n_blocks - 1)
-        base = F.exp(F.log(F.lit(100.0)) + 0.45 * normal(F.lit(seed + 9), "scenario", "iter", i))
+        base = F.exp(F.log(F.lit(100.0)) + 0.45 * normal(digest(F.lit(seed + 9), F.col("scenario"), F.col("iter"), i)))
         return (
             F.when(kind == names[0], 5 + 5 * e)
             .when(kind == names[1], -F.log(F.lit(0.95)) - (0.08 + 0.00015 * base) * e)
@@ -158,14 +158,16 @@ def stress(spark, n_iter: int = ITERATIONS, n_blocks: int = 20, seed: int = SEED
     fits = F.col("compatible")
     rates = {"supported": F.when(fits, F.col("s")).otherwise(0.0), "contradicted": F.when(fits, F.col("c")).otherwise(0.0), "inconclusive": F.when(fits, 1 - F.col("s") - F.col("c")).otherwise(1.0)}
     columns = [x for name, p in rates.items() for x in (p.alias(f"{name}_probability"), F.sqrt(F.greatest(F.lit(0.0), p * (1 - p)) / F.col("draws")).alias(f"{name}_mc_se"))]
-    return out.select("scenario", "compatible", "draws", *columns)
+    ratio = kind == names[1]
+    told = [F.lit(5.0).alias("true_effect"), F.when(ratio, "log_ratio").otherwise("percent_reduction").alias("effect_scale")]
+    return out.select("scenario", "compatible", "draws", *told, *columns)
 
 
 def attestation_error(spark, n_iter: int = ITERATIONS, seed: int = SEED) -> DataFrame:
     """What wrong statements upstream cost: promotions, rejections, and what the local checks withhold anyway."""
     rows = iterations(grid(spark, error_rate=[0.01, 0.05, 0.10]), n_iter)
     drawn = rows.groupBy("error_rate").agg(
-        *[_rate(uniform(F.lit(seed + k), "error_rate", "iter") < F.col("error_rate")).alias(name) for name, k in (("promoted", 0), ("rejected", 100))], F.count(F.lit(1)).alias("iterations")
+        *[_rate(uniform(digest(F.lit(seed + k), F.col("error_rate"), F.col("iter"))) < F.col("error_rate")).alias(name) for name, k in (("promoted", 0), ("rejected", 100))], F.count(F.lit(1)).alias("iterations")
     )
     cases = (("invalid_critical_gate_upstream_false_pass", True, F.col("promoted"), F.lit(0.0)), ("valid_critical_gate_upstream_false_nonpass", True, F.lit(0.0), F.col("rejected")), ("manifest_detectable_attack", False, F.lit(0.0), F.lit(1.0)))
     made = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(ok).alias("local_checks_pass"), p.alias("false_promotion_rate"), r.alias("abstention_rate")) for s, ok, p, r in cases])

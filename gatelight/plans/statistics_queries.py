@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gatelight.functions.statistics import mean_se_ar1, t_critical
+from gatelight.functions.statistics import Z95, mean_se_ar1, t_critical
 from gatelight.operators import decisions as D
 from gatelight.operators import simulate as S
 from gatelight.sources.tables import BLOCKS_SQL, blocks, table
@@ -193,7 +195,48 @@ def q_window_range_join(spark, sf_dir):
     return out
 
 
-@query(None)
+def _normal_sql(made: str) -> str:
+    part = lambda at: f"((('0x' || substr({made}, {at}, 13))::BIGINT + 0.5) / {float(1 << 52)!r})"
+    return f"sqrt(-2 * ln({part(1)})) * cos({2 * math.pi!r} * {part(14)})"
+
+
+def _made_sql(seed: int, *keys: str) -> str:
+    return f"md5(concat_ws('|', {seed}, {', '.join(keys)}))"
+
+
+def _cells_sql(rows) -> str:
+    return ", ".join(f"('{name}', {effect!r}::DOUBLE)" for name, effect in rows)
+
+
+def _ar1_sql(rows: str, cell: str) -> str:
+    """x, less the effect, of each block by the closed form of the recurrence. rows: cell, iter, i and e."""
+    scale = f"CASE WHEN i = 0 THEN {S.SD!r} ELSE {S.SD * (1 - S.RHO**2) ** 0.5!r} END"
+    return f"SELECT *, pow({S.RHO!r}, i) * sum(e * {scale} / pow({S.RHO!r}, i)) OVER (PARTITION BY {cell}, iter ORDER BY i) AS x FROM {rows}"
+
+
+def _fold_sql(rows: str, cell: str) -> str:
+    return f"""SELECT {cell}, iter, count(*) AS n, avg(x + effect) AS mean, sqrt(greatest(0, sum((x + effect) * (x + effect)) - sum(x + effect) * sum(x + effect) / count(*)) / (count(*) - 1) / count(*)) AS se,
+        count(*) FILTER (WHERE x + effect > 0) AS favorable FROM {rows} GROUP BY {cell}, iter"""
+
+
+_RATE = lambda cond: f"avg(CAST({cond} AS INT))"
+_COMPOSITE = [("iid_normal", e) for e in (0.0, 0.5, 1.0, 1.5, 2.0, 2.1, 2.5, 5.0)] + [(s, e) for s in ("iid_t3", "heteroscedastic", "stationary_ar1") for e in (0.0, 2.0, 5.0)]
+_SQUARES = " + ".join(f"pow({_normal_sql(_made_sql(S.SEED + k, 'scenario', 'effect', 'iter', 'i'))}, 2)" for k in (1, 2, 3))
+_BOTH = f"mean - {t_critical(9)!r} * se > {S.SESOI!r}"
+_GUARD = f"favorable / n >= {S.FRACTION!r}"
+COMPOSITE_SQL = f"""WITH cells(scenario, effect) AS (VALUES {_cells_sql(_COMPOSITE)}), draws AS (
+    SELECT scenario, effect, t.range AS iter, b.range AS i, {_normal_sql(_made_sql(S.SEED, "scenario", "effect", "t.range", "b.range"))} AS e FROM cells, range({S.ITERATIONS}) t, range(10) b
+), series AS (SELECT * FROM draws WHERE scenario = 'stationary_ar1'), x AS (
+    SELECT scenario, effect, iter, {S.SD!r} * CASE scenario WHEN 'iid_t3' THEN e / sqrt({_SQUARES}) WHEN 'heteroscedastic' THEN e * CASE WHEN i % 2 = 0 THEN 0.55 ELSE 1.3 END ELSE e END AS x
+    FROM draws WHERE scenario <> 'stationary_ar1' UNION ALL SELECT scenario, effect, iter, x FROM ({_ar1_sql("series", "scenario, effect")})
+), f AS ({_fold_sql("x", "scenario, effect")})
+SELECT scenario, effect, {_RATE(f"mean > {S.SESOI!r}")} AS b0_rate, {_RATE(_BOTH)} AS b1_rate, {_RATE(f"{_BOTH} AND {_GUARD}")} AS b2_rate, {_RATE(f"mean + {t_critical(9)!r} * se < {S.SESOI!r}")} AS contradicted_rate,
+    {_RATE(_GUARD)} AS guard_rate, {_RATE(f"{_BOTH} AND NOT ({_GUARD})")} AS support_guard_fail_rate, count(*) AS iterations,
+    CASE WHEN effect <= {S.SESOI!r} THEN {_RATE(f"{_BOTH} AND {_GUARD}")} ELSE 0.0 END AS false_support, CASE WHEN effect > {S.SESOI!r} THEN {_RATE(f"{_BOTH} AND {_GUARD}")} ELSE 0.0 END AS power
+FROM f GROUP BY scenario, effect"""
+
+
+@query(COMPOSITE_SQL)
 def sim_composite_null(spark, sf_dir):
     return S.composite_null(spark)
 
@@ -203,16 +246,55 @@ def sim_direction_guard(spark, sf_dir):
     return S.direction_guard(spark)
 
 
-@query(None)
-def sim_ar1_control(spark, sf_dir):
-    return S.ar1_control(spark)
+_SE_150 = (S.SD**2 / 150 * (1 + 2 * sum((1 - k / 150) * S.RHO**k for k in range(1, 150)))) ** 0.5
+_KNOWN = f"mean - {Z95 * _SE_150!r} > {S.SESOI!r} AND {_GUARD}"
+_CONTRA = f"mean + {Z95 * _SE_150!r} < {S.SESOI!r}"
+AR1_SQL = f"""WITH cells(effect) AS (VALUES (0.0::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE)), draws AS (
+    SELECT effect, t.range AS iter, b.range AS i, {_normal_sql(_made_sql(S.SEED, "effect", "t.range", "b.range"))} AS e FROM cells, range({S.ITERATIONS}) t, range(150) b
+), x AS ({_ar1_sql("draws", "effect")}), f AS ({_fold_sql("x", "effect")}), r AS (
+    SELECT effect, {_RATE(f"mean - {Z95 * _SE_150!r} <= effect")} AS lower_coverage, {_RATE(f"mean + {Z95 * _SE_150!r} >= effect")} AS upper_coverage, {_RATE(_KNOWN)} AS s, {_RATE(_CONTRA)} AS c,
+        {_RATE(f"NOT ({_KNOWN}) AND NOT ({_CONTRA})")} AS inconclusive_rate, count(*) AS iterations FROM f GROUP BY effect)
+SELECT effect, CASE effect WHEN 0 THEN 'ar1_model_based_null' WHEN 2 THEN 'ar1_model_based_exact_sesoi' ELSE 'ar1_model_based_5_percent' END AS scenario, round({_SE_150!r}::DOUBLE, 9) AS exact_se, lower_coverage, upper_coverage,
+    round({2 * Z95 * _SE_150!r}::DOUBLE, 9) AS mean_width, s AS supported_rate, c AS contradicted_rate, inconclusive_rate, iterations, CASE WHEN effect <= 2 THEN s ELSE 0.0 END AS false_support_rate,
+    CASE WHEN effect > 2 THEN c ELSE 0.0 END AS false_contradiction_rate, CASE WHEN effect > 2 THEN s ELSE 0.0 END AS power_supported_rate FROM r"""
 
 
-@query(None)
+@query(AR1_SQL)
+def sim_ar1_control(spark, sf_dir):
+    out = S.ar1_control(spark)
+    return out.withColumns({c: F.round(c, 9) for c in ("exact_se", "mean_width")})
+
+
+_LINE = "(i / 19.0)"
+_STRESS = ["iid_percent_reduction", "paired_log_ratio", "heteroscedastic", "ordered_drift", "change_point"]
+_BASE = f"exp(ln(100.0) + 0.45 * {_normal_sql(_made_sql(S.SEED + 10, 'scenario', 'iter', 'i'))})"
+_LIMIT = f"CASE scenario WHEN 'paired_log_ratio' THEN {-math.log1p(-S.SESOI / 100)!r} ELSE {S.SESOI!r} END"
+STRESS_SQL = f"""WITH cells(scenario, compatible) AS (VALUES {", ".join(f"('{name}', {str(k < 2).lower()})" for k, name in enumerate(_STRESS))}), draws AS (
+    SELECT scenario, compatible, 0.0::DOUBLE AS effect, t.range AS iter, b.range AS i, {_normal_sql(_made_sql(S.SEED + 1, "scenario", "t.range", "b.range"))} AS e FROM cells, range({S.ITERATIONS}) t, range(20) b
+), x AS (SELECT scenario, compatible, effect, iter, CASE scenario WHEN 'iid_percent_reduction' THEN 5 + 5 * e WHEN 'paired_log_ratio' THEN -ln(0.95) - (0.08 + 0.00015 * {_BASE}) * e
+    WHEN 'heteroscedastic' THEN 5 + (2 + 7 * {_LINE}) * e WHEN 'ordered_drift' THEN 5 - 3 + 6 * {_LINE} + 5 * e ELSE CASE WHEN i < 10 THEN 8 ELSE 2 END + 5 * e END AS x FROM draws
+), f AS ({_fold_sql("x", "scenario, compatible")}), d AS (
+    SELECT *, mean - {t_critical(19)!r} * se > {_LIMIT} + {S.TOLERANCE!r} AND favorable >= 16 AS yes, mean + {t_critical(19)!r} * se < {_LIMIT} - {S.TOLERANCE!r} AS no FROM f
+), r AS (SELECT scenario, compatible, count(*) AS draws, {_RATE("yes")} AS s, {_RATE("NOT yes AND no")} AS c FROM d GROUP BY scenario, compatible
+), p AS (SELECT scenario, compatible, draws, CASE WHEN compatible THEN s ELSE 0.0 END AS s, CASE WHEN compatible THEN c ELSE 0.0 END AS c, CASE WHEN compatible THEN 1 - s - c ELSE 1.0 END AS u FROM r)
+SELECT scenario, compatible, draws, 5.0::DOUBLE AS true_effect, CASE scenario WHEN 'paired_log_ratio' THEN 'log_ratio' ELSE 'percent_reduction' END AS effect_scale,
+    round(s, 9) AS supported_probability, round(sqrt(greatest(0, s * (1 - s)) / draws), 9) AS supported_mc_se, round(c, 9) AS contradicted_probability, round(sqrt(greatest(0, c * (1 - c)) / draws), 9) AS contradicted_mc_se,
+    round(u, 9) AS inconclusive_probability, round(sqrt(greatest(0, u * (1 - u)) / draws), 9) AS inconclusive_mc_se FROM p"""
+
+
+@query(STRESS_SQL)
 def sim_stress(spark, sf_dir):
-    return S.stress(spark)
+    out = S.stress(spark)
+    return out.select(*[F.round(c, 9).alias(c) if c.endswith(("probability", "mc_se")) else c for c in out.columns])
 
 
-@query(None)
+_ERROR_CASES = [("invalid_critical_gate_upstream_false_pass", "true", "promoted", "0.0"), ("valid_critical_gate_upstream_false_nonpass", "true", "0.0", "rejected"), ("manifest_detectable_attack", "false", "0.0", "1.0")]
+_EVEN = lambda seed: f"((('0x' || substr({_made_sql(seed, 'error_rate', 't.range')}, 1, 13))::BIGINT + 0.5) / {float(1 << 52)!r}) < error_rate"
+ERROR_SQL = f"""WITH cells(error_rate) AS (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)), d AS (
+    SELECT error_rate, {_RATE(_EVEN(S.SEED))} AS promoted, {_RATE(_EVEN(S.SEED + 100))} AS rejected, count(*) AS iterations FROM cells, range({S.ITERATIONS}) t GROUP BY 1)
+{" UNION ALL ".join(f"SELECT '{name}' AS scenario, {ok} AS local_checks_pass, {p}::DOUBLE AS false_promotion_rate, {r}::DOUBLE AS abstention_rate, error_rate, iterations FROM d" for name, ok, p, r in _ERROR_CASES)}"""
+
+
+@query(ERROR_SQL)
 def sim_attestation_error(spark, sf_dir):
     return S.attestation_error(spark)
