@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelight.llm import scratch
-from gatelight.llm.text import WHITE, Words, mix, words
+from gatelight.llm.text import WHITE, Words, mix, release, words
 
 MIN_WORDS, HEAD = 50, 20
 #: Suffixes with one head that may meet in a task.
@@ -247,6 +247,7 @@ def _met(contexts: DataFrame, min_words: int, head: int) -> DataFrame:
                     out += solved()
                 held.append(row)
             yield batch_of(out)
+            release()
         if held:
             yield batch_of(solved())
 

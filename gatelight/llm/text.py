@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,16 @@ def _powers_to(n: int) -> np.ndarray:
 _powers_to(4096)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that isn't used any more back to the system: workers live on to the next stage, with other needs."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 @dataclass
 class Words:
     """Words of the rows first to last of a batch. of: row of each word; bounds: first word of each row."""
@@ -68,7 +79,7 @@ def parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         last = min(last, n)
         yield data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
-    pa.default_memory_pool().release_unused()  # workers live on to the next stage, with other needs
+    release()
 
 
 def words(column: pa.Array, lower: bool) -> Iterator[Words]:

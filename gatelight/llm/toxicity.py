@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelight.llm import scratch
+from gatelight.llm.text import release
 
 # Letters of other scripts that look like Latin ones, after case folding.
 LOOKALIKES = {
@@ -206,10 +207,13 @@ def _counted(rows: DataFrame, found_in) -> DataFrame:
         for batch in batches:
             for folded, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[toxic].update(found_in(folded))
-            if len(seen[0]) + len(seen[1]) > 1_000_000:
+            if len(seen[0]) + len(seen[1]) > 250_000:
                 yield rows_of()
                 seen[0].clear(), seen[1].clear()
+                release()
         yield rows_of()
+        seen[0].clear(), seen[1].clear()
+        release()
 
     found = rows.select("folded", "toxic").mapInArrow(counted, "pattern string, clean long, toxic long")
     return found.groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
