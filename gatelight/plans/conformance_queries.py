@@ -66,7 +66,7 @@ SELECT record_id, gate_ord, evidence_id, p_brand AS version, p_partkey IS NOT NU
 FROM gates LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON p_partkey = evidence_id""")
 def q_evidence_lookup(spark, sf_dir):
     manifest = table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("evidence_id"), F.col("p_brand").alias("version"), F.lit(True).alias("found"))
-    out = gate_rows(spark, sf_dir).select("record_id", "gate_ord", "evidence_id").join(manifest, "evidence_id", "left")
+    out = gate_rows(spark, sf_dir, "l_partkey").select("record_id", "gate_ord", "evidence_id").join(manifest, "evidence_id", "left")
     return out.select("record_id", "gate_ord", "evidence_id", "version", F.coalesce("found", F.lit(False)).alias("in_manifest"))
 
 
@@ -129,7 +129,7 @@ FROM gates JOIN part ON p_partkey = evidence_id""")
 def q_permission_membership(spark, sf_dir):
     permitted = F.array((F.col("p_size") % 7 + 1).cast("long"), (F.col("p_partkey") % 7 + 1).cast("long"), F.lit(4).cast("long"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("evidence_id"), permitted.alias("permitted"))
-    out = gate_rows(spark, sf_dir).select("record_id", "gate_ord", "evidence_id").join(parts, "evidence_id")
+    out = gate_rows(spark, sf_dir, "l_partkey").select("record_id", "gate_ord", "evidence_id").join(parts, "evidence_id")
     return out.select("record_id", "gate_ord", F.array_contains("permitted", F.col("gate_ord").cast("long")).alias("bound_to_gate"))
 
 
@@ -148,7 +148,7 @@ SELECT record_id, gate_ord, CAST({AGE_SQL} AS BIGINT) AS age_days,
 FROM gates JOIN orders ON o_orderkey = record_id""")
 def q_review_age(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), "o_orderdate")
-    out = gate_rows(spark, sf_dir).select("record_id", "gate_ord", "reviewed_at").join(orders, "record_id")
+    out = gate_rows(spark, sf_dir, "l_partkey").select("record_id", "gate_ord", "reviewed_at").join(orders, "record_id")
     age = C.elapsed_days(F.col("o_orderdate"), F.col("reviewed_at"))
     return out.select("record_id", "gate_ord", age.cast("long").alias("age_days"), ((F.col("reviewed_at") > F.col("o_orderdate")) | (age > R.MAX_REVIEW_AGE_DAYS)).alias("stale_or_after"))
 
@@ -180,7 +180,7 @@ def q_attestation_tags(spark, sf_dir):
 
 @query(f"WITH {GATES_SQL}, {STATE_SQL} SELECT record_id, state FROM states")
 def q_state_fold(spark, sf_dir):
-    return C.fold_states(gate_rows(spark, sf_dir).select("record_id", "family", "status"), ["record_id"])
+    return C.fold_states(gate_rows(spark, sf_dir, "l_partkey").select("record_id", "family", "status"), ["record_id"])
 
 
 def _component_sql(name: str, cond: str) -> str:
@@ -194,7 +194,7 @@ def _component_sql(name: str, cond: str) -> str:
 FROM gates GROUP BY record_id""")
 def q_component_status(spark, sf_dir):
     family = F.col("family")
-    return gate_rows(spark, sf_dir).groupBy("record_id").agg(
+    return gate_rows(spark, sf_dir, "l_partkey").groupBy("record_id").agg(
         C.component(family == "validity").alias("validity"), C.component(F.col("gate_ord") == 4).alias("service_quality"), C.component(F.col("gate_ord") == 5).alias("sla_feasibility"),
         C.component(family == "substantive").alias("energy_subclaim"), C.component(family == "precision").alias("precision_status"),
     )
