@@ -108,7 +108,7 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def gate_tags(ready: DataFrame, manifests: DataFrame, files: DataFrame, registry: R.Registry = R.PUBLISHED) -> DataFrame:
-    """record_key, place, family, gate, status and tags of every required gate of the records (record_key, v, level, manifest_key)."""
+    """fold_key, place, family, gate, status and tags of every required gate of the records (fold_key, v, level, manifest_key)."""
     gates = C.required_roles(C.required_gates(ready, registry), registry)
 
     def of(holder: str) -> Column:
@@ -118,7 +118,7 @@ def gate_tags(ready: DataFrame, manifests: DataFrame, files: DataFrame, registry
         return chosen
 
     rows = gates.select(
-        "record_key", "manifest_key", "level", "family", "gate", "role", (F.col("family_ord") * 100 + F.col("gate_ord")).alias("place"),
+        "fold_key", "manifest_key", "level", "family", "gate", "role", (F.col("family_ord") * 100 + F.col("gate_ord")).alias("place"),
         of("gates").alias("seen"), of("evidence_adjudications").alias("a"),
         V.text(V.field(F.col("v"), "id")).alias("id"), V.field(F.col("v"), "claim_owner_id").alias("owner"), V.utc(V.text(V.field(F.col("v"), "assessment_time_utc"))).alias("assessed"),
     )
@@ -152,7 +152,7 @@ def gate_tags(ready: DataFrame, manifests: DataFrame, files: DataFrame, registry
     # Only rows that reach their file take part in the look at earlier uses of its digest.
     used = F.col("early").isNull() & F.col("bad_path").isNull() & F.col("digest").isNotNull()
     rows = rows.withColumn("used", F.when(used, F.col("digest")))
-    window = Window.partitionBy("record_key", "used").orderBy("place")
+    window = Window.partitionBy("fold_key", "used").orderBy("place")
     before = F.when(F.col("used").isNotNull(), F.lag("evidence_id").over(window))
     rows = rows.withColumn("before", before)
 
@@ -189,7 +189,7 @@ def gate_tags(ready: DataFrame, manifests: DataFrame, files: DataFrame, registry
     name = F.concat(F.col("family"), F.lit(":"), F.col("gate"), F.lit("="))
     rows = rows.withColumn("status", status).withColumn("was_known", F.coalesce(C.known_status(F.when(V.kind(seen) == "object", V.text(V.field(seen, "status"))).otherwise(V.text(seen))).isNotNull(), F.lit(False)))
     own = C.tags((absent, F.concat(name, F.lit("not_submitted"))), (~absent & ~F.col("was_known"), F.concat(name, F.lit("invalid_status"))), (F.col("status") != "pass", F.concat(name, F.col("status"))))
-    return rows.select("record_key", "place", "family", "gate", "status", F.concat(own, F.coalesce("early", late)).alias("tags"))
+    return rows.select("fold_key", "place", "family", "gate", "status", F.concat(own, F.coalesce("early", late)).alias("tags"))
 
 
 def _components(state: Column, known: Column, provenance: Column) -> Column:
@@ -204,10 +204,16 @@ def _components(state: Column, known: Column, provenance: Column) -> Column:
 def classify(records: DataFrame, manifests: DataFrame, files: DataFrame, registry: R.Registry = R.PUBLISHED, shape: dict | None = S.RECORD) -> DataFrame:
     """record_key, claim_id, state, display_state, claim_level, reason, audit_tags, required_gates, component_statuses, schema_accepts."""
     m = manifests.select("manifest_key", F.try_parse_json("manifest").alias("m"), F.col("digest").alias("manifest_digest"), F.col("manifest").isNotNull().alias("there"))
-    base = records.select("record_key", "manifest_key", F.try_parse_json("record").alias("v")).join(m, "manifest_key", "left")
+    # Many records may share a manifest: they get the few values that they are held against, not the whole of it.
     v, mf = F.col("v"), F.col("m")
-    base = base.withColumn("level", V.text(V.field(v, "evidence_profile"))).withColumn("m_tags", manifest_tags(mf, F.coalesce("there", F.lit(False)))).withColumn("s_tags", schema_tags(v, registry, shape))
-    token = V.field(mf, "local_integrity_token")
+    held = [V.field(mf, name).alias(f"m_{name}") for name in ("manifest_id", "manifest_version", "sequence", "local_integrity_token")]
+    few = m.select("manifest_key", "manifest_digest", manifest_tags(mf, F.col("there")).alias("found_tags"), *held)
+    # Records are told apart by their text as well: a key may be there twice, or null.
+    fold_key = F.concat_ws(" ", F.coalesce("record_key", F.lit("")), F.hex(F.xxhash64("record_key", "record", "manifest_key")))
+    base = records.select("record_key", fold_key.alias("fold_key"), "manifest_key", F.try_parse_json("record").alias("v")).join(few, "manifest_key", "left")
+    base = base.withColumn("level", V.text(V.field(v, "evidence_profile"))).withColumn("s_tags", schema_tags(v, registry, shape))
+    base = base.withColumn("m_tags", F.coalesce("found_tags", F.array(F.lit("manifest:unreadable=FileNotFoundError"))))
+    token = F.col("m_local_integrity_token")
     token_path = V.text(V.field(token, "path"))
     base = base.withColumn("path_key", normal_path(token_path))
     escapes = F.col("escapes") if "escapes" in files.columns else F.lit(False)
@@ -221,13 +227,13 @@ def classify(records: DataFrame, manifests: DataFrame, files: DataFrame, registr
         .when(own.isNull(), "file_missing")
         .when(~matches, "digest_mismatch")
     )
-    older = F.coalesce(V.number(V.field(mf, "sequence")) < V.number(V.field(v, "minimum_manifest_sequence")), F.lit(False))
+    older = F.coalesce(V.number(F.col("m_sequence")) < V.number(V.field(v, "minimum_manifest_sequence")), F.lit(False))
     guard = (
         F.when(F.size("m_tags") > 0, "manifest")
         .when(F.size("s_tags") > 0, "schema")
-        .when(~_same(V.field(v, "evidence_manifest_id"), V.field(mf, "manifest_id")), "manifest_id")
+        .when(~_same(V.field(v, "evidence_manifest_id"), F.col("m_manifest_id")), "manifest_id")
         .when(~V.text(V.field(v, "evidence_manifest_sha256")).eqNullSafe(F.col("manifest_digest")), "manifest_digest")
-        .when(~_same(V.field(v, "evidence_manifest_version"), V.field(mf, "manifest_version")), "manifest_version")
+        .when(~_same(V.field(v, "evidence_manifest_version"), F.col("m_manifest_version")), "manifest_version")
         .when(older, "sequence")
         .when(token_tag.isNotNull(), "token")
     )
@@ -239,12 +245,12 @@ def classify(records: DataFrame, manifests: DataFrame, files: DataFrame, registr
     g_tags = g_tags.when(F.col("guard") == "token", F.array(F.concat(F.lit("manifest:local_integrity_token_"), token_tag)))
     base = base.withColumn("guard_tags", g_tags).withColumn("d_tags", F.when(F.col("guard").isNull(), declaration_tags(v, F.col("level"), registry)))
 
-    ready = base.filter("guard IS NULL").select("record_key", "manifest_key", "v", "level")
+    ready = base.filter("guard IS NULL").select("fold_key", "manifest_key", "v", "level").dropDuplicates(["fold_key"])
     gates = gate_tags(ready, m.select("manifest_key", "m"), files, registry)
     family, status, gate = F.col("family"), F.col("status"), F.col("gate")
     ordered = F.array_sort(F.collect_list(F.struct("place", "tags")))
     energy = (family == "substantive") & gate.isin("functional_unit_declared", "fixed_work_unit", "benefit_threshold")
-    folded = gates.groupBy("record_key").agg(
+    folded = gates.groupBy("fold_key").agg(
         F.flatten(F.transform(ordered, lambda x: x["tags"])).alias("gate_tags"),
         F.bool_or((family == "validity") & (status != "pass")).alias("validity_open"),
         F.bool_or((family == "substantive") & status.isin("missing", "invalid")).alias("substantive_open"),
@@ -253,7 +259,7 @@ def classify(records: DataFrame, manifests: DataFrame, files: DataFrame, registr
         C.component(family == "validity").alias("c_validity"), C.component(energy).alias("c_energy_subclaim"), C.component(gate == "paired_task_quality").alias("c_service_quality"),
         C.component(gate == "sla_feasibility").alias("c_sla_feasibility"), C.component(family == "precision").alias("c_precision"),
     )
-    out = base.join(folded, "record_key", "left")
+    out = base.join(folded, "fold_key", "left")
     unproven = F.exists(F.coalesce("gate_tags", _no_tags()), lambda t: F.startswith(t, F.lit("attestation:")))
     rule = (
         F.when(F.col("guard").isNotNull(), F.col("guard"))

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gatelight.functions import registry_values as R
 from gatelight.plans import record_cases as M
@@ -46,6 +47,15 @@ def test_components_and_requirements(found):
     assert full.display_state.startswith("Locally provenance-complete--L3") and full.schema_accepts and not found["L1 no_json"].schema_accepts
 
 
+def test_repeated_and_missing_keys(spark):
+    records, manifests, files = M.frames(spark, [("L1", "complete_record"), ("L1", "conflict")])
+    one = records.withColumn("record_key", F.lit("same"))
+    none = records.withColumn("record_key", F.lit(None).cast("string"))
+    rows = classify(one.unionByName(one).unionByName(none), manifests, files).collect()
+    found = sorted((str(r.record_key), len(r.audit_tags), r.state == R.STATES["complete"]) for r in rows)
+    assert found == sorted([("same", 0, True), ("same", 1, False)] * 2 + [("None", 0, True), ("None", 1, False)])
+
+
 def test_another_registry_and_an_unreadable_shape(spark, tmp_path):
     from gatelight.sources import files as S
 
