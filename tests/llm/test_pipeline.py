@@ -1,8 +1,13 @@
 import random
+import zlib
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 import pytest
 from gatelight.llm import toxicity
+from tokenizers import Tokenizer
+
 from tests.llm import test_near_dedup, test_suffix_dedup, test_toxicity
 
 
@@ -67,10 +72,52 @@ def test_stages_in_turn_match_brute_force(spark, folder, tmp_path):
 
 
 def check_pieces(pieces, texts):
-    ids = {r.doc_id for r in pieces}
-    assert ids == set(texts) and all(r.length > 0 and r.offset + r.length <= 2048 for r in pieces)
-    total = {}
+    """Every id of every text, by the library, is in just one piece; sequences have no gaps and only powers of two are short."""
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own.encode_special_tokens = True
+    assert {r.doc_id for r in pieces} == set(texts)
+    filled = {}
     for r in pieces:
-        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
-        assert r.start < r.doc_tokens
+        ids = [*own.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        part = np.array(ids[r.start : r.start + r.length], "<u4")
+        assert r.doc_tokens == len(ids) and len(part) == r.length > 0 and r.ids_crc32 == zlib.crc32(part.tobytes())
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    total = {}
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == total.get(r.doc_id, 0)
+        total[r.doc_id] = r.start + r.length
     assert all(total[r.doc_id] == r.doc_tokens for r in pieces)
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 2048 or at & (at - 1) == 0
+
+
+def test_run_is_the_stages_in_turn(spark, folder):
+    at, _ = folder
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, at)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(corpus_pipeline.run(spark, at)) == rows(docs)
+
+
+def test_odd_tables(spark, tmp_path):
+    """No rows; and null ids, repeated ids and rows, null texts, and columns whose names the operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, cuts int, kept boolean, own_sha string, cut_id int, dropped int, id long, toxic int"
+    rest = ("en", "s", 3, 1, True, "x", 2, 3, 4, 5)
+    other = lambda c: " ".join(f"{c}{i}" for i in range(80))
+    words = other("w")
+    rows = [(None, "a text without an id"), (None, None), (1, None), (2, ""), (3, words), (3, words), (3, "a second text of 3"), (4, f"{words} {other('y')}"), (5, f"ü {other('z')} {words}"), (6, "long " * 30_000)]
+    for name, own in (("none", []), ("odd", rows)):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame([r + rest for r in own], schema).repartition(3).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (3, 1, 0), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        found = corpus_pipeline.run(spark, at).collect()
+        left = [r for r in found if r.start == 0]
+        assert all(r.length > 0 for r in found) and bool(found) == bool(own)
+        if own:
+            # 1 and 2 are both empty, as is the row without an id; the long text and the others are like none.
+            assert sorted(str(r.doc_id) for r in left) == sorted(["None", "1", "3", "3", "4", "5", "6"]), found
