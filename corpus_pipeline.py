@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 stage's rows as Parquet to the shared folder that the session names and reads them again, so a lost executor
 costs a stage at most. All stages but the last return the columns of documents.
 
+Defined results. A table without rows gives no rows. Null ids: such rows are scored and compared as texts, but link with nothing and
+have no repeats; of copies among them one stays. Repeated rows are one document from the second stage on; several texts of one id are each
+kept, linked together and cut by themselves. Null and empty texts are equal, so one of them stays, the one with the smallest
+id, as a piece that is its end id alone. Other columns pass through to the last stage, whatever their names; n_chars follows the text. Ties
+are settled by the smallest id.
+
 Learned weights and token ids are beyond SQL, so
 ORACLE_SQL is None; tests/llm/test_pipeline.py holds each stage and the whole against brute force.
 """
@@ -20,18 +26,18 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that the learned lexicon scores at 0.5 or more go."""
+    """Operator 8: documents that the learned lexicon scores at 0.5 or more go; one at just 0.5 goes, one without words stays unless most labels are toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of equal texts the row with the smallest id stays."""
+    """Operator 3: of equal texts the row with the smallest id stays, a null id only if there is no other; repeated rows once."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: one document of each group stays; five-word shingles, similarity 0.8."""
+    """Operator 2: one document of each group stays, that with the smallest id; five-word shingles, similarity 0.8. Texts without words and rows without an id stay."""
     return near_dedup.drop_near_copies(docs)
 
 
@@ -42,7 +48,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: one row per piece of a document in a sequence of 2048 ids."""
+    """Operator 4: one row per piece of a document in a sequence of 2048 ids; a null text is its end id alone."""
     return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
