@@ -1,4 +1,5 @@
 import inspect
+import math
 
 from gatelight import registry
 from gatelight.operators import simulate as S
@@ -39,3 +40,18 @@ def test_ar1_control_has_error_and_power_rates(spark):
     for r in S.ar1_control(spark, 200).collect():
         wanted = (0.0, r.contradicted_rate, r.supported_rate) if r.effect > S.SESOI else (r.supported_rate, 0.0, 0.0)
         assert (r.false_support_rate, r.false_contradiction_rate, r.power_supported_rate) == wanted
+
+
+def test_direction_guard_meets_closed_forms(spark):
+    rows = {(r.design, r.n_blocks, r.effect): r for r in S.direction_guard(spark, 2000).collect()}
+    assert len(rows) == 30
+    above = {0.0: 0.5, 2.0: 0.655422, 5.0: 0.841345}  # chance that a block with standard deviation 5 is favorable
+    for n in (10, 20, 35, 50):
+        needed = -(-8 * n // 10)
+        for effect, p in above.items():
+            exact = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(needed, n + 1))
+            assert abs(rows["iid_normal", n, effect].guard_rate - exact) < 0.045, (n, effect)
+        for design in ("iid_normal", "ar1_oracle_interval"):
+            assert abs(rows[design, n, 2.0].ci_support_rate - 0.05) < 0.022, (design, n)
+    for r in rows.values():
+        assert abs(r.joint_rate + r.support_guard_fail_rate - r.ci_support_rate) < 1e-12 and r.joint_rate <= r.guard_rate
