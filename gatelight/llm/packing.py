@@ -15,8 +15,6 @@ are packed each. Columns besides the named ones are neither read nor returned.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,7 +107,7 @@ def pieces_of(start: int, n: int, total: int, length: int) -> list[tuple[int, in
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (unsigned 16-bit little-endian), doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (unsigned 32-bit little-endian), doc_tokens, sequence_id, offset.
 
     For vocabularies of at most 65,536 ids.
     """
@@ -130,7 +128,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int =
                 if place != current:
                     current, at = place, before[place]
                 for first, size, sequence, offset in pieces_of(at, n, total, length):
-                    out.append((doc, first, size, ids[2 * first : 2 * (first + size)], n, sequence, offset))
+                    out.append((doc, first, size, np.frombuffer(ids, "<u2", size, 2 * first).astype("<u4").tobytes(), n, sequence, offset))
                 at += n
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
             kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 3]
@@ -142,15 +140,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int =
 
 def digests(pieces: DataFrame) -> DataFrame:
     """The pieces with ids_crc32 in place of ids."""
-    kinds = pieces.schema
-
-    def summed(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch.column(at).to_pylist()]
-            columns = batch.columns
-            columns[at] = pa.array(crc, pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:at], "ids_crc32", *batch.schema.names[at + 1 :]])
-
-    schema = ", ".join("ids_crc32 long" if f.name == "ids" else f"{f.name} {f.dataType.simpleString()}" for f in kinds)
-    return pieces.mapInArrow(summed, schema)
+    return pieces.select(*[F.crc32("ids").alias("ids_crc32") if c == "ids" else c for c in pieces.columns])

@@ -156,7 +156,7 @@ def write(docs: DataFrame, tokenizer_path: str, end: int = 0, folder: str | None
 
 
 def read(files: DataFrame) -> DataFrame:
-    """The documents in the files of write: doc_id, start (ids of all documents before it), ids (u2 each, little-endian)."""
+    """The documents in the files of write: doc_id, start (ids of all documents before it), n_tokens, ids (u4 each, little-endian)."""
 
     def opened(batches):
         for batch in batches:
@@ -171,22 +171,15 @@ def read(files: DataFrame) -> DataFrame:
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 for k in range(0, len(names), 1000):
                     last = min(k + 1000, len(names))
-                    parts = [ids[bounds[j] : bounds[j + 1]].astype("<u2").tobytes() for j in range(k, last)]
+                    parts = [ids[bounds[j] : bounds[j + 1]].astype("<u4").tobytes() for j in range(k, last)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[k:last], pa.int64()), pa.array(bounds[k:last] + first, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "start", "ids"]
+                        [pa.array(names[k:last], pa.int64()), pa.array(bounds[k:last] + first, pa.int64()), pa.array(sizes[k:last]), pa.array(parts, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"]
                     )
 
     spread = files.select("path").repartition(max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
-    return spread.mapInArrow(opened, "doc_id long, start long, ids binary")
+    return spread.mapInArrow(opened, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digests(found: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit integers)."""
-
-    def summed(batches):
-        for batch in batches:
-            ids = [np.frombuffer(x, "<u2").astype("<u4") for x in batch.column(2).to_pylist()]
-            crc = pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, ids), pa.int64()), crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return found.select("doc_id", "start", "ids").mapInArrow(summed, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -24,7 +24,7 @@ def check(pieces, rows, length):
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t in rows}
     per_doc, per_sequence = {}, {}
     for r in pieces:
-        got = np.frombuffer(r.ids, "<u2").tolist()
+        got = np.frombuffer(r.ids, "<u4").tolist()
         assert len(got) == r.length > 0 and r.doc_tokens == len(ids[r.doc_id])
         per_doc.setdefault(r.doc_id, []).append((r.start, got))
         per_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
