@@ -319,32 +319,35 @@ def _link(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents are linked if their sets of size-word shingles have a
     Jaccard similarity of percent / 100 at least."""
-    spark = docs.sparkSession
-    scratch.bounded_batches(spark)
+    with scratch.last_stays(docs.sparkSession):
+        return _near_groups(docs, size, percent, id_col, text_col)
+
+
+def _near_groups(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    scratch.bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bands, rows = banding(percent / 100)
-    signed, signed_path = scratch.written(_signed(texts, size, bands, rows), "signatures")
+    signed, _ = scratch.written(_signed(texts, size, bands, rows), "signatures")
     named = signed.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     # A class of equal sets is known by its smallest id.
     classes = named.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "n", "bands")).alias("top"))
-    classes, classes_path = scratch.written(classes.select("set_a", "set_b", "top.*"), "classes")
+    classes, _ = scratch.written(classes.select("set_a", "set_b", "top.*"), "classes")
     owners = classes.select("set_a", "set_b", F.col("id").alias("rep"))
     found = signed.select("id", "n", "set_a", "set_b").join(owners, ["set_a", "set_b"], "left").select("id", "n", "rep")
     # Rows with one id and several texts connect the classes of these texts.
     many = found.filter("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a <> last")
-    links, links_path = scratch.written(found.join(many.drop("last"), "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "links")
+    links, _ = scratch.written(found.join(many.drop("last"), "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "links")
 
     exploded = classes.select(F.explode("bands").alias("key"), "id", "n")
     full = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    members, members_path = scratch.written(exploded.join(full, "key", "left_semi").distinct(), "members")
+    members, _ = scratch.written(exploded.join(full, "key", "left_semi").distinct(), "members")
     sets = _sets(texts.join(members.select("id").distinct(), "id", "left_semi"), size)
-    sets, sets_path = scratch.written(sets, "sets")
+    sets, _ = scratch.written(sets, "sets")
     labels = _link(members, sets, links, percent)
     out = found.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
     out, _ = scratch.written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-groups")
-    scratch.drop(spark, signed_path, classes_path, members_path, sets_path, links_path)
     return out
 
 

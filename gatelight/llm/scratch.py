@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +37,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def last_stays(spark: SparkSession):
+    """When the block ends, all tables that were written in it go but the last."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        made = _scopes.pop()
+        drop(spark, *made[:-1])
+        if _scopes:
+            _scopes[-1] += made[-1:]
+
+
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """The rows written as Parquet and read again, and their path. This ends the lineage."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path), path
 

@@ -286,6 +286,11 @@ def text_code(text: Column) -> Column:
 
 def _repeated_runs(docs: DataFrame, min_words: int, head: int, id_col: str, text_col: str) -> DataFrame:
     """id, text_code, word, last_word, begin, end, first_id: series of runs of min_words words, each of which is in several documents."""
+    with scratch.last_stays(docs.sparkSession):
+        return _found_runs(docs, min_words, head, id_col, text_col)
+
+
+def _found_runs(docs: DataFrame, min_words: int, head: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     scratch.bounded_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), text_code(F.col(text_col)).alias("text_code"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
@@ -296,10 +301,9 @@ def _repeated_runs(docs: DataFrame, min_words: int, head: int, id_col: str, text
     places, places_path = scratch.written(places, "places")
     scratch.drop(spark, path)  # most suffixes are in one document only: their table goes before the texts move
     found = texts.join(places, ["id", "text_code"])
-    contexts, contexts_path = scratch.written(_contexts(found.select("id", "text_code", "text", "places"), min_words, head), "contexts")
+    contexts, _ = scratch.written(_contexts(found.select("id", "text_code", "text", "places"), min_words, head), "contexts")
     scratch.drop(spark, places_path)
     runs, _ = scratch.written(_met(contexts, min_words, head).unionByName(_apart(contexts, min_words)).distinct(), "runs")
-    scratch.drop(spark, contexts_path)
     return runs
 
 
