@@ -14,7 +14,8 @@ that what the driver receives (the pruned lexicon and about max_labelled numbers
 grow with the corpus. Nothing is cut by rank: candidates are pruned in Spark, by the beginnings that they share. Scoring reads every row whole.
 
 Defined results. A null or empty text has no words and gets the score of a text without hits. Labels
-that are null, and labels of absent documents, are not used; of several labels of one id the largest counts. With labels of one kind only, or
+that are null, and labels of absent documents, are not used; of several labels of one id the largest counts, of several texts
+the smallest. With labels of one kind only, or
 none that words explain, the lexicon is empty and every score is the share of toxic ones among all labelled rows (in the second case
 drawn a little to the clean side), or 0 without labels. Repeated rows each give a
 row; extra columns are passed over by score() and passed through by drop_toxic().
@@ -139,8 +140,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFram
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(map(fold, batch.column(0).to_pylist()), pa.string()), batch.column(1)], names=["folded", "toxic"])
 
-    # Copies say nothing new: rows with the same folded words count once for each label.
-    return rows.join(marks, "id").select("text", "toxic").mapInArrow(folded, "folded string, toxic int").groupBy("folded", "toxic").agg(F.count(F.lit(1)).alias("copies"))
+    # One text for each id keeps the bound. Copies say nothing new: rows with the same folded words count once for each label.
+    texts = rows.join(marks, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    return texts.mapInArrow(folded, "folded string, toxic int").groupBy("folded", "toxic").agg(F.count(F.lit(1)).alias("copies"))
 
 
 class Evidence:
