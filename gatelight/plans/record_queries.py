@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gatelight.functions import registry_values as R
 from gatelight.functions.record_schema import REASONS
+from gatelight.operators.integrity import pinned
 from gatelight.plans import record_cases as M
 from gatelight.plans.classify import classify
 from gatelight.plans.conformance_queries import REGISTRY_SQL
@@ -144,3 +145,15 @@ def q_record_json(spark, sf_dir):
     return told.select("record_key", back.alias("x"), F.try_parse_json("result").isNotNull().alias("parses")).select(
         "record_key", "x.claim_id", "x.state", F.col("x.claim_level").alias("shown_level"), F.size("x.audit_tags").cast("long").alias("n_tags"), "parses"
     )
+
+
+@query(f"""WITH {_expected_sql(["complete_record", "no_json"])}
+SELECT level || ' ' || CASE name WHEN 'complete_record' THEN 'manifest_digest' ELSE name END AS record_key, state, CASE name WHEN 'no_json' THEN NULL ELSE true END AS keys_in_order, n_tags::BIGINT AS n_tags FROM expected""")
+def q_pinned_records(spark, sf_dir):
+    """Records that name a wrong digest, written anew with the digest of their manifest and keys in order: now they are complete."""
+    records, manifests, files = M.frames(spark, [(level, name) for level in R.LEVELS for name in ("manifest_digest", "no_json")])
+    fixed = pinned(records, manifests)
+    keys = F.json_object_keys("record")
+    order = fixed.select("record_key", (keys == F.array_sort(keys)).alias("keys_in_order"))
+    found = classify(fixed, manifests, files).select("record_key", "state", F.size("audit_tags").cast("long").alias("n_tags"))
+    return found.join(order, "record_key")
