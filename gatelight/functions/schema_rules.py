@@ -28,8 +28,9 @@ def _at(cond: Column, path: Column) -> Column:
     return F.when(cond, F.array(path)).otherwise(_none())
 
 
-def violations(schema: dict, v: Column, path: Column | None = None, root: dict | None = None) -> Column:
-    """The path of each violation; nothing for an absent value."""
+def violations(schema: dict, v: Column, path: Column | None = None, root: dict | None = None, given: dict | None = None, at: tuple = ()) -> Column:
+    """The path of each violation; nothing for an absent value. given: values and kinds that are columns already, by the names that lead to them."""
+    given = given or {}
     root = root or schema
     path = F.expr("array()").cast(_PATH) if path is None else path
     while "$ref" in schema:
@@ -37,7 +38,8 @@ def violations(schema: dict, v: Column, path: Column | None = None, root: dict |
         for part in schema["$ref"].removeprefix("#/").split("/"):
             place = place[part]
         schema = place
-    kind, found = V.kind(v), []
+    kind, found = given[at][1] if at in given else V.kind(v), []
+    field = lambda name: given[*at, name][0] if (*at, name) in given else V.field(v, name)
     if "type" in schema:
         wanted = schema["type"]
         if wanted == "integer":
@@ -52,7 +54,7 @@ def violations(schema: dict, v: Column, path: Column | None = None, root: dict |
         names = F.map_keys(V.members(v))
         found.append(_at(F.size(F.array_except(names, F.array(*[F.lit(k) for k in known]))) > 0, path))
     for name in schema.get("required", ()):
-        found.append(_at((kind == "object") & V.field(v, name).isNull(), path))
+        found.append(_at((kind == "object") & field(name).isNull(), path))
     if "minLength" in schema:
         found.append(_at((kind == "string") & (F.char_length(V.text(v)) < schema["minLength"]), path))
     if "enum" in schema:
@@ -69,14 +71,14 @@ def violations(schema: dict, v: Column, path: Column | None = None, root: dict |
         each = F.transform(V.items(v), lambda x, i: violations(schema["items"], x, F.concat(path, _part(i.cast("string"), i)), root))
         found.append(F.flatten(each))
     for name, own in known.items():
-        inner = V.field(v, name)
-        found.append(F.when(inner.isNotNull(), violations(own, inner, F.concat(path, _part(F.lit(name))), root)).otherwise(_none()))
+        inner = field(name)
+        found.append(F.when(inner.isNotNull(), violations(own, inner, F.concat(path, _part(F.lit(name))), root, given, (*at, name))).otherwise(_none()))
     if isinstance(extra, dict):
         entries = F.filter(F.map_entries(V.members(v)), lambda e: ~e["key"].isin(*known)) if known else F.map_entries(V.members(v))
         found.append(F.flatten(F.transform(entries, lambda e: violations(extra, e["value"], F.concat(path, _part(e["key"])), root))))
     return F.concat(*found) if found else _none()
 
 
-def violation_tags(schema: dict, v: Column) -> Column:
+def violation_tags(schema: dict, v: Column, given: dict | None = None) -> Column:
     """One tag for each violation, in the order of paths."""
-    return F.transform(F.array_sort(violations(schema, v)), lambda p: F.concat(F.lit("schema:jsonschema="), F.when(F.size(p) == 0, "root").otherwise(F.array_join(F.transform(p, lambda x: x["s"]), "/"))))
+    return F.transform(F.array_sort(violations(schema, v, given=given)), lambda p: F.concat(F.lit("schema:jsonschema="), F.when(F.size(p) == 0, "root").otherwise(F.array_join(F.transform(p, lambda x: x["s"]), "/"))))

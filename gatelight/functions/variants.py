@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Date (extended, basic or by weeks), a separator, time (extended or basic), fraction, offset.
@@ -81,3 +81,11 @@ def shown(v: Column) -> Column:
     double = F.contains(s, F.lit("'")) & ~F.contains(s, F.lit('"'))
     quoted = F.when(double, F.concat(F.lit('"'), s, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'")))
     return F.when(k == "string", quoted).when(k.isNull() | (k == "null"), "None").when(k == "boolean", F.initcap(F.to_json(v))).otherwise(F.to_json(v))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """The frame with further columns that are worked out once for each row, however often later expressions use them.
+
+    Expressions over plain columns are merged into those that use them; a generator of one row keeps them apart.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

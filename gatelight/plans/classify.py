@@ -28,11 +28,26 @@ def _no_tags() -> Column:
     return F.expr("array()").cast(_TAGS)
 
 
-def schema_tags(v: Column, registry: R.Registry = R.PUBLISHED, shape: dict | None = S.RECORD) -> Column:
-    """All violations of the shape of a record, formal ones first; shape is None if its document can't be read."""
+CONTAINERS = ("declared_required_gates", "gates", "evidence_adjudications")
+
+
+def looked(base: DataFrame) -> tuple[DataFrame, dict]:
+    """The records with columns for the parts of v that many rules look at, and (value, kind) of each by the names that lead to it."""
+    v = F.col("v")
+    base = V.once(base, root_kind=V.kind(v), **{f"p_{name}": V.field(v, name) for name in S.RECORD["required"]})
+    kinds = {f"k_{name}": V.kind(F.col(f"p_{name}")) for name in S.RECORD["required"]}
+    base = V.once(base, **kinds, **{f"p_{holder}_{f}": V.field(F.col(f"p_{holder}"), f) for holder in CONTAINERS for f in R.FAMILIES})
+    base = V.once(base, **{f"k_{holder}_{f}": V.kind(F.col(f"p_{holder}_{f}")) for holder in CONTAINERS for f in R.FAMILIES})
+    given = {(): (v, F.col("root_kind"))} | {(name,): (F.col(f"p_{name}"), F.col(f"k_{name}")) for name in S.RECORD["required"]}
+    return base, given | {(h, f): (F.col(f"p_{h}_{f}"), F.col(f"k_{h}_{f}")) for h in CONTAINERS for f in R.FAMILIES}
+
+
+def schema_tags(given: dict, registry: R.Registry = R.PUBLISHED, shape: dict | None = S.RECORD) -> Column:
+    """All violations of the shape of a record (see looked), formal ones first; shape is None if its document can't be read."""
+    v, root_kind = given[()]
     if shape is None:
-        return F.when(F.coalesce(V.kind(v) != "object", F.lit(True)), F.array(F.lit("schema:root_not_object"))).otherwise(F.array(F.lit("schema:formal_schema_unavailable")))
-    f = lambda name: V.field(v, name)
+        return F.when(F.coalesce(root_kind != "object", F.lit(True)), F.array(F.lit("schema:root_not_object"))).otherwise(F.array(F.lit("schema:formal_schema_unavailable")))
+    f = lambda name: given[name,][0]
     boundary, profile, sequence = f("boundary"), f("evidence_profile"), f("minimum_manifest_sequence")
     checks = [(f(name).isNull(), f"schema:missing_field={name}") for name in S.RECORD["required"]]
     checks += [(f(name).isNotNull() & ~V.filled(V.text(f(name))), f"schema:empty_or_invalid={name}") for name in S.TEXT_FIELDS]
@@ -46,12 +61,12 @@ def schema_tags(v: Column, registry: R.Registry = R.PUBLISHED, shape: dict | Non
     left_out = V.items(V.field(boundary, "exclusions"))
     checks.append((is_object & ((F.size(left_out) == 0) | F.exists(left_out, lambda x: ~V.filled(V.text(x)))), "schema:boundary_exclusions_missing_or_empty"))
     checks.append((F.size(V.members(f("threshold_rationale"))) == 0, "schema:threshold_rationale_missing_or_empty"))
-    for name in ("declared_required_gates", "gates", "evidence_adjudications"):
-        holder, wanted = f(name), "array" if name == "declared_required_gates" else "object"
-        good = F.coalesce(V.kind(holder) == "object", F.lit(False))
+    for name in CONTAINERS:
+        wanted = "array" if name == "declared_required_gates" else "object"
+        good = F.coalesce(given[name,][1] == "object", F.lit(False))
         checks.append((~good, f"schema:{name}_not_object"))
-        checks += [(good & ~F.coalesce(V.kind(V.field(holder, x)) == wanted, F.lit(False)), f"schema:{name}_{x}_missing_or_invalid") for x in R.FAMILIES]
-    return F.when(F.coalesce(V.kind(v) != "object", F.lit(True)), F.array(F.lit("schema:root_not_object"))).otherwise(F.concat(violation_tags(shape, v), C.tags(*checks)))
+        checks += [(good & ~F.coalesce(given[name, x][1] == wanted, F.lit(False)), f"schema:{name}_{x}_missing_or_invalid") for x in R.FAMILIES]
+    return F.when(F.coalesce(root_kind != "object", F.lit(True)), F.array(F.lit("schema:root_not_object"))).otherwise(F.concat(violation_tags(shape, v, given), C.tags(*checks)))
 
 
 def manifest_tags(m: Column, there: Column) -> Column:
@@ -74,17 +89,17 @@ def _each(names: Column, prefix: str) -> Column:
     return F.transform(names, lambda name: F.concat(F.lit(prefix), name))
 
 
-def declaration_tags(v: Column, level: Column, registry: R.Registry = R.PUBLISHED) -> Column:
+def declaration_tags(given: dict, level: Column, registry: R.Registry = R.PUBLISHED) -> Column:
     """How the gates that a record declares differ from those that its level requires."""
     out = []
     for family in R.FAMILIES:
         expected = F.element_at(F.create_map(*[x for name, own in registry.levels.items() for x in (F.lit(name), F.array(*[F.lit(g) for g in own[family]]))]), level)
-        declared = F.transform(V.items(V.field(V.field(v, "declared_required_gates"), family)), V.text)
+        declared = F.transform(V.items(given["declared_required_gates", family][0]), V.text)
         out.append(C.tags((F.size(F.array_distinct(declared)) != F.size(declared), f"required_gate_declaration:{family}:duplicate_gate_name")))
         for name, gates in (("omitted", C.set_difference(expected, declared)), ("unregistered", C.set_difference(declared, expected))):
             out.append(_each(gates, f"required_gate_declaration:{family}:{name}="))
         for holder in ("gates", "evidence_adjudications"):
-            names = F.map_keys(V.members(V.field(V.field(v, holder), family)))
+            names = F.map_keys(V.members(given[holder, family][0]))
             out.append(C.tags((F.size(names) == 0, f"{holder}:{family}=empty")))
             out.append(_each(C.set_difference(names, expected), f"{holder}:{family}:unregistered="))
     return F.concat(*out)
@@ -108,25 +123,28 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def gate_tags(ready: DataFrame, manifests: DataFrame, files: DataFrame, registry: R.Registry = R.PUBLISHED) -> DataFrame:
-    """fold_key, place, family, gate, status and tags of every required gate of the records (fold_key, v, level, manifest_key)."""
+    """fold_key, place, family, gate, status and tags of every required gate of the records (fold_key, manifest_key, level, id, owner, assessed, and maps of statuses and statements by family)."""
     gates = C.required_roles(C.required_gates(ready, registry), registry)
 
     def of(holder: str) -> Column:
         chosen = F.lit(None)
         for family in R.FAMILIES:
-            chosen = F.when(F.col("family") == family, F.try_element_at(V.members(V.field(V.field(F.col("v"), holder), family)), F.col("gate"))).otherwise(chosen)
+            chosen = F.when(F.col("family") == family, F.try_element_at(F.col(f"{holder}_{family}"), F.col("gate"))).otherwise(chosen)
         return chosen
 
     rows = gates.select(
-        "fold_key", "manifest_key", "level", "family", "gate", "role", (F.col("family_ord") * 100 + F.col("gate_ord")).alias("place"),
-        of("gates").alias("seen"), of("evidence_adjudications").alias("a"),
-        V.text(V.field(F.col("v"), "id")).alias("id"), V.field(F.col("v"), "claim_owner_id").alias("owner"), V.utc(V.text(V.field(F.col("v"), "assessment_time_utc"))).alias("assessed"),
+        "fold_key", "manifest_key", "level", "family", "gate", "role", (F.col("family_ord") * 100 + F.col("gate_ord")).alias("place"), of("gates").alias("seen"), of("evidence_adjudications").alias("a"),
+        "id", "owner", "assessed",
     )
-    a = F.col("a")
-    rows = rows.withColumn("evidence_id", V.text(V.field(a, "evidence_id"))).withColumn("authorization_id", V.text(V.field(a, "reviewer_authorization_id")))
+    rows = V.once(rows, seen_kind=V.kind(F.col("seen")))
+    rows = V.once(rows, a_kind=V.kind(F.col("a")), **{f"a_{n}": V.field(F.col("a"), n) for n in ("disposition", *S.ATTESTATION_FIELDS)}).drop("a")
+    rows = V.once(rows, evidence_id=V.text(F.col("a_evidence_id")), authorization_id=V.text(F.col("a_reviewer_authorization_id")))
     rows = rows.join(_evidence(manifests), ["manifest_key", "evidence_id"], "left").join(_reviewers(manifests), ["manifest_key", "authorization_id"], "left")
-    path = V.text(V.field(F.col("ev"), "path"))
-    rows = rows.withColumn("path", path).withColumn("path_key", normal_path(path))
+    fields = {f"ev_{n}": V.field(F.col("ev"), n) for n in ("path", "status", "version", "sha256", "expires_at_utc", "permitted_gates", "permitted_claim_ids")}
+    fields |= {f"who_{n}": V.field(F.col("who"), n) for n in ("status", "reviewer_id", "role")}
+    rows = V.once(rows, ev_kind=V.kind(F.col("ev")), who_kind=V.kind(F.col("who")), **fields).drop("ev", "who")
+    times = {"reviewed": V.utc(V.text(F.col("a_reviewed_at_utc"))), "expires": V.utc(V.text(F.col("ev_expires_at_utc")))}
+    rows = V.once(rows, path=V.text(F.col("ev_path")), **times).withColumn("path_key", normal_path(F.col("path")))
     escapes = F.col("escapes") if "escapes" in files.columns else F.lit(False)
     known = files.select("manifest_key", normal_path(F.col("path")).alias("path_key"), F.col("digest"), escapes.alias("escapes"))
     rows = rows.join(known, ["manifest_key", "path_key"], "left")
@@ -135,20 +153,20 @@ def gate_tags(ready: DataFrame, manifests: DataFrame, files: DataFrame, registry
 
     prefix = F.concat(F.lit("attestation:"), F.col("family"), F.lit(":"), F.col("gate"))
     tag = lambda text: F.concat(prefix, text if isinstance(text, Column) else F.lit(text))
-    ev, who, key = F.col("ev"), F.col("who"), F.concat_ws(".", "family", "gate")
-    is_ev, is_who = F.coalesce(V.kind(ev) == "object", F.lit(False)), F.coalesce(V.kind(who) == "object", F.lit(False))
-    lacking = C.tags(*[(V.field(a, name).isNull(), tag(f":missing={name}")) for name in S.ATTESTATION_FIELDS])
-    active = F.coalesce(V.text(V.field(ev, "status")) == "active", F.lit(False))
-    attested = F.coalesce(V.text(V.field(a, "disposition")) == "attested", F.lit(False))
+    key = F.concat_ws(".", "family", "gate")
+    is_ev, is_who = F.coalesce(F.col("ev_kind") == "object", F.lit(False)), F.coalesce(F.col("who_kind") == "object", F.lit(False))
+    lacking = C.tags(*[(F.col(f"a_{name}").isNull(), tag(f":missing={name}")) for name in S.ATTESTATION_FIELDS])
+    active = F.coalesce(V.text(F.col("ev_status")) == "active", F.lit(False))
+    attested = F.coalesce(V.text(F.col("a_disposition")) == "attested", F.lit(False))
     early = (
-        F.when(F.coalesce(V.kind(a) != "object", F.lit(True)), F.array(tag("=missing_or_invalid")))
-        .when(~attested, F.array(tag(F.concat(F.lit(":disposition="), V.shown(V.field(a, "disposition"))))))
+        F.when(F.coalesce(F.col("a_kind") != "object", F.lit(True)), F.array(tag("=missing_or_invalid")))
+        .when(~attested, F.array(tag(F.concat(F.lit(":disposition="), V.shown(F.col("a_disposition"))))))
         .when(F.size(lacking) > 0, lacking)
         .when(~V.filled(F.col("evidence_id")), F.array(tag(":evidence_id_invalid")))
         .when(~is_ev, F.array(tag(F.concat(F.lit(":evidence_id_not_in_manifest="), F.col("evidence_id")))))
-        .when(~active, F.array(tag(F.concat(F.lit(":evidence_status="), V.shown(V.field(ev, "status"))))))
+        .when(~active, F.array(tag(F.concat(F.lit(":evidence_status="), V.shown(F.col("ev_status"))))))
     )
-    rows = rows.withColumn("early", early)
+    rows = V.once(rows, early=early)
     # Only rows that reach their file take part in the look at earlier uses of its digest.
     used = F.col("early").isNull() & F.col("bad_path").isNull() & F.col("digest").isNotNull()
     rows = rows.withColumn("used", F.when(used, F.col("digest")))
@@ -156,38 +174,38 @@ def gate_tags(ready: DataFrame, manifests: DataFrame, files: DataFrame, registry
     before = F.when(F.col("used").isNotNull(), F.lag("evidence_id").over(window))
     rows = rows.withColumn("before", before)
 
-    reviewed, expires, assessed = V.utc(V.text(V.field(a, "reviewed_at_utc"))), V.utc(V.text(V.field(ev, "expires_at_utc"))), F.col("assessed")
-    binding = V.members(V.field(a, "claim_binding"))
+    reviewed, expires, assessed = F.col("reviewed"), F.col("expires"), F.col("assessed")
+    binding = V.members(F.col("a_claim_binding"))
     part = lambda name: V.text(F.try_element_at(binding, F.lit(name)))
     bound = (F.size(binding) == 3) & part("claim_id").eqNullSafe(F.col("id")) & part("evidence_profile").eqNullSafe(F.col("level")) & part("gate").eqNullSafe(key)
-    allowed = lambda name, value: F.array_contains(F.transform(V.items(V.field(ev, name)), lambda x: F.coalesce(V.text(x), F.lit(""))), value)
+    allowed = lambda name, value: F.array_contains(F.transform(V.items(F.col(f"ev_{name}")), lambda x: F.coalesce(V.text(x), F.lit(""))), value)
     stale = (reviewed > assessed) | (C.elapsed_days(assessed, reviewed) > R.MAX_REVIEW_AGE_DAYS)
     late = C.tags(
-        (~_same(V.field(a, "evidence_version"), V.field(ev, "version")), tag(":evidence_version_mismatch")),
+        (~_same(F.col("a_evidence_version"), F.col("ev_version")), tag(":evidence_version_mismatch")),
         (F.col("bad_path").isNotNull(), tag(F.concat(F.lit(":evidence_"), F.col("bad_path")))),
         (F.col("bad_path").isNull() & F.col("digest").isNull(), tag(":evidence_file_missing")),
         (F.col("before") != F.col("evidence_id"), tag(F.concat(F.lit(":duplicate_evidence_digest_under_distinct_ids="), F.col("before")))),
-        (F.col("used").isNotNull() & ~(V.text(V.field(ev, "sha256")).eqNullSafe(F.col("digest")) & V.text(V.field(a, "evidence_sha256")).eqNullSafe(F.col("digest"))), tag(":evidence_digest_mismatch")),
+        (F.col("used").isNotNull() & ~(V.text(F.col("ev_sha256")).eqNullSafe(F.col("digest")) & V.text(F.col("a_evidence_sha256")).eqNullSafe(F.col("digest"))), tag(":evidence_digest_mismatch")),
         (~allowed("permitted_gates", key), tag(":evidence_not_bound_to_gate")),
         (~allowed("permitted_claim_ids", F.col("id")), tag(":evidence_not_bound_to_claim")),
         (~bound, tag(":claim_binding_mismatch")),
         (reviewed.isNull(), tag(":reviewed_at_invalid")),
         (stale, tag(":review_timestamp_stale_or_after_assessment")),
         (expires.isNull() | (expires < assessed), tag(":evidence_expired_or_invalid_expiry")),
-        (_same(V.field(a, "reviewer_id"), F.col("owner")), tag(":self_review_not_permitted")),
+        (_same(F.col("a_reviewer_id"), F.col("owner")), tag(":self_review_not_permitted")),
         (~is_who, tag(":reviewer_authorization_missing")),
-        (is_who & ~F.coalesce(V.text(V.field(who, "status")) == "active", F.lit(False)), tag(":reviewer_authorization_not_active")),
-        (is_who & ~_same(V.field(who, "reviewer_id"), V.field(a, "reviewer_id")), tag(":reviewer_authorization_identity_mismatch")),
-        (is_who & ~_same(V.field(who, "role"), V.field(a, "reviewer_role")), tag(":reviewer_role_authorization_mismatch")),
-        (~V.text(V.field(a, "reviewer_role")).eqNullSafe(F.col("role")), tag(":wrong_reviewer_role")),
-        (~F.coalesce(V.text(V.field(a, "conflict_declaration")).isin("none", "declared_and_managed"), F.lit(False)), tag(":conflict_unresolved_or_invalid")),
+        (is_who & ~F.coalesce(V.text(F.col("who_status")) == "active", F.lit(False)), tag(":reviewer_authorization_not_active")),
+        (is_who & ~_same(F.col("who_reviewer_id"), F.col("a_reviewer_id")), tag(":reviewer_authorization_identity_mismatch")),
+        (is_who & ~_same(F.col("who_role"), F.col("a_reviewer_role")), tag(":reviewer_role_authorization_mismatch")),
+        (~V.text(F.col("a_reviewer_role")).eqNullSafe(F.col("role")), tag(":wrong_reviewer_role")),
+        (~F.coalesce(V.text(F.col("a_conflict_declaration")).isin("none", "declared_and_managed"), F.lit(False)), tag(":conflict_unresolved_or_invalid")),
     )
     seen = F.col("seen")
-    absent = F.coalesce(V.kind(seen), F.lit("null")) == "null"
-    status = C.known_status(F.when(V.kind(seen) == "object", V.text(V.field(seen, "status"))).otherwise(V.text(seen)))
+    absent = F.coalesce(F.col("seen_kind"), F.lit("null")) == "null"
+    status = C.known_status(F.when(F.col("seen_kind") == "object", V.text(V.field(seen, "status"))).otherwise(V.text(seen)))
     status = F.when(absent, "missing").otherwise(F.coalesce(status, F.lit("invalid")))
     name = F.concat(F.col("family"), F.lit(":"), F.col("gate"), F.lit("="))
-    rows = rows.withColumn("status", status).withColumn("was_known", F.coalesce(C.known_status(F.when(V.kind(seen) == "object", V.text(V.field(seen, "status"))).otherwise(V.text(seen))).isNotNull(), F.lit(False)))
+    rows = rows.withColumn("status", status).withColumn("was_known", F.coalesce(C.known_status(F.when(F.col("seen_kind") == "object", V.text(V.field(seen, "status"))).otherwise(V.text(seen))).isNotNull(), F.lit(False)))
     own = C.tags((absent, F.concat(name, F.lit("not_submitted"))), (~absent & ~F.col("was_known"), F.concat(name, F.lit("invalid_status"))), (F.col("status") != "pass", F.concat(name, F.col("status"))))
     return rows.select("fold_key", "place", "family", "gate", "status", F.concat(own, F.coalesce("early", late)).alias("tags"))
 
@@ -211,7 +229,9 @@ def classify(records: DataFrame, manifests: DataFrame, files: DataFrame, registr
     # Records are told apart by their text as well: a key may be there twice, or null.
     fold_key = F.concat_ws(" ", F.coalesce("record_key", F.lit("")), F.hex(F.xxhash64("record_key", "record", "manifest_key")))
     base = records.select("record_key", fold_key.alias("fold_key"), "manifest_key", F.try_parse_json("record").alias("v")).join(few, "manifest_key", "left")
-    base = base.withColumn("level", V.text(V.field(v, "evidence_profile"))).withColumn("s_tags", schema_tags(v, registry, shape))
+    base, given = looked(base)
+    base = base.withColumn("level", V.text(given["evidence_profile",][0]))
+    base = V.once(base, s_tags=schema_tags(given, registry, shape))
     base = base.withColumn("m_tags", F.coalesce("found_tags", F.array(F.lit("manifest:unreadable=FileNotFoundError"))))
     token = F.col("m_local_integrity_token")
     token_path = V.text(V.field(token, "path"))
@@ -220,20 +240,20 @@ def classify(records: DataFrame, manifests: DataFrame, files: DataFrame, registr
     base = base.join(files.select("manifest_key", normal_path(F.col("path")).alias("path_key"), F.col("digest").alias("token_digest"), escapes.alias("token_escapes")), ["manifest_key", "path_key"], "left")
     bad = F.when(F.coalesce("token_escapes", F.lit(False)), "path_escapes_manifest_root").otherwise(path_error(token_path))
     own = F.col("token_digest")
-    matches = V.text(V.field(token, "sha256")).eqNullSafe(own) & V.text(V.field(v, "local_integrity_token_sha256")).eqNullSafe(own)
+    matches = V.text(V.field(token, "sha256")).eqNullSafe(own) & V.text(given["local_integrity_token_sha256",][0]).eqNullSafe(own)
     token_tag = (
         F.when(F.coalesce(V.kind(token) != "object", F.lit(True)), "missing_or_invalid")
         .when(bad.isNotNull(), bad)
         .when(own.isNull(), "file_missing")
         .when(~matches, "digest_mismatch")
     )
-    older = F.coalesce(V.number(F.col("m_sequence")) < V.number(V.field(v, "minimum_manifest_sequence")), F.lit(False))
+    older = F.coalesce(V.number(F.col("m_sequence")) < V.number(given["minimum_manifest_sequence",][0]), F.lit(False))
     guard = (
         F.when(F.size("m_tags") > 0, "manifest")
         .when(F.size("s_tags") > 0, "schema")
-        .when(~_same(V.field(v, "evidence_manifest_id"), F.col("m_manifest_id")), "manifest_id")
-        .when(~V.text(V.field(v, "evidence_manifest_sha256")).eqNullSafe(F.col("manifest_digest")), "manifest_digest")
-        .when(~_same(V.field(v, "evidence_manifest_version"), F.col("m_manifest_version")), "manifest_version")
+        .when(~_same(given["evidence_manifest_id",][0], F.col("m_manifest_id")), "manifest_id")
+        .when(~V.text(given["evidence_manifest_sha256",][0]).eqNullSafe(F.col("manifest_digest")), "manifest_digest")
+        .when(~_same(given["evidence_manifest_version",][0], F.col("m_manifest_version")), "manifest_version")
         .when(older, "sequence")
         .when(token_tag.isNotNull(), "token")
     )
@@ -243,9 +263,12 @@ def classify(records: DataFrame, manifests: DataFrame, files: DataFrame, registr
     for name, text in simple.items():
         g_tags = g_tags.when(F.col("guard") == name, F.array(F.lit(text)))
     g_tags = g_tags.when(F.col("guard") == "token", F.array(F.concat(F.lit("manifest:local_integrity_token_"), token_tag)))
-    base = base.withColumn("guard_tags", g_tags).withColumn("d_tags", F.when(F.col("guard").isNull(), declaration_tags(v, F.col("level"), registry)))
+    base = base.withColumn("guard_tags", g_tags).withColumn("d_tags", F.when(F.col("guard").isNull(), declaration_tags(given, F.col("level"), registry)))
 
-    ready = base.filter("guard IS NULL").select("fold_key", "manifest_key", "v", "level").dropDuplicates(["fold_key"])
+    ready = base.filter("guard IS NULL").dropDuplicates(["fold_key"])
+    told = {f"{holder}_{f}": V.members(given[holder, f][0]) for holder in CONTAINERS[1:] for f in R.FAMILIES}
+    own = {"id": V.text(given["id",][0]), "owner": given["claim_owner_id",][0], "assessed": V.utc(V.text(given["assessment_time_utc",][0]))}
+    ready = V.once(ready, **told, **own).select("fold_key", "manifest_key", "level", *told, *own)
     gates = gate_tags(ready, m.select("manifest_key", "m"), files, registry)
     family, status, gate = F.col("family"), F.col("status"), F.col("gate")
     ordered = F.array_sort(F.collect_list(F.struct("place", "tags")))
@@ -272,7 +295,7 @@ def classify(records: DataFrame, manifests: DataFrame, files: DataFrame, registr
     known = F.col("guard").isNull()
     required = F.create_map(*[x for f in R.FAMILIES for x in (F.lit(f), F.when(F.col("guard").isin("manifest", "schema"), _no_tags()).otherwise(
         F.coalesce(F.try_element_at(F.create_map(*[y for name, own_ in registry.levels.items() for y in (F.lit(name), F.array(*[F.lit(g) for g in own_[f]]))]), F.col("level")), _no_tags())))])
-    claim_id = F.coalesce(V.text(V.field(v, "id")), F.to_json(V.field(v, "id")), F.lit("<invalid-claim-object>"))
+    claim_id = F.coalesce(V.text(given["id",][0]), F.to_json(given["id",][0]), F.lit("<invalid-claim-object>"))
     out = out.withColumn("state", state)
     return out.select(
         "record_key", claim_id.alias("claim_id"), "state", C.display_state(F.col("state"), F.col("level")).alias("display_state"), F.col("level").alias("claim_level"), reason.alias("reason"),
