@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelight.llm import bpe, exact_dedup, html_extract, media, near_dedup, packing, quality, suffix_dedup, token_files, toxicity
+from gatelight.llm import bpe, exact_dedup, filter_audit, html_extract, media, near_dedup, packing, quality, suffix_dedup, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(filter_audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
     "op10_html_extract": op10_html_extract,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -78,5 +83,43 @@ WITH d AS (
 SELECT d.doc_id, g.keep_id, g.group_size,
        (d.doc_id IS NOT DISTINCT FROM g.keep_id) AS kept, sha256(d.norm) AS text_sha256
 FROM d JOIN g ON d.norm = g.norm
+""",
+    "op12_filter_audit": r"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), f AS (
+    SELECT d.part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic,
+           [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t),
+            regexp_matches(t, '[#$%&*|]'), d.doc_id > min(d.doc_id) OVER (PARTITION BY t)] AS fails
+    FROM d LEFT JOIN labels l ON d.doc_id = l.doc_id
+), c AS (
+    SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL
+), o AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) a, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) b, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) c,
+         (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) d, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+    SELECT c.*, filter_order, step, substr(filter_order, step, 1) AS letter, fails[instr('ABCDE', substr(filter_order, step, 1))] AS fail,
+           len(list_filter(fails, x -> x)) AS n_fails,
+           least(CASE WHEN fails[1] THEN instr(filter_order, 'A') ELSE 9 END, CASE WHEN fails[2] THEN instr(filter_order, 'B') ELSE 9 END,
+                 CASE WHEN fails[3] THEN instr(filter_order, 'C') ELSE 9 END, CASE WHEN fails[4] THEN instr(filter_order, 'D') ELSE 9 END,
+                 CASE WHEN fails[5] THEN instr(filter_order, 'E') ELSE 9 END) AS at
+    FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), r AS (
+    SELECT part, filter_order, step, letter,
+           coalesce(sum(n) FILTER (WHERE at > step), 0) AS kept,
+           coalesce(sum(n) FILTER (WHERE at = step), 0) AS removed,
+           coalesce(sum(n) FILTER (WHERE fail AND at < step), 0) AS redundant,
+           coalesce(sum(n) FILTER (WHERE fail AND n_fails = 1), 0) AS unique_fails,
+           coalesce(sum(n) FILTER (WHERE at = step AND good), 0) AS good_lost,
+           coalesce(sum(n) FILTER (WHERE at = step AND toxic), 0) AS toxic_lost
+    FROM s GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM r
 """,
 }
