@@ -102,19 +102,19 @@ WITH d AS (
     WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
 ), s AS (
     SELECT c.*, filter_order, step, substr(filter_order, step, 1) AS letter, fails[instr('ABCDE', substr(filter_order, step, 1))] AS fail,
-           len(list_filter(fails, x -> x)) AS n_fails,
+           fails[1]::INTEGER + fails[2]::INTEGER + fails[3]::INTEGER + fails[4]::INTEGER + fails[5]::INTEGER AS n_fails,
            least(CASE WHEN fails[1] THEN instr(filter_order, 'A') ELSE 9 END, CASE WHEN fails[2] THEN instr(filter_order, 'B') ELSE 9 END,
                  CASE WHEN fails[3] THEN instr(filter_order, 'C') ELSE 9 END, CASE WHEN fails[4] THEN instr(filter_order, 'D') ELSE 9 END,
-                 CASE WHEN fails[5] THEN instr(filter_order, 'E') ELSE 9 END) AS at
+                 CASE WHEN fails[5] THEN instr(filter_order, 'E') ELSE 9 END) AS first_step
     FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
 ), r AS (
     SELECT part, filter_order, step, letter,
-           coalesce(sum(n) FILTER (WHERE at > step), 0) AS kept,
-           coalesce(sum(n) FILTER (WHERE at = step), 0) AS removed,
-           coalesce(sum(n) FILTER (WHERE fail AND at < step), 0) AS redundant,
+           coalesce(sum(n) FILTER (WHERE first_step > step), 0) AS kept,
+           coalesce(sum(n) FILTER (WHERE first_step = step), 0) AS removed,
+           coalesce(sum(n) FILTER (WHERE fail AND first_step < step), 0) AS redundant,
            coalesce(sum(n) FILTER (WHERE fail AND n_fails = 1), 0) AS unique_fails,
-           coalesce(sum(n) FILTER (WHERE at = step AND good), 0) AS good_lost,
-           coalesce(sum(n) FILTER (WHERE at = step AND toxic), 0) AS toxic_lost
+           coalesce(sum(n) FILTER (WHERE first_step = step AND good), 0) AS good_lost,
+           coalesce(sum(n) FILTER (WHERE first_step = step AND toxic), 0) AS toxic_lost
     FROM s GROUP BY ALL
 )
 SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
