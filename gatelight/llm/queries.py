@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelight.llm import bpe, exact_dedup, filter_audit, html_extract, media, near_dedup, packing, quality, suffix_dedup, token_files, toxicity
+from gatelight.llm import alignment, bpe, exact_dedup, filter_audit, hash_ring, html_extract, media, near_dedup, packing, quality, suffix_dedup, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,19 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_ring.digests(hash_ring.place(table(spark, sf_dir, "documents")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(filter_audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)[0]
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -70,7 +79,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
     "op10_html_extract": op10_html_extract,
+    "op11_sharding": op11_sharding,
     "op12_filter_audit": op12_filter_audit,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {
