@@ -53,7 +53,32 @@ def t_critical(df: int, p: float = 0.95) -> float:
     return (low + high) / 2
 
 
-def t_table(spark, top: int = 400):
+#: Degrees of freedom up to which quantiles of t come from a table.
+T_TOP = 200
+
+#: Coefficients of z, z^3, z^5, ... in the terms 1/df, 1/df^2, ... of the expansion of t quantiles around the normal quantile z.
+T_TERMS = [
+    (4, [1, 1]),
+    (96, [3, 16, 5]),
+    (384, [-15, 17, 19, 3]),
+    (92160, [-945, -1920, 1482, 776, 79]),
+]
+
+
+def t_factors(z: float = Z95) -> list[float]:
+    """What 1, 1/df, 1/df^2, ... are multiplied by in the expansion of the quantile."""
+    return [z, *[sum(c * z ** (2 * k + 1) for k, c in enumerate(own)) / part for part, own in T_TERMS]]
+
+
+def t_expansion(df: Column) -> Column:
+    """The 95 % quantile of t by its expansion in 1/df, for many degrees of freedom."""
+    out = F.lit(0.0)
+    for factor in reversed(t_factors()):
+        out = out / df + factor
+    return out
+
+
+def t_table(spark, top: int = T_TOP):
     return spark.createDataFrame([(n, t_critical(n)) for n in range(1, top + 1)], "df int, t double")
 
 

@@ -6,10 +6,11 @@ the registry's own (72 and 12 rows); fact tables join by their keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelight.functions import registry_values as R
+from gatelight.operators import ordered
 
 
 def registry_gates(spark, registry: R.Registry = R.PUBLISHED) -> DataFrame:
@@ -57,10 +58,10 @@ def set_difference(left: Column, right: Column) -> Column:
     return F.array_sort(F.array_except(left, right))
 
 
-def copied_digests(used: DataFrame, scope: list[str], digest: str, evidence: str, order: list[str]) -> DataFrame:
-    """prior_id: the id under which a record used the same digest just before, if it was another one."""
-    before = F.lag(evidence).over(Window.partitionBy(*scope, digest).orderBy(*order))
-    return used.withColumn("prior_id", F.when(before != F.col(evidence), before))
+def copied_digests(used: DataFrame, scope: list[str], digest: str, evidence: str, order: list[str], n_ranges: int | None = None) -> DataFrame:
+    """prior_id: the id under which a record used the same digest just before, if it was another one. A digest with many uses is divided over tasks."""
+    marked = ordered.running(used, [*scope, digest], order, lags={"before_": F.col(evidence)}, n_ranges=n_ranges)
+    return marked.select(*used.columns, F.when(F.col("before_") != F.col(evidence), F.col("before_")).alias("prior_id"))
 
 
 def elapsed_days(later: Column, earlier: Column) -> Column:

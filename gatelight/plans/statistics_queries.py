@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gatelight.functions.statistics import Z95, mean_se_ar1, t_critical
 from gatelight.operators import decisions as D
+from gatelight.operators import ordered
 from gatelight.operators import simulate as S
 from gatelight.sources.tables import BLOCKS_SQL, blocks, table
 
@@ -36,7 +36,7 @@ STATE_SQL = f"""CASE WHEN lower > {SESOI} + 1e-12 AND favorable >= ceil({FRACTIO
 
 
 def _bounds(spark, sf_dir):
-    return D.t_interval(D.block_summary(blocks(spark, sf_dir), ["l_suppkey"]), 200)
+    return D.t_interval(D.block_summary(blocks(spark, sf_dir), ["l_suppkey"]))
 
 
 @query(f"{SUMMARY_SQL} SELECT l_suppkey, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bounds")
@@ -174,10 +174,10 @@ def q_union_scenarios(spark, sf_dir):
 @query("""WITH w AS (SELECT user_id, epoch_us(ts) AS t, value, lag(epoch_us(ts)) OVER p AS t0, lag(value) OVER p AS v0, row_number() OVER p AS k FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, count(*) AS samples, max(t - t0) AS max_gap_us, round(sum((value + v0) / 2 * ((t - t0) / 1000000.0)), 3) AS area, count(*) FILTER (WHERE k % 2 = 1) AS stride_two FROM w GROUP BY 1""")
 def q_gap_trapezoid(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """Gaps, trapezoids and every second sample of each user's series; a user's rows are divided over ranges."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", t.alias("t"))
-    rows = rows.select("user_id", "t", "value", F.lag("t").over(w).alias("t0"), F.lag("value").over(w).alias("v0"), F.row_number().over(w).alias("k"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", t.alias("t"))
+    rows = ordered.running(rows, ["user_id"], ["t", "event_id"], {"k": F.lit(1)}, lags={"t0": F.col("t"), "v0": F.col("value")})
     area = F.sum((F.col("value") + F.col("v0")) / 2 * ((F.col("t") - F.col("t0")) / 1000000.0))
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("samples"), F.max(F.col("t") - F.col("t0")).alias("max_gap_us"), F.round(area, 3).alias("area"), F.count_if(F.col("k") % 2 == 1).alias("stride_two"))
 
@@ -185,14 +185,22 @@ def q_gap_trapezoid(spark, sf_dir):
 @query("""SELECT a.event_id, count(b.event_id) AS within_hour, max(b.event_id) AS last_id FROM events a LEFT JOIN events b
 ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR GROUP BY 1""")
 def q_window_range_join(spark, sf_dir):
-    # An event's window touches two hours: an equi-join on user and hour, then the exact bounds.
+    """How many events of the user follow within an hour, and the greatest id of these: by running totals, without pairs."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    hour = F.floor(F.col("t") / 3_600_000_000)
-    a = events.select("event_id", "user_id", F.col("t").alias("t0"), F.explode(F.array(hour, hour + 1)).alias("hour"))
-    b = events.select(F.col("event_id").alias("other"), "user_id", "t", hour.alias("hour"))
-    hit = (F.col("t") > F.col("t0")) & (F.col("t") <= F.col("t0") + 3_600_000_000)
-    out = a.join(b, ["user_id", "hour"], "left").groupBy("event_id").agg(F.count_if(hit).alias("within_hour"), F.max(F.when(hit, F.col("other"))).alias("last_id"))
-    return out
+    found = ordered.within_after(events, ["user_id"], "t", "event_id", 3_600_000_000)
+    return found.select("event_id", F.col("n").alias("within_hour"), F.col("highest").alias("last_id"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, arg_max(o.o_orderkey, (o.o_orderdate, o.o_orderkey)) AS order_then, arg_max(o.o_totalprice, (o.o_orderdate, o.o_orderkey)) AS price_then
+FROM l LEFT JOIN orders o ON o.o_custkey = l.o_custkey AND o.o_orderdate <= l.l_shipdate GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate""")
+def q_asof_price(spark, sf_dir):
+    """The customer's last order up to the day a line was shipped, and its price: an as-of match in one order of both sides."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at"))
+    owned = line.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").distinct()
+    found = ordered.as_of(owned, orders, ["o_custkey"], "at", "o_orderkey", {"order_then": "o_orderkey", "price_then": "o_totalprice"})
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "order_then", "price_then")
 
 
 def _normal_sql(made: str) -> str:

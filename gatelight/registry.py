@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gatelight.plans import conformance_queries, record_queries, report_queries, statistics_queries
+from gatelight.plans import conformance_queries, dependence_queries, record_queries, report_queries, statistics_queries
 
 FLAGSHIP = "q_state_fold"
-QUERIES = conformance_queries.QUERIES | record_queries.QUERIES | report_queries.QUERIES | statistics_queries.QUERIES
-ORACLE_SQL = conformance_queries.ORACLE_SQL | record_queries.ORACLE_SQL | report_queries.ORACLE_SQL | statistics_queries.ORACLE_SQL
+QUERIES = conformance_queries.QUERIES | dependence_queries.QUERIES | record_queries.QUERIES | report_queries.QUERIES | statistics_queries.QUERIES
+ORACLE_SQL = conformance_queries.ORACLE_SQL | dependence_queries.ORACLE_SQL | record_queries.ORACLE_SQL | report_queries.ORACLE_SQL | statistics_queries.ORACLE_SQL
