@@ -1,9 +1,10 @@
 """Main text of web pages by removal of site templates.
 
-Every page becomes a tree. Its subtrees are hashed (tag, class, id, text, children) and counted per host in
-Spark. One that recurs on enough pages of its host whose articles differ is template and is deleted: min_pages for
-containers and for articles within articles, block_pages for other elements (paragraphs, headings, list items, links), which
-articles may share. Of these other elements, what is part of a sentence isn't judged, nor what stands in an article or main element
+Every page becomes a tree. Its subtrees are hashed twice, with their text (tag, class, id, text, children) and without (tag, class, id
+and the runs of equal children), and both are counted per host in Spark. What recurs on enough pages of its host whose articles differ is template and is deleted.
+With their text, that is min_pages for containers and for articles within articles, and block_pages for other elements (paragraphs, headings, list items, links), which
+articles may share. Without, it is min_pages for containers whose texts differ from page to page, as menus, adverts and footers do, if they hold at most max_share of
+a page's text on average, don't hold the article, a main element or its title, and are mostly links, landmarks (nav, footer, ...) or, outside the article, have a class or id. Of these other elements, what is part of a sentence isn't judged, nor what stands in an article or main element
 without a class, id or role: passages that articles share are article text. Pages that differ outside their article only count
 once, so that copies of an article don't delete it. If nothing else is left of a page, subtrees with over half of its text stay.
 What no count can show, because a host has too few pages or its parts differ from page to page, is deleted by its kind: navigation, headers and footers outside the
@@ -56,15 +57,19 @@ MARKS = frozenset(
     " replies share sharing social related recommended pagination pager widget toolbar skip complementary contentinfo search".split()
 )
 WHOLE_MARKS = frozenset(["ad"])
+LANDMARK = frozenset("aside dialog footer form header menu nav".split())
+#: What isn't judged by its structure alone if it holds one of these.
+HOLDS = frozenset("article h1 main".split())
 
 
 class Node:
-    __slots__ = ("children", "code", "judged", "names", "size", "tag")
+    __slots__ = ("children", "code", "holds", "judged", "links", "names", "shape", "size", "tag")
 
     def __init__(self, tag: str, names: str):
         self.tag, self.names = tag, names
         self.children: list = []
         self.code, self.judged, self.size = 0, 0, 0
+        self.shape, self.links, self.holds = 0, 0, False
 
 
 def parse(page: str) -> Node:
@@ -114,29 +119,42 @@ def parse(page: str) -> Node:
     return root
 
 
+def _digest(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "big", signed=True)
+
+
 def _hashed(node: Node) -> list[Node]:
-    """Set code and size (characters of text) of a node and all below it; returns them, parents first."""
+    """Set code, shape, size (characters of text), links (those within links) and holds of a node and all below it; returns them, parents first."""
     order, todo = [], [node]
     while todo:
         order.append(x := todo.pop())
         todo += [c for c in x.children if isinstance(c, Node)]
     for x in reversed(order):
-        digest = hashlib.blake2b(f"{x.tag}|{x.names}".encode(), digest_size=8)
+        name = f"{x.tag}|{x.names}".encode()
+        parts, shapes, last = [name], [name], None
         x.size = 0
         for c in x.children:
             if isinstance(c, Node):
-                digest.update(b"<%d>" % c.code)
+                parts.append(b"<%d>" % c.code)
                 x.size += c.size
+                x.links += c.links
+                x.holds = x.holds or c.holds
+                if c.shape != last:
+                    shapes.append(b"<%d>" % c.shape)
+                    last = c.shape
             elif text := " ".join(c.split()):
-                digest.update(text.encode())
+                parts.append(text.encode())
                 x.size += len(text)
-        x.code = int.from_bytes(digest.digest(), "big", signed=True)
+        if x.tag == "a":
+            x.links = x.size
+        x.holds = x.holds or x.tag in HOLDS
+        x.code, x.shape = _digest(*parts), _digest(*shapes)
     return order
 
 
-def _judge(root: Node) -> list[Node]:
+def _judge(root: Node) -> list[tuple[Node, bool]]:
     """Set judged: 1 for what min_pages make template, 2 for what block_pages do, 0 for what counts never delete. Returns
-    the nodes with 1 or 2 that have text, but none within a node whose kind would delete it anyway: that is judged as a whole."""
+    the nodes with 1 or 2 that have text, and whether their structure counts, but none within a node whose kind would delete it anyway: that is judged as a whole."""
     found, todo = [], [(root, False, False, False, False)]
     while todo:
         node, inside, in_article, in_line, dropped = todo.pop()
@@ -150,18 +168,25 @@ def _judge(root: Node) -> list[Node]:
                 c.judged = 2
             gone = dropped or _no_text(c, True)
             if c.judged and c.size and not dropped:
-                found.append(c)
+                by_shape = c.tag in CONTAINER and not c.holds and (c.tag in LANDMARK or 2 * c.links >= c.size or (bool(c.names) and not inside))
+                found.append((c, by_shape))
             todo.append((c, inside or c.tag in ("article", "main"), in_article or c.tag == "article", in_line or c.tag in ("p", "h1") or c.tag in HEADING, gone))
     return found
 
 
-def subtrees(page: str) -> tuple[int, list[tuple[int, bool]]]:
-    """A digest of the page's text without what is deleted by its kind; code and whether block_pages count, of each subtree judged."""
+def subtrees(page: str) -> tuple[int, list[tuple[int, bool, int | None, float]]]:
+    """A digest of the page's text without what is deleted by its kind; and of each subtree judged its code, whether block_pages count, its
+    shape if that counts, and the share of the page's text that subtrees of this shape hold."""
     root = parse(page)
     _hashed(root)
-    found = list({(x.code, x.judged == 2) for x in _judge(root)})
+    judged = _judge(root)
+    sizes: dict[int, int] = {}
+    for node, by_shape in judged:
+        if by_shape:
+            sizes[node.shape] = sizes.get(node.shape, 0) + node.size
+    found = list({(x.code, x.judged == 2, x.shape if by_shape else None, sizes[x.shape] / root.size if by_shape else 0.0) for x, by_shape in judged})
     text = _text(root, frozenset(), 1.0) if found else ""
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True), found
+    return _digest(text.encode("utf-8", "replace")), found
 
 
 def _marked(node: Node) -> bool:
@@ -183,21 +208,22 @@ def _no_text(node: Node, inside: bool) -> bool:
     return _marked(node)
 
 
-def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
-    """The text of a page without the subtrees whose codes are given and without what is no article text."""
+def main_text(page: str, templates: frozenset[int] = frozenset(), kinds: bool = True) -> str:
+    """The text of a page without the subtrees whose codes are given and without what is no article text. kinds: whether elements go
+    by their kind and the article is looked for; without, only templates go."""
     root = parse(page)
     if not templates:
-        return _text(root, templates, 1.0)
+        return _text(root, templates, 1.0, kinds)
     _hashed(root)
     _judge(root)
-    return _text(root, templates, 1.0) or _text(root, templates, 0.5)
+    return _text(root, templates, 1.0, kinds) or _text(root, templates, 0.5, kinds)
 
 
-def _text(root: Node, templates: frozenset[int], most: float) -> str:
+def _text(root: Node, templates: frozenset[int], most: float, kinds: bool = True) -> str:
     """The text without templates that hold at most that share of the page's text."""
 
     def gone(node: Node, inside: bool) -> bool:
-        return (node.judged > 0 and node.code in templates and node.size <= most * root.size) or _no_text(node, inside)
+        return (node.judged > 0 and node.code in templates and node.size <= most * root.size) or (kinds and _no_text(node, inside))
 
     # Roots of content: outermost articles, else the main element, else everything.
     articles, mains, todo = [], [], [(root, False)]
@@ -209,7 +235,7 @@ def _text(root: Node, templates: frozenset[int], most: float) -> str:
         if node.tag == "main":
             mains.append(node)
         todo += [(c, in_main or node.tag == "main") for c in reversed(node.children) if isinstance(c, Node) and not gone(c, False)]
-    tops = [n for n, own in articles if own] or [n for n, _ in articles] or mains or [root]
+    tops = ([n for n, own in articles if own] or [n for n, _ in articles] or mains if kinds else []) or [root]
     inside = tops != [root]
     blocks: list[str] = []
     for top in tops:
@@ -231,47 +257,65 @@ def _text(root: Node, templates: frozenset[int], most: float) -> str:
     return " ".join(filter(None, (" ".join(b.split()) for b in blocks)))
 
 
+def template_codes(rows: DataFrame, min_pages: int = 4, block_pages: int = 30, max_share: float = 0.25) -> DataFrame:
+    """page and codes, those of its subtrees that are template, of each page that has some. rows: host, page (a digest of host and html) and html.
+
+    A subtree is template if it recurs with its text on min_pages different pages of a host at least, other elements than containers on
+    block_pages; or, without its text, on min_pages pages of whose text its structure holds max_share on average at most.
+    """
+
+    def listed(batches):
+        for batch in batches:
+            columns = [[] for _ in range(7)]
+            for h, key, page in zip(*(c.to_pylist() for c in batch.columns)):
+                text, found = subtrees(page)
+                for own in found:
+                    for out, value in zip(columns, (h, key, text, *own)):
+                        out.append(value)
+            kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "page", "text", "code", "block", "shape", "share"])
+
+    found = rows.select("host", "page", "html").mapInArrow(listed, "host string, page binary, text long, code long, block boolean, shape long, share float")
+    found, _ = scratch.written(found, "page-subtrees")
+    many = found.select("host", "code", "block", "text").distinct().groupBy("host", "code").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("block"))
+    same = many.filter(F.col("n") >= F.when(F.col("block"), block_pages).otherwise(min_pages)).select("host", "code")
+    shapes = found.filter("shape IS NOT NULL").groupBy("host", "shape", "text").agg(F.max("share").alias("share"))
+    alike = shapes.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.avg("share").alias("share")).filter((F.col("n") >= min_pages) & (F.col("share") <= max_share)).select("host", "shape")
+    by_code = found.join(same, ["host", "code"]).select("page", "code")
+    by_shape = found.join(alike, ["host", "shape"]).select("page", "code")
+    return by_code.unionByName(by_shape).groupBy("page").agg(F.collect_set("code").alias("codes"))
+
+
+def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\w+://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
+    return rows.withColumn("page", F.unhex(F.md5(F.concat_ws("\n", "host", "html"))))
+
+
 def extract(
     pages: DataFrame,
     min_pages: int = 4,
     block_pages: int = 30,
+    max_share: float = 0.25,
+    counts: bool = True,
+    kinds: bool = True,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
 ) -> DataFrame:
-    """page_id, url, text, n_chars, n_templates (different subtrees of the page that are template). A subtree is template on min_pages different pages of a host at least, other elements than containers on block_pages."""
+    """page_id, url, text, n_chars, n_templates (different subtrees of the page that are template). counts and kinds switch either way of deletion off."""
     scratch.bounded_batches(pages.sparkSession)
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\w+://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    rows = rows.withColumn("page", F.md5(F.concat_ws("\n", "host", "html")))
-
-    def listed(batches):
-        for batch in batches:
-            hosts, keys, texts, codes, blocks = [], [], [], [], []
-            for h, key, page in zip(*(c.to_pylist() for c in batch.columns)):
-                text, found = subtrees(page)
-                hosts += [h] * len(found)
-                keys += [key] * len(found)
-                texts += [text] * len(found)
-                codes += [code for code, _ in found]
-                blocks += [block for _, block in found]
-            columns = [pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(texts, pa.int64()), pa.array(codes, pa.int64()), pa.array(blocks, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "text", "code", "block"])
-
-    found = rows.select("host", "page", "html").mapInArrow(listed, "host string, page string, text long, code long, block boolean")
-    found, _ = scratch.written(found, "page-subtrees")
-    many = found.select("host", "code", "block", "text").distinct().groupBy("host", "code").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("block"))
-    templates = many.filter(F.col("n") >= F.when(F.col("block"), block_pages).otherwise(min_pages)).select("host", "code")
-    marks = found.join(templates, ["host", "code"]).groupBy("page").agg(F.collect_set("code").alias("codes"))
-    kinds = rows.schema
-    schema = f"page_id {kinds['page_id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string, n_chars long, n_templates long"
+    rows = _pages(pages, id_col, url_col, html_col)
+    types = rows.schema
+    schema = f"page_id {types['page_id'].dataType.simpleString()}, url {types['url'].dataType.simpleString()}, text string, n_chars long, n_templates long"
 
     def extracted(batches):
         for batch in batches:
-            texts = [main_text(page, frozenset(codes or ())) for page, codes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [main_text(page, frozenset(codes or ()), kinds) for page, codes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([len(x or ()) for x in batch.column(3).to_pylist()], pa.int64())],
                 names=["page_id", "url", "text", "n_chars", "n_templates"],
             )
 
-    return rows.join(marks, "page", "left").select("page_id", "url", "html", "codes").mapInArrow(extracted, schema)
+    marked = rows.join(template_codes(rows, min_pages, block_pages, max_share), "page", "left") if counts else rows.withColumn("codes", F.lit(None).cast("array<long>"))
+    return marked.select("page_id", "url", "html", "codes").mapInArrow(extracted, schema)

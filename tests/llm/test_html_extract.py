@@ -119,3 +119,29 @@ def test_counts_show_what_recurs(spark):
     found = sorted((r.page_id, r.text, r.n_templates) for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     expected = [(i, f"Text {i} of its own.", 2 if i < 5 else 0) for i in [0, 0, *range(5), 10, 11, 12]] + [(99, "x", 0)]
     assert found == sorted(expected)
+
+
+def test_counts_of_structures_decide_without_kinds(spark):
+    """Menus, adverts and footers that differ from page to page go by their structure alone, on a host with enough pages."""
+    page = "<nav><ul>{0}</ul></nav><div class='promo-x'>Buy {1} now</div><article><h1>Title {1}</h1><p>The own text of page {1}, which is long enough to be most of what there is to read on it, as the text of an article is.</p></article><footer>Made {1}</footer>"
+    rows = [(i, f"http://a.example/{i}", page.format("".join(f"<li><a>Way {i} {k}</a></li>" for k in range(1 + i % 3)), i)) for i in range(6)]
+    rows += [(10 + i, f"http://b.example/{i}", page.format("<li><a>x</a></li>", 10 + i)) for i in range(3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    own = {i: H.main_text(h) for i, _, h in rows}
+    both, counts, none = ({r.page_id: (r.text, r.n_templates) for r in H.extract(frame, counts=c, kinds=k).collect()} for c, k in ((True, True), (True, False), (False, False)))
+    assert {i: t for i, (t, _) in both.items()} == own
+    assert all(counts[i] == (own[i], 3) for i in range(6)) and all(counts[10 + i] == none[10 + i] != (own[10 + i], 0) for i in range(3))
+
+
+def test_structures_of_content_stay(spark):
+    """Sections that hold much of a page, or the title, are no template however often their structure recurs."""
+    part = "<div class='part'><p>Part {0} of {1}, a text of its own that takes up much of the page.</p></div>"
+    pages = ["<div class='lead'><h1>Title {0}</h1></div>".format(i) + "".join(part.format(k, i) for k in range(4)) for i in range(8)]
+    assert extracted(spark, pages) == [" ".join([f"Title {i}", *(f"Part {k} of {i}, a text of its own that takes up much of the page." for k in range(4))]) for i in range(8)]
+
+
+def test_most_given_pages_go_by_counts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    texts = [{r.page_id: r.text for r in H.extract(pages, counts=c, kinds=k).collect()} for c, k in ((True, True), (True, False), (False, True), (False, False))]
+    both, counts, kinds, none = texts
+    assert both == kinds and sum(counts[i] != none[i] for i in none) >= sum(counts[i] == both[i] for i in none) > len(none) / 3, [sum(a[i] == both[i] for i in none) for a in texts]
