@@ -1,75 +1,17 @@
-"""Tables and files between the steps of an operator, in the folder that all executors share.
-
-The folder is the one that the session names in spark.checkpoint.dir. Only where that is unset and Spark runs in one
-process, as in tests, a temporary folder is made and set; on a cluster it must be set.
-"""
+"""Names, modules and batches for Python workers; tables between steps are those of gatelight.sources.shared, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 import gatelight
+from gatelight.sources.shared import CONF, drop, last_stays, new_path, root, written
 
-CONF = "spark.checkpoint.dir"
-
-
-def root(spark: SparkSession) -> str:
-    """The shared folder, also set as Spark's own checkpoint folder if it is not yet."""
-    folder = spark.conf.get(CONF, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{CONF} must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="gatelight-")
-        spark.conf.set(CONF, folder)
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-_scopes: list[list[str]] = []
-
-
-@contextmanager
-def last_stays(spark: SparkSession):
-    """When the block ends, all tables that were written in it go but the last."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        made = _scopes.pop()
-        drop(spark, *made[:-1])
-        if _scopes:
-            _scopes[-1] += made[-1:]
-
-
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """The rows written as Parquet and read again, and their path. This ends the lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    if _scopes:
-        _scopes[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Remove tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+__all__ = ["CONF", "bounded_batches", "drop", "last_stays", "new_path", "root", "ship", "unused", "written"]
 
 
 def unused(name: str, df: DataFrame) -> str:

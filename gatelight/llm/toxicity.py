@@ -49,6 +49,8 @@ LOOKALIKES = {
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
 #: Clean rows for each toxic one that a strong and a weak pattern may have; clean rows that an exception phrase must have.
 STRONG, WEAK, LEAST_CLEAN = 0.05, 0.5, 5
+#: How likely any exception phrase may be learned by chance.
+PHRASE_CHANCE = 0.01
 _LETTERS = str.maketrans(LOOKALIKES)
 _SIGNS = str.maketrans(STAND_INS)
 # Runs before a letter, and runs after one without the signs of punctuation at their end.
@@ -229,9 +231,16 @@ def without(phrases: tuple[str, ...]):
     return lambda folded: out.sub("", folded)
 
 
+def _by_chance(toxic: int, clean: int, phrase_toxic: int, phrase_clean: int) -> float:
+    """The chance that of a word's rows, toxic and clean, so many as have a phrase have so few toxic ones among them or fewer, in powers of ten."""
+    size = phrase_toxic + phrase_clean
+    ways = sum(math.comb(toxic, k) * math.comb(clean, size - k) for k in range(phrase_toxic + 1) if size - k <= clean)
+    return math.log10(ways) - math.log10(math.comb(toxic + clean, size)) if ways else 0.0
+
+
 def _exceptions(rows: DataFrame, counts: DataFrame, evidence: Evidence) -> tuple[str, ...]:
     """Phrases of two words, in LEAST_CLEAN clean rows at least and hardly any toxic one, though one of their words speaks for
-    toxic rows, more so where it stands without them."""
+    toxic rows, more so where it stands without them. That the phrase's rows are so clean by chance must be unlikely, below PHRASE_CHANCE for all phrases tried together."""
     base = evidence.base
     some = counts.filter(F.col("pattern").rlike("^ .* $") & (F.col("toxic") * base >= evidence.min_surprise) & (F.col("clean") > STRONG * F.col("toxic")) & (F.col("clean") >= LEAST_CLEAN))
     some = some.filter(F.col("toxic") * evidence.n_clean > 2 * F.col("clean") * evidence.n_toxic)
@@ -243,13 +252,15 @@ def _exceptions(rows: DataFrame, counts: DataFrame, evidence: Evidence) -> tuple
         words = folded.split()
         return {f"{a} {b}" for a, b in zip(words, words[1:]) if a in suspects or b in suspects}
 
-    found = _counted(rows, phrases).filter((F.col("clean") >= LEAST_CLEAN) & (F.col("toxic") <= STRONG * F.col("clean"))).collect()
+    tried = _counted(rows, phrases).filter(F.col("clean") >= LEAST_CLEAN).collect()
+    limit = math.log10(PHRASE_CHANCE / max(1, len(tried)))
 
     def helps(r) -> bool:
         own = [suspects[w] for w in r.pattern.split() if w in suspects]
-        return any(evidence.surprise(t - r.toxic, c - r.clean) > evidence.surprise(t, c) for t, c in own if t >= r.toxic and c >= r.clean)
+        own = [(t, c) for t, c in own if t >= r.toxic and c >= r.clean]
+        return any(evidence.surprise(t - r.toxic, c - r.clean) > evidence.surprise(t, c) and _by_chance(t, c, r.toxic, r.clean) < limit for t, c in own)
 
-    return tuple(sorted(r.pattern for r in found if helps(r)))
+    return tuple(sorted(r.pattern for r in tried if r.toxic <= STRONG * r.clean and helps(r)))
 
 
 def fit(

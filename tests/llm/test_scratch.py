@@ -1,7 +1,9 @@
 import os
+import threading
 
 import pytest
 from gatelight.llm import near_dedup, scratch, suffix_dedup
+from gatelight.sources import shared
 
 
 def tables(spark):
@@ -30,4 +32,26 @@ def test_tables_of_inner_blocks(spark):
     with pytest.raises(RuntimeError), scratch.last_stays(spark):
         scratch.written(df, "five")
         raise RuntimeError
-    assert not scratch._scopes and scratch.unused("id", spark.range(1)) == "id_"
+    assert not shared._scopes.get() and scratch.unused("id", spark.range(1)) == "id_"
+
+
+def test_threads_have_their_own_blocks(spark):
+    """What one thread writes isn't dropped when another one's block ends."""
+    begun, ended = threading.Event(), threading.Event()
+    kept = []
+
+    def other():
+        with scratch.last_stays(spark):
+            begun.set()
+            ended.wait(60)
+            kept.append(scratch.written(spark.range(3), "b")[0].count())
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    begun.wait(60)
+    with scratch.last_stays(spark):
+        scratch.written(spark.range(2), "a")
+        last, _ = scratch.written(spark.range(5), "last")
+    ended.set()
+    thread.join(60)
+    assert kept == [3] and last.count() == 5

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -175,3 +176,19 @@ def test_a_wide_vocabulary_is_learned_whole(spark):
     model = toxicity.Lexicon(weights)
     automaton = model.automaton()
     assert all(model.strength(f" {word(k)} ", automaton) > 0 for k in range(1340))
+
+
+def test_phrases_by_chance_are_no_exceptions():
+    assert abs(toxicity._by_chance(10, 10, 0, 5) - math.log10(math.comb(10, 5) / math.comb(20, 5))) < 1e-12
+    assert toxicity._by_chance(10, 10, 5, 0) == 0.0 and toxicity._by_chance(2, 100, 0, 6) > -1
+
+
+def test_conflicting_labels_and_several_texts_of_one_id(spark):
+    """The highest label of an id counts, and of its texts the least one; repeated rows say nothing new."""
+    docs = [(k, f"plain words number {k} here") for k in range(40)] + [(100 + k, f"you {w} grumbolt {k}") for k, w in enumerate("silly nasty awful dull odd".split() * 6)]
+    labels = [(k, 0, 0) for k, _ in docs] + [(k, 0, 1) for k, _ in docs if k >= 100]
+    schemas = "doc_id long, text string", "doc_id long, quality int, toxic int"
+    plain = toxicity.fit(spark.createDataFrame(docs, schemas[0]), spark.createDataFrame([(k, 0, int(k >= 100)) for k, _ in docs], schemas[1]))
+    more = docs + docs + [(100 + k, f"zzz later text {k}") for k in range(30)]
+    mixed = toxicity.fit(spark.createDataFrame(more, schemas[0]), spark.createDataFrame(labels, schemas[1]))
+    assert plain.weights and mixed == plain
