@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -31,8 +32,8 @@ from gatelight.llm import scratch
 from gatelight.llm.text import release
 from gatelight.llm.tokens import tokenizer
 
-#: Bytes that are joined at a time, units that a worker remembers, and megabytes that DuckDB may take in a worker.
-SLICE, MAX_UNITS, DUCK_MB = 1 << 20, 300_000, 400
+#: Bytes that are tokenized and joined at a time, units that a worker remembers, and megabytes that DuckDB may take in a worker.
+SLICE, MAX_UNITS, DUCK_MB = 1 << 19, 200_000, 200
 #: Spaces and what follows up to the next.
 UNITS = re.compile(r" +[^ ]*").findall
 _SPACE = "▁"
@@ -56,25 +57,29 @@ class Pieces(dict):
         self.clear()
         self.ids, self.first, self.count = array("i"), array("q"), array("q")
 
-    def __missing__(self, unit: str) -> int:
-        ids = self.model.encode(unit[1:]) if len(unit) > 1 else [self.model.piece_to_id(_SPACE)]
-        self.first.append(len(self.ids))
-        self.count.append(len(ids))
-        self.ids.extend(ids)
-        self[unit] = len(self.count) - 1
-        return self[unit]
+    def learn(self, units: set[str]) -> None:
+        new = [u for u in units if u not in self]
+        for unit, ids in zip(new, self.model.encode([u[1:] for u in new], num_threads=1)):
+            if len(unit) == 1:
+                ids = [self.model.piece_to_id(_SPACE)]
+            self[unit] = len(self.count)
+            self.first.append(len(self.ids))
+            self.count.append(len(ids))
+            self.ids.extend(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that begin with a space, and how many each has."""
         if len(self) > MAX_UNITS:
             self.forget()
-        units = [UNITS(text) for text in texts]
-        number = np.fromiter((self[u] for own in units for u in own), "i8", sum(map(len, units)))
-        first, count, ids = np.frombuffer(self.first, "i8") if self else np.zeros(0, "i8"), np.frombuffer(self.count, "i8") if self else np.zeros(0, "i8"), np.array(self.ids, "i4")
+        found = [UNITS(text) for text in texts]
+        units = list(chain.from_iterable(found))
+        self.learn(set(units))
+        number = np.fromiter(map(self.__getitem__, units), "i8", len(units))
+        first, count, ids = np.array(self.first, "i8"), np.array(self.count, "i8"), np.array(self.ids, "i4")
         sizes = count[number]
         before = np.cumsum(sizes) - sizes
         out = ids[np.repeat(first[number] - before, sizes) + np.arange(int(sizes.sum()))]
-        ends = np.append(0, np.cumsum(sizes))[np.cumsum([0, *map(len, units)])]
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum([0, *map(len, found)])]
         return out, np.diff(ends)
 
 
@@ -128,12 +133,13 @@ class Aligner:
             a, n_a, b, n_b = a[np.repeat(good, n_a)], n_a * good, b[np.repeat(good, n_b)], n_b * good
         return a, n_a, b, n_b
 
-    def align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Groups of the A tokens and of the B tokens, counted through the texts; (text, pair, links) of all texts' id pairs,
-        and (pair, texts) of all pairs, a pair being A id * 65536 + B id."""
+    def begin(self) -> None:
         self.db.execute("CREATE OR REPLACE TEMP TABLE linked (doc INTEGER, pair BIGINT, n BIGINT)")
+
+    def align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, row: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of the A tokens and of the B tokens, counted through the texts; their links go to the table linked, the first text being the row of that number."""
         a_ends, b_ends = np.cumsum(self.a_bytes.sizes[a]), np.cumsum(self.b_bytes.sizes[b])
-        a_of, b_of = np.repeat(np.arange(len(n_a), dtype="i4"), n_a), np.repeat(np.arange(len(n_b), dtype="i4"), n_b)
+        a_of, b_of = (np.repeat(np.arange(row, row + len(n), dtype="i4"), n) for n in (n_a, n_b))
         groups, found, before = ([], []), (0, 0), 0
         for cut in _cuts(a_ends, b_ends):
             mine = [slice(low, high) for low, high in zip(found, cut)]
@@ -141,26 +147,34 @@ class Aligner:
             for out, own in zip(groups, self._slice(*sides)):
                 out.append(own + before)
             before, found = int(groups[0][-1][-1]) + 1, cut
+        none = np.zeros(0, "i8")
+        return tuple(np.concatenate([none, *own]) for own in groups)
+
+    def links(self) -> tuple[np.ndarray, ...]:
+        """(text, pair, links) of all texts' id pairs since begin(), pairs by their number, and (pair, texts) of all pairs in that order, a pair being A id * 65536 + B id."""
         pairs = self.db.execute("SELECT pair, count(DISTINCT doc) AS docs FROM linked GROUP BY pair ORDER BY docs DESC, pair").fetchnumpy()
         self.db.register("numbered", pa.table({"pair": pairs["pair"], "nr": np.arange(len(pairs["pair"]), dtype="i4")}))
         links = self.db.execute("SELECT doc, nr, sum(n)::INTEGER AS n FROM linked JOIN numbered USING (pair) GROUP BY doc, nr ORDER BY doc, nr").fetchnumpy()
         self.db.unregister("numbered")
-        none = np.zeros(0, "i8")
-        return *[np.concatenate([none, *own]) for own in groups], links["doc"], links["nr"], links["n"], pairs["pair"], pairs["docs"]
+        return links["doc"], links["nr"], links["n"], pairs["pair"], pairs["docs"]
 
     def _slice(self, a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Groups of the A and B tokens of a slice, from 0; its links go to the table linked."""
         db = self.db
         db.register("a", a)
         db.register("b", b)
+        # begun: how many B tokens begin inside an A token, by the numbers of those in which it and the next one begin.
         db.execute("""
             CREATE OR REPLACE TEMP TABLE aligned AS
-            SELECT *, sum(common::INTEGER) OVER (ORDER BY first) - 1 AS grp
+            SELECT *, sum(common::INTEGER) OVER w - 1 AS grp, lead(b_nr - common::INTEGER, 1, (SELECT count(*)::INTEGER - 1 FROM b)) OVER w - b_nr AS begun
             FROM (SELECT a.*, b.nr AS b_nr, b.id AS b_id, b.first = a.first AS common FROM a ASOF JOIN b ON a.first >= b.first)
+            WINDOW w AS (ORDER BY first)
         """)
         db.execute("""
             CREATE OR REPLACE TEMP TABLE inner_links AS
-            SELECT x.doc, x.id, x.grp, b.nr AS b_nr, b.id AS b_id FROM aligned x JOIN b ON b.first > x.first AND b.first < x.stop
+            SELECT x.doc, x.id, x.grp, y.nr AS b_nr, y.id AS b_id
+            FROM (SELECT * FROM aligned WHERE begun > 0) x
+            JOIN (SELECT * FROM b ANTI JOIN (SELECT b_nr FROM aligned WHERE common) c ON b.nr = c.b_nr) y ON y.first > x.first AND y.first < x.stop
         """)
         db.execute("""
             INSERT INTO linked
@@ -173,12 +187,26 @@ class Aligner:
         return np.asarray(own), np.asarray(other)
 
 
+def _parts(column: pa.Array):
+    """Runs of whole texts of about SLICE bytes, with a space before every text that isn't empty."""
+    texts, size = [], 0
+    for value in column:
+        text = value.as_py()
+        texts.append(f" {text}" if text else "")
+        size += len(texts[-1])
+        if size >= SLICE:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def _cuts(a_ends: np.ndarray, b_ends: np.ndarray):
     """Numbers of A and B tokens up to places about SLICE bytes apart where both end one, the last being the end."""
     at = 0
     while at < len(a_ends):
         place = (a_ends[at - 1] if at else 0) + SLICE
-        at = int(np.searchsorted(a_ends, place))
+        at = int(np.searchsorted(a_ends, place)) if a_ends[-1] - place > SLICE // 2 else len(a_ends)
         while at < len(a_ends) - 1:  # a few tokens at most, where words end
             same = int(np.searchsorted(b_ends, a_ends[at]))
             if b_ends[same] == a_ends[at]:
@@ -233,24 +261,31 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, texts_too: bool) -> DataF
     def aligned(batches):
         own, partition = _aligner(a_path, b_path), TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
-            texts = [f" {t}" if t else "" for t in batch.column(1).to_pylist()]
-            a, n_a, b, n_b = own.tokens(texts)
-            a_groups, b_groups, doc, nr, n, pairs, docs_of = own.align(a, n_a, b, n_b)
-            rows = len(texts)
-            of = np.repeat(np.arange(rows), n_a)
-            new = np.ones(len(a_groups), bool)
-            new[1:] = a_groups[1:] != a_groups[:-1]
-            strings = group_texts(a, n_a, a_groups, b, n_b, b_groups)
+            rows, at = batch.num_rows, 0
+            sums = [np.zeros(rows, "i8") for _ in range(3)]
+            strings, digests = [], []
+            own.begin()
+            for texts in _parts(batch.column(1)):
+                a, n_a, b, n_b = own.tokens(texts)
+                a_groups, b_groups = own.align(a, n_a, b, n_b, at)
+                new = np.ones(len(a_groups), bool)
+                new[1:] = a_groups[1:] != a_groups[:-1]
+                n_groups = np.bincount(np.repeat(np.arange(len(texts)), n_a)[new], minlength=len(texts))
+                for out, counts in zip(sums, (n_a, n_b, n_groups)):
+                    out[at : at + len(texts)] = counts
+                groups = group_texts(a, n_a, a_groups, b, n_b, b_groups)
+                digests += [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
+                strings += [g.decode() for g in groups] if texts_too else []
+                at += len(texts)
+            doc, nr, n, pairs, docs_of = own.links()
             listed = lambda x, t: pa.array([x], pa.list_(t))
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([(partition << 32) + number], pa.int64()),
                 "doc_id": pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), batch.column(0)),
-                "n_a": listed(n_a, pa.int64()),
-                "n_b": listed(n_b, pa.int64()),
-                "n_groups": listed(np.bincount(of[new], minlength=rows), pa.int64()),
+                **{name: listed(counts, pa.int64()) for name, counts in zip(("n_a", "n_b", "n_groups"), sums)},
                 "n_links": listed(np.bincount(doc, n, rows).astype("i8"), pa.int64()),
-                "groups_sha256": listed([hashlib.sha256(s).hexdigest() if s else "" for s in strings], pa.string()),
-                "groups": listed([s.decode() for s in strings] if texts_too else [], pa.string()),
+                "groups_sha256": listed(digests, pa.string()),
+                "groups": listed(strings, pa.string()),
                 "pairs": listed(pairs, pa.int64()),
                 "docs": listed(docs_of, pa.int64()),
                 "link_bounds": pa.array([np.searchsorted(doc, np.arange(rows + 1)).astype("<i8").tobytes()], pa.binary()),

@@ -81,9 +81,12 @@ def test_slices_of_one_text(monkeypatch):
     text = TEXTS[0] * 50
     whole = alignment.Aligner(*PATHS)
     tokens = whole.tokens([" " + text])
-    one = whole.align(*tokens)
-    monkeypatch.setattr(alignment, "SLICE", 64)
-    many = whole.align(*tokens)
+    found = []
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(alignment, "SLICE", size)
+        whole.begin()
+        found.append([*whole.align(*tokens), *whole.links()])
+    one, many = found
     assert all((x == y).all() for x, y in zip(one, many)) and len(list(alignment._cuts(*[v.sizes[i].cumsum() for v, i in ((whole.a_bytes, tokens[0]), (whole.b_bytes, tokens[2]))]))) > 10
 
 
