@@ -239,6 +239,8 @@ def q_path_safety(spark, sf_dir):
     return out.select("page_id", F.coalesce(I.path_error(F.col("path")), F.lit("ok")).alias("path_status"))
 
 
-@query(f"WITH {REGISTRY_SQL} SELECT level AS profile, family, gate, '' AS relevance_1_to_4, '' AS clarity_1_to_4, '' AS necessity FROM registry")
+@query(f"WITH {REGISTRY_SQL} SELECT s_suppkey AS reviewer, level AS profile, family, gate, '' AS relevance_1_to_4, '' AS clarity_1_to_4, '' AS necessity FROM supplier JOIN registry ON level = 'L' || CAST(s_suppkey % 5 AS VARCHAR)")
 def q_scorecard(spark, sf_dir):
-    return C.registry_gates(spark).select(F.col("level").alias("profile"), "family", "gate", *[F.lit("").alias(c) for c in ("relevance_1_to_4", "clarity_1_to_4", "necessity")])
+    """A blank line for each gate of the profile that each reviewer is given."""
+    reviewers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("reviewer"), F.concat(F.lit("L"), (F.col("s_suppkey") % 5).cast("string")).alias("level"))
+    return C.required_gates(reviewers).select("reviewer", F.col("level").alias("profile"), "family", "gate", *[F.lit("").alias(c) for c in ("relevance_1_to_4", "clarity_1_to_4", "necessity")])

@@ -31,16 +31,30 @@ def query(sql: str):
     return add
 
 
-def _picked(spark, keys: DataFrame, names: list[str]) -> DataFrame:
-    """keys (a column key) classified: each key takes level key % 5 and the case key / 5 % len(names); samples share manifests."""
+def _dealt(spark, keys: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A record for each of keys (a column key): level key % 5 and the case key / 5 % len(names). Also manifests and files, which
+    records of one sample share, and the name of each record's case."""
     pairs = [(level, name) for level in R.LEVELS for name in names]
     records, manifests, files = M.frames(spark, pairs)
     level = F.concat(F.lit("L"), (F.col("key") % 5).cast("string"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.floor(F.col("key") / 5) % len(names) + 1).cast("int"))
-    own = keys.select("key", F.concat_ws(" ", level, name).alias("manifest_key"), name.alias("name"))
+    own = keys.select(F.col("key").cast("string").alias("record_key"), F.concat_ws(" ", level, name).alias("manifest_key"), name.alias("name"))
     dealt = own.join(F.broadcast(records.drop("record_key")), "manifest_key")  # one row for each level and case
-    found = classify(dealt.select(F.col("key").cast("string").alias("record_key"), "record", "manifest_key"), manifests, files)
-    return found.join(own.select(F.col("key").cast("string").alias("record_key"), "name"), "record_key")
+    return dealt.select("record_key", "record", "manifest_key"), manifests, files, own.select("record_key", "name")
+
+
+def _picked(spark, keys: DataFrame, names: list[str]) -> DataFrame:
+    """The records of keys classified, with the name of their case."""
+    *frames, own = _dealt(spark, keys, names)
+    return classify(*frames).join(own, "record_key")
+
+
+def _customers(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+
+
+def _join_sql(names: list[str]) -> str:
+    return f"customer JOIN expected e ON e.l = c_custkey % 5 AND e.c = (c_custkey // 5) % {len(names)}"
 
 
 def _text(value) -> str:
@@ -87,7 +101,7 @@ FROM customer JOIN expected e ON e.l = c_custkey % 5 AND e.c = (c_custkey // 5)
 
 @query(CLASSIFY_SQL)
 def q_classify(spark, sf_dir):
-    found = _picked(spark, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), NAMES)
+    found = _picked(spark, _customers(spark, sf_dir), NAMES)
     required = sum((F.size(F.element_at("required_gates", f)) for f in R.FAMILIES), F.lit(0))
     parts = [F.element_at("component_statuses", c).alias("precision_status" if c == "precision" else c) for c in COMPONENTS]
     return found.select(
@@ -101,45 +115,49 @@ SELECT name AS mutation, count(*) AS runs, 0::BIGINT AS positive_malformed, coun
 FROM customer JOIN expected e ON e.l = c_custkey % 5 AND e.c = (c_custkey // 5) % {len(M.MUTATIONS)} GROUP BY 1""")
 def q_fuzz_counts(spark, sf_dir):
     """Records with one of fifteen edits each: how often each was drawn, and how many came out complete (none may)."""
-    found = _picked(spark, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), M.MUTATIONS)
+    found = _picked(spark, _customers(spark, sf_dir), M.MUTATIONS)
     shape = F.exists("audit_tags", lambda t: F.startswith(t, F.lit("schema:")))
     return found.groupBy(F.col("name").alias("mutation")).agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("state") == R.STATES["complete"]).alias("positive_malformed"), F.count_if(shape).alias("shape_rejects"))
 
 
 @query(f"""WITH {_expected_sql(M.CONTRAST)}
-SELECT name AS constructed_case, level, true AS json_schema_accepts, state AS protocol_overall_state, split_part(tags, ' ', 1) AS protocol_primary_audit_tag,
-    count(*) OVER (PARTITION BY level) AS cases, count(*) FILTER (WHERE rule <> 'complete') OVER (PARTITION BY level) AS protocol_downgraded FROM expected""")
+SELECT name AS constructed_case, level, count(*) AS records, count(*) AS json_schema_accepts, any_value(state) AS protocol_overall_state, any_value(split_part(tags, ' ', 1)) AS protocol_primary_audit_tag,
+    count(*) FILTER (WHERE rule <> 'complete') AS protocol_downgraded FROM {_join_sql(M.CONTRAST)} GROUP BY name, level""")
 def q_schema_contrast(spark, sf_dir):
-    """Five constructed records at each level: the formal shape accepts them all, the rules downgrade four."""
-    pairs = [(level, name) for level in R.LEVELS for name in M.CONTRAST]
-    rows = classify(*M.frames(spark, pairs)).select(
-        F.substring_index("record_key", " ", -1).alias("constructed_case"), F.col("claim_level").alias("level"), F.col("schema_accepts").alias("json_schema_accepts"), F.col("state").alias("protocol_overall_state"),
-        F.coalesce(F.try_element_at("audit_tags", F.lit(1)), F.lit("")).alias("protocol_primary_audit_tag"),
+    """Five constructed records at each level, dealt to customers: the formal shape accepts them all, the rules downgrade four of five."""
+    rows = _picked(spark, _customers(spark, sf_dir), M.CONTRAST)
+    first = F.coalesce(F.try_element_at("audit_tags", F.lit(1)), F.lit(""))
+    return rows.groupBy(F.col("name").alias("constructed_case"), F.col("claim_level").alias("level")).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("schema_accepts").alias("json_schema_accepts"), F.min("state").alias("protocol_overall_state"), F.min(first).alias("protocol_primary_audit_tag"),
+        F.count_if(F.col("state") != R.STATES["complete"]).alias("protocol_downgraded"),
     )
-    sums = rows.groupBy("level").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("protocol_overall_state") != R.STATES["complete"]).alias("protocol_downgraded"))
-    return rows.join(F.broadcast(sums), "level")
 
 
 @query(f"""WITH {REGISTRY_SQL}, numbered AS (SELECT level, family, gate, row_number() OVER (PARTITION BY level ORDER BY family_ord, gate_ord) - 1 AS n FROM registry)
-SELECT 'claim-' || level AS claim_id, 'E-' || lpad(CAST(n AS VARCHAR), 3, '0') AS evidence_id, family || '.' || gate AS gates, 1::BIGINT AS n_gates FROM numbered""")
+SELECT CAST(c_custkey AS VARCHAR) AS record_key, 'claim-' || level AS claim_id, 'E-' || lpad(CAST(n AS VARCHAR), 3, '0') AS evidence_id, family || '.' || gate AS gates, 1::BIGINT AS n_gates
+FROM customer JOIN numbered ON level = 'L' || CAST(c_custkey % 5 AS VARCHAR)""")
 def q_evidence_gates(spark, sf_dir):
-    """The gates that each evidence id of a record is stated for."""
+    """The gates that each evidence id of a record is stated for, for the record of each customer."""
     from gatelight.functions import variants as V
 
-    records, _, _ = M.frames(spark, [(level, "complete_record") for level in R.LEVELS])
+    records, *_ = _dealt(spark, _customers(spark, sf_dir), ["complete_record"])
     v = F.try_parse_json("record")
     gate_of = lambda family: lambda e: F.struct(F.concat(F.lit(f"{family}."), e["key"]).alias("gate"), V.text(V.field(e["value"], "evidence_id")).alias("evidence_id"))
     stated = F.concat(*[F.transform(F.map_entries(V.members(V.field(V.field(v, "evidence_adjudications"), f))), gate_of(f)) for f in R.FAMILIES])
-    rows = records.select(V.text(V.field(v, "id")).alias("claim_id"), F.explode(stated).alias("x")).select("claim_id", "x.*")
+    rows = records.select("record_key", V.text(V.field(v, "id")).alias("claim_id"), F.explode(stated).alias("x")).select("record_key", "claim_id", "x.*")
     gates = F.array_sort(F.collect_set("gate"))
-    return rows.groupBy("claim_id", "evidence_id").agg(F.array_join(gates, " ").alias("gates"), F.size(gates).cast("long").alias("n_gates"))
+    return rows.groupBy("record_key", "claim_id", "evidence_id").agg(F.array_join(gates, " ").alias("gates"), F.size(gates).cast("long").alias("n_gates"))
+
 
+_JSON_CASES = ["complete_record", "validity_fails", "no_json"]
 
-@query(f"""WITH {_expected_sql(["complete_record", "validity_fails", "no_json"])}
-SELECT level || ' ' || name AS record_key, claim_id, state, shown_level, n_tags::BIGINT AS n_tags, true AS parses FROM expected""")
+
+@query(f"""WITH {_expected_sql(_JSON_CASES)}
+SELECT CAST(c_custkey AS VARCHAR) AS record_key, claim_id, state, shown_level, n_tags::BIGINT AS n_tags, true AS parses FROM {_join_sql(_JSON_CASES)}""")
 def q_record_json(spark, sf_dir):
-    """Each result as one JSON text, and what is read back from it."""
-    rows = classify(*M.frames(spark, [(level, name) for level in R.LEVELS for name in ("complete_record", "validity_fails", "no_json")]))
+    """Each customer's result as one JSON text, and what is read back from it."""
+    records, manifests, files, _ = _dealt(spark, _customers(spark, sf_dir), _JSON_CASES)
+    rows = classify(records, manifests, files)
     told = rows.select("record_key", F.to_json(F.struct(*[c for c in rows.columns if c != "record_key"])).alias("result"))
     back = F.from_json("result", "claim_id string, state string, claim_level string, audit_tags array<string>")
     return told.select("record_key", back.alias("x"), F.try_parse_json("result").isNotNull().alias("parses")).select(
@@ -147,11 +165,14 @@ def q_record_json(spark, sf_dir):
     )
 
 
-@query(f"""WITH {_expected_sql(["complete_record", "no_json"])}
-SELECT level || ' ' || CASE name WHEN 'complete_record' THEN 'manifest_digest' ELSE name END AS record_key, state, CASE name WHEN 'no_json' THEN NULL ELSE true END AS keys_in_order, n_tags::BIGINT AS n_tags FROM expected""")
+_PINNED_CASES = ["complete_record", "no_json"]
+
+
+@query(f"""WITH {_expected_sql(_PINNED_CASES)}
+SELECT CAST(c_custkey AS VARCHAR) AS record_key, state, CASE name WHEN 'no_json' THEN NULL ELSE true END AS keys_in_order, n_tags::BIGINT AS n_tags FROM {_join_sql(_PINNED_CASES)}""")
 def q_pinned_records(spark, sf_dir):
-    """Records that name a wrong digest, written anew with the digest of their manifest and keys in order: now they are complete."""
-    records, manifests, files = M.frames(spark, [(level, name) for level in R.LEVELS for name in ("manifest_digest", "no_json")])
+    """Records of customers that name a wrong digest, written anew with the digest of their manifest and keys in order: now they are complete."""
+    records, manifests, files, _ = _dealt(spark, _customers(spark, sf_dir), ["manifest_digest", "no_json"])
     fixed = pinned(records, manifests)
     keys = F.json_object_keys("record")
     order = fixed.select("record_key", (keys == F.array_sort(keys)).alias("keys_in_order"))

@@ -13,6 +13,8 @@ from gatelight.operators import quantiles, simulate
 from gatelight.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
+#: What reads no given table. Not registered.
+STUDIES, STUDY_SQL = {}, {}
 
 
 def query(sql: str):
@@ -23,6 +25,14 @@ def query(sql: str):
     return add
 
 
+def study(sql: str):
+    def add(function):
+        STUDIES[function.__name__], STUDY_SQL[function.__name__] = function, sql
+        return function
+
+    return add
+
+
 RATES_SQL = """rates AS (
     SELECT CASE l_returnflag WHEN 'N' THEN 'iid_normal' ELSE 'other' END AS scenario, CAST(round(l_tax * 100) AS DOUBLE) AS effect,
         avg(CAST(l_discount > 0.05 AS INT)) AS b0, avg(CAST(l_discount > 0.05 AND l_quantity > 10 AS INT)) AS b2 FROM lineitem GROUP BY 1, 2)"""
@@ -45,22 +55,22 @@ def q_plot_effects(spark, sf_dir):
     return rows.select("effect", F.round(100 * F.col("b0"), 4).alias("b0_percent"), F.round(100 * F.col("b2"), 4).alias("full_percent"), (F.col("b0") > 0.5).cast("int").alias("b0_mostly"), label.alias("label"))
 
 
-@query("""WITH c AS (SELECT o_orderpriority AS design, CAST(CAST(year(o_orderdate) AS VARCHAR) AS VARCHAR) AS n_blocks, avg(CAST(o_orderstatus = 'F' AS INT)) AS rate, '5.0' AS effect, count(*) AS n FROM orders GROUP BY 1, 2)
-SELECT design, n_blocks, round(rate, 6) AS rate, row_number() OVER (PARTITION BY design ORDER BY CAST(n_blocks AS INT)) AS place FROM c WHERE effect = '5.0'""")
+@query("""WITH c AS (SELECT o_orderpriority AS design, CAST(year(o_orderdate) AS VARCHAR) AS n_blocks, CAST(CAST(quarter(o_orderdate) AS DOUBLE) AS VARCHAR) AS effect, avg(CAST(o_orderstatus = 'F' AS INT)) AS rate FROM orders GROUP BY 1, 2, 3)
+SELECT design, n_blocks, round(rate, 6) AS rate, row_number() OVER (PARTITION BY design ORDER BY CAST(n_blocks AS INT)) AS place FROM c WHERE effect = '2.0'""")
 def q_plot_curves(spark, sf_dir):
     """Lines of a figure: rows of one effect, compared as text, in the order of the number that another text column holds."""
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("design"), F.year("o_orderdate").cast("string").alias("n_blocks")).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("rate"))
-    rows = rows.withColumn("effect", F.lit(5.0).cast("string")).filter("effect = '5.0'")
+    date = F.col("o_orderdate")
+    keys = [F.col("o_orderpriority").alias("design"), F.year(date).cast("string").alias("n_blocks"), F.quarter(date).cast("double").cast("string").alias("effect")]
+    rows = table(spark, sf_dir, "orders").groupBy(*keys).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("rate")).filter("effect = '2.0'")
     place = F.row_number().over(Window.partitionBy("design").orderBy(F.col("n_blocks").cast("int")))
     return rows.select("design", "n_blocks", F.round("rate", 6).alias("rate"), place.alias("place"))
 
 
 @query("""SELECT o_orderpriority, o_orderstatus = 'F' AS compatible, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders GROUP BY ALL""")
 def q_split_by_flag(spark, sf_dir):
-    """Both sides of a flag, each summed by itself, one below the other."""
-    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice", (F.col("o_orderstatus") == "F").alias("compatible"))
-    side = lambda flag: orders.filter(F.col("compatible") == flag).groupBy("o_orderpriority").agg(F.lit(flag).alias("compatible"), F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
-    return side(True).unionByName(side(False))
+    """Both sides of a flag, each summed by itself in one pass."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_orderpriority", (F.col("o_orderstatus") == "F").alias("compatible"))
+    return orders.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
 
 
 @query("""SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' GROUP BY 1""")
@@ -176,16 +186,17 @@ def q_quantiles(spark, sf_dir):
 
 
 @query(f"""WITH s(level, family, role) AS (VALUES {", ".join(f"('{level}', '{family}', '{role}')" for level in R.LEVELS for family in R.FAMILIES for role in sorted({R.ROLES.get(f"{family}.{g}", R.ROLES[f"{family}.*"]) for g in R.LEVELS[level][family]}))})
-SELECT level, family, role, '' AS reviewer_code, '' AS comment FROM s""")
+SELECT level, family, role, 'S' || CAST(s_suppkey AS VARCHAR) AS reviewer_code, '' AS comment FROM supplier JOIN s ON level = 'L' || CAST(s_suppkey % 5 AS VARCHAR)""")
 def q_panel_template(spark, sf_dir):
-    """A blank line for each level, family and role that must review it."""
+    """A blank line for each reviewer, family and role that must review the level that the reviewer is given."""
     from gatelight.operators import conformance as C
 
     rows = C.required_roles(C.registry_gates(spark)).select("level", "family", "role").distinct()
-    return rows.select("level", "family", "role", F.lit("").alias("reviewer_code"), F.lit("").alias("comment"))
+    reviewers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("reviewer_code"), F.concat(F.lit("L"), (F.col("s_suppkey") % 5).cast("string")).alias("level"))
+    return reviewers.join(F.broadcast(rows), "level").select("level", "family", "role", "reviewer_code", F.lit("").alias("comment"))
 
 
-@query("""SELECT 'ar1_model_based_null' AS scenario, 0.0::DOUBLE AS effect UNION ALL SELECT 'ar1_model_based_exact_sesoi', 2.0 UNION ALL SELECT 'ar1_model_based_5_percent', 5.0""")
+@study("""SELECT 'ar1_model_based_null' AS scenario, 0.0::DOUBLE AS effect UNION ALL SELECT 'ar1_model_based_exact_sesoi', 2.0 UNION ALL SELECT 'ar1_model_based_5_percent', 5.0""")
 def q_scenario_labels(spark, sf_dir):
     cells = simulate.grid(spark, effect=[0.0, 2.0, 5.0])
     return cells.select(simulate.ar1_scenario(F.col("effect")).alias("scenario"), "effect")

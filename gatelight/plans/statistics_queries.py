@@ -13,6 +13,8 @@ from gatelight.operators import simulate as S
 from gatelight.sources.tables import BLOCKS_SQL, blocks, table
 
 QUERIES, ORACLE_SQL = {}, {}
+#: What reads no given table: grids and simulations. Not registered.
+STUDIES, STUDY_SQL = {}, {}
 SESOI, FRACTION = 1.0, 0.7
 
 
@@ -26,6 +28,16 @@ def query(sql: str | None):
     return add
 
 
+def study(sql: str | None):
+    def add(function):
+        STUDIES[function.__name__] = function
+        if sql is not None:
+            STUDY_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
 T_SQL = "tq(df, t) AS (VALUES " + ", ".join(f"({n}, {t_critical(n)!r}::DOUBLE)" for n in range(1, 201)) + ")"
 SUMMARY_SQL = f"""WITH {BLOCKS_SQL}, {T_SQL}, summary AS (
     SELECT l_suppkey, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, count(*) FILTER (WHERE value > 0) AS favorable FROM blocks GROUP BY 1
@@ -156,7 +168,7 @@ def q_panel_indices(spark, sf_dir):
     return out.select("item", "n", F.round("p", 6).alias("i_cvi"), F.round((F.col("needed") - half) / half, 6).alias("cvr"))
 
 
-@query("""WITH d(design) AS (VALUES ('iid_t'), ('ar1_model')), n(n_blocks) AS (VALUES (10), (20), (35), (50), (150)), e(effect) AS (VALUES (0.0), (2.0), (5.0))
+@study("""WITH d(design) AS (VALUES ('iid_t'), ('ar1_model')), n(n_blocks) AS (VALUES (10), (20), (35), (50), (150)), e(effect) AS (VALUES (0.0), (2.0), (5.0))
 SELECT design, n_blocks, CAST(effect AS DOUBLE) AS effect, CAST(ceil(0.8 * n_blocks) AS BIGINT) AS required FROM d, n, e""")
 def q_cross_grid(spark, sf_dir):
     grid = S.grid(spark, design=["iid_t", "ar1_model"], n_blocks=[10, 20, 35, 50, 150], effect=[0.0, 2.0, 5.0])
@@ -244,12 +256,12 @@ SELECT scenario, effect, {_RATE(f"mean > {S.SESOI!r}")} AS b0_rate, {_RATE(_BOTH
 FROM f GROUP BY scenario, effect"""
 
 
-@query(COMPOSITE_SQL)
+@study(COMPOSITE_SQL)
 def sim_composite_null(spark, sf_dir):
     return S.composite_null(spark)
 
 
-@query(None)
+@study(None)
 def sim_direction_guard(spark, sf_dir):
     return S.direction_guard(spark)
 
@@ -267,7 +279,7 @@ SELECT effect, CASE effect WHEN 0 THEN 'ar1_model_based_null' WHEN 2 THEN 'ar1_m
     CASE WHEN effect > 2 THEN c ELSE 0.0 END AS false_contradiction_rate, CASE WHEN effect > 2 THEN s ELSE 0.0 END AS power_supported_rate FROM r"""
 
 
-@query(AR1_SQL)
+@study(AR1_SQL)
 def sim_ar1_control(spark, sf_dir):
     out = S.ar1_control(spark)
     return out.withColumns({c: F.round(c, 9) for c in ("exact_se", "mean_width")})
@@ -290,7 +302,7 @@ SELECT scenario, compatible, draws, 5.0::DOUBLE AS true_effect, CASE scenario WH
     round(u, 9) AS inconclusive_probability, round(sqrt(greatest(0, u * (1 - u)) / draws), 9) AS inconclusive_mc_se FROM p"""
 
 
-@query(STRESS_SQL)
+@study(STRESS_SQL)
 def sim_stress(spark, sf_dir):
     out = S.stress(spark)
     return out.select(*[F.round(c, 9).alias(c) if c.endswith(("probability", "mc_se")) else c for c in out.columns])
@@ -303,6 +315,6 @@ ERROR_SQL = f"""WITH cells(error_rate) AS (VALUES (0.01::DOUBLE), (0.05::DOUBLE)
 {" UNION ALL ".join(f"SELECT '{name}' AS scenario, {ok} AS local_checks_pass, {p}::DOUBLE AS false_promotion_rate, {r}::DOUBLE AS abstention_rate, error_rate, iterations FROM d" for name, ok, p, r in _ERROR_CASES)}"""
 
 
-@query(ERROR_SQL)
+@study(ERROR_SQL)
 def sim_attestation_error(spark, sf_dir):
     return S.attestation_error(spark)

@@ -7,3 +7,7 @@ from gatelight.plans import conformance_queries, dependence_queries, record_quer
 FLAGSHIP = "q_state_fold"
 QUERIES = conformance_queries.QUERIES | dependence_queries.QUERIES | record_queries.QUERIES | report_queries.QUERIES | statistics_queries.QUERIES
 ORACLE_SQL = conformance_queries.ORACLE_SQL | dependence_queries.ORACLE_SQL | record_queries.ORACLE_SQL | report_queries.ORACLE_SQL | statistics_queries.ORACLE_SQL
+
+#: Grids and simulations over no given table, with their SQL: parts of the library that aren't registered as queries.
+STUDIES = report_queries.STUDIES | statistics_queries.STUDIES
+STUDY_SQL = report_queries.STUDY_SQL | statistics_queries.STUDY_SQL

@@ -27,18 +27,29 @@ def rows_of(rows, columns):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+def compare(df, expected):
+    assert sorted(df.columns) == sorted(expected.columns)
+    assert rows_of(map(tuple, df.collect()), df.columns) == rows_of(expected.fetchall(), expected.columns)
+
+
 @pytest.mark.parametrize("name", registry.ORACLE_SQL)
-def test_same_rows_as_sql(spark, duck, monkeypatch, name):
-    sql = registry.ORACLE_SQL[name]
-    if name.startswith("sim_"):  # both sides with fewer iterations than are registered
+def test_same_rows_as_sql(spark, duck, name):
+    compare(registry.QUERIES[name](spark, FOLDER), duck.sql(registry.ORACLE_SQL[name]))
+
+
+@pytest.mark.parametrize("name", registry.STUDY_SQL)
+def test_studies_give_the_same_rows_as_sql(spark, duck, monkeypatch, name):
+    sql = registry.STUDY_SQL[name]
+    if name.startswith("sim_"):  # both sides with fewer iterations than they have by default
         own = getattr(simulate, name.removeprefix("sim_"))
         assert f"range({simulate.ITERATIONS})" in sql
         sql = sql.replace(f"range({simulate.ITERATIONS})", "range(3000)")
         monkeypatch.setattr(own, "__defaults__", (3000, *own.__defaults__[1:]))
-    df = registry.QUERIES[name](spark, FOLDER)
-    expected = duck.sql(sql)
-    assert sorted(df.columns) == sorted(expected.columns)
-    assert rows_of(map(tuple, df.collect()), df.columns) == rows_of(expected.fetchall(), expected.columns)
+    compare(registry.STUDIES[name](spark, FOLDER), duck.sql(sql))
+
+
+def test_studies_are_not_registered():
+    assert registry.STUDIES and not set(registry.STUDIES) & set(registry.QUERIES)
 
 
 def test_all_states_occur(spark):

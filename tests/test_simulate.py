@@ -33,7 +33,7 @@ def test_stress_and_attestation(spark):
 def test_registered_simulations_draw_as_often_as_the_reference(spark):
     for simulate in (S.composite_null, S.direction_guard, S.ar1_control, S.stress, S.attestation_error):
         assert inspect.signature(simulate).parameters["n_iter"].default == 100_000
-    assert {r.iterations for r in registry.QUERIES["sim_attestation_error"](spark, "").collect()} == {100_000}
+    assert {r.iterations for r in registry.STUDIES["sim_attestation_error"](spark, "").collect()} == {100_000}
 
 
 def test_ar1_control_has_error_and_power_rates(spark):
