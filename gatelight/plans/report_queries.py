@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatelight.functions import registry_values as R
 from gatelight.functions import variants as V
-from gatelight.operators import quantiles, simulate
+from gatelight.operators import permutation, quantiles, simulate
 from gatelight.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -138,6 +138,26 @@ def q_permutation_p(spark, sf_dir):
     return rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("relabelings"), F.round(F.avg(extreme), 9).alias("p_value"), F.round(F.first("observed") / 5, 3).alias("observed"))
 
 
+BLOCKS = 12
+_SUM_SQL = lambda name, ks: f"{name} AS (SELECT o_orderpriority, {' + '.join(f's{k}.v' for k in ks)} AS s FROM one s{ks[0]} {' '.join(f'JOIN one s{k} USING (o_orderpriority)' for k in ks[1:])} WHERE {' AND '.join(f's{k}.block = {k}' for k in ks)})"
+
+
+@query(f"""WITH y AS (SELECT o_orderpriority, o_orderkey % {BLOCKS} AS block, avg(CASE WHEN o_custkey % 3 = 0 THEN o_totalprice END) AS f, avg(CASE WHEN o_custkey % 3 = 1 THEN o_totalprice END) AS o, avg(CASE WHEN o_custkey % 3 = 2 THEN o_totalprice END) AS q FROM orders GROUP BY ALL),
+one AS (SELECT o_orderpriority, block, unnest([f - (o + q) / 2, o - (f + q) / 2, q - (f + o) / 2]) AS v FROM y),
+seen AS (SELECT o_orderpriority, sum(f - (o + q) / 2) AS observed FROM y GROUP BY 1),
+{_SUM_SQL("low", range(BLOCKS // 2))}, {_SUM_SQL("high", range(BLOCKS // 2, BLOCKS))}
+SELECT o_orderpriority, {BLOCKS}::BIGINT AS blocks, pow(6, {BLOCKS}) AS relabelings, round(any_value(observed) / {BLOCKS}, 3) AS observed, round(avg(CAST(abs(low.s + high.s) >= abs(observed) - 1e-6 AS INT)), 9) AS p_value
+FROM low JOIN high USING (o_orderpriority) JOIN seen USING (o_orderpriority) GROUP BY 1""")
+def q_permutation_blocks(spark, sf_dir):
+    """The same test within twelve blocks, over all (3!)^12 relabelings, by convolution."""
+    kind = F.col("o_custkey") % 3
+    means = [F.avg(F.when(kind == k, F.col("o_totalprice"))).alias(f"m{k}") for k in range(3)]
+    rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority", (F.col("o_orderkey") % BLOCKS).alias("block")).agg(*means)
+    stat = lambda o: F.col(f"m{o[0]}") - (F.col(f"m{min(o[1:])}") + F.col(f"m{max(o[1:])}")) / 2
+    found = permutation.p_values(rows.select("o_orderpriority", "block", F.array(*[stat(o) for o in ORDERS]).alias("stats")), ["o_orderpriority"], ["block"], "stats")
+    return found.select("o_orderpriority", "blocks", "relabelings", F.round(F.col("observed") / BLOCKS, 3).alias("observed"), F.round("p_value", 9).alias("p_value"))
+
+
 @query("""SELECT l_returnflag AS format, count(*) AS requests, round(sum(l_extendedprice) / count(*), 4) AS joules_per_request, round(sum(l_extendedprice) / nullif(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 0), 4) AS joules_per_output_token,
     round(sum(l_extendedprice) / nullif(sum(l_quantity + l_linenumber), 0), 4) AS joules_per_total_token, round(sum(l_quantity) / nullif(sum(l_extendedprice), 0), 8) AS tokens_per_joule, round(avg(CAST(l_linestatus = 'F' AS INT)), 6) AS completion_rate FROM lineitem GROUP BY 1""")
 def q_energy_ratios(spark, sf_dir):
