@@ -258,7 +258,8 @@ def _text(root: Node, templates: frozenset[int], most: float, kinds: bool = True
 
 
 def template_codes(rows: DataFrame, min_pages: int = 4, block_pages: int = 30, max_share: float = 0.25) -> DataFrame:
-    """page and codes, those of its subtrees that are template, of each page that has some. rows: host, page (a digest of host and html) and html.
+    """page and codes, those of its subtrees that are template, of each page that has some. rows: page (a digest of host and html), html and host_code, which
+    is mixed into all codes, so that those of different hosts differ and rows needn't carry their host.
 
     A subtree is template if it recurs with its text on min_pages different pages of a host at least, other elements than containers on
     block_pages; or, without its text, on min_pages pages of whose text its structure holds max_share on average at most.
@@ -266,30 +267,30 @@ def template_codes(rows: DataFrame, min_pages: int = 4, block_pages: int = 30, m
 
     def listed(batches):
         for batch in batches:
-            columns = [[] for _ in range(7)]
-            for h, key, page in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = [[] for _ in range(6)]
+            for key, page, host in zip(*(c.to_pylist() for c in batch.columns)):
                 text, found = subtrees(page)
-                for own in found:
-                    for out, value in zip(columns, (h, key, text, *own)):
+                for code, block, shape, share in found:
+                    for out, value in zip(columns, (key, text, code ^ host, block, None if shape is None else shape ^ host, share)):
                         out.append(value)
-            kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "page", "text", "code", "block", "shape", "share"])
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["page", "text", "code", "block", "shape", "share"])
 
-    found = rows.select("host", "page", "html").mapInArrow(listed, "host string, page binary, text long, code long, block boolean, shape long, share float")
+    found = rows.select("page", "html", "host_code").mapInArrow(listed, "page binary, text long, code long, block boolean, shape long, share float")
     found, _ = scratch.written(found, "page-subtrees")
-    many = found.select("host", "code", "block", "text").distinct().groupBy("host", "code").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("block"))
-    same = many.filter(F.col("n") >= F.when(F.col("block"), block_pages).otherwise(min_pages)).select("host", "code")
-    shapes = found.filter("shape IS NOT NULL").groupBy("host", "shape", "text").agg(F.max("share").alias("share"))
-    alike = shapes.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.avg("share").alias("share")).filter((F.col("n") >= min_pages) & (F.col("share") <= max_share)).select("host", "shape")
-    by_code = found.join(same, ["host", "code"]).select("page", "code")
-    by_shape = found.join(alike, ["host", "shape"]).select("page", "code")
+    many = found.select("code", "block", "text").distinct().groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("block"))
+    same = many.filter(F.col("n") >= F.when(F.col("block"), block_pages).otherwise(min_pages)).select("code")
+    shapes = found.filter("shape IS NOT NULL").groupBy("shape", "text").agg(F.max("share").alias("share"))
+    alike = shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.avg("share").alias("share")).filter((F.col("n") >= min_pages) & (F.col("share") <= max_share)).select("shape")
+    by_code = found.join(same, "code").select("page", "code")
+    by_shape = found.join(alike, "shape").select("page", "code")
     return by_code.unionByName(by_shape).groupBy("page").agg(F.collect_set("code").alias("codes"))
 
 
 def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\w+://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    return rows.withColumn("page", F.unhex(F.md5(F.concat_ws("\n", "host", "html"))))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    return rows.withColumns({"host_code": F.xxhash64(host), "page": F.unhex(F.md5(F.concat_ws("\n", host, "html")))})
 
 
 def extract(
@@ -311,11 +312,11 @@ def extract(
 
     def extracted(batches):
         for batch in batches:
-            texts = [main_text(page, frozenset(codes or ()), kinds) for page, codes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [main_text(page, frozenset(c ^ host for c in codes or ()), kinds) for page, codes, host in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([len(x or ()) for x in batch.column(3).to_pylist()], pa.int64())],
                 names=["page_id", "url", "text", "n_chars", "n_templates"],
             )
 
     marked = rows.join(template_codes(rows, min_pages, block_pages, max_share), "page", "left") if counts else rows.withColumn("codes", F.lit(None).cast("array<long>"))
-    return marked.select("page_id", "url", "html", "codes").mapInArrow(extracted, schema)
+    return marked.select("page_id", "url", "html", "codes", "host_code").mapInArrow(extracted, schema)
