@@ -106,6 +106,7 @@ def copied_digest_stream(used: DataFrame, digest: Column, evidence: str, place:
 
     Order is that of arrival, and of place within a micro-batch; a batch over all records gives the same rows if places grow with arrival. A digest
     that isn't used for ttl seconds is forgotten. Needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`). Rows without a digest are left out.
+    A run over what is there (`availableNow`) ends only if `spark.sql.streaming.noDataMicroBatches.enabled` is false, as state that can expire asks for empty batches.
     """
     rows = used.select(digest.alias("digest"), F.col(place).cast("long").alias("place"), F.col(evidence).cast("string").alias("evidence")).filter("digest IS NOT NULL")
     return rows.groupBy("digest").transformWithStateInPandas(_LastUse(1000 * ttl), "digest string, place long, evidence string, prior_id string", "Append", "ProcessingTime")

@@ -31,7 +31,7 @@ def run(spark, make, folder, out, checkpoint, files):
     """Runs over the files that are there by the number given, each as a micro-batch; returns the query."""
     stream = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(folder)
     query = make(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(240)
+    assert query.awaitTermination(120)
     return query
 
 
@@ -77,7 +77,9 @@ def test_gaps(spark, events, tmp_path):
 
 
 def test_copied_digests(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKS)
+    conf = {"spark.sql.streaming.stateStore.providerClass": stateful.ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
     try:
         used = spark.createDataFrame([(f"d{k % 5 if k % 3 else k % 2}", k, f"E{k // 2}") for k in range(60)] + [(None, 99, "x")], "digest string, place long, evidence string")
         out, check = str(tmp_path / "out"), str(tmp_path / "check")
@@ -86,8 +88,9 @@ def test_copied_digests(spark, tmp_path):
             stream = spark.readStream.schema(used.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
             made = stateful.copied_digest_stream(stream, F.col("digest"), "evidence", "place")
             query = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
-            query.awaitTermination(240)
+            assert query.awaitTermination(120)
         batch = conformance.copied_digests(used.filter("digest IS NOT NULL"), [], "digest", "evidence", ["place"])
         assert rows(spark.read.parquet(out).select("digest", "place", "evidence", "prior_id")) == rows(batch.select("digest", "place", "evidence", "prior_id"))
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        for name in conf:
+            spark.conf.unset(name)
