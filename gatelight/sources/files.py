@@ -1,7 +1,7 @@
 """Sources and sinks: record and manifest files, digests of files around them, checksum manifests, CSV tables and reports.
 
-Files are listed by Spark's binaryFile source, so any store that Spark reads will do. Each row holds one whole file: evidence files
-are small; anything large should come with its digest in a table.
+Record and manifest files are read by Spark's binaryFile source, one file in each row: they are small. Digests of files are made in pieces (`gatelight.sources.chunked`), so
+that evidence may have any size.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from gatelight.functions.registry_values import Registry
 from gatelight.operators import integrity
+from gatelight.sources import chunked
 
 #: Columns of a request-outcome table; times are nanoseconds since the epoch and stay integers.
 REQUEST_SCHEMA = (
@@ -43,8 +44,13 @@ def below(path: Column, folder: str) -> Column:
     return F.substring_index(path, mark, -1)
 
 
-def digests(spark: SparkSession, folder: str, canonical: bool = False) -> DataFrame:
-    """path relative to the folder and SHA-256 digest; of text with unified line ends if canonical."""
+def digests(spark: SparkSession, folder: str, canonical: bool = False, whole: bool = False) -> DataFrame:
+    """path relative to the folder and SHA-256 digest; of text with unified line ends if canonical.
+
+    Files are read in pieces, so that any size will do. whole: by Spark's own source instead, for stores that only Spark reads; a file is then one row, and empty files are left out.
+    """
+    if not whole:
+        return chunked.file_digests(spark, folder).select("path", F.col("canonical_sha256" if canonical else "sha256").alias("digest"))
     files = binary(spark, folder)
     digest = integrity.newline_digest(F.col("content")) if canonical else F.sha2("content", 256)
     return files.select(below(F.col("path"), folder).alias("path"), digest.alias("digest"))
