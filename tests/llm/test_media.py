@@ -44,3 +44,23 @@ def test_damaged_media_and_empty_table(spark):
     assert media.digests(media.fingerprints(bad)).count() == 2
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert media.fingerprints(media.to_wav(docs)).count() == 0
+
+
+def test_peaks_equal_a_naive_transform():
+    """Bins by the sums of the definition, and peaks one frame and band at a time."""
+    data = np.random.default_rng(8).integers(32, 122, 9_000).astype("u1")
+    n = max(1, -(-(len(data) - media.FRAME) // media.HOP) + 1)
+    padded = np.zeros((n - 1) * media.HOP + media.FRAME)
+    padded[: len(data)] = data.astype("f8") - 128
+    turns = np.outer(np.arange(media.BANDS[-1]), np.arange(media.FRAME)) / media.FRAME
+    waves = np.exp(-2j * np.pi * turns)
+    power = np.array([[abs((padded[k * media.HOP : k * media.HOP + media.FRAME] * media._WINDOW * w).sum()) for w in waves] for k in range(n)])
+    expected = set()
+    for a, b in zip(media.BANDS, media.BANDS[1:]):
+        for k in range(n):
+            top = power[k, a:b].max()
+            around = [power[j, a:b].max() for j in range(max(0, k - media.NEAR), min(n, k + media.NEAR + 1)) if j != k]
+            if top > max(around, default=0) and top > 1:
+                expected.add((k, a + int(power[k, a:b].argmax())))
+    at, bins = media._peaks(data)
+    assert set(zip(at.tolist(), bins.tolist())) == expected and len(expected) > 20
