@@ -64,7 +64,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, path = scratch.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch.last_stays(spark):  # what the operator leaves for its result to be read from goes, now that the stage is written
+            docs, path = scratch.written(stage(spark, docs, sf_dir), f"stage-{name}")
         if last is not None:
             scratch.drop(spark, last)
         last = path
