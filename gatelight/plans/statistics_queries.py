@@ -168,6 +168,26 @@ def q_panel_indices(spark, sf_dir):
     return out.select("item", "n", F.round("p", 6).alias("i_cvi"), F.round((F.col("needed") - half) / half, 6).alias("cvr"))
 
 
+_NEED, _FIT = ["essential", "useful_not_essential", "not_necessary"], ["correct", "too_low", "too_high", "not_applicable"]
+
+
+@query(f"""WITH r AS (SELECT doc_id % 40 AS item, quality * 2 + toxic + 1 AS relevance, doc_id // 40 % 4 + 1 AS clarity, {_NEED}[doc_id // 7 % 3 + 1] AS necessity, {_FIT}[doc_id // 11 % 4 + 1] AS fit FROM labels)
+SELECT item, count(*) AS n, round(avg(CAST(relevance >= 3 AS INT)), 6) AS i_cvi_relevance, round(avg(CAST(clarity >= 3 AS INT)), 6) AS i_cvi_clarity, round((count(*) FILTER (WHERE necessity = 'essential') - count(*) / 2) / (count(*) / 2), 6) AS cvr,
+    round(avg(CAST(fit = 'correct' AS INT)), 6) AS agreement, count(*) FILTER (WHERE fit = 'too_low') AS too_low, count(*) FILTER (WHERE fit = 'too_high') AS too_high FROM r GROUP BY 1 HAVING count(*) >= 5""")
+def q_panel_report(spark, sf_dir):
+    """Ratings of each item by a panel: relevance and clarity apart, necessity, and agreement with the assigned profile, from five ratings on."""
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(n) for n in names]), (F.floor(F.col("doc_id") / k) % len(names) + 1).cast("int"))
+    rated = table(spark, sf_dir, "labels").select(
+        (F.col("doc_id") % 40).alias("item"), (F.col("quality") * 2 + F.col("toxic") + 1).alias("relevance"), (F.floor(F.col("doc_id") / 40) % 4 + 1).alias("clarity"), pick(_NEED, 7).alias("necessity"), pick(_FIT, 11).alias("fit")
+    )
+    n, share = F.count(F.lit(1)), lambda cond: F.round(F.avg(cond.cast("int")), 6)
+    half, needed = n / 2, F.count_if(F.col("necessity") == "essential")
+    return rated.groupBy("item").agg(
+        n.alias("n"), share(F.col("relevance") >= 3).alias("i_cvi_relevance"), share(F.col("clarity") >= 3).alias("i_cvi_clarity"), F.round((needed - half) / half, 6).alias("cvr"), share(F.col("fit") == "correct").alias("agreement"),
+        F.count_if(F.col("fit") == "too_low").alias("too_low"), F.count_if(F.col("fit") == "too_high").alias("too_high"),
+    ).filter("n >= 5")
+
+
 @study("""WITH d(design) AS (VALUES ('iid_t'), ('ar1_model')), n(n_blocks) AS (VALUES (10), (20), (35), (50), (150)), e(effect) AS (VALUES (0.0), (2.0), (5.0))
 SELECT design, n_blocks, CAST(effect AS DOUBLE) AS effect, CAST(ceil(0.8 * n_blocks) AS BIGINT) AS required FROM d, n, e""")
 def q_cross_grid(spark, sf_dir):
