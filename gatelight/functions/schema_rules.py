@@ -1,84 +1,89 @@
-"""A compiler from JSON-Schema keywords to columns: the paths of all violations in a VARIANT.
+"""JSON-Schema keywords held against a VARIANT: the paths of all violations, from one expression whatever the size of the shape.
 
 Supported: type, additionalProperties, required, minLength, enum, minProperties, pattern, minimum, minItems, items, properties and
 references into $defs. required gives one violation for each absent property, additionalProperties: false one for each object.
+A shape becomes a constant list of places; a value is walked from its root, each value with the place that it is held against,
+so that the plan grows with the depth of the shape only. A shape that refers to itself has no depth and is refused.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gatelight.functions import variants as V
 
-#: A path is a list of parts; n orders list indices as numbers, and is -1 for the names of members.
-_PATH = "array<struct<n:int,s:string>>"
-_PATHS = f"array<{_PATH}>"
-
-
-def _part(name: Column, index: Column | None = None) -> Column:
-    return F.array(F.struct((F.lit(-1) if index is None else index).cast("int").alias("n"), name.alias("s")))
-
-
-def _none() -> Column:
-    return F.expr("array()").cast(_PATHS)
-
-
-def _at(cond: Column, path: Column) -> Column:
-    return F.when(cond, F.array(path)).otherwise(_none())
-
-
-def violations(schema: dict, v: Column, path: Column | None = None, root: dict | None = None, given: dict | None = None, at: tuple = ()) -> Column:
-    """The path of each violation; nothing for an absent value. given: values and kinds that are columns already, by the names that lead to them."""
-    given = given or {}
-    root = root or schema
-    path = F.expr("array()").cast(_PATH) if path is None else path
-    while "$ref" in schema:
-        place = root
-        for part in schema["$ref"].removeprefix("#/").split("/"):
-            place = place[part]
-        schema = place
-    kind, found = given[at][1] if at in given else V.kind(v), []
-    field = lambda name: given[*at, name][0] if (*at, name) in given else V.field(v, name)
-    if "type" in schema:
-        wanted = schema["type"]
-        if wanted == "integer":
-            whole = V.number(v)
-            ok = (kind == "integer") | ((kind == "number") & (whole == F.floor(whole)))
-        else:
-            ok = kind.isin("integer", "number") if wanted == "number" else kind == wanted
-        found.append(_at(~ok, path))
-    known = schema.get("properties", {})
-    extra = schema.get("additionalProperties")
-    if extra is False:
-        names = F.map_keys(V.members(v))
-        found.append(_at(F.size(F.array_except(names, F.array(*[F.lit(k) for k in known]))) > 0, path))
-    for name in schema.get("required", ()):
-        found.append(_at((kind == "object") & field(name).isNull(), path))
-    if "minLength" in schema:
-        found.append(_at((kind == "string") & (F.char_length(V.text(v)) < schema["minLength"]), path))
-    if "enum" in schema:
-        found.append(_at(~F.coalesce(V.text(v).isin(*schema["enum"]), F.lit(False)), path))
-    if "minProperties" in schema:
-        found.append(_at((kind == "object") & (F.size(V.members(v)) < schema["minProperties"]), path))
-    if "pattern" in schema:
-        found.append(_at((kind == "string") & ~V.text(v).rlike(schema["pattern"]), path))
-    if "minimum" in schema:
-        found.append(_at(kind.isin("integer", "number") & (V.number(v) < schema["minimum"]), path))
-    if "minItems" in schema:
-        found.append(_at((kind == "array") & (F.size(V.items(v)) < schema["minItems"]), path))
-    if "items" in schema:
-        each = F.transform(V.items(v), lambda x, i: violations(schema["items"], x, F.concat(path, _part(i.cast("string"), i)), root))
-        found.append(F.flatten(each))
-    for name, own in known.items():
-        inner = field(name)
-        found.append(F.when(inner.isNotNull(), violations(own, inner, F.concat(path, _part(F.lit(name))), root, given, (*at, name))).otherwise(_none()))
-    if isinstance(extra, dict):
-        entries = F.filter(F.map_entries(V.members(v)), lambda e: ~e["key"].isin(*known)) if known else F.map_entries(V.members(v))
-        found.append(F.flatten(F.transform(entries, lambda e: violations(extra, e["value"], F.concat(path, _part(e["key"])), root))))
-    return F.concat(*found) if found else _none()
-
-
-def violation_tags(schema: dict, v: Column, given: dict | None = None) -> Column:
+#: What a shape asks for at one place.
+_PLACES = (
+    "array<struct<type:string,min_length:int,enum:array<string>,min_properties:int,pattern:string,minimum:double,min_items:int,required:array<string>,closed:boolean,"
+    "known:map<string,int>,extra:int,items:int>>"
+)
+
+
+def places(schema: dict) -> tuple[list[dict], int]:
+    """The places of a shape, the root's first, each with the numbers of those below it, and the depth."""
+    found: list[dict] = []
+
+    def add(own: dict, above: tuple) -> tuple[int, int]:
+        while "$ref" in own:
+            if own["$ref"] in above:
+                raise ValueError(f"the shape refers to itself: {own['$ref']}")
+            above, own_ref, own = (*above, own["$ref"]), own["$ref"], schema
+            for part in own_ref.removeprefix("#/").split("/"):
+                own = own[part]
+        number, extra = len(found), own.get("additionalProperties")
+        keywords = {"type": "type", "minLength": "min_length", "enum": "enum", "minProperties": "min_properties", "pattern": "pattern", "minimum": "minimum", "minItems": "min_items"}
+        place = {name: own.get(keyword) for keyword, name in keywords.items()} | {"required": own.get("required", []), "closed": extra is False}
+        found.append(place)
+        below = {name: add(inner, above) for name, inner in own.get("properties", {}).items()}
+        place["known"] = {name: n for name, (n, _) in below.items()}
+        for name, inner in (("extra", extra), ("items", own.get("items"))):
+            below[name,] = add(inner, above) if isinstance(inner, dict) else (None, 0)
+            place[name] = below[name,][0]
+        return number, 1 + max(depth for _, depth in below.values())
+
+    _, depth = add(schema, ())
+    return found, depth
+
+
+#: A value (x.v, of x.kind) held against its place (x.own): how many violations it has itself, not counting those of what is in it.
+_COUNT = """(
+    CASE x.kind
+    WHEN 'string' THEN nvl(int(char_length(try_variant_get(x.v, '$', 'string')) < x.own.min_length), 0) + nvl(int(NOT rlike(try_variant_get(x.v, '$', 'string'), x.own.pattern)), 0)
+    WHEN 'array' THEN nvl(int(size(try_variant_get(x.v, '$', 'array<variant>')) < x.own.min_items), 0)
+    WHEN 'object' THEN size(array_except(x.own.required, x.names)) + nvl(int(size(x.names) < x.own.min_properties), 0) + int(x.own.closed AND size(array_except(x.names, map_keys(x.own.known))) > 0)
+    ELSE nvl(int(x.kind IN ('integer', 'number') AND try_variant_get(x.v, '$', 'double') < x.own.minimum), 0) END
+    + int(x.own.enum IS NOT NULL AND NOT nvl(x.kind = 'string' AND array_contains(x.own.enum, try_variant_get(x.v, '$', 'string')), false))
+    + nvl(CASE x.own.type WHEN 'number' THEN int(x.kind NOT IN ('integer', 'number'))
+        WHEN 'integer' THEN int(x.kind <> 'integer' AND NOT (x.kind = 'number' AND try_variant_get(x.v, '$', 'double') = floor(try_variant_get(x.v, '$', 'double'))))
+        ELSE int(x.kind <> x.own.type) END, 0))"""
+#: The values in a value that are held against a place.
+_BELOW = """filter(CASE
+    WHEN x.kind = 'object' AND (size(x.own.known) > 0 OR x.own.extra IS NOT NULL)
+    THEN transform(map_entries(try_variant_get(x.v, '$', 'map<string,variant>')), e -> struct(concat(x.path, array(struct(-1 AS n, e.key AS s))) AS path, e.value AS v, nvl(try_element_at(x.own.known, e.key), x.own.extra) AS place))
+    WHEN x.kind = 'array' AND x.own.items IS NOT NULL
+    THEN transform(try_variant_get(x.v, '$', 'array<variant>'), (y, i) -> struct(concat(x.path, array(struct(i AS n, string(i) AS s))) AS path, y AS v, x.own.items AS place))
+    ELSE array() END, c -> c.place IS NOT NULL)"""
+
+
+def violations(schema: dict, name: str) -> Column:
+    """The path of each violation of a column; nothing for an absent value. A path is a list of parts (n, s); n orders list indices as numbers, and is -1 for the names of members."""
+    found, depth = places(schema)
+    shape = "from_json('" + json.dumps(found).replace("\\", "\\\\").replace("'", "\\'") + f"', '{_PLACES}')"
+
+    def walk(values: str, left: int) -> str:
+        kinds = f"transform({values}, c -> struct(c.path AS path, c.v AS v, {V.KIND.format('c.v')} AS kind, get({shape}, c.place) AS own))"
+        names = "CASE WHEN k.kind = 'object' THEN map_keys(try_variant_get(k.v, '$', 'map<string,variant>')) END"
+        seen = f"transform({kinds}, k -> struct(k.path AS path, k.v AS v, k.kind AS kind, k.own AS own, {names} AS names))"
+        own = f"array_repeat(x.path, {_COUNT})"
+        return f"flatten(transform({seen}, x -> {f'concat({own}, {walk(_BELOW, left - 1)})' if left > 1 else own}))"
+
+    root = f"array(struct(CAST(array() AS array<struct<n:int,s:string>>) AS path, {name} AS v, 0 AS place))"
+    return F.expr(f"CASE WHEN {name} IS NULL THEN array() ELSE {walk(root, depth)} END")
+
+
+def violation_tags(schema: dict, name: str) -> Column:
     """One tag for each violation, in the order of paths."""
-    return F.transform(F.array_sort(violations(schema, v, given=given)), lambda p: F.concat(F.lit("schema:jsonschema="), F.when(F.size(p) == 0, "root").otherwise(F.array_join(F.transform(p, lambda x: x["s"]), "/"))))
+    return F.transform(F.array_sort(violations(schema, name)), lambda p: F.concat(F.lit("schema:jsonschema="), F.when(F.size(p) == 0, "root").otherwise(F.array_join(F.transform(p, lambda x: x["s"]), "/"))))

@@ -17,18 +17,14 @@ def field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
+_KINDS = "map('OBJ', 'object', 'ARR', 'array', 'STR', 'string', 'BOO', 'boolean', 'VOI', 'null', 'BIG', 'integer', 'DEC', 'number', 'DOU', 'number', 'FLO', 'number')"
+#: The kind of a value in SQL, by the first letters of its schema.
+KIND = f"try_element_at({_KINDS}, substring(schema_of_variant({{}}), 1, 3))"
+
+
 def kind(v: Column) -> Column:
     """object, array, string, integer, number, boolean or null; SQL null for what is absent."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(F.startswith(s, F.lit("OBJECT")), "object")
-        .when(F.startswith(s, F.lit("ARRAY")), "array")
-        .when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s == "VOID", "null")
-        .when(s == "BIGINT", "integer")
-        .when(s.isNotNull(), "number")
-    )
+    return F.try_element_at(F.expr(_KINDS), F.substring(F.schema_of_variant(v), 1, 3))
 
 
 def text(v: Column) -> Column:

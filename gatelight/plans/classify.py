@@ -6,7 +6,8 @@ required gates and component statuses. Malformed input is tagged, never an error
 that is no object, or of a manifest that can't be read.
 
 Each file is digested once, by whoever lists the files, and joined; evidence and reviewers join by their ids. Rows of a record
-meet only in two places, both keyed by the record: the look at the use of a digest just before, and the final fold.
+meet only in two places, both keyed by the record: the look at the use of a digest just before, and the final fold. What is
+found in a record's text is written to a table (looked-records) that the result is read from.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from gatelight.functions import variants as V
 from gatelight.functions.schema_rules import violation_tags
 from gatelight.operators import conformance as C
 from gatelight.operators.integrity import path_error
+from gatelight.sources import shared
 
 _TAGS = "array<string>"
 
@@ -66,7 +68,7 @@ def schema_tags(given: dict, registry: R.Registry = R.PUBLISHED, shape: dict | N
         good = F.coalesce(given[name,][1] == "object", F.lit(False))
         checks.append((~good, f"schema:{name}_not_object"))
         checks += [(good & ~F.coalesce(given[name, x][1] == wanted, F.lit(False)), f"schema:{name}_{x}_missing_or_invalid") for x in R.FAMILIES]
-    return F.when(F.coalesce(root_kind != "object", F.lit(True)), F.array(F.lit("schema:root_not_object"))).otherwise(F.concat(violation_tags(shape, v, given), C.tags(*checks)))
+    return F.when(F.coalesce(root_kind != "object", F.lit(True)), F.array(F.lit("schema:root_not_object"))).otherwise(F.concat(violation_tags(shape, "v"), C.tags(*checks)))
 
 
 def manifest_tags(m: Column, there: Column) -> Column:
@@ -265,10 +267,16 @@ def classify(records: DataFrame, manifests: DataFrame, files: DataFrame, registr
     g_tags = g_tags.when(F.col("guard") == "token", F.array(F.concat(F.lit("manifest:local_integrity_token_"), token_tag)))
     base = base.withColumn("guard_tags", g_tags).withColumn("d_tags", F.when(F.col("guard").isNull(), declaration_tags(given, F.col("level"), registry)))
 
-    ready = base.filter("guard IS NULL").dropDuplicates(["fold_key"])
-    told = {f"{holder}_{f}": V.members(given[holder, f][0]) for holder in CONTAINERS[1:] for f in R.FAMILIES}
+    # What the record's text was looked up for is written once: it is read for the gates and again for the result.
+    claim_id = F.coalesce(V.text(given["id",][0]), F.to_json(given["id",][0]), F.lit("<invalid-claim-object>")).alias("claim_id")
+    accepts = ~F.exists("s_tags", lambda t: F.startswith(t, F.lit("schema:jsonschema=")) | t.isin("schema:root_not_object", "schema:formal_schema_unavailable"))
+    usable = F.col("guard").isNull()
+    told = {f"{holder}_{f}": F.when(usable, V.members(given[holder, f][0])) for holder in CONTAINERS[1:] for f in R.FAMILIES}
     own = {"id": V.text(given["id",][0]), "owner": given["claim_owner_id",][0], "assessed": V.utc(V.text(given["assessment_time_utc",][0]))}
-    ready = V.once(ready, **told, **own).select("fold_key", "manifest_key", "level", *told, *own)
+    columns = [c.alias(name) for name, c in {**told, **own}.items()]
+    base, _ = shared.written(base.select("record_key", "fold_key", "manifest_key", "level", "guard", "guard_tags", "d_tags", claim_id, accepts.alias("schema_accepts"), *columns), "looked-records")
+    ready = base.filter("guard IS NULL").dropDuplicates(["fold_key"]).select("fold_key", "manifest_key", "level", *told, *own)
+    base = base.drop(*told, *own)
     gates = gate_tags(ready, m.select("manifest_key", "m"), files, registry)
     family, status, gate = F.col("family"), F.col("status"), F.col("gate")
     ordered = F.array_sort(F.collect_list(F.struct("place", "tags")))
@@ -295,11 +303,10 @@ def classify(records: DataFrame, manifests: DataFrame, files: DataFrame, registr
     known = F.col("guard").isNull()
     required = F.create_map(*[x for f in R.FAMILIES for x in (F.lit(f), F.when(F.col("guard").isin("manifest", "schema"), _no_tags()).otherwise(
         F.coalesce(F.try_element_at(F.create_map(*[y for name, own_ in registry.levels.items() for y in (F.lit(name), F.array(*[F.lit(g) for g in own_[f]]))]), F.col("level")), _no_tags())))])
-    claim_id = F.coalesce(V.text(given["id",][0]), F.to_json(given["id",][0]), F.lit("<invalid-claim-object>"))
     out = out.withColumn("state", state)
     return out.select(
-        "record_key", claim_id.alias("claim_id"), "state", C.display_state(F.col("state"), F.col("level")).alias("display_state"), F.col("level").alias("claim_level"), reason.alias("reason"),
+        "record_key", "claim_id", "state", C.display_state(F.col("state"), F.col("level")).alias("display_state"), F.col("level").alias("claim_level"), reason.alias("reason"),
         F.coalesce("guard_tags", F.concat(F.coalesce("d_tags", _no_tags()), F.coalesce("gate_tags", _no_tags()))).alias("audit_tags"), required.alias("required_gates"),
         _components(F.col("state"), known, ~F.col("rule").isin("declaration", "attestation")).alias("component_statuses"),
-        (~F.exists("s_tags", lambda t: F.startswith(t, F.lit("schema:jsonschema=")) | t.isin("schema:root_not_object", "schema:formal_schema_unavailable"))).alias("schema_accepts"),
+        "schema_accepts",
     )

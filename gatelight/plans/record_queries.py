@@ -39,6 +39,8 @@ def _dealt(spark, keys: DataFrame, names: list[str]) -> tuple[DataFrame, DataFra
     level = F.concat(F.lit("L"), (F.col("key") % 5).cast("string"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.floor(F.col("key") / 5) % len(names) + 1).cast("int"))
     own = keys.select(F.col("key").cast("string").alias("record_key"), F.concat_ws(" ", level, name).alias("manifest_key"), name.alias("name"))
+    # A record is some 11 KB of text from a key of 8 bytes: keys are divided first.
+    own = own.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "record_key")
     dealt = own.join(F.broadcast(records.drop("record_key")), "manifest_key")  # one row for each level and case
     return dealt.select("record_key", "record", "manifest_key"), manifests, files, own.select("record_key", "name")
 

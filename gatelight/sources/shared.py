@@ -53,6 +53,18 @@ def last_stays(spark: SparkSession):
             outer[-1].extend(made[-1:])
 
 
+@contextmanager
+def all_go(spark: SparkSession):
+    """When the block ends, all tables that were written in it go: for a result that the block itself stores."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        drop(spark, *made)
+
+
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """The rows written as Parquet and read again, and their path. This ends the lineage."""
     spark = df.sparkSession

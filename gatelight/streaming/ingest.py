@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from gatelight.plans.classify import classify
+from gatelight.sources import shared
 
 RECORDS = "record_key string, record string, manifest_key string"
 
@@ -20,7 +21,8 @@ def classify_stream(records: DataFrame, manifests: DataFrame, files: DataFrame,
     replaces its own folder."""
 
     def store(batch: DataFrame, number: int) -> None:
-        classify(batch, manifests, files).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with shared.all_go(batch.sparkSession):
+            classify(batch, manifests, files).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
