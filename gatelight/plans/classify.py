@@ -121,7 +121,7 @@ def _reviewers(manifests: DataFrame) -> DataFrame:
 
 def _same(a: Column, b: Column) -> Column:
     """Equality of two variants as texts; absent equals absent."""
-    return V.shown(a).eqNullSafe(V.shown(b)) & V.kind(a).eqNullSafe(V.kind(b))
+    return F.to_json(a).eqNullSafe(F.to_json(b)) & V.kind(a).eqNullSafe(V.kind(b))
 
 
 def gate_tags(ready: DataFrame, manifests: DataFrame, files: DataFrame, registry: R.Registry = R.PUBLISHED) -> DataFrame:
