@@ -77,3 +77,41 @@ def test_another_registry_and_an_unreadable_shape(spark, tmp_path):
     assert classify(*frames, shape=None).first().audit_tags == ["schema:formal_schema_unavailable"]
     (tmp_path / "small.json").write_text(json.dumps({"type": "object", "required": ["nothing"]}))
     assert classify(*frames, shape=S.shape(spark, str(tmp_path / "small.json"))).first().audit_tags == ["schema:jsonschema=root"]
+
+
+SHAPE = {
+    "type": "object", "additionalProperties": False, "required": ["a", "b"], "$defs": {"name": {"type": "string", "minLength": 2, "pattern": "^x"}},
+    "properties": {
+        "a": {"$ref": "#/$defs/name"}, "b": {"type": "integer", "minimum": 3}, "c": {"type": "array", "minItems": 2, "items": {"enum": ["p", "q"]}}, "d": {"type": "number"},
+        "e": {"type": "object", "minProperties": 1, "additionalProperties": {"$ref": "#/$defs/name"}}, "f": {"type": "boolean"},
+    },
+}
+
+
+@pytest.mark.parametrize(("text", "wanted"), [
+    ('{"a": "xy", "b": 3}', []), ('{"a": "xy", "b": 4.0, "d": 1.5, "f": false, "e": {"g": "xx"}}', []), ("{}", ["root", "root"]), ("[]", ["root"]), ("null", ["root"]), ('"a"', ["root"]),
+    ('{"a": "y", "b": 2, "z": 1, "zz": 2}', ["root", "a", "a", "b"]), ('{"a": null, "b": 3.5}', ["a", "b"]), ('{"a": "xy", "b": 3, "c": ["r"], "e": {}}', ["c", "c/0", "e"]),
+    ('{"a": "xy", "b": 3, "c": ["p", 1, "p", "p", "p", "p", "p", "p", "p", "p", {}], "d": "1", "f": 1}', ["c/1", "c/10", "d", "f"]), ('{"a": "xy", "b": 3, "e": {"g": "x", "it\'s": 5, "a b": "xx"}}', ["e/g", "e/it's"]), (None, []),
+])
+def test_every_keyword_of_a_shape(spark, text, wanted):
+    from gatelight.functions.schema_rules import violation_tags
+
+    row = spark.createDataFrame([(text,)], "t string").select(F.try_parse_json("t").alias("v")).select(violation_tags(SHAPE, "v").alias("tags")).first()
+    assert row.tags == [f"schema:jsonschema={x}" for x in wanted]
+
+
+def test_a_shape_that_refers_to_itself_is_refused():
+    from gatelight.functions.schema_rules import places
+
+    with pytest.raises(ValueError, match="refers to itself"):
+        places({"$defs": {"tree": {"type": "object", "additionalProperties": {"$ref": "#/$defs/tree"}}}, "$ref": "#/$defs/tree"})
+
+
+def test_plan_does_not_grow_with_the_shape(spark):
+    from gatelight.functions.schema_rules import violations
+
+    def nodes(n: int) -> int:
+        shape = {"type": "object", "properties": {f"p{i}": {"type": "string"} for i in range(n)}}
+        return spark.range(1).select(F.try_parse_json(F.lit("{}")).alias("v")).select(violations(shape, "v"))._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get")
+
+    assert nodes(3) == nodes(300)
