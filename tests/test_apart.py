@@ -19,3 +19,16 @@ def test_equal_records_are_worked_on_once(spark):
 
     found = Q._results(records, work).collect()
     assert seen == [7] and sorted((str(r.record_key), r.got) for r in found) == sorted((str(k), f"{'-' if t is None else t}|{'-' if m is None else m}") for k, t, m in ROWS)
+
+
+def test_what_is_kept_of_a_record_is_plain(spark, monkeypatch):
+    """A part of a VARIANT has all names of its record with it: none is written or shuffled for a gate."""
+    from gatelight.plans import classify as K
+    from gatelight.plans import record_cases as M
+
+    kept = []
+    shared_written, gate_tags = K.shared.written, K.gate_tags
+    monkeypatch.setattr(K.shared, "written", lambda df, label: kept.append(df.schema.simpleString()) or shared_written(df, label))
+    monkeypatch.setattr(K, "gate_tags", lambda ready, *rest: kept.append(ready.schema.simpleString()) or gate_tags(ready, *rest))
+    K.classify(*M.frames(spark, [("L0", "complete_record")]))
+    assert len(kept) == 2 and not any("variant" in k for k in kept)
