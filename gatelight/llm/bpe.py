@@ -7,7 +7,8 @@ that build them never meet a merge across their border that comes first. So an e
 bytes, appended bytes only add entries to the table, and after an edit only the touched matches of the
 splitting pattern are done again.
 
-A match's table is kept in full by Encoding; encode_table keeps whole chunks' ids by worker instead.
+A match's table is kept in full by Encoding; encode_table keeps whole units' ids by worker instead, and finds those of a batch's
+texts all at once (see tokens).
 
 Defined results. A null text counts as empty, and an empty text has no ids. Repeated rows each give a row.
 Null ids decode to null. Columns of the input besides the named ones are neither read nor returned.
@@ -16,19 +17,23 @@ Null ids decode to null. Columns of the input besides the named ones are neither
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelight.llm import scratch
-from gatelight.llm.tokens import CONTROL, MAX_CHUNK_CHARS, MAX_CHUNKS, SPACED
+from gatelight.llm.tokens import MAX_CHUNK_CHARS, MAX_CHUNKS, ChunkedTokenizer, binary
 
 #: What Unicode calls white space; the regex module's own class has four control characters more.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NEVER = 1 << 62
+#: Ids that are decoded at once.
+DECODED = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -200,20 +205,50 @@ class Encoding:
         self._splice(first, stop, new)
 
 
-class ChunkMemory:
-    """Encodes whole texts; remembers the ids of frequent chunks between two certain borders of matches."""
+class ChunkMemory(ChunkedTokenizer):
+    """Encodes whole texts; remembers the ids of frequent units between two certain borders of matches. Decodes many ids at once."""
+
+    kind = "u4"
 
     def __init__(self, bpe: PrefixBPE):
-        self.bpe, self.known = bpe, {}
+        self.bpe, self.spaced, self.known = bpe, True, {}
+        self._forget()
+        self.lengths, self.starts = np.zeros(max(bpe.tokens) + 1, "i8"), np.zeros(max(bpe.tokens) + 1, "i8")
+        ranks = list(bpe.tokens)
+        sizes = np.fromiter(map(len, bpe.tokens.values()), "i8", len(ranks))
+        self.lengths[ranks], self.starts[ranks] = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(bpe.tokens.values()), "u1")
+
+    def _unit_ids(self, unit: bytes) -> array:
+        ids = self.known.get(unit)
+        if ids is None:
+            ids = array("I", self.bpe.encode(unit.decode()))
+            if len(unit) <= MAX_CHUNK_CHARS:
+                if len(self.known) >= MAX_CHUNKS:
+                    self.known.clear()
+                self.known[unit] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        if len(self.known) > MAX_CHUNKS:
-            self.known.clear()
-        chunks, long, known = [text] if CONTROL(text) else SPACED(text), {}, self.known
-        for chunk in set(chunks).difference(known):
-            (known if len(chunk) <= MAX_CHUNK_CHARS else long)[chunk] = np.array(self.bpe.encode(chunk), "<u4").tobytes()
-        get = known.__getitem__
-        return b"".join([long[c] if c in long else get(c) for c in chunks] if long else map(get, chunks))
+        return self.encode_column(pa.array([text]), None)[0].astype("<u4", copy=False).tobytes()
+
+    def decode_column(self, column: pa.Array) -> pa.Array:
+        """The bytes that each row's ids (little-endian, unsigned, 32 bits) stand for; null for null."""
+        rows = column.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(rows.buffers()[1], "i8", len(rows) + 1, rows.offset * 8) if len(rows) else np.zeros(1, "i8")
+        ids = np.frombuffer(rows.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]].view("<u4")
+        bounds = (offsets - offsets[0]) // 4
+        out, ends = [np.zeros(0, "u1")], np.zeros(len(ids) + 1, "i8")
+        for at in range(0, len(ids), DECODED):
+            own = ids[at : at + DECODED]
+            sizes = self.lengths[own]
+            if not sizes.all():
+                raise ValueError("an id without a token")
+            own_ends = np.cumsum(sizes)
+            out.append(self.bytes[np.repeat(self.starts[own] - (own_ends - sizes), sizes) + np.arange(own_ends[-1])])
+            ends[at + 1 : at + 1 + len(own)] = ends[at] + own_ends
+        found = binary(np.concatenate(out), ends[bounds])
+        return pc.if_else(pc.is_valid(column), found, pa.scalar(None, pa.binary())) if column.null_count else found
 
 
 _made: dict[tuple[str, str], ChunkMemory] = {}
@@ -234,8 +269,7 @@ def encode_table(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     def encoded(batches):
         memory = _memory(ranks_path, pattern)
         for batch in batches:
-            ids = pa.array(map(memory.encode, batch.column(1).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary(*memory.encode_column(batch.column(1), None))], names=["doc_id", "ids"])
 
     return rows.mapInArrow(encoded, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
 
@@ -244,10 +278,9 @@ def decode_table(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame
     """The rows of encode_table with decoded, the bytes that the ids stand for."""
 
     def decoded(batches):
-        bpe = _memory(ranks_path, pattern).bpe
+        memory = _memory(ranks_path, pattern)
         for batch in batches:
-            found = (None if x is None else bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, memory.decode_column(batch.column("ids"))], names=[*batch.schema.names, "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(decoded, f"doc_id {kind}, ids binary, decoded binary")

@@ -97,6 +97,9 @@ class ChunkedTokenizer:
     spaced: whether white space yields ids (byte-level vocabularies) or is dropped and case folded.
     """
 
+    #: The type of ids.
+    kind = "u2"
+
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
@@ -133,7 +136,7 @@ class ChunkedTokenizer:
         slots = 1 << SLOT_BITS
         self.first, self.second, self.at = np.zeros(slots, "u8"), np.zeros(slots, "u8"), np.zeros(slots, "i4")
         self.size, self.count = np.zeros(slots, "u1"), np.zeros(slots, "u1")
-        self.ids, self.used = np.zeros(1 << 16, "u2"), 0
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
         self.long: dict[bytes, list[int]] = {}
 
     def _unit_ids(self, unit: bytes) -> list[int]:
@@ -157,8 +160,8 @@ class ChunkedTokenizer:
         at = self.used + np.cumsum(count) - count
         end = self.used + int(count.sum())
         if end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), end - len(self.ids)), "u2")])
-        self.ids[self.used : end] = np.fromiter(chain.from_iterable(new), "u2", end - self.used)
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), end - len(self.ids)), self.kind)])
+        self.ids[self.used : end] = np.fromiter(chain.from_iterable(new), self.kind, end - self.used)
         self.used += int(count[: of[:stay].max(initial=-1) + 1].sum())
         return at[of], count[of]
 
@@ -191,7 +194,7 @@ class ChunkedTokenizer:
 
     def _part(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(raw):
-            return np.zeros(0, "u2"), np.zeros(len(edges), "i8")
+            return np.zeros(0, self.kind), np.zeros(len(edges), "i8")
         if self.used > MAX_IDS or len(self.long) > MAX_LONG:
             self._forget()
         starts, ends = self._units(raw, edges)
@@ -215,20 +218,21 @@ class ChunkedTokenizer:
         np.cumsum(count, out=before[1:])
         return self.ids[np.repeat(at - before[:-1], count) + np.arange(before[-1])], before[np.searchsorted(starts, edges)]
 
-    def encode_column(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by the id end (unsigned 16-bit), and the bounds of the texts. Null is empty."""
+    def encode_column(self, column: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the id end if there is one, and the bounds of the texts. Null is empty."""
         ids, bounds, total = [], [np.zeros(1, "i8")], 0
         for raw, edges in parts(column):
             own, places = self._part(raw, edges)
-            ids.append(np.insert(own, places[1:], end))
-            bounds.append(total + places[1:] + np.arange(1, len(places)))
+            ids.append(own if end is None else np.insert(own, places[1:], end))
+            bounds.append(total + places[1:] + (0 if end is None else np.arange(1, len(places))))
             total = int(bounds[-1][-1])
-        return np.concatenate([np.zeros(0, "u2"), *ids]), np.concatenate(bounds)
+        return np.concatenate([np.zeros(0, self.kind), *ids]), np.concatenate(bounds)
 
 
-def binary(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """The texts' ids as little-endian bytes, one value for each text."""
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * 2), pa.py_buffer(ids.astype("<u2", copy=False))]).cast(pa.binary())
+def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The texts' values as little-endian bytes, one binary value for each text."""
+    data = pa.py_buffer(values.astype(values.dtype.newbyteorder("<"), copy=False))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * values.itemsize), data]).cast(pa.binary())
 
 
 _made: dict[tuple, ChunkedTokenizer] = {}

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -38,6 +39,22 @@ def test_same_ids_as_the_public_library(own, theirs):
         assert own.decode(ids) == text.encode()
 
 
+def test_columns_of_texts_are_encoded_and_decoded_at_once(own, theirs, monkeypatch):
+    memory, rows = bpe.ChunkMemory(own), [*texts(300), None, "", "\x1c a", "x " * 5000, "é\u2003b", None]
+    monkeypatch.setattr(bpe, "DECODED", 1000)
+    monkeypatch.setattr("gatelight.llm.text.PART_BYTES", 2000)
+    monkeypatch.setattr("gatelight.llm.tokens.MAX_IDS", 500)
+    monkeypatch.setattr(bpe, "MAX_CHUNKS", 50)
+    for column in (pa.array(rows), pa.array(["skipped", *rows])[1:]):
+        ids, bounds = memory.encode_column(column, None)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [theirs.encode_ordinary(t or "") for t in rows]
+    coded = pa.array([None if t is None else np.array(theirs.encode_ordinary(t), "<u4").tobytes() for t in ["skipped", *rows]], pa.binary())[1:]
+    assert memory.decode_column(coded).to_pylist() == [None if t is None else t.encode() for t in rows]
+    assert memory.decode_column(coded[:0]).to_pylist() == [] and memory.decode_column(pa.array([None], pa.binary())).to_pylist() == [None]
+    with pytest.raises((ValueError, IndexError)):
+        memory.decode_column(pa.array([np.array([60_000], "<u4").tobytes()], pa.binary()))
+
+
 def test_appends_and_edits(own, theirs):
     rng = random.Random(5)
     for _ in range(60):
