@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from gatelight.llm import rangecoder, ranges, scratch
 from gatelight.llm.tokens import binary, tokenizer
 
-MAGIC, VERSION, BLOCK = b"GLTOKENS", 2, 1024
+MAGIC, VERSION, BLOCK = b"GLTOKENS", 2, 512
 #: Ids after which a file is closed.
 FILE_IDS = 8 << 20
 _HEAD = np.dtype([("magic", "S8"), ("version", "<u4"), ("block", "<u4"), ("docs", "<u4"), ("blocks", "<u4"), ("different", "<u4"), ("magnitudes", "<u4"), ("before", "<u8"), ("ids", "<u8")])
@@ -51,6 +51,12 @@ def _columns(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(full.reshape(blocks, block).T), lengths
 
 
+def _ids_crcs(ids: np.ndarray, block: int) -> list[int]:
+    """The CRC-32 of each block's ids as u4."""
+    data = memoryview(ids.astype("<u4").tobytes())
+    return [zlib.crc32(data[at : at + 4 * block]) for at in range(0, len(data), 4 * block)]
+
+
 def to_bytes(doc_ids: list, sizes: list[int], ids: np.ndarray, before: int, block: int = BLOCK) -> bytes:
     grid, lengths = _columns(ids, block)
     ranks = rangecoder.Ranks.of(ids)
@@ -64,8 +70,7 @@ def to_bytes(doc_ids: list, sizes: list[int], ids: np.ndarray, before: int, bloc
         ranks.bounds.astype("<u2").tobytes(),
     ])
     rows = np.zeros(len(codes), _ROW)
-    for k, code in enumerate(codes):
-        rows[k] = len(code), zlib.crc32(code), zlib.crc32(grid[: lengths[k], k].astype("<u4").tobytes())
+    rows["bytes"], rows["code_crc"], rows["ids_crc"] = list(map(len, codes)), list(map(zlib.crc32, codes)), _ids_crcs(ids, block)
     return b"".join([head.tobytes(), index, np.array([zlib.crc32(index)], "<u4").tobytes(), rows.tobytes(), *codes])
 
 
@@ -91,11 +96,9 @@ def from_bytes(data: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
         raise ValueError("a block is damaged")
     total, block = int(head["ids"]), int(head["block"])
     lengths = np.minimum(block, total - block * np.arange(blocks))
-    grid = rangecoder.decode(codes, lengths, ranks)
-    for k in range(blocks):
-        if zlib.crc32(grid[: lengths[k], k].astype("<u4").tobytes()) != rows["ids_crc"][k]:
-            raise ValueError("a block decodes to other ids")
-    ids = grid.T.reshape(-1)[:total] if blocks else np.zeros(0, "u2")
+    ids = rangecoder.decode(codes, lengths, ranks).T.reshape(-1)[:total] if blocks else np.zeros(0, "u2")
+    if _ids_crcs(ids, block) != rows["ids_crc"].tolist():
+        raise ValueError("a block decodes to other ids")
     return [None if z else x for x, z in zip(names.tolist(), null.tolist())], sizes.astype("i8"), ids, int(head["before"])
 
 

@@ -63,3 +63,9 @@ def test_empty_table_and_repeated_rows(spark):
     found = sorted((r.doc_id, r.start, r.n_tokens) for r in token_files.digests(token_files.read(token_files.write(docs, PATH))).collect())
     assert found == [(1, 0, 2), (1, 2, 2), (2, 4, 2)]
     assert token_files.read(token_files.write(docs.limit(0), PATH)).count() == 0
+
+
+def test_sums_of_blocks_are_of_their_ids():
+    ids = np.arange(70, dtype="u2")
+    assert token_files._ids_crcs(ids, 32) == [zlib.crc32(ids[k : k + 32].astype("<u4").tobytes()) for k in (0, 32, 64)]
+    assert token_files._ids_crcs(ids[:0], 32) == []

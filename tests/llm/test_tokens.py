@@ -41,3 +41,13 @@ def test_units_give_the_ids_of_the_whole_text(monkeypatch, name, spaced):
             assert ids[a:b].tolist() == [*theirs, 7], repr(text)
     assert tokens.binary(ids, bounds).to_pylist()[2] == ids[bounds[2] : bounds[3]].tobytes()
     assert own.encode_column(pa.array([], pa.string()), 7)[1].tolist() == [0]
+
+
+def test_tables_of_bytes_and_words_behind_a_space():
+    raw = np.frombuffer("a Ünder—\n\x85!".encode(), "u1")
+    for table in (tokens._CLASS, tokens._SPACES, tokens._BREAKS, tokens._ODD):
+        found = tokens._looked_up(table, raw)
+        assert found.dtype == table.dtype and found.flags.writeable and (found == table[raw]).all()
+    own = ChunkedTokenizer(public_tokenizers.path("byte_bpe_50k.json"), True)
+    for unit in (" word", " Zyxwvu", " ", "a", " école", "\nword", " a1", "  two"):
+        assert own._unit_ids(unit.encode()) == own.tokenizer.encode(unit, add_special_tokens=False).ids, unit
