@@ -2,7 +2,8 @@
 
 Rows are dealt in ranges of (keys, order) by Spark's sampled range partitioning, so that a key with many rows spans many ranges, and
 written once, which fixes the ranges. Windows work within one key and range. What each range ends with (its totals, its last row) is one row for each key
-and range; these few rows are folded in order, and every range gets what all earlier ranges of its key hand on.
+and range; these few rows are folded in order, and every range gets what all earlier ranges of its key hand on. A border between ranges
+divides one key at most, so these rows are fewer than the ranges. With more rows there are more ranges and tasks, of ROWS rows each.
 
 Rows that are equal in keys and order have no defined order among themselves: order should end with a unique column. Null keys are keys like others; null order values come first.
 """
@@ -15,13 +16,26 @@ from pyspark.sql import functions as F
 from gatelight.sources import shared
 
 RANGE = "range_"
+#: Rows of a range or task on average, once there are more than the session's number of shuffle partitions holds.
+ROWS = 500_000
+
+
+def tasks_for(spark, n_rows: int) -> int | None:
+    """How many tasks n_rows are divided over: None, so that Spark decides, unless the session's number is too small."""
+    needed = -(-n_rows // ROWS)
+    return needed if needed > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(rows: DataFrame, n: int | None, *by: str) -> DataFrame:
+    """The rows with equal by in one of n tasks, or of as many as Spark decides."""
+    return rows.repartition(n, *by) if n else rows.repartition(*by)
 
 
 def in_ranges(rows: DataFrame, by: list[str], order: list[str], n_ranges: int | None = None) -> DataFrame:
     """The rows with range_, written. Later ranges of a key hold later rows."""
     keys = [F.col(c).asc_nulls_first() for c in (*by, *order)]
-    dealt = rows.repartitionByRange(n_ranges, *keys) if n_ranges else rows.repartitionByRange(*keys)
-    return shared.written(dealt.withColumn(RANGE, F.spark_partition_id()), "ranges")[0]
+    divided = rows.repartitionByRange(n_ranges, *keys) if n_ranges else rows.repartitionByRange(*keys)
+    return shared.written(divided.withColumn(RANGE, F.spark_partition_id()), "ranges")[0]
 
 
 def running(
@@ -39,7 +53,8 @@ def running(
     sums, highs, lasts, lags = sums or {}, highs or {}, lasts or {}, lags or {}
     names = [*sums, *highs, *lasts, *lags]
     values = {f"{name}_in": col for name, col in (sums | highs | lasts | lags).items()}
-    ranged = in_ranges(rows.withColumns(values), by, order, n_ranges)
+    n_ranges = n_ranges or tasks_for(rows.sparkSession, rows.count())
+    ranged = dealt(in_ranges(rows.withColumns(values), by, order, n_ranges), n_ranges, *by, RANGE)
     last = lambda name, on=None: F.max_by(f"{name}_in", F.struct(*order) if on is None else F.when(on, F.struct(*order)))
     ends = ranged.groupBy(*by, RANGE).agg(
         *[F.coalesce(F.sum(f"{n}_in"), F.lit(0)).alias(n) for n in sums],
@@ -55,7 +70,8 @@ def running(
         *[F.max(n).over(earlier).alias(f"{n}_before") for n in highs],
         *[F.last(n, ignorenulls=True).over(earlier).alias(f"{n}_before") for n in lasts],
         *[F.lag(n).over(across).alias(f"{n}_before") for n in lags],
-    )
+        (F.row_number().over(across) > 1).alias("handed_"),
+    ).filter("handed_").drop("handed_")
     inside = Window.partitionBy(*by, RANGE).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = ranged.select(
@@ -68,8 +84,8 @@ def running(
     )
     same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in (*by, RANGE)]
     before, mine = (lambda n: F.col(f"{n}_before")), (lambda n: F.col(f"{n}_own"))
-    out = own.join(handed, same, "left").withColumns(
-        {n: before(n) + mine(n) for n in sums}
+    out = own.join(F.broadcast(handed), same, "left").withColumns(
+        {n: F.coalesce(before(n), F.lit(0)) + mine(n) for n in sums}
         | {n: F.greatest(before(n), mine(n)) for n in highs}
         | {n: F.coalesce(mine(n), before(n)) for n in lasts}
         | {n: F.when(F.col("place_in") == 1, before(n)).otherwise(mine(n)) for n in lags}

@@ -230,8 +230,10 @@ def q_asof_price(spark, sf_dir):
     """The customer's last order up to the day a line was shipped, and its price: an as-of match in one order of both sides."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"))
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at"))
-    owned = line.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").distinct()
-    found = ordered.as_of(owned, orders, ["o_custkey"], "at", "o_orderkey", {"order_then": "o_orderkey", "price_then": "o_totalprice"})
+    n = ordered.tasks_for(spark, line.count() + orders.count())
+    owners = ordered.dealt(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), n, "l_orderkey")
+    owned = ordered.dealt(line, n, "l_orderkey").join(owners, "l_orderkey").distinct()
+    found = ordered.as_of(owned, orders, ["o_custkey"], "at", "o_orderkey", {"order_then": "o_orderkey", "price_then": "o_totalprice"}, n_ranges=n)
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "order_then", "price_then")
 
 

@@ -43,6 +43,28 @@ def test_a_hot_key_is_divided(spark):
     assert len(sizes) == 20 and max(sizes) < 3 * sorted(sizes)[10]
 
 
+def test_more_rows_give_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS", 25)
+    sizes = []
+    in_ranges = ordered.in_ranges
+    monkeypatch.setattr(ordered, "in_ranges", lambda *args: sizes.append(args[-1]) or in_ranges(*args))
+    v = F.col("value")
+    found = ordered.running(spark.createDataFrame(ROWS, SCHEMA), ["key"], ["at", "id"], {"n": F.lit(1), "total": v}, {"high": v}, {"last": v}, {"before": v})
+    assert {r.id: (r.n, r.total, r.high, r.last, r.before) for r in found.collect()} == expected()
+    assert sizes == [24]
+
+
+def test_few_rows_are_handed_on(spark, monkeypatch):
+    """With many keys only those that a border divides are joined."""
+    handed = []
+    broadcast = F.broadcast
+    monkeypatch.setattr(ordered.F, "broadcast", lambda df: handed.append(df.count()) or broadcast(df))
+    rows = spark.range(4000).select((F.col("id") % 1000).alias("key"), F.col("id").alias("at"))
+    found = ordered.running(rows, ["key"], ["at"], {"n": F.lit(1)}, n_ranges=7)
+    assert found.filter("n <> floor(at / 1000) + 1").count() == 0 and found.count() == 4000
+    assert handed[0] < 7
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert ordered.running(none, ["key"], ["at"], {"n": F.lit(1)}).count() == 0
